@@ -8,6 +8,8 @@ codes. Readers find everything in the blocks and the rank table, which is no lar
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -52,10 +54,21 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
+#: A stop or comma between a letter or digit and white space is a piece of its own to the tokenizer.
+_TAIL = re.compile(rb"([a-z0-9])([.,])(?=[\x20\x09-\x0D])")
+
+
+def cut(text: bytes | None) -> list[bytes]:
+    """The text's pieces. The tokenizer lower-cases, so A-Z can be lower-cased here; texts that may hold a special token, which it finds before that, are only split."""
+    text = text or b""
+    return text.split() if b"<|" in text else _TAIL.sub(rb"\1 \2", text.lower()).split()
+
+
 class Pieces:
     """Ids of white-space pieces of text, through the tokenizers library, each distinct piece once."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the threads
         self.tokenizer = Tokenizer.from_file(path)
         self.start()
 
@@ -67,13 +80,13 @@ class Pieces:
         """The ids of all texts in a row, and how many each text has."""
         if len(self.at) > MEMORY:
             self.start()
-        parts = [(t or b"").split() for t in texts]
+        parts = list(map(cut, texts))
         new: set[bytes] = set()
         for p in parts:
             new.update(set(p).difference(self.at))
         if new:
             new = sorted(new)
-            ids = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
             size = np.array([len(x) for x in ids], np.int64)
             self.offset = np.concatenate([self.offset, len(self.flat) + np.cumsum(size) - size])
             self.size = np.concatenate([self.size, size])
@@ -94,8 +107,8 @@ def _pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """doc_id and ids (unsigned 32-bit little-endian, with end_id last) of each whole text; null: empty.
+def tokenize(docs: DataFrame, path: str, end_id: int, width: int = 4) -> DataFrame:
+    """doc_id and ids (unsigned little-endian, of `width` bytes, with end_id last) of each whole text; null: empty.
 
     The text is cut at ASCII white space first, where the tokenizer's own rules (white space dropped, no rule across it)
     cut as well, so the ids are those of the whole text.
@@ -106,23 +119,23 @@ def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         for b in slices(batches, most=2 << 20):
             ids, counts = pieces(raw(b["text"]))
             ends = np.cumsum(counts)
-            ids = np.insert(ids, ends, end_id).astype("<u4")
+            ids = np.insert(ids, ends, end_id).astype(f"<u{width}")
             ends += np.arange(1, len(ends) + 1)
-            offsets = np.concatenate([[0], ends * 4]).astype(np.int32)
+            offsets = np.concatenate([[0], ends * width]).astype(np.int32)
             column = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(ids.tobytes())])
             yield pa.record_batch([b["doc_id"], column], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary")
 
 
-def rank_ids(tokens: DataFrame) -> np.ndarray:
+def rank_ids(tokens: DataFrame, width: int = 4) -> np.ndarray:
     """ids by rank: most frequent first, of equals the smaller id. Counted over all tokens; as long as the vocabulary in use."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for b in batches:
             data = b["ids"]
-            some = np.bincount(np.frombuffer(b"".join(raw(data)), "<u4"))
+            some = np.bincount(np.frombuffer(b"".join(raw(data)), f"<u{width}"))
             if len(some) > len(total):
                 some[: len(total)] += total
                 total = some
@@ -135,7 +148,7 @@ def rank_ids(tokens: DataFrame) -> np.ndarray:
     return np.array([r[0] for r in sorted(counts, key=lambda r: (-r[1], r[0]))], np.uint32)
 
 
-def write_blocks(tokens: DataFrame, ranks: np.ndarray, block_ids: int = BLOCK_IDS) -> DataFrame:
+def write_blocks(tokens: DataFrame, ranks: np.ndarray, width: int = 4, block_ids: int = BLOCK_IDS) -> DataFrame:
     """The blocks of tokens (doc_id, ids), stored, in ascending order of doc_id (nulls first; of equals by the ids)."""
     to_rank = np.zeros(int(ranks.max()) + 1 if len(ranks) else 1, np.uint32)
     to_rank[ranks] = np.arange(len(ranks), dtype=np.uint32)
@@ -147,19 +160,19 @@ def write_blocks(tokens: DataFrame, ranks: np.ndarray, block_ids: int = BLOCK_ID
         n = 0
 
         def block() -> pa.RecordBatch:
-            control, data = pack(to_rank[np.frombuffer(b"".join(held), "<u4")])
-            row = {"part": [part], "seq": [seq], "first": [first], "docs": [docs], "counts": [[len(x) // 4 for x in held]], "control": [control], "data": [data]}
+            control, data = pack(to_rank[np.frombuffer(b"".join(held), f"<u{width}")])
+            row = {"part": [part], "seq": [seq], "first": [first], "docs": [docs], "counts": [[len(x) // width for x in held]], "control": [control], "data": [data]}
             return pa.record_batch(row, schema=schema)
 
         schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("first", pa.int64()), ("docs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("control", pa.binary()), ("data", pa.binary())])
         for b in batches:
             for doc, ids in zip(b["doc_id"].to_pylist(), raw(b["ids"]), strict=True):
-                if n and n + len(ids) // 4 > block_ids:
+                if n and n + len(ids) // width > block_ids:
                     yield block()
                     seq, first, docs, held, n = seq + 1, first + n, [], [], 0
                 docs.append(doc)
                 held.append(ids)
-                n += len(ids) // 4
+                n += len(ids) // width
         if docs:
             yield block()
 
@@ -170,7 +183,7 @@ def write_blocks(tokens: DataFrame, ranks: np.ndarray, block_ids: int = BLOCK_ID
 
 
 def read_blocks(blocks: DataFrame, ranks: np.ndarray) -> DataFrame:
-    """doc_id, start (ids of all documents before it), ids (as tokenize gives them) of every document in the blocks."""
+    """doc_id, start (ids of all documents before it), ids (unsigned 32-bit little-endian) of every document in the blocks."""
     sizes = blocks.groupBy("part").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).collect()  # a row a part
     base, total = {}, 0
     for part, n in sorted(sizes):
@@ -191,9 +204,10 @@ def read_blocks(blocks: DataFrame, ranks: np.ndarray) -> DataFrame:
 
 def binary_output(docs: DataFrame, path: str, end_id: int) -> tuple[DataFrame, np.ndarray]:
     """The blocks of all texts, and the ids by rank. Null texts hold end_id alone; repeated rows are documents of their own."""
-    tokens = stored(tokenize(docs, path, end_id), "token-ids")
-    ranks = rank_ids(tokens)
-    return write_blocks(tokens, ranks), ranks
+    width = 2 if max(end_id, Tokenizer.from_file(path).get_vocab_size() - 1) < 1 << 16 else 4
+    tokens = stored(tokenize(docs, path, end_id, width), "token-ids")
+    ranks = rank_ids(tokens, width)
+    return write_blocks(tokens, ranks, width), ranks
 
 
 def digests(read: DataFrame) -> DataFrame:
