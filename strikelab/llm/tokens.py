@@ -12,6 +12,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from .common import raw, slices, stored
 #: Ids in a block, more only where one document has more.
 BLOCK_IDS = 1 << 18
 #: Pieces remembered in one worker; at this number the memory starts again.
-MEMORY = 400_000
+MEMORY = 600_000
 
 # For each control byte: the lengths of its four codes.
 _LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
@@ -85,14 +86,14 @@ class Pieces:
         for p in parts:
             new.update(set(p).difference(self.at))
         if new:
-            new = sorted(new)
+            new = list(new)
             ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
             size = np.array([len(x) for x in ids], np.int64)
             self.offset = np.concatenate([self.offset, len(self.flat) + np.cumsum(size) - size])
             self.size = np.concatenate([self.size, size])
             self.flat = np.concatenate([self.flat, np.array([i for x in ids for i in x], np.uint32)])
             self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
-        which = np.fromiter((i for p in parts for i in map(self.at.__getitem__, p)), np.int64)
+        which = np.fromiter(map(self.at.__getitem__, chain.from_iterable(parts)), np.int64)
         size = self.size[which]
         total = np.cumsum(size)
         ids = self.flat[np.repeat(self.offset[which] - total + size, size) + np.arange(total[-1] if len(total) else 0)]
