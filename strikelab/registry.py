@@ -551,8 +551,8 @@ def mtm_portfolio(spark, sf_dir):
 
 @query(f""", {_FILLED}, pf AS (SELECT idx, trade_date, t, round(sum(mtm), 4) AS mtm FROM fl GROUP BY ALL), lv AS (SELECT unnest([-8.0, -4.0, -2.0, 2.0, 4.0, 8.0]) AS level),
 cr AS (SELECT pf.*, level, row_number() OVER w AS i, count(*) OVER (PARTITION BY idx, trade_date, level) AS n, CASE WHEN level > 0 THEN mtm > level * 500 / 100 ELSE mtm < level * 500 / 100 END AS b FROM pf, lv WINDOW w AS (PARTITION BY idx, trade_date, level ORDER BY t)),
-fc AS (SELECT idx, trade_date, level, min(i) FILTER (b) + 1 AS at, any_value(n) AS n FROM cr GROUP BY idx, trade_date, level)
-SELECT c.idx, c.trade_date, c.level::DOUBLE AS level, CASE WHEN at <= f.n THEN c.t END AS t, c.mtm AS paid FROM fc f JOIN cr c ON c.idx = f.idx AND c.trade_date = f.trade_date AND c.level = f.level AND c.i = CASE WHEN at <= f.n THEN at ELSE f.n END""")
+fc AS (SELECT idx, trade_date, level, min(i) FILTER (b) + 1 AS due, any_value(n) AS n FROM cr GROUP BY idx, trade_date, level)
+SELECT c.idx, c.trade_date, c.level::DOUBLE AS level, CASE WHEN due <= f.n THEN c.t END AS t, c.mtm AS paid FROM fc f JOIN cr c ON c.idx = f.idx AND c.trade_date = f.trade_date AND c.level = f.level AND c.i = CASE WHEN due <= f.n THEN due ELSE f.n END""")
 def psl_levels(spark, sf_dir):
     total = mtm.portfolio(_gridded(Market(spark, sf_dir)), ["idx", "trade_date"]).withColumn("mtm", F.round("mtm", 4))
     return rollup.crossings(total, ["idx", "trade_date"], [-8.0, -4.0, -2.0, 2.0, 4.0, 8.0], 500.0)
