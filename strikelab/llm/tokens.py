@@ -8,6 +8,7 @@ codes. Readers find everything in the blocks and the rank table, which is no lar
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -65,14 +66,37 @@ def cut(text: bytes | None) -> list[bytes]:
     return text.split() if b"<|" in text else _TAIL.sub(rb"\1 \2", text.lower()).split()
 
 
+#: Words of small Latin letters; the tokenizer makes one word of each, and neither composes nor changes its letters.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: So many plain words go to the tokenizer as one line.
+LINE = 64
+
+
 class Pieces:
     """Ids of white-space pieces of text, through the tokenizers library, each distinct piece once."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the threads
         self.tokenizer = Tokenizer.from_file(path)
+        mark = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids that end a word
+        self.last[[i for t, i in vocabulary.items() if mark and t.endswith(mark)]] = True
         self.start()
 
+    def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces in a row, and how many each has."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in pieces], add_special_tokens=False)]
+        return np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64)
+
+    def encode_plain(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """As encode, of plain words, in lines: the ids that end words part them. One by one where the two don't agree."""
+        lines = [b" ".join(words[i : i + LINE]).decode() for i in range(0, len(words), LINE)]
+        ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
+        flat = np.concatenate([np.zeros(0, np.uint32), *ids])
+        ends = np.flatnonzero(self.last[flat])
+        return (flat, np.diff(ends, prepend=-1)) if len(ends) == len(words) else self.encode(words)
+
     def start(self) -> None:
         self.at: dict[bytes, int] = {}
         self.flat, self.offset, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -86,12 +110,13 @@ class Pieces:
         for p in parts:
             new.update(set(p).difference(self.at))
         if new:
-            new = list(new)
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
-            size = np.array([len(x) for x in ids], np.int64)
+            plain = list(filter(_PLAIN.fullmatch, new))
+            rest = list(new.difference(plain))
+            (ids, size), (more, more_size) = self.encode_plain(plain), self.encode(rest)
+            new, ids, size = plain + rest, np.concatenate([ids, more]), np.concatenate([size, more_size])
             self.offset = np.concatenate([self.offset, len(self.flat) + np.cumsum(size) - size])
             self.size = np.concatenate([self.size, size])
-            self.flat = np.concatenate([self.flat, np.array([i for x in ids for i in x], np.uint32)])
+            self.flat = np.concatenate([self.flat, ids])
             self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
         which = np.fromiter(map(self.at.__getitem__, chain.from_iterable(parts)), np.int64)
         size = self.size[which]
