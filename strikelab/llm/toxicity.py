@@ -87,7 +87,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model | Non
     rows_of = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text IS NOT NULL").join(F.broadcast(marks), "doc_id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total = Memo(buckets_of), np.zeros((2, BUCKETS), np.int32)
+        known, total = Memo(buckets_of, 50_000), np.zeros((2, BUCKETS), np.int32)
         for b in slices(batches):
             for text, y in zip(b["text"].to_pylist(), b["y"].to_pylist(), strict=True):
                 total[y, list({k for w in set(text.lower().split()) for k in known[w]})] += 1
