@@ -24,7 +24,7 @@ from .common import slices, with_field
 #: Fixed: how this family of tokenizers splits text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words remembered in one task; at this number the memory starts again.
-MEMORY = 600_000
+MEMORY = 300_000
 
 
 def _byte_letters() -> dict[str, int]:
