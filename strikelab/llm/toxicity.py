@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +43,17 @@ class Model:
         self.bias, self.linear = 0.0, np.zeros(len(buckets))
         self.vectors = np.zeros((len(buckets), FACTORS))
 
-    def logit(self, x: np.ndarray) -> np.ndarray:
-        """x: a row of 0 and 1 for each text."""
-        v = x @ self.vectors
-        return self.bias + x @ self.linear + 0.5 * (v * v - x @ self.vectors**2).sum(1)
+    def logit(self, cols: list[list[int]]) -> np.ndarray:
+        """cols: for each text the columns of its terms. Sums run over the terms met, so short texts take little memory."""
+        size = np.fromiter(map(len, cols), np.int64, len(cols))
+        out = np.full(len(cols), self.bias)
+        some = np.flatnonzero(size)
+        if len(some):
+            flat, starts = np.fromiter(chain.from_iterable(cols), np.int64, size.sum()), (np.cumsum(size) - size)[some]
+            v = self.vectors[flat]
+            pairs = np.add.reduceat(v, starts) ** 2 - np.add.reduceat(v * v, starts)
+            out[some] += np.add.reduceat(self.linear[flat], starts) + 0.5 * pairs.sum(1)
+        return out
 
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 20, rate: float = 0.02, decay: float = 1e-4, seed: int = 0) -> Model:
         """Logistic loss by Adam over small batches."""
@@ -112,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model | Non
     column = model.column
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Memo(lambda w: tuple(column[k] for k in buckets_of(w) if k in column))
+        known = Memo(lambda w: tuple(column[k] for k in buckets_of(w) if k in column), 100_000)
         for b in slices(batches):
             cols = [sorted({k for w in set(t.lower().split()) for k in known[w]}) for t in b["text"].to_pylist()]
             yield pa.record_batch([b["doc_id"], b["y"], pa.array(cols, pa.list_(pa.int32()))], ["doc_id", "y", "cols"])
@@ -127,11 +135,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model | Non
 def _scores(model: Model | None, texts: list[str | None], known: Memo) -> np.ndarray:
     if model is None:
         return np.zeros(len(texts))
-    x = np.zeros((len(texts), len(model.column)), np.float32)
-    for i, t in enumerate(texts):
-        cols = {k for w in set((t or "").lower().split()) for k in known[w]}
-        x[i, list(cols)] = 1
-    return 1 / (1 + np.exp(-np.clip(model.logit(x), -30, 30)))
+    cols = [sorted({k for w in set((t or "").lower().split()) for k in known[w]}) for t in texts]
+    return 1 / (1 + np.exp(-np.clip(model.logit(cols), -30, 30)))
 
 
 def score(docs: DataFrame, model: Model | None, name: str = "score") -> DataFrame:
@@ -139,7 +144,7 @@ def score(docs: DataFrame, model: Model | None, name: str = "score") -> DataFram
     base = docs.drop(name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Memo(lambda w: tuple(model.column[k] for k in buckets_of(w) if k in model.column))
+        known = Memo(lambda w: tuple(model.column[k] for k in buckets_of(w) if k in model.column), 100_000)
         for b in slices(batches, most=2 << 20):
             s = _scores(model, b.column(b.schema.get_field_index("text")).to_pylist(), known)
             yield pa.record_batch([*b.columns, pa.array(s)], [*b.schema.names, name])
