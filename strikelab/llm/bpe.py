@@ -24,7 +24,7 @@ from .common import slices, with_field
 #: Fixed: how this family of tokenizers splits text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words remembered in one task; at this number the memory starts again.
-MEMORY = 300_000
+MEMORY = 150_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -105,7 +105,7 @@ class Codec:
                         ok = follows.get(last[start] * span + t)
                         if ok is None:
                             ok = self._can_follow(last[start], t)
-                            if len(follows) > 1_000_000:
+                            if len(follows) > 300_000:
                                 follows.clear()
                             follows[last[start] * span + t] = ok
                         if not ok:
@@ -176,7 +176,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path)
-        for b in slices(batches):
+        for b in slices(batches, most=2 << 20):
             ids = encoder(b.column(b.schema.get_field_index("text")).to_pylist())
             yield pa.record_batch([*b.columns, pa.array(ids, pa.list_(pa.int32()))], [*b.schema.names, "ids"])
 
