@@ -10,6 +10,20 @@ from strikelab.llm import bpe, decontam, jaccard, surrogates, toxicity
 from strikelab.llm.common import stored
 
 
+#: Bytes of a batch between Spark and Python at most: texts are long, and several batches of a task are held at a time.
+ARROW_BYTES = 16 << 20
+
+
+def bounded(stage):
+    """The stage with small Arrow batches, a setting that the session keeps."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as toxic go."""
     return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -38,11 +52,11 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("toxicity", toxic_out),
-    ("near_duplicates", near_copies_out),
-    ("decontamination", benchmark_out),
-    ("pii", pii_replaced),
-    ("bpe", encoded),
+    ("toxicity", bounded(toxic_out)),
+    ("near_duplicates", bounded(near_copies_out)),
+    ("decontamination", bounded(benchmark_out)),
+    ("pii", bounded(pii_replaced)),
+    ("bpe", bounded(encoded)),
 ]
 
 #: A learned model, a join by components and tokenizers: tested against brute force instead.
