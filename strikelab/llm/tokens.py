@@ -68,7 +68,9 @@ def cut(text: bytes | None) -> list[bytes]:
 
 #: Words of small Latin letters; the tokenizer makes one word of each, and neither composes nor changes its letters.
 _PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
-#: So many plain words go to the tokenizer as one line.
+#: A plain word and marks after it, which make one more word of the tokenizer; an apostrophe could be part of a rule, "<" of a special token.
+_TAILED = re.compile(_PLAIN.pattern + rb"[!-&(-/:;=-@\[-`{-~]+")
+#: So many such words go to the tokenizer as one line.
 LINE = 64
 
 
@@ -89,13 +91,13 @@ class Pieces:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in pieces], add_special_tokens=False)]
         return np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64)
 
-    def encode_plain(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """As encode, of plain words, in lines: the ids that end words part them. One by one where the two don't agree."""
+    def encode_lines(self, words: list[bytes], each: int) -> tuple[np.ndarray, np.ndarray]:
+        """As encode, in lines, of pieces that are `each` words to the tokenizer: the ids that end words part them. One by one where the two don't agree."""
         lines = [b" ".join(words[i : i + LINE]).decode() for i in range(0, len(words), LINE)]
         ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
         flat = np.concatenate([np.zeros(0, np.uint32), *ids])
         ends = np.flatnonzero(self.last[flat])
-        return (flat, np.diff(ends, prepend=-1)) if len(ends) == len(words) else self.encode(words)
+        return (flat, np.diff(ends[each - 1 :: each], prepend=-1)) if len(ends) == each * len(words) else self.encode(words)
 
     def start(self) -> None:
         self.at: dict[bytes, int] = {}
@@ -111,9 +113,11 @@ class Pieces:
             new.update(set(p).difference(self.at))
         if new:
             plain = list(filter(_PLAIN.fullmatch, new))
-            rest = list(new.difference(plain))
-            (ids, size), (more, more_size) = self.encode_plain(plain), self.encode(rest)
-            new, ids, size = plain + rest, np.concatenate([ids, more]), np.concatenate([size, more_size])
+            new.difference_update(plain)
+            tailed = list(filter(_TAILED.fullmatch, new))
+            rest = list(new.difference(tailed))
+            found = self.encode_lines(plain, 1), self.encode_lines(tailed, 2), self.encode(rest)
+            new, ids, size = plain + tailed + rest, np.concatenate([x for x, _ in found]), np.concatenate([n for _, n in found])
             self.offset = np.concatenate([self.offset, len(self.flat) + np.cumsum(size) - size])
             self.size = np.concatenate([self.size, size])
             self.flat = np.concatenate([self.flat, ids])
