@@ -1,9 +1,10 @@
-"""PII surrogates: entities in the text are replaced by keyed values of the same type, script, gender and format.
+"""PII surrogates: entities in the text are replaced by keyed values of the same type, script and format.
 
 A surrogate is the image of the entity under a keyed permutation of all strings of the same format (a digit for a digit, a
 vowel for a vowel, a capital for a capital, each within its script). A permutation gives different entities different
-surrogates and the same entity the same one everywhere, without a shared table, and here it moves every value. A check
-over the whole corpus still compares all pairs of entity and surrogate and takes the next key if two entities meet.
+surrogates and the same entity the same one everywhere, without a shared table, and here it moves every value that has a
+letter or a digit. A check over the whole corpus still compares all pairs of entity and surrogate and takes the next key
+if two entities meet. Gender is not determined: a title stays, and with it the last letters of the words of Latin, Greek and Cyrillic names.
 """
 
 from __future__ import annotations
@@ -11,7 +12,11 @@ from __future__ import annotations
 import hashlib
 import ipaddress
 import re
+import unicodedata
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,9 +32,19 @@ TITLES = {
 }
 _TITLE = "|".join(sorted((t for x in TITLES.values() for t in x), key=len, reverse=True))
 
+def _ranges(codes: list[int]) -> str:
+    """Those characters as they stand in a character class."""
+    starts = [c for c, before in zip(codes, [-2, *codes], strict=False) if c != before + 1]
+    ends = [c for c, after in zip(codes, [*codes[1:], -2], strict=True) if after != c + 1]
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends, strict=True))
+
+
+#: Vowel signs, accents and joiners, which are parts of words but not letters.
+_SIGNS = _ranges([c for c in range(0x300, 0x10000) if unicodedata.category(chr(c)) in ("Mn", "Mc") or c in (0x200C, 0x200D)])
+
 # One search for all types; the first alternative that fits a place wins.
 _FIND = re.compile(
-    r"""(?P<email>(?<![\w.+%'-])[\w.+%'-]+@[^\W_][\w-]*(?:\.[\w-]+)+)
+    r"""(?P<email>(?<![\w.+%'SIGNS-])[\w.+%'SIGNS-]+@[^\W_][\w-]*(?:\.[\w-]+)+)
     |(?P<secret>(?:AKIA|ASIA|ghp_|gho_|sk-|xox[bap]-|AIza)[\w-]{12,}|(?<![\w])[0-9a-fA-F]{32,}(?![\w]))
     |(?i:(?:token|password|passwd|pwd|secret|api[_-]?key|access[_-]?key)["']?\s{0,3}[=:]\s{0,3}["']?)(?P<assigned>[^\s"'<>,;]{6,})
     |(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?:\ ?[A-Z0-9]{4}){2,7}(?:\ ?[A-Z0-9]{1,3})?(?!\w))
@@ -37,7 +52,7 @@ _FIND = re.compile(
     |(?P<phone>(?<![\w+])\+\d{1,3}(?:[ .()/-]{0,2}\d){6,13}(?!\d)|(?<![\w.(+-])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?![\w-]))
     |(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))
     |(?P<card>(?<![\w.])\d(?:[ -]?\d){12,18}(?![\w]))
-    |\b(?:TITLE)\b\.?\ (?P<name>[^\W\d_a-z][^\W\d_]+(?:[ -][^\W\d_a-z][^\W\d_]+){0,2})""".replace("TITLE", _TITLE),
+    |\b(?:TITLE)\b\.?\ (?P<name>[^\W\d_a-z](?:[^\W\d_]|[SIGNS])+(?:[ -][^\W\d_a-z](?:[^\W\d_]|[SIGNS])+){0,2})""".replace("TITLE", _TITLE).replace("SIGNS", _SIGNS),
     re.VERBOSE,
 )
 #: Each type but names and keys with a known start has one of these; none has 40 characters on end without one.
@@ -55,14 +70,40 @@ ALPHABETS = [
     "аеёиоуыэюя",
     "бвгджзйклмнпрстфхцчшщъь",
     "αεηιουω",
-    "βγδζθκλμνξπρσςτφχψ",
+    "βγδζθκλμνξπρστφχψ",
     "άέήίόύώ",
 ]
 _ROW = {c: (row, row.index(c)) for row in ALPHABETS for c in row}
+# Country codes of one and two digits; all others have three.
+_COUNTRY = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}")
 _HEX = "0123456789abcdef"
 _LATIN = "abcdefghijklmnopqrstuvwxyz"
 
 
+def _script(c: str) -> tuple:
+    """Script and category of a letter or digit, and whether its capital leads back to it."""
+    return unicodedata.name(c, "").split(" ")[0], unicodedata.category(c), len(c.upper()) == 1 and c.upper().lower() == c
+
+
+@cache
+def _scripts() -> dict[tuple, str]:
+    """The letters and digits that have no row of their own, by script; scripts with one of them share a row."""
+    rows = defaultdict(list)
+    for c in map(chr, range(0x110000)):
+        if c.isalnum() and c not in _ROW:
+            rows[_script(c)].append(c)
+    single = "".join(sorted(r[0] for r in rows.values() if len(r) == 1))
+    return {k: "".join(r) if len(r) > 1 else single for k, r in rows.items()}
+
+
+def _row(c: str) -> tuple[str, int] | None:
+    """The row of c and its place there; None if it is neither a letter nor a digit."""
+    if c in _ROW or not c.isalnum():
+        return _ROW.get(c)
+    row = _scripts()[_script(c)]
+    return row, bisect_left(row, c)
+
+
 def _permute(x: int, n: int, key: bytes) -> int:
     """The image of x under a keyed permutation of 0 .. n - 1 that moves every number (n > 1): a Feistel network, walked
     until it falls below n, turned round, a step on, and back."""
@@ -122,31 +163,34 @@ def _luhn(digits: str) -> int:
 
 
 def canonical(kind: str, value: str) -> str:
-    """One spelling for each entity: e-mail addresses and names without regard to case, numbers without marks."""
+    """One spelling for each entity: e-mail addresses and names without regard to case, numbers without marks (a phone's + stays)."""
     if kind in ("email", "name"):
         return value.lower()
     if kind in ("card", "phone", "ssn", "iban"):
-        return re.sub(r"[^0-9A-Za-z]", "", value)
+        return "+" * (kind == "phone" and value[0] == "+") + re.sub(r"[^0-9A-Za-z]", "", value)
+    if kind == "ip":
+        return ".".join(str(int(x)) for x in value.split("."))
     return value
 
 
 def surrogate_of(kind: str, value: str, key: bytes) -> str:
     """The surrogate in the spelling of value: its marks, its capitals."""
     if kind == "ip":
-        n = _permute(int(ipaddress.ip_address(".".join(str(int(x)) for x in value.split(".")))), 1 << 32, key)
+        n = _permute(int(ipaddress.ip_address(canonical(kind, value))), 1 << 32, key)
         return str(ipaddress.ip_address(n))
     if kind == "email":
         name, _, host = value.lower().rpartition("@")
         labels = host.split(".")
         held = ".".join(labels[-2:]) if len(labels) > 1 else ""
         free = host[: len(host) - len(held)]
-        new = _format(f"{name}@{free}", [_ROW.get(c) for c in f"{name}@{free}"], key, kind) + held
+        new = _format(f"{name}@{free}", [_row(c) for c in f"{name}@{free}"], key, kind) + held
         return _recase(new, value)
     if kind == "name":
         low = value.lower()
-        rows = [_ROW.get(c) for c in low]
+        rows = [_row(c) for c in low]
         for m in re.finditer(r"[^ -]+", low):  # the last letter often tells the gender
-            rows[m.end() - 1] = None
+            if unicodedata.name(low[m.end() - 1], "").startswith(("LATIN", "GREEK", "CYRILLIC")):
+                rows[m.end() - 1] = None
         return _recase(_format(low, rows, key, kind), value)
     plain = canonical(kind, value)
     if kind == "card":
@@ -160,7 +204,8 @@ def surrogate_of(kind: str, value: str, key: bytes) -> str:
                 new = _format(new, [_ROW[c] for c in new], key, kind)
         return _respell(new, value)
     if kind == "phone":
-        keep = len(re.match(r"\+\d{1,3}(?=[ .()/-])|\+?", value)[0].strip("+"))  # the country's code
+        keep = len(_COUNTRY.match(plain[1:])[0]) if plain[0] == "+" else 0
+        plain = plain.strip("+")
         return _respell(plain[:keep] + _format(plain[keep:], [_ROW[c] for c in plain[keep:]], key, kind + plain[:keep]), value)
     if kind == "iban":
         rows = [None] * 2 + [(ALPHABETS[0], int(c)) if c.isdigit() else (_LATIN, _LATIN.index(c.lower())) for c in plain[2:]]
@@ -170,14 +215,14 @@ def surrogate_of(kind: str, value: str, key: bytes) -> str:
     low = value.lower()
     head = re.match(r"(?:akia|asia|ghp_|gho_|sk-|xox[bap]-|aiza)?", low)[0]
     is_hex = not head and all(c in _HEX for c in low)
-    rows = [None] * len(head) + [(_HEX, _HEX.index(c)) if is_hex else (_LATIN, _LATIN.index(c)) if c in _LATIN else _ROW.get(c) for c in low[len(head) :]]
+    rows = [None] * len(head) + [(_HEX, _HEX.index(c)) if is_hex else (_LATIN, _LATIN.index(c)) if c in _LATIN else _row(c) for c in low[len(head) :]]
     case = "".join("A" if a != b else "a" for a, b in zip(value, low, strict=True)) if len(low) == len(value) else "a" * len(value)
-    new = _format(low, rows, key, kind + case) if len(low) == len(value) else _format(value, [_ROW.get(c) for c in value], key, kind)
+    new = _format(low, rows, key, kind + case) if len(low) == len(value) else _format(value, [_row(c) for c in value], key, kind)
     return value[: len(head)] + _recase(new, value)[len(head) :]
 
 
 def _recase(new: str, like: str) -> str:
-    return "".join(a.upper() if b.isupper() and len(a.upper()) == 1 else a for a, b in zip(new, like, strict=True)) if len(new) == len(like) else new
+    return "".join(a.upper() if b.isupper() and len(a.upper()) == 1 and a.upper().lower() == a else a for a, b in zip(new, like, strict=True)) if len(new) == len(like) else new
 
 
 def _respell(new: str, like: str) -> str:
@@ -247,7 +292,8 @@ def pseudonymised(docs: DataFrame, key: bytes, name: str = "entities") -> DataFr
 
 
 def collisions(docs: DataFrame, key: bytes) -> DataFrame:
-    """(kind, surrogate) that more than one entity of docs would get, with how many; no rows if all is well.
+    """(kind, digest, n_entities, n_surrogates): surrogates that more than one entity of docs would get, and entities that
+    would get more than one surrogate, with how many; no rows if all is well.
 
     Entities and surrogates are compared by 128-bit digests of their canonical spellings.
     """
@@ -259,7 +305,11 @@ def collisions(docs: DataFrame, key: bytes) -> DataFrame:
             yield pa.record_batch([pa.array([k for k, _, _ in seen], pa.string()), pa.array([mark(e) for _, e, _ in seen], pa.binary()), pa.array([mark(s) for _, _, s in seen], pa.binary())], ["kind", "entity", "surrogate"])
 
     pairs = docs.select(F.col("text").cast("string")).mapInArrow(run, "kind string, entity binary, surrogate binary").distinct()
-    return pairs.groupBy("kind", "surrogate").agg(F.count("*").alias("n_entities")).where("n_entities > 1")
+    pairs = stored(pairs, "surrogate-pairs")
+    one = F.lit(1).cast("long")
+    met = pairs.groupBy("kind", F.col("surrogate").alias("digest")).agg(F.count("*").alias("n_entities"), one.alias("n_surrogates"))
+    parted = pairs.groupBy("kind", F.col("entity").alias("digest")).agg(one.alias("n_entities"), F.count("*").alias("n_surrogates"))
+    return met.unionByName(parted).where("n_entities > 1 OR n_surrogates > 1")
 
 
 def surrogates(docs: DataFrame, secret: str, tries: int = 4) -> DataFrame:
