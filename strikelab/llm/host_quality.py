@@ -58,19 +58,28 @@ def figures(docs: DataFrame, host: str = "source") -> DataFrame:
 def shrunk_hosts(rows: DataFrame) -> DataFrame:
     """host and host_failed from the figures: for each rule, failures k of n documents and a beta prior from all hosts.
 
-    The prior's mean m is the share over all documents; its weight comes from the spread v of the hosts' rates about it
-    (both weighted by documents): m (1 - m) / v - 1. A host's rate is (k + m weight) / (n + weight).
+    The prior is fitted by moments to the rates of the hosts with two documents or more, each host counting once whatever
+    its n. Its mean m is the mean of k / n; k (k - 1) / (n (n - 1)) has the mean of the squared rate without the noise of
+    drawing n documents, so that less m^2 (and the noise of m) leaves the spread v of the rates; its weight is
+    m (1 - m) / v - 1. Without a spread, or such hosts, hosts are alike: the weight is STRONGEST, m that of all documents
+    if no host has two. A host's rate is (k + m weight) / (n + weight).
     """
     sums = rows.groupBy("host").agg(F.count("*").alias("n"), *(F.sum(F.expr(r).cast("int")).alias(k) for k, r in RULES.items()))
-    total = sums.agg(F.sum("n").alias("all_n"), *(F.sum(k).alias(f"all_{k}") for k in RULES))
-    rates = sums.crossJoin(F.broadcast(total))  # one row
-    off = lambda k: F.col(k) / F.col("n") - F.col(f"all_{k}") / F.col("all_n")
-    spread = rates.agg(*(F.sum(F.col("n") * off(k) * off(k)).alias(f"v_{k}") for k in RULES))
-    rates = rates.crossJoin(F.broadcast(spread))  # one row
+    more = lambda c: F.when(F.col("n") > 1, c)
+    n = F.col("n").cast("double")
+    moments = [F.count(more(F.col("n"))).alias("hosts")]
+    for k in RULES:
+        moments += [
+            F.coalesce(F.avg(more(F.col(k) / n)), F.sum(k) / F.sum("n")).alias(f"m_{k}"),
+            F.avg(more(F.try_divide(F.col(k) * (F.col(k) - 1.0), n * (n - 1)))).alias(f"q_{k}"),
+            F.coalesce(F.var_samp(more(F.col(k) / n)), F.lit(0.0)).alias(f"v_{k}"),
+        ]
+    rates = sums.crossJoin(F.broadcast(sums.agg(*moments)))  # one row
 
     def rate(k: str) -> Column:
-        mean = F.col(f"all_{k}") / F.col("all_n")
-        weight = F.coalesce(F.try_divide(mean * (1 - mean), F.col(f"v_{k}") / F.col("all_n")) - 1, F.lit(STRONGEST))
+        mean = F.col(f"m_{k}")
+        spread = F.col(f"q_{k}") - mean * mean + F.try_divide(F.col(f"v_{k}"), F.col("hosts"))
+        weight = F.when(spread > 0, mean * (1 - mean) / spread - 1).otherwise(STRONGEST)
         weight = F.least(F.greatest(weight, F.lit(1.0)), F.lit(STRONGEST))
         return (F.col(k) + mean * weight) / (F.col("n") + weight)
 
