@@ -14,48 +14,58 @@ from .common import stored
 FILE_SLOTS = 4096
 FAN = 16
 LEVELS = 3
+#: Files of records without an id.
+NULL_FILES = 1024
 
 
 def records(pages: DataFrame) -> DataFrame:
     """file, slot, record, offset, length, digest of each page as a WARC response record.
 
     A file takes FILE_SLOTS consecutive ids, in the order of the ids (rows with equal ids share a slot, in the order of
-    their digests); offset is where the record starts in its file. Null ids fill files -1 to -64 by the digest, in slot 0.
-    Null url and html are empty.
+    their digests); offset is where the record starts in its file. Null ids fill files -1 to -NULL_FILES, file and slot
+    by the digest. Null url and html are empty. Other columns of pages are ignored.
     """
     html, url = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("html", "url"))
     head = F.concat(F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: "), url, F.lit("\r\nContent-Length: "), F.octet_length(html).cast("string"), F.lit("\r\n\r\n"))
     record = F.concat(head, html, F.lit("\r\n\r\n"))
     rows = pages.select(F.col("page_id").cast("long").alias("record"), F.octet_length(record).cast("long").alias("length"), F.sha2(record.cast("binary"), 256).alias("digest"))
-    file = F.coalesce(F.floor(F.col("record") / FILE_SLOTS), -1 - F.pmod(F.xxhash64("digest"), F.lit(64)))
-    rows = rows.select(file.cast("long").alias("file"), F.coalesce(F.pmod("record", F.lit(FILE_SLOTS)), F.lit(0)).cast("long").alias("slot"), "record", "length", "digest")
+    place = F.pmod(F.xxhash64("digest"), F.lit(NULL_FILES * FILE_SLOTS))
+    file = F.coalesce(F.floor(F.col("record") / FILE_SLOTS), -1 - F.floor(place / FILE_SLOTS))
+    rows = rows.select(file.cast("long").alias("file"), F.pmod(F.coalesce("record", place), F.lit(FILE_SLOTS)).cast("long").alias("slot"), "record", "length", "digest")
     before = Window.partitionBy("file").orderBy("slot", "digest").rowsBetween(Window.unboundedPreceding, -1)
     return rows.select("file", "slot", "record", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"), "length", "digest")
 
 
-def tree(leaves: DataFrame) -> list[DataFrame]:
-    """Nodes (file, node, start, end, digest) of each level, records' slots first, a file's root last.
+def tree(leaves: DataFrame, name: str) -> list[DataFrame]:
+    """Nodes (file, node, start, end, digest) of each level, records' slots first, a file's root last; each level a stored table.
 
-    A node's digest is that of its children's in order; start and end are the offsets that it covers.
+    A slot's digest is over its records' ids, lengths and digests (equal ones counted before they meet), a node's over its
+    children's places, the lengths of the offset ranges that they cover (start to end) and their digests, in order. So a
+    record under another id, or in another place, shows up to the root.
     """
-    joined = lambda of: F.sha2(F.concat_ws("", F.transform(F.sort_array(F.collect_list(of)), lambda x: x["digest"])).cast("binary"), 256)
-    level = leaves.groupBy("file", F.col("slot").alias("node")).agg(F.min("offset").alias("start"), F.max(F.col("offset") + F.col("length")).alias("end"), joined(F.struct("digest")).alias("digest"))
-    out = [level]
-    for _ in range(LEVELS):
-        level = level.groupBy("file", F.floor(F.col("node") / FAN).cast("long").alias("up")).agg(F.min("start").alias("start"), F.max("end").alias("end"), joined(F.struct("node", "digest")).alias("digest")).withColumnRenamed("up", "node")
-        out.append(level)
+    over = lambda *of: F.sha2(F.concat_ws(",", F.transform(F.sort_array(F.collect_list(F.struct(*of))), lambda x: F.to_json(x))).cast("binary"), 256).alias("digest")
+    size = (F.col("end") - F.col("start")).alias("size")
+    copies = leaves.groupBy("file", "slot", "record", "length", "digest").agg(F.count("*").alias("n"), F.min("offset").alias("start"), F.max(F.col("offset") + F.col("length")).alias("end"))
+    level = copies.groupBy("file", F.col("slot").alias("node")).agg(F.min("start").alias("start"), F.max("end").alias("end"), over("record", "length", "digest", "n"))
+    out = [stored(level, f"{name}-0")]
+    for i in range(LEVELS):
+        level = out[-1].groupBy("file", F.floor(F.col("node") / FAN).cast("long").alias("up")).agg(F.min("start").alias("start"), F.max("end").alias("end"), over("node", size, "digest"))
+        out.append(stored(level.withColumnRenamed("up", "node"), f"{name}-{i + 1}"))
     return out
 
 
 def differing(a: list[DataFrame], b: list[DataFrame]) -> DataFrame:
-    """(file, node) of the slots whose digests differ, found from the roots down: a level is compared only below differing nodes."""
+    """(file, node) of the slots whose digests differ, found from the roots down: a level is read only below differing nodes,
+    and not at all if there are none. Each level's differing nodes are a stored table."""
     found = None
     for left, right in zip(reversed(a), reversed(b), strict=True):
         if found is not None:
             up = found.withColumnRenamed("node", "up")
             left, right = (x.withColumn("up", F.floor(F.col("node") / FAN).cast("long")).join(up, ["file", "up"], "left_semi") for x in (left, right))
         both = left.select("file", "node", F.col("digest").alias("l")).join(right.select("file", "node", F.col("digest").alias("r")), ["file", "node"], "full")
-        found = both.where(~F.col("l").eqNullSafe(F.col("r"))).select("file", "node")
+        found = stored(both.where(~F.col("l").eqNullSafe(F.col("r"))).select("file", "node"), "warc-differing")
+        if found.isEmpty():
+            return found
     return found
 
 
@@ -67,7 +77,7 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     their digests. Equal inputs, and empty ones: no rows.
     """
     left, right = stored(records(primary), "warc-primary"), stored(records(replica), "warc-replica")
-    slots = differing(tree(left), tree(right)).withColumnRenamed("node", "slot")
+    slots = differing(tree(left, "warc-primary"), tree(right, "warc-replica")).withColumnRenamed("node", "slot")
     rank = F.row_number().over(Window.partitionBy("file", "slot", "record").orderBy("digest"))
     left, right = (x.join(slots, ["file", "slot"], "left_semi").withColumn("i", rank) for x in (left, right))
     l, r = (x.select(*(F.col(c).alias(f"{c}_{k}") for c in x.columns)) for x, k in ((left, "l"), (right, "r")))
