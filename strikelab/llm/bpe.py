@@ -23,8 +23,12 @@ from .common import slices, with_field
 
 #: Fixed: how this family of tokenizers splits text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words remembered in one task; at this number the memory starts again.
+#: Words remembered in one worker: so many in the young generation, and the one before it.
 MEMORY = 150_000
+#: Pairs of tokens remembered.
+FOLLOWS = 300_000
+#: Bits of a token id in a pair.
+SHIFT = 20
 
 
 def _byte_letters() -> dict[str, int]:
@@ -57,7 +61,7 @@ class Codec:
         self.made = {t: self.rank[p] for t, p in self.parts.items()}  # the merge that makes a token
         self.reachable = {s: i for s, i in self.ids.items() if len(s) == 1 or i in self.parts}
         self.longest = max(map(len, self.reachable))
-        self.follows: dict[int, bool] = {}
+        self.follows: dict[int, bool] = {}  # pairs of tokens, whether the second can follow the first
         self.split = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.words = regex.compile(WORDS)
 
@@ -84,9 +88,16 @@ class Codec:
                 before, b = at_right + 1, self.parts[b][0]
                 at_right = self.made.get(b, -1)
 
-    def encode_sorted(self, words: Iterable[bytes]) -> Iterator[list[int]]:
+    def _follows(self, key: int) -> bool:
+        """_can_follow of the tokens in key (left, then right in the low bits), remembered."""
+        if len(self.follows) > FOLLOWS:
+            self.follows.clear()
+        ok = self.follows[key] = self._can_follow(key >> SHIFT, key & (1 << SHIFT) - 1)
+        return ok
+
+    def encode_sorted(self, words: Iterable[bytes]) -> Iterator[tuple[int, ...]]:
         """Ids of each word; words must be in ascending order."""
-        get, follows, longest, span = self.reachable.get, self.follows, self.longest, 1 << 20
+        get, known, find, longest = self.reachable.get, self.follows.get, self._follows, self.longest
         last: list[int] = [-1]  # of each prefix of the word at hand, its last token
         size: list[int] = [0]  # and that token's bytes
         before = b""
@@ -96,19 +107,30 @@ class Codec:
                 n += 1
             del last[n + 1 :], size[n + 1 :]
             for end in range(n + 1, len(w) + 1):
-                held = end - 1 - size[end - 1]  # most often the token grows by the byte, or the byte stands alone
-                for start in (held, end - 1, *range(max(0, end - longest), held), *range(held + 1, end - 1)):
+                held = end - 1 - size[n]  # most often the token before grows by the byte
+                n = end
+                t = get(w[held:end])
+                if t is not None:
+                    if held:
+                        key = last[held] << SHIFT | t
+                        ok = known(key)
+                        if ok is None:
+                            ok = find(key)
+                    else:
+                        ok = True
+                    if ok:
+                        last.append(t)
+                        size.append(end - held)
+                        continue
+                # or a shorter token starts within it, or a longer one before it
+                for start in chain(range(end - 1, held, -1), range(held - 1, max(-1, end - longest - 1), -1)):
                     t = get(w[start:end])
                     if t is None:
                         continue
                     if start:
-                        ok = follows.get(last[start] * span + t)
-                        if ok is None:
-                            ok = self._can_follow(last[start], t)
-                            if len(follows) > 300_000:
-                                follows.clear()
-                            follows[last[start] * span + t] = ok
-                        if not ok:
+                        key = last[start] << SHIFT | t
+                        ok = known(key)
+                        if not (find(key) if ok is None else ok):
                             continue
                     last.append(t)
                     size.append(end - start)
@@ -117,22 +139,21 @@ class Codec:
             while end:
                 ids.append(last[end])
                 end -= size[end]
-            yield ids[::-1]
+            ids.reverse()
+            yield tuple(ids)
             before = w
 
-    def pieces(self, text: str) -> Iterator[str]:
+    def pieces(self, text: str) -> list[str]:
         """Special tokens and words, in order."""
-        if not self.split:
-            return iter(self.words.findall(text))
-        if not any(s in text for s in self.special):
-            return iter(self.words.findall(text))
+        if not self.split or not any(s in text for s in self.special):
+            return self.words.findall(text)
         out: list[str] = []
         at = 0
         for m in self.split.finditer(text):
             out += self.words.findall(text[at : m.start()])
             out.append(m[0])
             at = m.end()
-        return iter(out + self.words.findall(text[at:]))
+        return out + self.words.findall(text[at:])
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
@@ -145,25 +166,28 @@ def encoder_of(path: str) -> "Encoder":
 
 
 class Encoder:
-    """Texts to ids, a batch at a time; remembers the words it has met."""
+    """Texts to ids, a batch at a time; remembers the words it has met, in two generations: a word met again is young again."""
 
     def __init__(self, path: str):
         self.codec = Codec(path)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
 
     def __call__(self, texts: list[str | None]) -> list[list[int]]:
-        pieces = [list(self.codec.pieces(t or "")) for t in texts]
-        if len(self.known) > MEMORY:
-            self.known.clear()
-        new: set[str] = set()
-        for p in pieces:
-            new.update(set(p).difference(self.known))
-        for w in new & self.codec.special.keys():
-            self.known[w] = (self.codec.special[w],)
-        new = sorted((w.encode(), w) for w in new - self.codec.special.keys())
-        for (_, w), ids in zip(new, self.codec.encode_sorted(b for b, _ in new), strict=True):
-            self.known[w] = tuple(ids)
-        return [list(chain.from_iterable(map(self.known.__getitem__, p))) for p in pieces]
+        pieces = [self.codec.pieces(t or "") for t in texts]
+        if len(self.young) > MEMORY:
+            self.young, self.old = {}, self.young
+        young, old, special = self.young, self.old, self.codec.special
+        met = set().union(*pieces).difference(young)
+        again = met.intersection(old)
+        young.update(zip(again, map(old.__getitem__, again), strict=True))
+        met -= again
+        for w in met & special.keys():
+            young[w] = (special[w],)
+        new = sorted(w.encode() for w in met if w not in special)
+        for w, ids in zip(new, self.codec.encode_sorted(new), strict=True):
+            young[w.decode()] = ids
+        return [list(chain.from_iterable(map(young.__getitem__, p))) for p in pieces]
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
