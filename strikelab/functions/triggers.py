@@ -1,111 +1,162 @@
 """First-hit triggers as column expressions over one leg's bars of the session.
 
 A leg is one row with `bars`: an array of (t, high, low, close) in order of t, no longer than a session. A trigger slices
-it, finds the first bar that hits and prices the exit, so that no bar is ever exploded or shuffled.
+it, finds the first bar that hits and prices the exit, so that no bar is ever exploded or shuffled. What an expression
+needs more than once is bound to a name by `let`, so that it is computed once a row wherever the optimiser puts it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scalars import money
 
+BARS = "array<struct<t:int,high:double,low:double,close:double>>"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def first(array: Column) -> Column:
+    return F.try_element_at(array, F.lit(1))
+
+
+def last(array: Column) -> Column:
+    return F.try_element_at(array, F.lit(-1))
+
+
+def rest(array: Column) -> Column:
+    """All but the first; null if array is null."""
+    return F.slice(array, F.lit(2), F.greatest(F.size(array), F.lit(0)))
+
+
+def lit(x: Column | float | str | bool | None, kind: str = "double") -> Column:
+    return x if isinstance(x, Column) else F.lit(x).cast(kind)
+
 
 def legs(options: DataFrame) -> DataFrame:
     """idx, trade_date, scrip, bars. Of several bars of one minute the one with the greatest (high, low, close) stays."""
     one = options.groupBy("idx", "trade_date", "scrip", "t").agg(F.max(F.struct("high", "low", "close")).alias("b"))
-    bar = F.struct("t", F.col("b.high").alias("high"), F.col("b.low").alias("low"), F.col("b.close").alias("close"))
+    bar = F.struct(F.col("t").cast("int").alias("t"), F.col("b.high").alias("high"), F.col("b.low").alias("low"), F.col("b.close").alias("close"))
     return one.groupBy("idx", "trade_date", "scrip").agg(F.sort_array(F.collect_list(bar)).alias("bars"))
 
 
+def both_legs(a: Column, b: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """join(bar of a, bar of b) for each minute that both have. The two in one sorted array: a bar's partner is its neighbour."""
+    tag = lambda bars, k: F.transform(bars, lambda x: F.struct(x["t"].alias("t"), F.lit(k).alias("k"), x.alias("x")))
+    pairs = let(F.array_sort(F.concat(tag(a, 0), tag(b, 1))), lambda s: F.transform(s, lambda x, i: F.struct(x.alias("a"), F.get(s, i + 1).alias("b"))))
+    met = F.filter(pairs, lambda p: F.coalesce((p["a"]["k"] == 0) & (p["a"]["t"] == p["b"]["t"]), F.lit(False)))
+    return F.transform(met, lambda p: join(p["a"]["x"], p["b"]["x"]))
+
+
 def straddle_bars(ce: Column, pe: Column) -> Column:
     """Both legs on the minutes that both have: close is the sum, high and low the cross sums of the extremes."""
-    both = F.filter(F.transform(ce, lambda a: F.struct(a.alias("a"), F.element_at(F.filter(pe, lambda b: b["t"] == a["t"]), 1).alias("b"))), lambda x: x["b"].isNotNull())
-    return F.transform(both, lambda x: F.struct(
-        x["a"]["t"].alias("t"),
-        F.greatest(x["a"]["high"] + x["b"]["low"], x["a"]["low"] + x["b"]["high"], x["a"]["close"] + x["b"]["close"]).alias("high"),
-        F.least(x["a"]["high"] + x["b"]["low"], x["a"]["low"] + x["b"]["high"], x["a"]["close"] + x["b"]["close"]).alias("low"),
-        (x["a"]["close"] + x["b"]["close"]).alias("close"),
-    ))
+    sums = lambda a, b: (a["high"] + b["low"], a["low"] + b["high"], a["close"] + b["close"])
+    return both_legs(ce, pe, lambda a, b: F.struct(a["t"].alias("t"), F.greatest(*sums(a, b)).alias("high"), F.least(*sums(a, b)).alias("low"), sums(a, b)[2].alias("close")))
+
+
+def common(bars: Column, other: Column) -> Column:
+    """The bars on the minutes that other has too."""
+    return both_legs(bars, other, lambda a, b: a)
 
 
 def window(bars: Column, start: Column, end: Column) -> Column:
     """The bars from start to end, both included; none if either is null."""
-    return F.filter(bars, lambda b: (b["t"] >= start) & (b["t"] <= end))
+    return F.filter(bars, lambda b: F.coalesce((b["t"] >= start) & (b["t"] <= end), F.lit(False)))
+
+
+def close_at(bars: Column, at: Column) -> Column:
+    """The close of that minute's bar; null without one."""
+    return first(F.filter(bars, lambda b: b["t"] == at))["close"]
+
 
+def close_before(bars: Column, at: Column) -> Column:
+    """The last close up to that minute."""
+    return last(F.filter(bars, lambda b: b["t"] <= at))["close"]
 
-def _levels(o: Column, side: Column, sl: Column, intra: Column, sl_price: Column | None, target: Column | None) -> tuple[Column, Column, Column]:
-    sign = F.when(side == "SELL", 1.0).otherwise(-1.0)
-    level = lambda pct: F.when(pct > 0, (100 + sign * pct) / 100 * o)
-    stop = level(sl) if sl_price is None else F.coalesce(sl_price, level(sl))
-    return stop, level(intra), F.lit(None).cast("double") if target is None else target
 
+def signs(side: Column) -> Column:
+    """1 for SELL, -1 for BUY: prices times it rise against the trade."""
+    return F.when(side == "SELL", 1.0).otherwise(-1.0)
 
-def stop(df: DataFrame, name: str, bars: Column, start: Column, end: Column, *, side: Column, sl: Column, intra: Column | None = None, sl_price: Column | None = None, target: Column | None = None, closes: Column | None = None, combined: bool = False, rate: Column | float = 0.0, entry: Column | None = None) -> DataFrame:
-    """df with `name`: a struct (o, h, l, c, sl_price, sl_hit, intra_hit, target_hit, t, exit, pnl) of the stop's outcome.
+
+def stop(
+    bars: Column, start: Column, end: Column, *, side: Column, sl: Column | float = 0.0, intra: Column | float = 0.0, sl_price: Column | None = None, target: Column | None = None, closes: Column | bool = False,
+    combined: bool = False, rate: Column | float = 0.0, entry: Column | None = None, opens: Callable[[Column], Column] | None = None,
+) -> Column:
+    """A struct (o, h, l, c, sl_price, sl_hit, intra_hit, target_hit, t, exit, pnl): the outcome of a stop.
 
     The entry price o is the close of the first bar unless given; that bar is not tested. The first later bar that meets
     the intra stop, the stop or the target ends the trade, in that order of precedence within the bar; otherwise it ends
     at the last close with t null. Intra stops and targets fill at their level. A stop is met by the extreme and fills at
     its level, or by the close and fills there (closes); combined legs always test stop and target on the close. A level
     of 0 is off. Without a bar after the entry, the struct's pnl is 0 and the rest null. rate: slippage as a share of o.
+    opens: says of a bar whether it opens a session, where stops fill at the close.
     """
-    zero = F.lit(0.0)
-    closes = F.lit(True) if combined else F.lit(False) if closes is None else closes
-    w, r = f"_{name}_w", f"_{name}_r"
-    out = df.withColumn(w, window(bars, start, end))
-    first = F.try_element_at(F.col(w), F.lit(1))["close"]
-    out = out.withColumn(f"_{name}_o", first if entry is None else F.coalesce(entry, first)).withColumn(r, F.slice(F.col(w), 2, 100_000))
-    o = F.col(f"_{name}_o")
-    a, b, c = _levels(o, side, sl, zero if intra is None else intra, sl_price, target)
-    out = out.withColumn(f"_{name}_v", F.struct(a.alias("sl"), b.alias("intra"), c.alias("target")))
-    v = F.col(f"_{name}_v")
-    sell = side == "SELL"
-
-    def met(x: Column, level: Column, falling: Column) -> Column:
-        return F.coalesce(F.when(falling, x <= level).otherwise(x >= level), F.lit(False))
-
-    against = lambda x: F.when(sell, x["high"]).otherwise(x["low"])
-    along = lambda x: x["close"] if combined else F.when(sell, x["low"]).otherwise(x["high"])
-    hit_intra = lambda x: met(against(x), v["intra"], ~sell)
-    hit_sl = lambda x: met(F.when(closes, x["close"]).otherwise(against(x)), v["sl"], ~sell)
-    hit_target = lambda x: met(along(x), v["target"], sell)
-    out = out.withColumn(f"_{name}_x", F.try_element_at(F.filter(F.col(r), lambda x: hit_intra(x) | hit_sl(x) | hit_target(x)), F.lit(1)))
-    x, last = F.col(f"_{name}_x"), F.try_element_at(F.col(r), F.lit(-1))
-    i, s, t = (x.isNotNull() & f(x) for f in (hit_intra, hit_sl, hit_target))
-    price = F.when(i, v["intra"]).when(s, F.when(closes, x["close"]).otherwise(v["sl"])).when(t, x["close"] if combined else v["target"]).otherwise(last["close"])
-    gain = F.when(sell, o - price).otherwise(price - o) - o * (rate if isinstance(rate, Column) else F.lit(float(rate)))
-    some = F.size(r) > 0
-    shown = lambda c: F.when(some, c)
-    result = F.struct(
-        shown(o).alias("o"), shown(F.array_max(F.transform(F.col(r), lambda y: y["high"]))).alias("h"), shown(F.array_min(F.transform(F.col(r), lambda y: y["low"]))).alias("l"), shown(last["close"]).alias("c"),
-        shown(v["sl"]).alias("sl_price"), (some & (i | s)).alias("sl_hit"), (some & i).alias("intra_hit"), (some & ~i & ~s & t).alias("target_hit"),
-        shown(x["t"]).alias("t"), shown(price).alias("exit"), F.when(some, money(gain)).otherwise(zero).alias("pnl"),
-    )
-    return out.withColumn(name, result).drop(*(f"_{name}_{k}" for k in "worvx"))
-
-
-def decay(df: DataFrame, name: str, bars: Column, start: Column, end: Column, *, side: Column, percent: Column, price: Column | None = None, closes: Column | None = None) -> DataFrame:
-    """df with `name`: a struct (o, price, hit, t): the first bar after the entry whose premium has fallen (SELL) or risen
-    (BUY) to the level. percent 0 or price -1: at once, at start; a slice of one bar never hits."""
-    w = f"_{name}_w"
-    out = df.withColumn(w, window(bars, start, end))
-    o = F.try_element_at(F.col(w), F.lit(1))["close"]
-    rest = F.slice(F.col(w), 2, 100_000)
-    sell, closes = side == "SELL", F.lit(False) if closes is None else closes
-    of_percent = F.when(sell, (100 - percent) / 100 * o).otherwise((100 + percent) / 100 * o)
-    level = of_percent if price is None else F.coalesce(price, of_percent)
-    now = F.coalesce(percent == 0, F.lit(False)) if price is None else F.coalesce(price == -1, F.lit(False)) | F.coalesce((percent == 0) & price.isNull(), F.lit(False))
-    out = out.withColumn(f"_{name}_l", F.when(now, o).otherwise(level)).withColumn(f"_{name}_n", now)
-    lv = F.col(f"_{name}_l")
-    test = lambda b: F.when(sell, F.when(closes, b["close"]).otherwise(b["low"]) <= lv).otherwise(F.when(closes, b["close"]).otherwise(b["high"]) >= lv)
-    t = F.when(F.size(w) < 2, None).when(F.col(f"_{name}_n"), start).otherwise(F.try_element_at(F.filter(rest, test), F.lit(1))["t"])
-    return out.withColumn(name, F.struct(o.alias("o"), lv.alias("price"), t.isNotNull().alias("hit"), t.cast("int").alias("t"))).drop(w, f"_{name}_l", f"_{name}_n")
-
-
-def trail(df: DataFrame, name: str, bars: Column, start: Column, end: Column, *, mode: str, side: str, sl: Column, gap: Column | float = 1.0, step: Column | float = 0.0, sl_step: Column | float = 0.0, closes: bool = False, to_cost: bool = False, rate: float = 0.0) -> DataFrame:
-    """df with `name`: a struct (o, moved, hit, t, exit, pnl, status) of a trailed stop; mode RATIO, POINT, PCT or STEP.
+    closes = F.lit(True) if combined else lit(closes, "boolean")
+    sl, intra, target = lit(sl), lit(intra), lit(target)
+
+    def judged(w: Column, o: Column, g: Column) -> Column:
+        level = lambda pct: F.when(pct > 0, (100 + g * pct) / 100 * o)
+        levels = F.struct((level(sl) if sl_price is None else F.coalesce(sl_price, level(sl))).alias("sl"), level(intra).alias("intra"), target.alias("target"))
+        return let(levels, lambda v: let(rest(w), lambda r: ended(r, o, g, v)))
+
+    def ended(r: Column, o: Column, g: Column, v: Column) -> Column:
+        against = lambda x: F.when(g > 0, x["high"]).otherwise(x["low"])
+        along = lambda x: x["close"] if combined else F.when(g > 0, x["low"]).otherwise(x["high"])
+        met = lambda test: F.coalesce(test, F.lit(False))
+        intra_hit = lambda x: met(g * against(x) >= g * v["intra"])
+        sl_hit = lambda x: met(g * F.when(closes, x["close"]).otherwise(against(x)) >= g * v["sl"])
+        target_hit = lambda x: met(g * along(x) <= g * v["target"])
+        hit = first(F.filter(r, lambda x: intra_hit(x) | sl_hit(x) | target_hit(x)))
+        return let(hit, lambda x: outcome(r, o, g, v, x, x.isNotNull() & intra_hit(x), x.isNotNull() & sl_hit(x), x.isNotNull() & target_hit(x)))
+
+    def outcome(r: Column, o: Column, g: Column, v: Column, x: Column, i: Column, s: Column, t: Column) -> Column:
+        at = lambda level: level if opens is None else F.when(opens(x), x["close"]).otherwise(level)
+        price = F.when(i, at(v["intra"])).when(s, F.when(closes, x["close"]).otherwise(at(v["sl"]))).when(t, x["close"] if combined else v["target"]).otherwise(last(r)["close"])
+        some = F.coalesce(F.size(r) > 0, F.lit(False)) & o.isNotNull()
+        shown = lambda c: F.when(some, c)
+        return F.struct(
+            shown(o).alias("o"), shown(F.array_max(F.transform(r, lambda y: y["high"]))).alias("h"), shown(F.array_min(F.transform(r, lambda y: y["low"]))).alias("l"), shown(last(r)["close"]).alias("c"),
+            shown(v["sl"]).alias("sl_price"), (some & (i | s)).alias("sl_hit"), (some & i).alias("intra_hit"), (some & ~i & ~s & t).alias("target_hit"),
+            shown(x["t"]).alias("t"), shown(price).alias("exit"), F.when(some, money(g * (o - price) - o * lit(rate))).otherwise(F.lit(0.0)).alias("pnl"),
+        )
+
+    return let(window(bars, start, end), lambda w: let(F.coalesce(entry, first(w)["close"]) if entry is not None else first(w)["close"], lambda o: let(signs(side), lambda g: judged(w, o, g))))
+
+
+def decay(bars: Column, start: Column, end: Column, *, side: Column, percent: Column | None = None, price: Column | None = None, closes: Column | bool = False) -> Column:
+    """A struct (o, price, hit, t): the first bar after the entry whose premium has fallen (SELL) or risen (BUY) to the level.
+
+    The level is price, or `percent` away from the first close o. percent 0 or price -1: at once, at start; a slice of one
+    bar never hits.
+    """
+    closes, percent, price = lit(closes, "boolean"), lit(percent), lit(price)
+
+    def judged(w: Column, g: Column) -> Column:
+        o = first(w)["close"]
+        now = F.coalesce(price == -1, F.lit(False)) | F.coalesce(percent == 0, F.lit(False))
+        return let(F.struct(o.alias("o"), now.alias("now"), F.when(now, o).otherwise(F.coalesce(price, (100 - g * percent) / 100 * o)).alias("price")), lambda v: found(w, g, v))
+
+    def found(w: Column, g: Column, v: Column) -> Column:
+        along = lambda b: F.when(closes, b["close"]).when(g > 0, b["low"]).otherwise(b["high"])
+        hit = first(F.filter(rest(w), lambda b: F.coalesce(g * along(b) <= g * v["price"], F.lit(False))))["t"]
+        t = F.when(F.size(w) >= 2, F.when(v["now"], start).otherwise(hit)).cast("int")
+        return F.struct(v["o"].alias("o"), v["price"].alias("price"), t.isNotNull().alias("hit"), t.alias("t"))
+
+    return let(window(bars, start, end), lambda w: let(signs(side), lambda g: judged(w, g)))
+
+
+def trail(
+    bars: Column, start: Column, end: Column, *, mode: str, side: Column, sl: Column | float = 0.0, sl_price: Column | None = None, gap: Column | float = 1.0, step: Column | float = 0.0, sl_step: Column | float = 0.0,
+    closes: Column | bool = False, to_cost: Column | bool = False, rate: Column | float = 0.0, entry: Column | None = None,
+) -> Column:
+    """A struct (o, stop, moved, hit, t, exit, pnl, status) of a trailed stop; mode RATIO, POINT, PCT or STEP.
 
     A fold over the bars after the entry. RATIO: the stop moves by `gap` of the best profit. POINT: it stays the first
     risk away from the best price. PCT: it stays `sl` percent away. STEP: each time the trigger, `step` percent away, is
@@ -113,44 +164,125 @@ def trail(df: DataFrame, name: str, bars: Column, start: Column, end: Column, *,
     never passes the entry price. In RATIO and STEP the trade ends if the stop reaches the best price or the trigger.
     STEP with step <= 0, sl_step <= 0 or sl_step > step: pnl 0, status `invalid_trail`.
     """
-    sell = side == "SELL"
-    num = lambda x: x if isinstance(x, Column) else F.lit(float(x))
-    sgn = 1 if sell else -1
-    w = f"_{name}_w"
-    out = df.withColumn(w, window(bars, start, end)).withColumn(f"_{name}_o", F.try_element_at(F.col(w), F.lit(1))["close"])
-    o = F.col(f"_{name}_o")
-    worse = (lambda x, y: x >= y) if sell else (lambda x, y: x <= y)
-    better = (lambda x, y: x <= y) if sell else (lambda x, y: x >= y)
-    strictly = (lambda x, y: x < y) if sell else (lambda x, y: x > y)
-    against = lambda b: b["close"] if closes else b["high" if sell else "low"]
-    along = lambda b: b["close"] if closes else b["low" if sell else "high"]
-    cap = lambda x: (F.greatest(x, o) if sell else F.least(x, o)) if to_cost else x
-    first = (100 + sgn * sl) / 100 * o
-    state = lambda stop, best, moved, t, price: F.struct(stop.cast("double").alias("stop"), best.cast("double").alias("best"), moved.alias("moved"), t.cast("int").alias("t"), price.cast("double").alias("price"))
+    closes, to_cost, sl, gap, step, sl_step = lit(closes, "boolean"), lit(to_cost, "boolean"), lit(sl), lit(gap), lit(step), lit(sl_step)
     none_t, none_p = F.lit(None).cast("int"), F.lit(None).cast("double")
-    start_best = o if mode != "STEP" else (100 - sgn * num(step)) / 100 * o
-
-    def fold(s: Column, b: Column) -> Column:
-        hit = worse(against(b), s["stop"])
-        if mode == "STEP":
-            moves = better(along(b), s["best"])
-            stop2 = cap(s["stop"] * (1 - sgn * num(sl_step) / 100))
-            crossed = better(stop2, s["best"])
-            nxt = F.when(crossed, state(stop2, s["best"], F.lit(True), b["t"], b["close"] if closes else s["best"])).otherwise(state(stop2, s["best"] * (1 - sgn * num(step) / 100), F.lit(True), none_t, none_p))
-        else:
-            moves = strictly(along(b), s["best"])
-            best2 = along(b)
-            stop2 = cap({"RATIO": first - sgn * F.abs(o - best2) * num(gap), "POINT": best2 + (first - o), "PCT": best2 * (1 + sgn * sl / 100)}[mode])
-            going = state(stop2, best2, F.lit(True), none_t, none_p)
-            nxt = F.when(better(stop2, best2), state(stop2, best2, F.lit(True), b["t"], b["close"] if closes else best2)).otherwise(going) if mode == "RATIO" else going
-        return F.when(s["t"].isNotNull(), s).when(hit, state(s["stop"], s["best"], s["moved"], b["t"], b["close"] if closes else s["stop"])).when(moves, nxt).otherwise(s)
-
-    rest = F.slice(F.col(w), 2, 100_000)
-    out = out.withColumn(f"_{name}_s", F.aggregate(rest, state(first, start_best, F.lit(False), none_t, none_p), fold))
-    s = F.col(f"_{name}_s")
-    price = F.coalesce(s["price"], F.try_element_at(rest, F.lit(-1))["close"])
-    ok = F.lit(True) if mode != "STEP" else (num(step) > 0) & (num(sl_step) > 0) & (num(sl_step) <= num(step))
-    some = ok & (F.size(w) > 1)
-    pnl = money((o - price if sell else price - o) - o * rate)
-    result = F.struct(o.alias("o"), (some & s["moved"]).alias("moved"), (some & s["t"].isNotNull()).alias("hit"), F.when(some, s["t"]).alias("t"), F.when(some, price).alias("exit"), F.when(some, pnl).otherwise(0.0).alias("pnl"), F.when(ok, "ok").otherwise("invalid_trail").alias("status"))
-    return out.withColumn(name, result).drop(w, f"_{name}_o", f"_{name}_s")
+    state = lambda stop, best, moved, t, price: F.struct(stop.cast("double").alias("stop"), best.cast("double").alias("best"), moved.alias("moved"), t.cast("int").alias("t"), price.cast("double").alias("price"))
+
+    def folded(w: Column, o: Column, g: Column, first_stop: Column) -> Column:
+        against = lambda b: F.when(closes, b["close"]).when(g > 0, b["high"]).otherwise(b["low"])
+        along = lambda b: F.when(closes, b["close"]).when(g > 0, b["low"]).otherwise(b["high"])
+        cap = lambda x: F.when(to_cost, g * F.greatest(g * x, g * o)).otherwise(x)
+
+        def moved(s: Column, b: Column) -> Column:
+            if mode == "STEP":
+                stop2, best2, next_ = cap(s["stop"] * (1 - g * sl_step / 100)), s["best"], s["best"] * (1 - g * step / 100)
+            else:
+                best2 = next_ = along(b)
+                stop2 = cap({"RATIO": first_stop - g * F.abs(o - best2) * gap, "POINT": best2 + (first_stop - o), "PCT": best2 * (1 + g * sl / 100)}[mode])
+            going = state(stop2, next_, F.lit(True), none_t, none_p)
+            if mode in ("POINT", "PCT"):
+                return going
+            return F.when(g * stop2 <= g * best2, state(stop2, best2, F.lit(True), b["t"], F.when(closes, b["close"]).otherwise(best2))).otherwise(going)
+
+        def fold(s: Column, b: Column) -> Column:
+            hit = g * against(b) >= g * s["stop"]
+            further = g * along(b) <= g * s["best"] if mode == "STEP" else g * along(b) < g * s["best"]
+            return F.when(s["t"].isNotNull(), s).when(hit, state(s["stop"], s["best"], s["moved"], b["t"], F.when(closes, b["close"]).otherwise(s["stop"]))).when(further, moved(s, b)).otherwise(s)
+
+        start_best = (100 - g * step) / 100 * o if mode == "STEP" else o
+        return let(rest(w), lambda r: let(F.aggregate(r, state(first_stop, start_best, F.lit(False), none_t, none_p), fold), lambda s: outcome(r, o, g, s)))
+
+    def outcome(r: Column, o: Column, g: Column, s: Column) -> Column:
+        price = F.coalesce(s["price"], last(r)["close"])
+        ok = (step > 0) & (sl_step > 0) & (sl_step <= step) if mode == "STEP" else F.lit(True)
+        some = ok & F.coalesce(F.size(r) > 0, F.lit(False))
+        pnl = money(g * (o - price) - o * lit(rate))
+        return F.struct(o.alias("o"), F.when(some, s["stop"]).alias("stop"), (some & s["moved"]).alias("moved"), (some & s["t"].isNotNull()).alias("hit"), F.when(some, s["t"]).alias("t"), F.when(some, price).alias("exit"), F.when(some, pnl).otherwise(0.0).alias("pnl"), F.when(ok, "ok").otherwise("invalid_trail").alias("status"))
+
+    def started(w: Column, o: Column, g: Column) -> Column:
+        level = (100 + g * sl) / 100 * o
+        return let(level if sl_price is None else F.coalesce(sl_price, level), lambda f: folded(w, o, g, f))
+
+    return let(window(bars, start, end), lambda w: let(first(w)["close"] if entry is None else F.coalesce(entry, first(w)["close"]), lambda o: let(signs(side), lambda g: started(w, o, g))))
+
+
+def trail_combined(bars: Column, start: Column, end: Column, *, mode: str, side: Column, sl: Column | float, intra: Column | float = 0.0, gap: Column | float = 1.0, step: Column | float = 0.0, sl_step: Column | float = 0.0, to_cost: Column | bool = False, rate: Column | float = 0.0) -> Column:
+    """A struct (o, stop, intra, moved, hit, intra_hit, t, exit, pnl, status) of a straddle's two trailed stops.
+
+    bars: the straddle's. The stop is tested on the close and fills there, the intra stop on the extreme and fills at its
+    level, before it; 0 turns either off. The best price is that of the close. Modes as in `trail`, for both stops; where
+    a moved stop reaches the best price (RATIO) the trade ends at that stop, the intra stop first; in STEP a trigger is
+    reached by the close for the stop, by the extreme for the intra stop, and a stop that reaches it ends the trade there.
+    """
+    to_cost, sl, intra, gap, step, sl_step = lit(to_cost, "boolean"), lit(sl), lit(intra), lit(gap), lit(step), lit(sl_step)
+    none_t, none_p, no = F.lit(None).cast("int"), F.lit(None).cast("double"), F.lit(False)
+    off = lambda c: F.coalesce(c, no)
+
+    def state(stop, far, best, moved, t, price, inner):
+        return F.struct(stop.cast("double").alias("stop"), far.cast("double").alias("far"), best.cast("double").alias("best"), moved.alias("moved"), t.cast("int").alias("t"), price.cast("double").alias("price"), inner.alias("inner"))
+
+    def folded(w: Column, o: Column, g: Column) -> Column:
+        level = lambda pct: F.when(pct > 0, (100 + g * pct) / 100 * o)
+        cap = lambda x: F.when(to_cost, g * F.greatest(g * x, g * o)).otherwise(x)
+        worst = lambda b: F.when(g > 0, b["high"]).otherwise(b["low"])
+        finest = lambda b: F.when(g > 0, b["low"]).otherwise(b["high"])
+
+        def moved(s: Column, b: Column) -> Column:
+            if mode == "STEP":
+                best2, next_ = s["best"], s["best"] * (1 - g * step / 100)
+                new = lambda old, pct: cap(old * (1 - g * sl_step / 100))
+            else:
+                best2 = next_ = b["close"]
+                new = lambda old, pct: cap({"RATIO": level(pct) - g * F.abs(o - best2) * gap, "POINT": best2 + (level(pct) - o), "PCT": best2 * (1 + g * pct / 100)}[mode])
+            stop2, far2 = F.when(sl > 0, new(s["stop"], sl)), F.when(intra > 0, new(s["far"], intra))
+            going = state(stop2, far2, next_, F.lit(True), none_t, none_p, no)
+            if mode in ("POINT", "PCT"):
+                return going
+            crossed, far_crossed = off(g * stop2 <= g * best2), off(g * far2 <= g * best2)
+            price = best2 if mode == "STEP" else F.when(far_crossed, far2).otherwise(stop2)
+            return F.when(crossed | far_crossed, state(stop2, far2, best2, F.lit(True), b["t"], price, far_crossed)).otherwise(going)
+
+        def fold(s: Column, b: Column) -> Column:
+            inner, hit = off(g * worst(b) >= g * s["far"]), off(g * b["close"] >= g * s["stop"])
+            if mode == "STEP":
+                further = ((sl > 0) & (g * b["close"] <= g * s["best"])) | ((intra > 0) & (g * finest(b) <= g * s["best"]))
+            else:
+                further = g * b["close"] < g * s["best"]
+            return F.when(s["t"].isNotNull(), s).when(inner | hit, state(s["stop"], s["far"], s["best"], s["moved"], b["t"], F.when(inner, s["far"]).otherwise(b["close"]), inner)).when(further, moved(s, b)).otherwise(s)
+
+        start_best = (100 - g * step) / 100 * o if mode == "STEP" else o
+        return let(rest(w), lambda r: let(F.aggregate(r, state(level(sl), level(intra), start_best, no, none_t, none_p, no), fold), lambda s: outcome(r, o, g, s)))
+
+    def outcome(r: Column, o: Column, g: Column, s: Column) -> Column:
+        price = F.coalesce(s["price"], last(r)["close"])
+        ok = (step > 0) & (sl_step > 0) & (sl_step <= step) if mode == "STEP" else F.lit(True)
+        some = ok & F.coalesce(F.size(r) > 0, no)
+        return F.struct(
+            o.alias("o"), F.when(some, s["stop"]).alias("stop"), F.when(some, s["far"]).alias("intra"), (some & s["moved"]).alias("moved"), (some & s["t"].isNotNull()).alias("hit"), (some & s["inner"]).alias("intra_hit"),
+            F.when(some, s["t"]).alias("t"), F.when(some, price).alias("exit"), F.when(some, money(g * (o - price) - o * lit(rate))).otherwise(0.0).alias("pnl"), F.when(ok, "ok").otherwise("invalid_trail").alias("status"),
+        )
+
+    return let(window(bars, start, end), lambda w: let(first(w)["close"], lambda o: let(signs(side), lambda g: folded(w, o, g))))
+
+
+def trail_limited(bars: Column, start: Column, end: Column, *, side: Column, o: Column, sl: Column | float, sl_step: Column | float, step: Column | float, most: int = 7) -> Column:
+    """Array of `most` gains, of a stop that tightens 1, 2, ... `most` times at most; null where it is not hit after a move.
+
+    Every bar from start on is tested, the first too: first the stop, which fills at its level, then the trigger, which
+    moves both as in STEP. A stop that passes the trigger ends the trade without a gain of its own.
+    """
+    sl, sl_step, step = lit(sl), lit(sl_step), lit(step)
+    state = lambda stop, best, n, done, price: F.struct(stop.cast("double").alias("stop"), best.cast("double").alias("best"), n.cast("int").alias("n"), done.alias("done"), price.cast("double").alias("price"))
+    none = F.lit(None).cast("double")
+
+    def limited(w: Column, g: Column, k: int) -> Column:
+        def fold(s: Column, b: Column) -> Column:
+            against, along = F.when(g > 0, b["high"]).otherwise(b["low"]), F.when(g > 0, b["low"]).otherwise(b["high"])
+            hit, further = g * against >= g * s["stop"], (s["n"] < k) & (g * along <= g * s["best"])
+            stop2, best2 = s["stop"] * (1 - g * sl_step / 100), s["best"] * (1 - g * step / 100)
+            return F.when(s["done"], s).when(hit, state(s["stop"], s["best"], s["n"], F.lit(True), s["stop"])).when(further, state(stop2, best2, s["n"] + 1, g * stop2 <= g * best2, none)).otherwise(s)
+
+        begin = state(o * (1 + g * sl / 100), o * (1 - g * step / 100), F.lit(0), F.lit(False), none)
+        return let(F.aggregate(w, begin, fold), lambda s: F.when(s["n"] > 0, g * (o - s["price"])))
+
+    return let(window(bars, start, end), lambda w: let(signs(side), lambda g: F.array(*(limited(w, g, k) for k in range(1, most + 1)))))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strikelab.functions.triggers import let
 from strikelab.plans.grid import split_columns
 
 
@@ -50,9 +51,12 @@ def heatmap(df: DataFrame, row: str, column: str, values: list, points: str = "P
     return wide.select(row, *(F.coalesce(F.round(F.col(f"`{v}`"), 2), F.lit(0.0)).alias(f"{column}_{v}") for v in values))
 
 
-def heatmap_totals(df: DataFrame, row: str, column: str, points: str = "Points") -> DataFrame:
-    """Cells with row, column and grand totals: level 0, 1, 2 and 3 (grouping id)."""
-    return df.cube(row, column).agg(F.grouping_id().cast("int").alias("level"), F.sum(points).alias("points"))
+def heatmap_totals(df: DataFrame, row: str, column: str, points: str = "Points", means: bool = False) -> DataFrame:
+    """Cells with row, column and grand totals: level 0, 1, 2 and 3 (grouping id). means: the totals are means of the cells."""
+    if not means:
+        return df.cube(row, column).agg(F.grouping_id().cast("int").alias("level"), F.sum(points).alias("points"))
+    cells = df.groupBy(row, column).agg(F.sum(points).alias("points"))
+    return cells.cube(row, column).agg(F.grouping_id().cast("int").alias("level"), F.avg("points").alias("points"))
 
 
 def period_pnl(df: DataFrame, cell: list[str], points: str = "Points") -> DataFrame:
@@ -93,17 +97,31 @@ def sliced(df: DataFrame, **choices: list) -> DataFrame:
     return df
 
 
-def crossings(mtm: DataFrame, keys: list[str], levels: list[float], margin: Column | float, lag: int = 1) -> DataFrame:
-    """For each level, in percent of margin, the first minute whose mtm is beyond it and what is paid.
+def crossings(mtm: DataFrame, keys: list[str], levels: list[float], limit: Column, lag: int = 1, parts: list[str] | None = None) -> DataFrame:
+    """keys, level, t, paid: for each level the first minute whose mtm is beyond level percent of limit, and what is paid.
 
-    mtm (keys, t, mtm). A level above 0 is crossed from below, one below 0 from above, strictly. paid is the mtm `lag` rows
-    later (0: at the crossing); without a crossing, or where no later row exists, the last mtm, with t null.
+    mtm (keys, t, mtm, parts). A level above 0 is crossed from below, one below 0 from above, strictly. t is the minute of
+    the crossing, paid the mtm `lag` rows later; without a crossing, or where no later row exists, the last mtm, with t
+    null. parts: columns of mtm paid at the same minute, as paid_{part}. A key's minutes are one array, and all levels are
+    worked out on it, so nothing is copied for a level.
     """
-    rows = F.sort_array(F.collect_list(F.struct("t", "mtm")))
-    out = mtm.groupBy(*keys).agg(rows.alias("_m")).withColumn("level", F.explode(F.array(*map(F.lit, levels))))
-    limit = F.col("level") * (margin if isinstance(margin, Column) else F.lit(float(margin))) / 100
-    beyond = lambda x: F.when(F.col("level") > 0, x["mtm"] > limit).otherwise(x["mtm"] < limit)
-    at = F.array_position(F.transform("_m", lambda x: beyond(x)), True).cast("int") + lag
-    out = out.withColumn("_at", at).withColumn("_hit", (F.col("_at") > lag) & (F.col("_at") <= F.size("_m")))
-    pay = F.when(F.col("_hit"), F.try_element_at("_m", F.col("_at"))).otherwise(F.element_at("_m", -1))
-    return out.select(*keys, "level", F.when(F.col("_hit"), pay["t"]).alias("t"), pay["mtm"].alias("paid"))
+    fields = ["mtm", *(parts or [])]
+    out = mtm.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("t", *fields))).alias("_m"), F.first(limit).alias("_limit"))
+
+    def judged(level: Column) -> Column:
+        edge = level * F.col("_limit") / 100
+        crossed = F.array_position(F.transform("_m", lambda x: F.when(level > 0, x["mtm"] > edge).otherwise(x["mtm"] < edge)), True).cast("int")
+        return let(F.when((crossed > 0) & (crossed + lag <= F.size("_m")), crossed), lambda at: paid(level, at))
+
+    def paid(level: Column, at: Column) -> Column:
+        row = F.coalesce(F.get("_m", at - 1 + lag), F.element_at("_m", -1))
+        return F.struct(level.alias("level"), F.get("_m", at - 1)["t"].alias("t"), row["mtm"].alias("paid"), *(row[p].alias(f"paid_{p}") for p in parts or []))
+
+    found = out.select(*keys, F.explode_outer(F.transform(F.array(*map(F.lit, map(float, levels))), judged)).alias("_x"))
+    return found.select(*keys, "_x.*")
+
+
+def shares(fund: float, margin_percent: float, price: Column, entries: int | None) -> Column:
+    """Shares to trade: whole ones for each of `entries` of a ladder, each with its whole part of the fund; without a ladder the fund's, in fractions."""
+    margin = price * margin_percent / 100
+    return F.floor(F.lit(fund // entries) / margin).cast("double") if entries else fund / margin

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strikelab.functions.scalars import near
+from strikelab.functions.scalars import near, one_om
 
 KEY = ["idx", "trade_date", "t"]
 
@@ -109,11 +109,17 @@ def upright(choice: DataFrame, straddles: DataFrame) -> DataFrame:
 
 
 def first_valid(choice: DataFrame, entries: DataFrame, on: list[str] | None = None) -> DataFrame:
-    """entries (idx, trade_date, start, end, ...) with the first choice at start or later, up to end; entries without one go."""
+    """entries (idx, trade_date, start, end, ...) with the first choice at start or later, up to end; entries without one go.
+
+    Each distinct (session, start, end) is looked up once, in the session's choices as one array in order of time.
+    """
     on = on or ["idx", "trade_date"]
-    rest = [c for c in choice.columns if c not in on]
-    rows = entries.join(choice, on).where((F.col("t") >= F.col("start")) & (F.col("t") <= F.col("end")))
-    return rows.groupBy(*entries.columns).agg(F.min_by(F.struct(*rest), "t").alias("_f")).select(*entries.columns, "_f.*")
+    key = [*on, "start", "end"]
+    others = [c for c in choice.columns if c not in (*on, "t")]
+    menu = choice.groupBy(*on).agg(F.sort_array(F.collect_list(F.struct("t", *others))).alias("_c"))
+    asked = entries.select(*key).distinct().join(menu, on)
+    found = asked.select(*key, F.try_element_at(F.filter("_c", lambda x: (x["t"] >= F.col("start")) & (x["t"] <= F.col("end"))), F.lit(1)).alias("_f"))
+    return entries.join(found.where("_f IS NOT NULL"), key).select(*entries.columns, *(F.col(f"_f.{c}").alias(c) for c in choice.columns if c not in on))
 
 
 def last_valid(choice: DataFrame, last: int, minutes: int = 15) -> DataFrame:
@@ -129,3 +135,35 @@ def price_at(options: DataFrame, asked: DataFrame) -> DataFrame:
     rows = asked.join(bars, ["idx", "trade_date", "scrip"], "left")
     upto = F.col("t") <= F.col("at")
     return rows.groupBy(*asked.columns).agg(F.max(F.when(F.col("t") == F.col("at"), F.col("close"))).alias("exact"), F.max_by(F.when(upto, F.col("close")), F.when(upto, F.col("t"))).alias("price"))
+
+
+def by_om(futures: DataFrame, options: DataFrame, om: str, gap: float, step: float | None = None) -> DataFrame:
+    """Every minute's choice by a strike spec: 0 or ATM, ATM+1, ATM-2, ATM+1.5%, ATMS (and with an offset), 1SD, -0.5SD, 1.5 (a strangle
+    of so many premium units), P>50, P<50, P=50, 50% (the README's share of a premium unit); -I at its end: an inverted
+    strangle becomes the straddle. ce_strike, pe_strike, ce, pe with t and future; strike where both are one.
+    """
+    spec = om.upper().replace(" ", "")
+    inverted, spec = spec.endswith("-I"), spec.removesuffix("-I")
+    at = futures.select(*KEY, F.col("close").alias("future"))
+    if spec.startswith("P") and spec[1] in "<>=":
+        pick = {"<": "below", ">": "above", "=": "closest"}[spec[1]]
+        targets = at.withColumn("target", F.lit(float(spec[2:])))
+        return nearest_premium(options, targets, pick).drop("target")
+    if spec.endswith("SD"):
+        factor = float(spec[:-2])
+        middle = atm(futures, options, gap)
+        return shifted(middle.withColumn("up", sd_shift(factor, gap)), options, F.col("up")).drop("up") if factor else middle
+    if spec.startswith("ATM"):
+        spot = spec.startswith("ATMS")
+        middle, off = atm(futures, options, gap, spot=spot), spec[4 if spot else 3 :]
+        if not off:
+            return middle
+        up = near(F.col("strike") * float(off[:-1]) / 100, gap) if off.endswith("%") else F.lit(float(off) * gap)
+        return shifted(middle, options, up)
+    value = float(spec.removesuffix("%")) / (100 if spec.endswith("%") else 1)
+    if value <= 0:
+        return atm(futures, options, gap)
+    unit = one_om(F.col("future"), F.lit(step).cast("double"))
+    targets = at.withColumn("target", unit * value)
+    found = strangle(options, targets, gap).drop("target")
+    return upright(found, atm(futures, options, gap)).drop("inverted") if inverted else found

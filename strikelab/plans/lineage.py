@@ -5,16 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """df written to the folder of spark.checkpoint.dir and read back; a folder of our own only where that is unset."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """The shared folder of spark.checkpoint.dir; a folder of our own only where that is unset and all tasks run on this machine."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         at = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/strikelab/{name}-{uuid.uuid4().hex}"
+    return at.rstrip("/")
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """df written to the scratch folder and read back."""
+    path = f"{scratch(df.sparkSession)}/strikelab/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

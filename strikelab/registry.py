@@ -6,65 +6,23 @@ Market queries read the bars that sources.tape derives from `events`; report que
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strikelab.catalog import FIRST, GAP, LAST, QUERIES, SQL, Market, query
 from strikelab.functions import scalars as fn
 from strikelab.functions import triggers
 from strikelab.operators import indicators, mtm, rollup, strikes
-from strikelab.plans import grid, strategies
+from strikelab.plans import grid
+from strikelab.plans.lineage import cut
 from strikelab.sources import files, tape
 
-GAP = tape.GAP
-FIRST, LAST = 540, 930
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None, market: bool = True):
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = f"{tape.TAPE_SQL}{sql}" if market else sql
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-class Market:
-    """The tape's tables."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        events = tape.table(spark, sf_dir, "events").select("ts", "user_id", "value")
-        self.futures, self.spot, self.options, self.calendar = tape.futures(events), tape.spot(events), tape.options(events), tape.calendar(events)
-        self.days = self.futures.select("idx", "trade_date").distinct()
-
-    @property
-    def session(self) -> DataFrame:
-        return self.options.where(F.col("t").between(FIRST, LAST))
-
-    @property
-    def legs(self) -> DataFrame:
-        return triggers.legs(self.session)
-
-    @property
-    def atm(self) -> DataFrame:
-        return strikes.atm(self.futures.where(F.col("t").between(FIRST, LAST)), self.session, GAP)
+queries = lambda: dict(QUERIES)
+oracle_sql = lambda: dict(SQL)
 
 
 def _entries(m: Market, rows: list[tuple], schema: str) -> DataFrame:
-    """Each session with each parameter set of a short list."""
-    return m.days.crossJoin(F.broadcast(m.days.sparkSession.createDataFrame(rows, schema)))
+    return m.entries(rows, schema)
 
 
 # --- bars, calendar, sessions ------------------------------------------------------------------------------------------
@@ -201,16 +159,14 @@ def sl_band(spark, sf_dir):
     return rows.select("idx", "trade_date", "t", "strike", lower.alias("lower"), upper.alias("upper"), fn.band(F.col("strike"), F.col("ce"), F.lit(0))[0].alias("intra_lower"))
 
 
-@query("""SELECT idx, trade_date, round_even(p, 2) AS p, round_even(2 * p - l, 2) AS r1, round_even(p + (h - l), 2) AS r2, round_even(h + 2 * (p - l), 2) AS r3, round_even(h + 2 * (p - l) + (p + (h - l)) - (2 * p - l), 2) AS r4, round_even(2 * p - h, 2) AS s1, round_even(p - (h - l), 2) AS s2, round_even(l - 2 * (h - p), 2) AS s3
+@query("""SELECT idx, trade_date, round_even(p, 2) AS p, round_even(2 * p - l, 2) AS r1, round_even(p + (h - l), 2) AS r2, round_even(h + 2 * (p - l), 2) AS r3, round_even(h + 2 * (p - l) + (p + (h - l)) - (2 * p - l), 2) AS r4, round_even(h + 2 * (p - l) + (p + (h - l)) - (2 * p - l) + (h + 2 * (p - l)) - (p + (h - l)), 2) AS r5, round_even(2 * p - h, 2) AS s1, round_even(p - (h - l), 2) AS s2, round_even(l - 2 * (h - p), 2) AS s3, round_even(l - 2 * (h - p) + (p - (h - l)) - (2 * p - h), 2) AS s4, round_even(l - 2 * (h - p) + (p - (h - l)) - (2 * p - h) + (l - 2 * (h - p)) - (p - (h - l)), 2) AS s5
 FROM (SELECT *, (h + l + c) / 3 AS p FROM (SELECT idx, trade_date, lag(h) OVER w AS h, lag(l) OVER w AS l, lag(c) OVER w AS c FROM (SELECT idx, trade_date, max(high) AS h, min(low) AS l, arg_max(close, t) AS c FROM spt GROUP BY ALL) WINDOW w AS (PARTITION BY idx ORDER BY trade_date)))""")
 def pivot_levels(spark, sf_dir):
-    from pyspark.sql import Window
-
     days = rollup.leg_ohlc(Market(spark, sf_dir).spot, ["idx", "trade_date"])
     w = Window.partitionBy("idx").orderBy("trade_date")
     before = days.select("idx", "trade_date", *(F.lag(c).over(w).alias(c) for c in ("h", "l", "c")))
     levels = fn.pivots(F.col("h"), F.col("l"), F.col("c"))
-    return before.select("idx", "trade_date", *(levels[k].alias(k) for k in ("p", "r1", "r2", "r3", "r4", "s1", "s2", "s3")))
+    return before.select("idx", "trade_date", *(levels[k].alias(k) for k in ("p", "r1", "r2", "r3", "r4", "r5", "s1", "s2", "s3", "s4", "s5")))
 
 
 # --- parameter grids ---------------------------------------------------------------------------------------------------
@@ -263,8 +219,8 @@ def entry_ladder(spark, sf_dir):
 # --- strikes -----------------------------------------------------------------------------------------------------------
 
 _ATM = f"""ses AS (SELECT * FROM wide WHERE t BETWEEN {FIRST} AND {LAST}), fu AS (SELECT idx, trade_date, t, close AS future, round_even(close / {GAP}, 0) * {GAP} AS k FROM fut WHERE t BETWEEN {FIRST} AND {LAST}),
-cen AS (SELECT fu.idx, fu.trade_date, fu.t, future, round_even((ce - pe + strike) / {GAP}, 0) * {GAP} AS k FROM fu JOIN ses ON fu.idx = ses.idx AND fu.trade_date = ses.trade_date AND fu.t = ses.t AND strike = k),
-tri AS (SELECT c.idx, c.trade_date, c.t, future, strike, ce, pe, row_number() OVER (PARTITION BY c.idx, c.trade_date, c.t ORDER BY abs(ce - pe), o.o) AS r FROM cen c, (VALUES (0, 0), (1, {GAP}), (2, -{GAP})) o(o, d), ses s WHERE s.idx = c.idx AND s.trade_date = c.trade_date AND s.t = c.t AND s.strike = c.k + o.d),
+cen AS (SELECT fu.idx, fu.trade_date, fu.t, future, round_even((ce - pe + strike) / {GAP}, 0) * {GAP} AS k FROM fu JOIN ses ON fu.idx = ses.idx AND fu.trade_date = ses.trade_date AND fu.t = ses.t AND strike = k WHERE ce IS NOT NULL AND pe IS NOT NULL),
+tri AS (SELECT c.idx, c.trade_date, c.t, future, strike, ce, pe, row_number() OVER (PARTITION BY c.idx, c.trade_date, c.t ORDER BY abs(ce - pe), o.o) AS r FROM cen c, (VALUES (0, 0), (1, {GAP}), (2, -{GAP})) o(o, d), ses s WHERE s.idx = c.idx AND s.trade_date = c.trade_date AND s.t = c.t AND s.strike = c.k + o.d AND s.ce IS NOT NULL AND s.pe IS NOT NULL),
 atm AS (SELECT idx, trade_date, t, future, strike, ce, pe FROM tri WHERE r = 1)"""
 
 
@@ -273,13 +229,13 @@ def atm_straddle(spark, sf_dir):
     return Market(spark, sf_dir).atm
 
 
-@query(f""", {_ATM} SELECT a.idx, a.trade_date, a.t, a.future, a.strike + {GAP} AS ce_strike, a.strike - {GAP} AS pe_strike, c.ce, p.pe FROM atm a JOIN ses c ON c.idx = a.idx AND c.trade_date = a.trade_date AND c.t = a.t AND c.strike = a.strike + {GAP} JOIN ses p ON p.idx = a.idx AND p.trade_date = a.trade_date AND p.t = a.t AND p.strike = a.strike - {GAP}""")
+@query(f""", {_ATM} SELECT a.idx, a.trade_date, a.t, a.future, a.strike + {GAP} AS ce_strike, a.strike - {GAP} AS pe_strike, c.ce, p.pe FROM atm a JOIN ses c ON c.idx = a.idx AND c.trade_date = a.trade_date AND c.t = a.t AND c.strike = a.strike + {GAP} AND c.ce IS NOT NULL JOIN ses p ON p.idx = a.idx AND p.trade_date = a.trade_date AND p.t = a.t AND p.strike = a.strike - {GAP} AND p.pe IS NOT NULL""")
 def atm_offset(spark, sf_dir):
     m = Market(spark, sf_dir)
     return strikes.shifted(m.atm, m.session, F.lit(GAP))
 
 
-@query(f""", {_ATM}, sd AS (SELECT *, greatest({GAP}, round_even((ce + pe) * 0.8 / {GAP}, 0) * {GAP}) AS d FROM atm) SELECT a.idx, a.trade_date, a.t, a.future, a.strike + d AS ce_strike, a.strike - d AS pe_strike, c.ce, p.pe FROM sd a JOIN ses c ON c.idx = a.idx AND c.trade_date = a.trade_date AND c.t = a.t AND c.strike = a.strike + d JOIN ses p ON p.idx = a.idx AND p.trade_date = a.trade_date AND p.t = a.t AND p.strike = a.strike - d""")
+@query(f""", {_ATM}, sd AS (SELECT *, greatest({GAP}, round_even((ce + pe) * 0.8 / {GAP}, 0) * {GAP}) AS d FROM atm) SELECT a.idx, a.trade_date, a.t, a.future, a.strike + d AS ce_strike, a.strike - d AS pe_strike, c.ce, p.pe FROM sd a JOIN ses c ON c.idx = a.idx AND c.trade_date = a.trade_date AND c.t = a.t AND c.strike = a.strike + d AND c.ce IS NOT NULL JOIN ses p ON p.idx = a.idx AND p.trade_date = a.trade_date AND p.t = a.t AND p.strike = a.strike - d AND p.pe IS NOT NULL""")
 def atm_offset_sd(spark, sf_dir):
     m = Market(spark, sf_dir)
     return strikes.shifted(m.atm.withColumn("up", strikes.sd_shift(0.8, GAP)), m.session, F.col("up")).drop("up")
@@ -354,17 +310,17 @@ def leg_slice(spark, sf_dir):
 
 
 def _both_legs(m: Market) -> DataFrame:
-    rows = m.days.withColumn("ce", F.lit("1000CE")).withColumn("pe", F.lit("1000PE"))
-    rows = strategies.with_leg(strategies.with_leg(rows, m.legs, "ce"), m.legs, "pe")
-    return rows.withColumn("bars", triggers.straddle_bars(F.col("ce_bars"), F.col("pe_bars")))
+    """idx, trade_date, strike, bars of every strike's straddle."""
+    leg = lambda kind: m.legs.where(fn.type_of(F.col("scrip")) == kind).select("idx", "trade_date", fn.strike_of(F.col("scrip")).alias("strike"), F.col("bars").alias(kind.lower()))
+    return leg("CE").join(leg("PE"), ["idx", "trade_date", "strike"]).select("idx", "trade_date", "strike", triggers.straddle_bars(F.col("ce"), F.col("pe")).alias("bars"))
 
 
-_STRADDLE = f"sb AS (SELECT c.idx, c.trade_date, c.t, greatest(c.high + p.low, c.low + p.high, c.close + p.close) AS high, least(c.high + p.low, c.low + p.high, c.close + p.close) AS low, c.close + p.close AS close FROM opt c JOIN opt p ON p.idx = c.idx AND p.trade_date = c.trade_date AND p.t = c.t WHERE c.scrip = '1000CE' AND p.scrip = '1000PE' AND c.t BETWEEN {FIRST} AND {LAST})"
+_STRADDLE = f"sb AS (SELECT c.idx, c.trade_date, c.strike, c.t, greatest(c.high + p.low, c.low + p.high, c.close + p.close) AS high, least(c.high + p.low, c.low + p.high, c.close + p.close) AS low, c.close + p.close AS close FROM opt c JOIN opt p ON p.idx = c.idx AND p.trade_date = c.trade_date AND p.t = c.t AND p.strike = c.strike WHERE c.opt_type = 'CE' AND p.opt_type = 'PE' AND c.t BETWEEN {FIRST} AND {LAST})"
 
 
 @query(f", {_STRADDLE} SELECT * FROM sb")
 def straddle_bars(spark, sf_dir):
-    return _both_legs(Market(spark, sf_dir)).select("idx", "trade_date", F.inline("bars"))
+    return _both_legs(Market(spark, sf_dir)).select("idx", "trade_date", "strike", F.explode("bars").alias("b")).select("idx", "trade_date", "strike", "b.*")
 
 
 @query("SELECT idx, trade_date, t, sum(close) AS close FROM opt WHERE scrip IN ('950CE', '1000CE', '1000PE', '1050PE') GROUP BY ALL HAVING count(*) = 4")
@@ -393,62 +349,63 @@ res AS (SELECT {", ".join(f"b.{c.strip()}" for c in k.split(","))}, b.o, x AS t,
 SELECT {k}, o, t, exit, sl_hit, intra_hit, round_even(g * (o - exit) - o * {rate}, 2) + 0 AS pnl FROM res"""
 
 
-@query(f", {_STOP_ROWS}, src AS (SELECT * FROM opt, sr WHERE scrip IN ('1000CE', '950PE') AND opt.t BETWEEN {FIRST} AND {LAST}), {_stop_sql('src', 'idx, trade_date, scrip', 0.01)}")
+_STOP_KEYS = [c.split()[0] for c in _STOP_SCHEMA.split(", ")]
+_STOP_OUT = ["r.o", "r.t", "r.exit", "r.sl_hit", "r.intra_hit", "r.pnl"]
+
+
+def _stopped(rows: DataFrame, keys: list[str], **how) -> DataFrame:
+    """Every leg of rows (keys, bars) with every set of stops."""
+    sets = rows.sparkSession.createDataFrame(_STOPS, _STOP_SCHEMA)
+    r = triggers.stop(F.col("bars"), F.col("start"), F.col("end"), side=F.col("side"), sl=F.col("sl"), intra=F.col("intra_sl"), **how)
+    out = rows.crossJoin(F.broadcast(sets)).select(*keys, *_STOP_KEYS, r.alias("r"))
+    return out.select(*keys, *_STOP_KEYS, *_STOP_OUT).where("o IS NOT NULL")
+
+
+@query(f", {_STOP_ROWS}, src AS (SELECT * FROM opt, sr WHERE opt.t BETWEEN {FIRST} AND {LAST}), {_stop_sql('src', 'idx, trade_date, scrip', 0.01)}")
 def sl_single(spark, sf_dir):
-    m = Market(spark, sf_dir)
-    rows = _entries(m, _STOPS, _STOP_SCHEMA).withColumn("scrip", F.explode(F.array(F.lit("1000CE"), F.lit("950PE"))))
-    rows = rows.join(m.legs, ["idx", "trade_date", "scrip"])
-    rows = triggers.stop(rows, "r", F.col("bars"), F.col("start"), F.col("end"), side=F.col("side"), sl=F.col("sl"), intra=F.col("intra_sl"), closes=F.col("method") == "CC", rate=0.01)
-    return rows.where("r.o IS NOT NULL").select("idx", "trade_date", "scrip", *[c.split()[0] for c in _STOP_SCHEMA.split(", ")], "r.o", "r.t", "r.exit", "r.sl_hit", "r.intra_hit", "r.pnl")
+    return _stopped(Market(spark, sf_dir).legs, ["idx", "trade_date", "scrip"], closes=F.col("method") == "CC", rate=0.01)
 
 
-@query(f", {_STOP_ROWS}, {_STRADDLE}, src AS (SELECT * FROM sb, sr), {_stop_sql('src', 'idx, trade_date', 0.01, True)}")
+@query(f", {_STOP_ROWS}, {_STRADDLE}, src AS (SELECT * FROM sb, sr), {_stop_sql('src', 'idx, trade_date, strike', 0.01, True)}")
 def sl_combined(spark, sf_dir):
-    m = Market(spark, sf_dir)
-    rows = _both_legs(m).drop("ce_bars", "pe_bars").crossJoin(F.broadcast(spark.createDataFrame(_STOPS, _STOP_SCHEMA)))
-    rows = triggers.stop(rows, "r", F.col("bars"), F.col("start"), F.col("end"), side=F.col("side"), sl=F.col("sl"), intra=F.col("intra_sl"), combined=True, rate=0.01)
-    return rows.where("r.o IS NOT NULL").select("idx", "trade_date", *[c.split()[0] for c in _STOP_SCHEMA.split(", ")], "r.o", "r.t", "r.exit", "r.sl_hit", "r.intra_hit", "r.pnl")
+    return _stopped(_both_legs(Market(spark, sf_dir)), ["idx", "trade_date", "strike"], combined=True, rate=0.01)
 
 
-@query(f", {_STOP_ROWS}, src AS (SELECT * FROM opt, sr WHERE scrip = '1000CE' AND opt.t BETWEEN {FIRST} AND {LAST}), {_stop_sql('src', 'idx, trade_date, scrip', 0.0, target=chr(39) + '55.5' + chr(39) + '::DOUBLE')}")
+@query(f", {_STOP_ROWS}, src AS (SELECT c.*, sr.* FROM opt c JOIN opt p ON p.idx = c.idx AND p.trade_date = c.trade_date AND p.t = c.t AND p.strike = c.strike AND p.opt_type <> c.opt_type, sr WHERE c.t BETWEEN {FIRST} AND {LAST}), {_stop_sql('src', 'idx, trade_date, scrip', 0.0, target='(55.5)::DOUBLE')}")
 def sl_given(spark, sf_dir):
-    """Bars that the caller has filtered, with a target price."""
-    m = Market(spark, sf_dir)
-    given = triggers.legs(m.session.where("scrip = '1000CE'"))
-    rows = given.crossJoin(F.broadcast(spark.createDataFrame(_STOPS, _STOP_SCHEMA)))
-    rows = triggers.stop(rows, "r", F.col("bars"), F.col("start"), F.col("end"), side=F.col("side"), sl=F.col("sl"), intra=F.col("intra_sl"), target=F.lit(55.5), closes=F.col("method") == "CC")
-    return rows.where("r.o IS NOT NULL").select("idx", "trade_date", "scrip", *[c.split()[0] for c in _STOP_SCHEMA.split(", ")], "r.o", "r.t", "r.exit", "r.sl_hit", "r.intra_hit", "r.pnl")
+    """Bars that the caller has filtered, here to the minutes that the strike's other leg has too, with a target price."""
+    legs = Market(spark, sf_dir).legs.withColumn("strike", fn.strike_of(F.col("scrip")))
+    other = legs.select("idx", "trade_date", "strike", F.col("scrip").alias("_o"), F.col("bars").alias("_b"))
+    given = legs.join(other, ["idx", "trade_date", "strike"]).where("scrip <> _o").select("idx", "trade_date", "scrip", triggers.common(F.col("bars"), F.col("_b")).alias("bars"))
+    return _stopped(given, ["idx", "trade_date", "scrip"], target=F.lit(55.5), closes=F.col("method") == "CC")
 
 
 @query(f""", dr AS (SELECT * FROM (VALUES (565, 900, 'SELL', 10::DOUBLE), (565, 900, 'BUY', 10::DOUBLE), (610, 900, 'SELL', 0::DOUBLE)) v(start, "end", side, decay)),
-d0 AS (SELECT *, first_value(close) OVER w AS o, row_number() OVER w AS i FROM opt, dr WHERE t BETWEEN start AND "end" AND scrip IN ('1000CE', '950PE') AND t <= {LAST} WINDOW w AS (PARTITION BY idx, trade_date, scrip, start, "end", side, decay ORDER BY t)),
+d0 AS (SELECT *, first_value(close) OVER w AS o, row_number() OVER w AS i FROM opt, dr WHERE t BETWEEN start AND "end" AND t <= {LAST} WINDOW w AS (PARTITION BY idx, trade_date, scrip, start, "end", side, decay ORDER BY t)),
 d1 AS (SELECT *, CASE WHEN decay = 0 THEN o WHEN side = 'SELL' THEN (100 - decay) / 100 * o ELSE (100 + decay) / 100 * o END AS price FROM d0)
 SELECT idx, trade_date, scrip, start, "end", side, decay, any_value(price) AS price, CASE WHEN max(i) < 2 THEN NULL WHEN decay = 0 THEN start ELSE min(t) FILTER (i > 1 AND CASE WHEN side = 'SELL' THEN low <= price ELSE high >= price END) END AS t FROM d1 GROUP BY idx, trade_date, scrip, start, "end", side, decay""")
 def decay_check(spark, sf_dir):
-    m = Market(spark, sf_dir)
-    rows = _entries(m, [(565, 900, "SELL", 10.0), (565, 900, "BUY", 10.0), (610, 900, "SELL", 0.0)], "start int, end int, side string, decay double").withColumn("scrip", F.explode(F.array(F.lit("1000CE"), F.lit("950PE"))))
-    rows = triggers.decay(rows.join(m.legs, ["idx", "trade_date", "scrip"]), "d", F.col("bars"), F.col("start"), F.col("end"), side=F.col("side"), percent=F.col("decay"))
-    return rows.where("d.o IS NOT NULL").select("idx", "trade_date", "scrip", "start", "end", "side", "decay", "d.price", "d.t")
+    sets = spark.createDataFrame([(565, 900, "SELL", 10.0), (565, 900, "BUY", 10.0), (610, 900, "SELL", 0.0)], "start int, end int, side string, decay double")
+    keys = ["idx", "trade_date", "scrip", "start", "end", "side", "decay"]
+    d = triggers.decay(F.col("bars"), F.col("start"), F.col("end"), side=F.col("side"), percent=F.col("decay"))
+    return Market(spark, sf_dir).legs.crossJoin(F.broadcast(sets)).select(*keys, d.alias("d")).select(*keys, "d.o", "d.price", "d.t").where("o IS NOT NULL").drop("o")
 
 
 def _trailed(spark, sf_dir, mode, **options):
-    m = Market(spark, sf_dir)
-    rows = m.legs.where("scrip IN ('1000CE', '1000PE', '950PE')").crossJoin(F.broadcast(spark.createDataFrame([("SELL",), ("BUY",)], "side string")))
-    out = []
-    for side in ("SELL", "BUY"):
-        part = triggers.trail(rows.where(F.col("side") == side), "r", F.col("bars"), F.lit(565), F.lit(900), mode=mode, side=side, sl=F.lit(8.0), **options)
-        out.append(part.where("r.o IS NOT NULL").select("idx", "trade_date", "scrip", "side", "r.*"))
-    return out[0].unionByName(out[1])
+    rows = Market(spark, sf_dir).legs.crossJoin(F.broadcast(spark.createDataFrame([("SELL",), ("BUY",)], "side string")))
+    r = triggers.trail(F.col("bars"), F.lit(565), F.lit(900), mode=mode, side=F.col("side"), sl=8.0, **options)
+    return rows.select("idx", "trade_date", "scrip", "side", r.alias("r")).select("idx", "trade_date", "scrip", "side", *(f"r.{c}" for c in ("o", "moved", "hit", "t", "exit", "pnl", "status"))).where("o IS NOT NULL")
 
 
-def _trail_sql(best0: str, stop: str, cross: str, cap: bool = False, sl: str = "8.0") -> str:
+def _trail_sql(best0: str, stop: str, cross: str, cap: bool = False, sl: str = "8.0", step: str | None = None) -> str:
     """A trailed stop bar by bar in a recursive query. g: 1 for SELL, -1 for BUY; prices times g make both sides alike."""
+    best, move, fill = ("nb", "<", "nb") if step is None else (f"CASE WHEN cr THEN best ELSE {step} END", "<=", "best")
     capped = f"CASE WHEN g > 0 THEN greatest({stop}, o) ELSE least({stop}, o) END" if cap else stop
-    return f""", b0 AS (SELECT idx, trade_date, scrip, t, high, low, close, g, row_number() OVER (PARTITION BY idx, trade_date, scrip, g ORDER BY t) AS i, first_value(close) OVER (PARTITION BY idx, trade_date, scrip, g ORDER BY t) AS o FROM opt, (VALUES (1), (-1)) v(g) WHERE scrip IN ('1000CE', '1000PE', '950PE') AND t BETWEEN 565 AND 900),
+    return f""", b0 AS (SELECT idx, trade_date, scrip, t, high, low, close, g, row_number() OVER (PARTITION BY idx, trade_date, scrip, g ORDER BY t) AS i, first_value(close) OVER (PARTITION BY idx, trade_date, scrip, g ORDER BY t) AS o FROM opt, (VALUES (1), (-1)) v(g) WHERE t BETWEEN 565 AND 900),
 b AS (SELECT *, CASE WHEN g > 0 THEN high ELSE low END AS ag, CASE WHEN g > 0 THEN low ELSE high END AS al, (100 + g * {sl}) / 100 * o AS f FROM b0),
 f(idx, trade_date, scrip, g, i, o, stop, best, moved, xt, px, last_) AS (SELECT idx, trade_date, scrip, g, i, o, f, ({best0})::DOUBLE, false, NULL::INT, NULL::DOUBLE, NULL::DOUBLE FROM b WHERE i = 1
-UNION ALL SELECT idx, trade_date, scrip, g, i, o, CASE WHEN hit OR NOT mv THEN stop ELSE ns END, CASE WHEN hit OR NOT mv THEN best ELSE nb END, moved OR (mv AND NOT hit), CASE WHEN hit OR cr THEN t END, CASE WHEN hit THEN stop WHEN cr THEN nb END, close
- FROM (SELECT *, mv AND NOT hit AND ({cross}) AS cr FROM (SELECT *, {capped} AS ns FROM (SELECT b.idx, b.trade_date, b.scrip, b.g, b.i, b.o, b.t, b.close, b.f, s.stop, s.best, s.moved, b.g * b.ag >= b.g * s.stop AS hit, b.g * b.al < b.g * s.best AS mv, b.al AS nb FROM f s JOIN b ON b.idx = s.idx AND b.trade_date = s.trade_date AND b.scrip = s.scrip AND b.g = s.g AND b.i = s.i + 1 WHERE s.xt IS NULL))))
+UNION ALL SELECT idx, trade_date, scrip, g, i, o, CASE WHEN hit OR NOT mv THEN stop ELSE ns END, CASE WHEN hit OR NOT mv THEN best ELSE {best} END, moved OR (mv AND NOT hit), CASE WHEN hit OR cr THEN t END, CASE WHEN hit THEN stop WHEN cr THEN {fill} END, close
+ FROM (SELECT *, mv AND NOT hit AND ({cross}) AS cr FROM (SELECT *, {capped} AS ns FROM (SELECT b.idx, b.trade_date, b.scrip, b.g, b.i, b.o, b.t, b.close, b.f, s.stop, s.best, s.moved, b.g * b.ag >= b.g * s.stop AS hit, b.g * b.al {move} b.g * s.best AS mv, b.al AS nb FROM f s JOIN b ON b.idx = s.idx AND b.trade_date = s.trade_date AND b.scrip = s.scrip AND b.g = s.g AND b.i = s.i + 1 WHERE s.xt IS NULL))))
 SELECT idx, trade_date, scrip, CASE WHEN g > 0 THEN 'SELL' ELSE 'BUY' END AS side, o, n > 1 AND moved AS moved, xt IS NOT NULL AS hit, xt AS t, CASE WHEN n > 1 THEN coalesce(px, last_) END AS exit, CASE WHEN n > 1 THEN round_even(g * (o - coalesce(px, last_)), 2) + 0 ELSE 0 END AS pnl, 'ok' AS status
 FROM (SELECT *, i AS n, row_number() OVER (PARTITION BY idx, trade_date, scrip, g ORDER BY i DESC) AS r FROM f) WHERE r = 1"""
 
@@ -476,7 +433,7 @@ def trail_cost_cap(spark, sf_dir):
     return _trailed(spark, sf_dir, "RATIO", gap=2.0, to_cost=True)
 
 
-@query()
+@query(_recursive(_trail_sql("(100 - g * 3.0) / 100 * o", "stop * (1 - g * 2.0 / 100)", "g * ns <= g * best", step="best * (1 - g * 3.0 / 100)")), market=False)
 def trail_step(spark, sf_dir):
     return _trailed(spark, sf_dir, "STEP", step=3.0, sl_step=2.0)
 
@@ -510,15 +467,33 @@ def range_sl(spark, sf_dir):
 # --- minute by minute --------------------------------------------------------------------------------------------------
 
 
+_LEVELS = [-0.1, -0.2, -0.3, -0.4, -0.5, -0.6, -0.7, -0.8, -0.9, -1, -1.25, -1.5, -1.75, -2, -2.5, -3, -3.5, -4, -100, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1, 1.25, 1.5, 1.75, 2, 2.5, 3, 3.5, 4]
+_LADDER = list(range(570, 700, 30))
+_FUND, _MARGIN = 1_000_000_000.0, 12.0
+
+
 def _gridded(m: Market) -> DataFrame:
-    """Trades of the straddle's legs, entered on a ladder, each with its series on the grid."""
-    sets = m.days.sparkSession.createDataFrame([(t, 900, "SELL", "HL", 8.0) for t in range(570, 700, 30)], "start int, end int, side string, method string, sl double")
-    rows = m.days.crossJoin(F.broadcast(sets)).withColumn("scrip", F.explode(F.array(F.lit("1000CE"), F.lit("1000PE")))).join(m.legs, ["idx", "trade_date", "scrip"])
-    rows = triggers.stop(rows, "r", F.col("bars"), F.col("start"), F.col("end"), side=F.col("side"), sl=F.col("sl"), rate=0.01)
-    w = triggers.window(F.col("bars"), F.col("start"), F.col("end"))
-    points = mtm.series(F.slice(w, 2, 1000), F.col("r.o"), F.lit(-1), F.col("r.t"), F.col("end"), F.col("r.pnl"), F.lit(True), F.col("r.o") * 0.01)
-    rows = rows.where("r.o IS NOT NULL").withColumn("points", points)
-    return rows.withColumn("grid", mtm.filled(F.col("points"), FIRST, LAST, 10))
+    """Trades of every leg, entered on a ladder, each with its series on the grid."""
+    sets = m.futures.sparkSession.createDataFrame([(t, 900, "SELL", 8.0) for t in _LADDER], "start int, end int, side string, sl double")
+    rows = m.legs.crossJoin(F.broadcast(sets))
+    r = triggers.stop(F.col("bars"), F.col("start"), F.col("end"), side=F.col("side"), sl=F.col("sl"), rate=0.01)
+    points = triggers.let(r, lambda r: mtm.series(F.col("bars"), F.col("start"), F.col("end"), r, F.col("side"), 0.01))
+    rows = rows.select("idx", "trade_date", "scrip", "start", points.alias("points"))
+    return rows.select("*", mtm.filled(F.col("points"), FIRST, LAST, 10).alias("grid"))
+
+
+def _exploded(rows: DataFrame, array: str) -> DataFrame:
+    out = rows.select("idx", "trade_date", "scrip", "start", F.explode_outer(array).alias("x"))
+    return out.select("idx", "trade_date", "scrip", "start", "x.t", F.round("x.mtm", 4).alias("mtm")).where("t IS NOT NULL")
+
+
+def _portfolio(m: Market, *parts: str) -> DataFrame:
+    """The session's profit a minute, and that of its calls and puts as ce and pe."""
+    rows = _gridded(m).withColumn("kind", F.lower(fn.type_of(F.col("scrip"))))
+    one = mtm.portfolio(rows, ["idx", "trade_date", "kind"]) if parts else mtm.portfolio(rows, ["idx", "trade_date"])
+    if parts:
+        one = one.groupBy("idx", "trade_date", "t").agg(F.sum("mtm").alias("mtm"), *(F.sum(F.when(F.col("kind") == k, F.col("mtm")).otherwise(0.0)).alias(k) for k in parts))
+    return one.select("idx", "trade_date", "t", *(F.round(c, 4).alias(c) for c in ("mtm", *parts)))
 
 
 @query(f"SELECT idx, trade_date, unnest(range({FIRST}, {LAST + 1}, 10))::INT AS t FROM (SELECT DISTINCT idx, trade_date FROM ft)")
@@ -526,91 +501,65 @@ def minute_grid(spark, sf_dir):
     return mtm.minute_grid(Market(spark, sf_dir).days, FIRST, LAST, 10)
 
 
-_MSETS = "sr AS (SELECT unnest([570, 600, 630, 660, 690]) AS start, 900 AS \"end\", 'SELL' AS side, 'HL' AS method, 8.0::DOUBLE AS sl, 0.0::DOUBLE AS intra_sl)"
-_MTM = f"{_MSETS}, src AS (SELECT * FROM opt, sr WHERE scrip IN ('1000CE', '1000PE') AND opt.t BETWEEN {FIRST} AND {LAST}), tr AS (WITH {_stop_sql('src', 'idx, trade_date, scrip', 0.01)})"
-_SERIES = f"{_MTM}, se AS (SELECT tr.idx, tr.trade_date, tr.scrip, tr.start, o2.t, CASE WHEN row_number() OVER (PARTITION BY tr.idx, tr.trade_date, tr.scrip, tr.start ORDER BY o2.t DESC) = 1 THEN tr.pnl ELSE tr.o - o2.close - tr.o * 0.01 END AS mtm, row_number() OVER (PARTITION BY tr.idx, tr.trade_date, tr.scrip, tr.start ORDER BY o2.t) AS i FROM tr JOIN opt o2 ON o2.idx = tr.idx AND o2.trade_date = tr.trade_date AND o2.scrip = tr.scrip AND o2.t BETWEEN tr.start AND coalesce(tr.t, 900) AND o2.t > (SELECT min(z.t) FROM opt z WHERE z.idx = tr.idx AND z.trade_date = tr.trade_date AND z.scrip = tr.scrip AND z.t >= tr.start))"
+_MSETS = f"sr AS (SELECT unnest({_LADDER}) AS start, 900 AS \"end\", 'SELL' AS side, 'HL' AS method, 8.0::DOUBLE AS sl, 0.0::DOUBLE AS intra_sl)"
+_MTM = f"{_MSETS}, src AS (SELECT * FROM opt, sr WHERE opt.t BETWEEN {FIRST} AND {LAST}), tr AS (WITH {_stop_sql('src', 'idx, trade_date, scrip', 0.01)})"
+_SERIES = f"""{_MTM}, se0 AS (SELECT tr.*, o2.t AS bt, o2.close, row_number() OVER (PARTITION BY tr.idx, tr.trade_date, tr.scrip, tr.start ORDER BY o2.t) AS i FROM tr JOIN opt o2 ON o2.idx = tr.idx AND o2.trade_date = tr.trade_date AND o2.scrip = tr.scrip AND o2.t BETWEEN tr.start AND 900),
+se AS (SELECT idx, trade_date, scrip, start, bt AS t, CASE WHEN bt = max(bt) OVER (PARTITION BY idx, trade_date, scrip, start) THEN pnl ELSE o - close - o * 0.01 END AS mtm FROM se0 WHERE i > 1 AND bt <= coalesce(t, 900))"""
 
 
 @query(f", {_SERIES} SELECT idx, trade_date, scrip, start, t, round(mtm, 4) AS mtm FROM se")
 def mtm_series(spark, sf_dir):
-    return _gridded(Market(spark, sf_dir)).select("idx", "trade_date", "scrip", "start", F.inline("points")).withColumn("mtm", F.round("mtm", 4))
+    return _exploded(_gridded(Market(spark, sf_dir)), "points")
 
 
-_FILLED = f"""{_SERIES}, gr AS (SELECT tr.idx, tr.trade_date, tr.scrip, tr.start, unnest(range({FIRST}, {LAST + 1}, 10)) AS t FROM tr), fl AS (SELECT g.idx, g.trade_date, g.scrip, g.start, g.t, coalesce(arg_max(mtm, s.t), 0) AS mtm FROM gr g LEFT JOIN se s ON s.idx = g.idx AND s.trade_date = g.trade_date AND s.scrip = g.scrip AND s.start = g.start AND s.t <= g.t GROUP BY ALL)"""
+_FILLED = f"""{_SERIES}, gr AS (SELECT idx, trade_date, scrip, start, unnest(range({FIRST}, {LAST + 1}, 10)) AS t FROM (SELECT DISTINCT idx, trade_date, scrip FROM opt WHERE t BETWEEN {FIRST} AND {LAST}), (SELECT start FROM sr)),
+fl AS (SELECT g.idx, g.trade_date, g.scrip, g.start, g.t, coalesce(s.mtm, 0) AS mtm FROM gr g ASOF LEFT JOIN se s ON s.idx = g.idx AND s.trade_date = g.trade_date AND s.scrip = g.scrip AND s.start = g.start AND s.t <= g.t)"""
 
 
-@query(f", {_FILLED} SELECT idx, trade_date, scrip, start, t, round(mtm, 4) AS mtm FROM fl")
+@query(f", {_FILLED} SELECT idx, trade_date, scrip, start, t, round(mtm, 4) + 0 AS mtm FROM fl")
 def mtm_fill(spark, sf_dir):
-    return _gridded(Market(spark, sf_dir)).select("idx", "trade_date", "scrip", "start", F.inline("grid")).withColumn("mtm", F.round("mtm", 4))
+    return _exploded(_gridded(Market(spark, sf_dir)), "grid")
 
 
 @query(f", {_FILLED} SELECT idx, trade_date, t, round(sum(mtm), 4) AS mtm FROM fl GROUP BY ALL")
 def mtm_portfolio(spark, sf_dir):
-    return mtm.portfolio(_gridded(Market(spark, sf_dir)), ["idx", "trade_date"]).withColumn("mtm", F.round("mtm", 4))
-
+    return _portfolio(Market(spark, sf_dir))
 
-@query(f""", {_FILLED}, pf AS (SELECT idx, trade_date, t, round(sum(mtm), 4) AS mtm FROM fl GROUP BY ALL), lv AS (SELECT unnest([-8.0, -4.0, -2.0, 2.0, 4.0, 8.0]) AS level),
-cr AS (SELECT pf.*, level, row_number() OVER w AS i, count(*) OVER (PARTITION BY idx, trade_date, level) AS n, CASE WHEN level > 0 THEN mtm > level * 500 / 100 ELSE mtm < level * 500 / 100 END AS b FROM pf, lv WINDOW w AS (PARTITION BY idx, trade_date, level ORDER BY t)),
-fc AS (SELECT idx, trade_date, level, min(i) FILTER (b) + 1 AS due, any_value(n) AS n FROM cr GROUP BY idx, trade_date, level)
-SELECT c.idx, c.trade_date, c.level::DOUBLE AS level, CASE WHEN due <= f.n THEN c.t END AS t, c.mtm AS paid FROM fc f JOIN cr c ON c.idx = f.idx AND c.trade_date = f.trade_date AND c.level = f.level AND c.i = CASE WHEN due <= f.n THEN due ELSE f.n END""")
-def psl_levels(spark, sf_dir):
-    total = mtm.portfolio(_gridded(Market(spark, sf_dir)), ["idx", "trade_date"]).withColumn("mtm", F.round("mtm", 4))
-    return rollup.crossings(total, ["idx", "trade_date"], [-8.0, -4.0, -2.0, 2.0, 4.0, 8.0], 500.0)
-
-
-@query(f""", {_FILLED} SELECT idx, trade_date, {", ".join(f'round(sum(mtm) FILTER (t = {t}), 4) AS m{t}' for t in (600, 700, 800, 900))} FROM fl GROUP BY ALL""")
-def mtm_wide(spark, sf_dir):
-    wide = mtm.wide(mtm.portfolio(_gridded(Market(spark, sf_dir)), ["idx", "trade_date"]).withColumn("mtm", F.round("mtm", 4)), ["idx", "trade_date"], [600, 700, 800, 900])
-    return wide.withColumnsRenamed({str(t): f"m{t}" for t in (600, 700, 800, 900)})
-
-
-# --- strategies --------------------------------------------------------------------------------------------------------
 
-
-def _b120(spark, sf_dir):
-    m = Market(spark, sf_dir)
-    sets = [(t, 900, s, k, sl, ut) for t in (565, 610, 650) for s, k, sl, ut in (("SELL", "HL", 8.0, "10"), ("SELL", "CC", 5.0, "TTC"), ("BUY", "HL", 6.0, "8"))]
-    return strategies.b120(_entries(m, sets, "start int, end int, side string, method string, sl double, ut_sl string"), m.atm, m.legs)
-
-
-@query()
-def st_b120(spark, sf_dir):
-    return _b120(spark, sf_dir)
-
-
-@query()
-def st_sre(spark, sf_dir):
-    m = Market(spark, sf_dir)
-    sets = [(t, 900, "SELL", sl, i) for t in (565, 650) for sl, i in ((4.0, 0.0), (6.0, 9.0))]
-    return strategies.sre(_entries(m, sets, "start int, end int, side string, sl double, intra_sl double"), m.atm, m.legs)
+_PF = f"""{_FILLED}, pf AS (SELECT idx, trade_date, t, round(sum(mtm), 4) AS mtm, round(sum(CASE WHEN scrip LIKE '%CE' THEN mtm ELSE 0 END), 4) AS ce, round(sum(CASE WHEN scrip LIKE '%PE' THEN mtm ELSE 0 END), 4) AS pe FROM fl GROUP BY ALL),
+f0 AS (SELECT idx, trade_date, arg_min(close, t) AS future FROM fut WHERE t BETWEEN {FIRST} AND {LAST} GROUP BY ALL),
+ps AS (SELECT idx, trade_date, t, round(mtm * n, 2) AS mtm, round(ce * n, 2) AS ce, round(pe * n, 2) AS pe FROM (SELECT pf.*, floor({_FUND} // {len(_LADDER)} / (future * {_MARGIN} / 100)) AS n FROM pf JOIN f0 USING (idx, trade_date))),
+lv AS (SELECT unnest({[float(x) for x in _LEVELS]})::DOUBLE AS level),
+cr AS (SELECT ps.*, level, row_number() OVER w AS i, count(*) OVER (PARTITION BY idx, trade_date, level) AS n, CASE WHEN level > 0 THEN mtm > level * {_FUND} / 100 ELSE mtm < level * {_FUND} / 100 END AS b FROM ps, lv WINDOW w AS (PARTITION BY idx, trade_date, level ORDER BY t)),
+fc AS (SELECT idx, trade_date, level, min(i) FILTER (b) AS due, any_value(n) AS n FROM cr GROUP BY idx, trade_date, level)"""
+_PAID = """FROM fc f JOIN cr c ON c.idx = f.idx AND c.trade_date = f.trade_date AND c.level = f.level AND c.i = CASE WHEN due < f.n THEN due + 1 ELSE f.n END
+LEFT JOIN cr x ON x.idx = f.idx AND x.trade_date = f.trade_date AND x.level = f.level AND x.i = CASE WHEN due < f.n THEN due END"""
 
 
-@query()
-def st_dt(spark, sf_dir):
-    m = Market(spark, sf_dir)
-    sets = [(t, 900, s, k, d, sl) for t in (565, 650) for s, k, d, sl in (("SELL", "HL", 5.0, 8.0), ("BUY", "CC", 4.0, 6.0), ("SELL", "HL", 0.0, 8.0))]
-    return strategies.decay_trades(_entries(m, sets, "start int, end int, side string, method string, decay double, sl double"), m.atm, m.legs)
+def _levels(m: Market, *parts: str) -> DataFrame:
+    """The portfolio's profit in money, of whole shares by fund and margin, and what each level pays a minute after its crossing."""
+    m.stored()
+    price = m.session_futures.groupBy("idx", "trade_date").agg(F.min_by("close", "t").alias("future"))
+    total = _portfolio(m, *parts).join(price, ["idx", "trade_date"]).withColumn("n", rollup.shares(_FUND, _MARGIN, F.col("future"), len(_LADDER)))
+    total = total.select("idx", "trade_date", "t", *(F.round(F.col(c) * F.col("n"), 2).alias(c) for c in ("mtm", *parts)))
+    return rollup.crossings(total, ["idx", "trade_date"], _LEVELS, F.lit(_FUND), 1, [*parts])
 
 
-@query()
-def st_nre(spark, sf_dir):
-    m = Market(spark, sf_dir)
-    sets = [(t, 900, "SELL", k, 5.0, 4.0) for t in (565, 650) for k in ("HL", "CC")]
-    return strategies.nre(_entries(m, sets, "start int, end int, side string, method string, sl double, re_sl double"), m.atm, m.legs)
+@query(f", {_PF} SELECT c.idx, c.trade_date, c.level, x.t AS t, c.mtm AS paid {_PAID}")
+def psl_levels(spark, sf_dir):
+    return _levels(Market(spark, sf_dir))
 
 
-@query()
-def st_opt_breakout(spark, sf_dir):
-    m = Market(spark, sf_dir)
-    sets = [(t, 900, s, "HL", 60, 8.0) for t in (565, 610) for s in ("SELL", "BUY")]
-    return strategies.option_breakout(_entries(m, sets, "start int, end int, side string, method string, minutes int, sl double"), m.atm, m.legs)
+@query(f", {_PF} SELECT c.idx, c.trade_date, c.level, x.t AS t, c.mtm AS paid, c.ce AS paid_ce, c.pe AS paid_pe {_PAID}")
+def psl_by_part(spark, sf_dir):
+    """The crossing is the total's; calls and puts are paid apart at its minute."""
+    return _levels(Market(spark, sf_dir), "ce", "pe")
 
 
-@query()
-def st_itarget(spark, sf_dir):
-    m = Market(spark, sf_dir)
-    sets = [(t, 900, "SELL", 6.0, 0.0, p) for t in (565, 610) for p in (0.0, 5.0)]
-    return strategies.itarget(_entries(m, sets, "start int, end int, side string, sl double, intra_sl double, target_percent double"), m.atm, m.legs, GAP)
+@query(f""", {_FILLED} SELECT idx, trade_date, {", ".join(f'round(sum(mtm) FILTER (t = {t}), 4) AS m{t}' for t in (600, 700, 800, 900))} FROM fl GROUP BY ALL""")
+def mtm_wide(spark, sf_dir):
+    wide = mtm.wide(_portfolio(Market(spark, sf_dir)), ["idx", "trade_date"], [600, 700, 800, 900])
+    return wide.withColumnsRenamed({str(t): f"m{t}" for t in (600, 700, 800, 900)})
 
 
 # --- reports -----------------------------------------------------------------------------------------------------------
@@ -732,8 +681,6 @@ def slicer_filter(spark, sf_dir):
 @query("""SELECT label, row_number() OVER (ORDER BY k, CASE WHEN k = 1 THEN suffix ELSE '' END, x, CASE WHEN k = 2 THEN label ELSE '' END)::INT AS place FROM (SELECT *, CASE WHEN x IS NULL THEN 2 WHEN suffix = '' THEN 0 ELSE 1 END AS k FROM (
 SELECT DISTINCT CASE p_size % 3 WHEN 0 THEN p_size::VARCHAR WHEN 1 THEN p_size::VARCHAR || 'SD' ELSE 'ATM' || p_size END AS label, CASE WHEN p_size % 3 < 2 THEN p_size END AS x, CASE WHEN p_size % 3 = 1 THEN 'SD' ELSE '' END AS suffix FROM part))""", market=False)
 def natural_order(spark, sf_dir):
-    from pyspark.sql import Window
-
     label = F.expr("CASE p_size % 3 WHEN 0 THEN CAST(p_size AS STRING) WHEN 1 THEN concat(CAST(p_size AS STRING), 'SD') ELSE concat('ATM', CAST(p_size AS STRING)) END")
     labels = tape.table(spark, sf_dir, "part").select(label.alias("label")).distinct()
     return labels.select("label", F.row_number().over(Window.orderBy(fn.order_key(F.col("label")))).alias("place"))  # a dimension's values
@@ -772,7 +719,10 @@ def macd(spark, sf_dir):
     return indicators.macd(_bars(spark, sf_dir))
 
 
+from strikelab import strategy_queries  # noqa: E402  registers the strategies
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Total points of B120 by entry time, stop and month."""
-    trades = _b120(spark, sf_dir)
+    trades = strategy_queries.st_b120(spark, sf_dir)
     return trades.groupBy("start", "side", "method", "sl", F.month("trade_date").alias("month")).agg(F.round(F.sum("total_pnl"), 2).alias("points"), F.count("*").alias("trades"))

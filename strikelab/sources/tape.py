@@ -47,14 +47,13 @@ def spot(events: DataFrame) -> DataFrame:
 def options(events: DataFrame) -> DataFrame:
     """idx, trade_date, t, scrip, strike, opt_type, high, low, close; some minutes are missing."""
     ticks = _futures_ticks(events).withColumn("k", F.explode(F.sequence(F.lit(80_000), F.lit(120_000), F.lit(5_000))))
-    ticks = ticks.where("(bar + k div 5000) % 11 <> 0")
 
     def premium(of: str, sign: int):
         fade = F.expr(f"greatest(500, 6000 - abs({of} - k) div 4) * (200 - bar) div 200")
         return F.greatest(sign * (F.col(of) - F.col("k")), F.lit(0)) + fade
 
     sides = [F.struct(F.lit("CE").alias("opt_type"), premium("high", 1).alias("h"), premium("low", 1).alias("l"), premium("close", 1).alias("c")), F.struct(F.lit("PE").alias("opt_type"), premium("low", -1).alias("h"), premium("high", -1).alias("l"), premium("close", -1).alias("c"))]
-    rows = ticks.select("idx", "trade_date", "bar", "k", F.inline(F.array(*sides)))
+    rows = ticks.select("idx", "trade_date", "bar", "k", F.inline(F.array(*sides))).where("(bar + k div 5000 + if(opt_type = 'PE', 4, 0)) % 11 <> 0")
     rows = rows.select("idx", "trade_date", "bar", F.concat((F.col("k") / 100).cast("int").cast("string"), "opt_type").alias("scrip"), (F.col("k") / 100).alias("strike"), "opt_type", F.greatest("h", "c").alias("high"), F.least("l", "c").alias("low"), F.col("c").alias("close"))
     return _prices(rows, "scrip", "strike", "opt_type")
 
@@ -78,7 +77,7 @@ kk AS (SELECT *, unnest(range(80000, 120001, 5000)) AS k FROM ft),
 ot AS (SELECT idx, trade_date, bar, k, 'CE' AS opt_type,
   greatest(high - k, 0) + greatest(500, 6000 - abs(high - k) // 4) * (200 - bar) // 200 AS h, greatest(low - k, 0) + greatest(500, 6000 - abs(low - k) // 4) * (200 - bar) // 200 AS l, greatest(close - k, 0) + greatest(500, 6000 - abs(close - k) // 4) * (200 - bar) // 200 AS c FROM kk WHERE (bar + k // 5000) % 11 <> 0
   UNION ALL SELECT idx, trade_date, bar, k, 'PE',
-  greatest(k - low, 0) + greatest(500, 6000 - abs(low - k) // 4) * (200 - bar) // 200, greatest(k - high, 0) + greatest(500, 6000 - abs(high - k) // 4) * (200 - bar) // 200, greatest(k - close, 0) + greatest(500, 6000 - abs(close - k) // 4) * (200 - bar) // 200 FROM kk WHERE (bar + k // 5000) % 11 <> 0),
+  greatest(k - low, 0) + greatest(500, 6000 - abs(low - k) // 4) * (200 - bar) // 200, greatest(k - high, 0) + greatest(500, 6000 - abs(high - k) // 4) * (200 - bar) // 200, greatest(k - close, 0) + greatest(500, 6000 - abs(close - k) // 4) * (200 - bar) // 200 FROM kk WHERE (bar + k // 5000 + 4) % 11 <> 0),
 opt AS (SELECT idx, trade_date, bar * 10 AS t, (k // 100) || opt_type AS scrip, k / 100.0::DOUBLE AS strike, opt_type, greatest(h, c) / 100.0::DOUBLE AS high, least(l, c) / 100.0::DOUBLE AS low, c / 100.0::DOUBLE AS close FROM ot),
 wide AS (SELECT idx, trade_date, t, strike, max(close) FILTER (opt_type = 'CE') AS ce, max(close) FILTER (opt_type = 'PE') AS pe FROM opt GROUP BY ALL),
 cal AS (SELECT trade_date, n, 5 - (n - 1) % 5 AS dte FROM (SELECT trade_date, row_number() OVER (ORDER BY trade_date)::INT AS n FROM (SELECT DISTINCT trade_date FROM ft)))
