@@ -61,9 +61,16 @@ _TAIL = re.compile(rb"([a-z0-9])([.,])(?=[\x20\x09-\x0D])")
 
 
 def cut(text: bytes | None) -> list[bytes]:
-    """The text's pieces. The tokenizer lower-cases, so A-Z can be lower-cased here; texts that may hold a special token, which it finds before that, are only split."""
+    """The text's pieces.
+
+    The tokenizer composes characters and then lower-cases, so A-Z can be lower-cased here where nothing composes with
+    them: marks that do are in U+0300-037F, whose first byte is 0xCC or 0xCD. Other texts keep their case, as do texts
+    that may hold a special token, which the tokenizer finds before that; these are only split.
+    """
     text = text or b""
-    return text.split() if b"<|" in text else _TAIL.sub(rb"\1 \2", text.lower()).split()
+    if b"<|" in text:
+        return text.split()
+    return _TAIL.sub(rb"\1 \2", text if b"\xcc" in text or b"\xcd" in text else text.lower()).split()
 
 
 #: Words of small Latin letters; the tokenizer makes one word of each, and neither composes nor changes its letters.
@@ -241,7 +248,7 @@ def binary_output(docs: DataFrame, path: str, end_id: int) -> tuple[DataFrame, n
 
 
 def digests(read: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of what read_blocks gives."""
+    """doc_id, start, n_tokens, ids_crc32 of what read_blocks gives, row by row: null and repeated ids are as any, no rows give none."""
     return read.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
