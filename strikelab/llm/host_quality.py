@@ -21,13 +21,12 @@ RULES = {
 }
 
 
-def figures(docs: DataFrame, host: str = "source") -> DataFrame:
+def figures(docs: DataFrame, host: str = "source", window_hash: str = "xxhash64(w[i], w[i + 1], w[i + 2])") -> DataFrame:
     """doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of each whole text (null: no words).
 
     Words are runs of other than ASCII white space. Repeated windows of three words are found in the text's own sorted
-    array of (hash of the window, its place), packed in 64 bits; nothing is shuffled. With w words, places take
-    log2(w + 1) bits and the hash the rest: two windows of a text of 20,000 words are mistaken for equal with
-    probability 4e-7.
+    array of (hash of the window, its place), packed in 64 bits; nothing is shuffled. Neighbours of equal hash are
+    compared by their words: where any differ, the text's windows are sorted by their words instead, so the count is exact.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     trimmed = F.btrim(text, F.lit(" \t\n\x0b\f\r"))
@@ -47,10 +46,17 @@ def figures(docs: DataFrame, host: str = "source") -> DataFrame:
         F.expr("shiftleft(1L, CAST(ceil(log2(size(w) + 1)) AS INT)) - 1").alias("low"),
     )
     head = [c for c in sized.columns if c not in ("w", "low")]
-    packed = F.expr("if(n_words < 3, CAST(array() AS ARRAY<BIGINT>), sort_array(transform(sequence(0, CAST(n_words AS INT) - 3), i -> coalesce((xxhash64(w[i], w[i + 1], w[i + 2]) & ~low) | i, 0L))))")
-    ordered = sized.select(*head, "low", packed.alias("s"))
+    packed = F.expr("if(n_words < 3, CAST(array() AS ARRAY<BIGINT>), sort_array(transform(sequence(0, CAST(n_words AS INT) - 3), i -> coalesce((" + window_hash + " & ~low) | i, 0L))))")
+    ordered = sized.select(*head, "w", "low", packed.alias("s"))
     same = "filter(s, (x, i) -> (i > 0 AND (x | low) = (s[greatest(i - 1, 0)] | low)) OR (i < size(s) - 1 AND (x | low) = (s[least(i + 1, size(s) - 1)] | low)))"
-    places = ordered.select(*head, F.expr(f"sort_array(transform({same}, x -> coalesce(x & low, 0L)))").alias("p"))
+    at = lambda x, k: f"w[CAST({x} & low AS INT) + {k}]"
+    differ = " OR ".join(f"{at('s[i]', k)} <> {at('s[i - 1]', k)}" for k in range(3))
+    clash = f"size(s) > 1 AND exists(sequence(1, greatest(size(s) - 1, 1)), i -> (s[i] | low) = (s[i - 1] | low) AND ({differ}))"
+    by_words = "array_sort(transform(sequence(0, CAST(n_words AS INT) - 3), i -> struct(w[i] AS a, w[i + 1] AS b, w[i + 2] AS c, CAST(i AS BIGINT) AS i)))"
+    alike = lambda y: f"(x.a = {y}.a AND x.b = {y}.b AND x.c = {y}.c)"
+    exact = f"transform(array({by_words}), q -> sort_array(transform(filter(q, (x, j) -> (j > 0 AND {alike('q[greatest(j - 1, 0)]')}) OR (j < size(q) - 1 AND {alike('q[least(j + 1, size(q) - 1)]')})), x -> x.i)))[0]"
+    fast = f"sort_array(transform({same}, x -> coalesce(x & low, 0L)))"
+    places = ordered.select(*head, F.expr(f"CASE WHEN {clash} THEN {exact} ELSE {fast} END").alias("p"))
     cover = "aggregate(transform(p, (x, i) -> if(i + 1 < size(p), least(3L, p[least(i + 1, size(p) - 1)] - x), 3L)), 0L, (a, x) -> a + x)"
     return places.select(*head, F.expr(cover).alias("n_repeat_words"))
 
@@ -114,10 +120,10 @@ f AS (SELECT r, doc_id, host, len(w)::BIGINT AS n_words, length(array_to_string(
   (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(p.n, 0)::BIGINT AS n_repeat_words
   FROM d JOIN w USING (r) JOIN l USING (r) LEFT JOIN p USING (r)),
 s AS (SELECT host, count(*) AS n, {", ".join(f"sum(({r})::INT) AS {k}" for k, r in RULES.items())} FROM f GROUP BY host),
-t AS (SELECT sum(n) AS all_n, {", ".join(f"sum({k}) AS all_{k}" for k in RULES)} FROM s),
-v AS (SELECT {", ".join(f"sum(n * ({k}::DOUBLE / n - all_{k}::DOUBLE / all_n) ** 2) AS v_{k}" for k in RULES)} FROM s, t),
-q AS (SELECT host, greatest({", ".join(f"({k} + all_{k}::DOUBLE / all_n * s_{k}) / (n + s_{k})" for k in RULES)}) > {LIMIT} AS host_failed FROM (
-  SELECT *, {", ".join(f"CASE WHEN v_{k} = 0 THEN {STRONGEST} ELSE least(greatest(all_{k}::DOUBLE / all_n * (1 - all_{k}::DOUBLE / all_n) / (v_{k} / all_n) - 1, 1.0), {STRONGEST}) END AS s_{k}" for k in RULES)} FROM s, t, v))
+mo AS (SELECT count(*) FILTER (n > 1) AS hosts, {", ".join(f"coalesce(avg({k}::DOUBLE / n) FILTER (n > 1), sum({k})::DOUBLE / sum(n)) AS m_{k}, avg({k} * ({k} - 1.0)::DOUBLE / (n * (n - 1))) FILTER (n > 1) AS q_{k}, coalesce(var_samp({k}::DOUBLE / n) FILTER (n > 1), 0) AS v_{k}" for k in RULES)} FROM s),
+sp AS (SELECT *, {", ".join(f"q_{k} - m_{k} * m_{k} + v_{k} / nullif(hosts, 0) AS s_{k}" for k in RULES)} FROM mo),
+we AS (SELECT *, {", ".join(f"least(greatest(CASE WHEN s_{k} > 0 THEN m_{k} * (1 - m_{k}) / s_{k} - 1 ELSE {STRONGEST} END, 1.0), {STRONGEST}) AS w_{k}" for k in RULES)} FROM sp),
+q AS (SELECT host, greatest({", ".join(f"({k} + m_{k} * w_{k}) / (n + w_{k})" for k in RULES)}) > {LIMIT} AS host_failed FROM s, we)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   ({RULES["short"]}) OR ({RULES["repeats"]}) AS base_failed,
   NOT (({RULES["short"]}) OR ({RULES["repeats"]})) AND NOT host_failed AS kept, host_failed
