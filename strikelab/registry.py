@@ -16,6 +16,7 @@ from strikelab.operators import indicators, mtm, rollup, strikes
 from strikelab.plans import grid
 from strikelab.plans.lineage import cut
 from strikelab.sources import files, tape
+from strikelab.strategy_sql import ATM as _ATM
 
 queries = lambda: dict(QUERIES)
 oracle_sql = lambda: dict(SQL)
@@ -218,12 +219,6 @@ def entry_ladder(spark, sf_dir):
 
 # --- strikes -----------------------------------------------------------------------------------------------------------
 
-_ATM = f"""ses AS (SELECT * FROM wide WHERE t BETWEEN {FIRST} AND {LAST}), fu AS (SELECT idx, trade_date, t, close AS future, round_even(close / {GAP}, 0) * {GAP} AS k FROM fut WHERE t BETWEEN {FIRST} AND {LAST}),
-cen AS (SELECT fu.idx, fu.trade_date, fu.t, future, round_even((ce - pe + strike) / {GAP}, 0) * {GAP} AS k FROM fu JOIN ses ON fu.idx = ses.idx AND fu.trade_date = ses.trade_date AND fu.t = ses.t AND strike = k WHERE ce IS NOT NULL AND pe IS NOT NULL),
-tri AS (SELECT c.idx, c.trade_date, c.t, future, strike, ce, pe, row_number() OVER (PARTITION BY c.idx, c.trade_date, c.t ORDER BY abs(ce - pe), o.o) AS r FROM cen c, (VALUES (0, 0), (1, {GAP}), (2, -{GAP})) o(o, d), ses s WHERE s.idx = c.idx AND s.trade_date = c.trade_date AND s.t = c.t AND s.strike = c.k + o.d AND s.ce IS NOT NULL AND s.pe IS NOT NULL),
-atm AS (SELECT idx, trade_date, t, future, strike, ce, pe FROM tri WHERE r = 1)"""
-
-
 @query(f", {_ATM} SELECT * FROM atm")
 def atm_straddle(spark, sf_dir):
     return Market(spark, sf_dir).atm
