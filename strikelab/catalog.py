@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from strikelab.functions import triggers
 from strikelab.operators import strikes
+from strikelab.plans import weekly
 from strikelab.plans.lineage import cut
 from strikelab.plans.steps import Desk, menu, session_bars
 from strikelab.sources import tape
@@ -64,11 +65,22 @@ class Market:
     def atm(self) -> DataFrame:
         return strikes.atm(self.session_futures, self.session, GAP)
 
+    def weekly(self, from_dte: int = 5, to_dte: int = 1) -> Market:
+        """The same with weeks as sessions."""
+        calendar = self.futures.select("idx", "trade_date").distinct().join(self.calendar, "trade_date").select("idx", "trade_date", "dte")
+        self.weeks = cut(weekly.week_days(calendar, from_dte, to_dte), "week-days")
+        self.futures, self.options = (cut(weekly.on_weeks(df, self.weeks, opening), name) for df, opening, name in ((self.session_futures, FIRST, "week-futures"), (self.session, FIRST, "week-options")))
+        return self
+
+    def weekly_desk(self, *oms: str) -> Desk:
+        menus = [menu(strikes.by_om(self.futures, self.options, om, GAP), om) for om in oms or ("0",)]
+        return Desk(legs=cut(triggers.legs(self.options), "legs"), menus=cut(reduce(DataFrame.unionByName, menus), "menus"), futures=cut(session_bars(self.futures), "session-futures"), options=self.options, gap=GAP, first=FIRST, last=LAST, days=cut(weekly.week_dtes(self.weeks), "week-dtes"))
+
     def desk(self, *oms: str) -> Desk:
         """What strategies look up, stored; menus of these strike specs."""
         self.stored()
         menus = [menu(strikes.by_om(self.session_futures, self.session, om, GAP), om) for om in oms or ("0",)]
-        return Desk(legs=cut(self.legs, "legs"), menus=cut(reduce(DataFrame.unionByName, menus), "menus"), futures=cut(session_bars(self.session_futures), "session-futures"), options=self.session, gap=GAP)
+        return Desk(legs=cut(self.legs, "legs"), menus=cut(reduce(DataFrame.unionByName, menus), "menus"), futures=cut(session_bars(self.session_futures), "session-futures"), options=self.session, gap=GAP, first=FIRST, last=LAST)
 
     def entries(self, rows: list[tuple], schema: str) -> DataFrame:
         """Each session with each parameter set of a short list."""

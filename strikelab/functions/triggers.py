@@ -286,3 +286,68 @@ def trail_limited(bars: Column, start: Column, end: Column, *, side: Column, o:
         return let(F.aggregate(w, begin, fold), lambda s: F.when(s["n"] > 0, g * (o - s["price"])))
 
     return let(window(bars, start, end), lambda w: let(signs(side), lambda g: F.array(*(limited(w, g, k) for k in range(1, most + 1)))))
+
+
+def range_levels(ce: Column, pe: Column, futures: Column, strike: Column, synthetic: Column | bool) -> Column:
+    """(t, high, low, close) of the future, or of the synthetic one of a strike's legs, on the minutes that all three have."""
+    synthetic = lit(synthetic, "boolean")
+    legs = both_legs(ce, pe, lambda a, b: F.struct(a["t"].alias("t"), (strike + a["high"] - b["low"]).alias("high"), (strike + a["low"] - b["high"]).alias("low"), (strike + a["close"] - b["close"]).alias("close")))
+    one = lambda s, f, c: F.when(synthetic, s[c]).otherwise(f[c]).alias(c)
+    return both_legs(legs, futures, lambda s, f: F.struct(s["t"].alias("t"), one(s, f, "high"), one(s, f, "low"), one(s, f, "close")))
+
+
+def range_stop(
+    bars: Column, levels: Column, start: Column, end: Column, *, side: Column, strike: Column, premium: Column, sl: Column | float, intra: Column | float = 0.0, rate: Column | float = 0.0,
+    opening: int = -1, day: int = 1440, dynamic: Column | bool = False, evenings: Column | None = None, premiums: Column | None = None,
+) -> Column:
+    """A struct (o, hit, intra_hit, t, exit, pnl, days): a straddle's trade that ends when levels leave a band about strike.
+
+    The band is `sl` (and `intra`) percent of the premium wide on either side; the close is tested, and the extremes
+    against the intra band, first, but not on bars that open a day (minute `opening`). A close fills at the close, an
+    intra hit at the straddle's high (SELL) or low. The entry bar and the last bar are never tested, nor are minutes
+    without a level. dynamic: a later day's band comes from the last of `evenings` (d, premium) before it. premiums
+    (t, premium) of the straddle at the money: the band shrinks to every new low. days: (d, pnl) from close to close.
+    """
+    sl, intra, dynamic = lit(sl), lit(intra), lit(dynamic, "boolean")
+    evenings = F.array().cast("array<struct<d:int,premium:double>>") if evenings is None else evenings
+    day_of = lambda t: F.floor(t / day).cast("int")
+    no, none_t, none_p = F.lit(False), F.lit(None).cast("int"), F.lit(None).cast("double")
+    state = lambda low, band, d, t, price, inner: F.struct(low.cast("double").alias("low"), band.cast("double").alias("band"), d.cast("int").alias("d"), t.cast("int").alias("t"), price.cast("double").alias("price"), inner.alias("inner"))
+
+    def joined(tested: Column) -> Column:
+        two = both_legs(tested, levels, lambda b, v: F.struct(b["t"].alias("t"), b.alias("b"), v.alias("v")))
+        if premiums is None:
+            return F.transform(two, lambda x: F.struct(x["b"].alias("b"), x["v"].alias("v"), none_p.alias("p")))
+        # Minutes without a premium stay: their own array entries, matched by time.
+        tagged = F.concat(F.transform(two, lambda x: F.struct(x["t"].alias("t"), F.lit(1).alias("k"), x.alias("x"), none_p.alias("p"))), F.transform(premiums, lambda y: F.struct(y["t"].alias("t"), F.lit(0).alias("k"), F.lit(None).cast("struct<t:int,b:struct<t:int,high:double,low:double,close:double>,v:struct<t:int,high:double,low:double,close:double>>").alias("x"), y["premium"].alias("p"))))
+        side_by_side = let(F.array_sort(tagged), lambda s: F.transform(s, lambda z, i: F.struct(z["x"].alias("x"), F.when((i > 0) & (F.get(s, i - 1)["k"] == 0) & (F.get(s, i - 1)["t"] == z["t"]), F.get(s, i - 1)["p"]).alias("p"))))
+        return F.transform(F.filter(side_by_side, lambda z: z["x"].isNotNull()), lambda z: F.struct(z["x"]["b"].alias("b"), z["x"]["v"].alias("v"), z["p"].alias("p")))
+
+    def fold(s: Column, x: Column) -> Column:
+        b, v = x["b"], x["v"]
+        d = day_of(b["t"])
+        reset = last(F.filter(evenings, lambda e: (e["d"] >= s["d"]) & (e["d"] < d)))["premium"]
+        band = F.when(dynamic, F.coalesce(reset, s["band"])).otherwise(s["band"])
+        lower = F.coalesce(x["p"] < s["low"], no)
+        low, band = F.when(lower, x["p"]).otherwise(s["low"]), F.when(lower, x["p"]).otherwise(band)
+        out = lambda pct, up, down: F.coalesce((up >= strike + band * pct / 100) | (down <= strike - band * pct / 100), no)
+        inner = (intra > 0) & (b["t"] % day != opening) & out(intra, v["high"], v["low"])
+        hit = (sl > 0) & out(sl, v["close"], v["close"])
+        price = F.when(inner, F.when(side == "SELL", b["high"]).otherwise(b["low"])).when(hit, b["close"])
+        return F.when(s["t"].isNotNull(), s).otherwise(state(low, band, d, F.when(inner | hit, b["t"]), price, inner))
+
+    def outcome(r: Column, o: Column, g: Column, s: Column) -> Column:
+        some = F.coalesce(F.size(r) > 0, no)
+        price = F.coalesce(s["price"], last(r)["close"])
+        slip = o * lit(rate)
+        held = F.filter(r, lambda b: b["t"] <= F.coalesce(s["t"], last(r)["t"]))
+        ends = let(held, lambda h: F.transform(F.filter(F.transform(h, lambda b, i: F.struct(b.alias("b"), F.get(h, i + 1)["t"].alias("next"))), lambda y: y["next"].isNull() | (day_of(y["next"]) != day_of(y["b"]["t"]))), lambda y: F.struct(day_of(y["b"]["t"]).alias("d"), F.when(y["next"].isNull(), price).otherwise(y["b"]["close"]).alias("c"))))
+        days = let(ends, lambda e: F.transform(e, lambda y, i: F.struct(y["d"].alias("d"), (g * (F.when(i == 0, o).otherwise(F.get(e, i - 1)["c"]) - y["c"]) - F.when(i == F.size(e) - 1, slip).otherwise(0.0)).alias("pnl"))))
+        return F.struct(F.when(some, o).alias("o"), (some & s["t"].isNotNull()).alias("hit"), (some & s["inner"]).alias("intra_hit"), F.when(some, s["t"]).alias("t"), F.when(some, price).alias("exit"), F.when(some, money(g * (o - price) - slip)).otherwise(0.0).alias("pnl"), F.when(some, days).alias("days"))
+
+    def judged(w: Column, g: Column) -> Column:
+        o = first(w)["close"]
+        begin = state(premium, premium, day_of(first(w)["t"]), none_t, none_p, no)
+        return let(rest(w), lambda r: let(F.aggregate(joined(F.slice(r, F.lit(1), F.greatest(F.size(r) - 1, F.lit(0)))), begin, fold), lambda s: outcome(r, o, g, s)))
+
+    return let(window(bars, start, end), lambda w: let(signs(side), lambda g: judged(w, g)))

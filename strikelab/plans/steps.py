@@ -18,6 +18,8 @@ from strikelab.operators import strikes
 from strikelab.plans.lineage import cut
 
 DAY = ["idx", "trade_date"]
+#: Minutes from one day of a week to the next.
+DAY_MINUTES = 1440
 
 
 class Keys:
@@ -30,7 +32,11 @@ class Keys:
 @dataclass
 class Desk:
     """What a strategy looks up: legs (bars of each scrip and session), menus (choices of each session and om), futures
-    (each session's minutes), options (rows, for choices by a target premium)."""
+    (each session's minutes), options (rows, for choices by a target premium).
+
+    A session is a day, from minute `first` to `last`; or a week, whose minutes go on from day to day by DAY_MINUTES, with
+    `days` (idx, trade_date: its first day, dtes: an array with its days' dte) and flat opening bars.
+    """
 
     legs: DataFrame
     menus: DataFrame
@@ -38,6 +44,14 @@ class Desk:
     options: DataFrame
     gap: float
     rate: float = 0.01
+    first: int = 0
+    last: int = 1439
+    days: DataFrame | None = None
+
+    @property
+    def opens(self) -> Callable[[Column], Column] | None:
+        """In weeks, whether a bar opens a day: stops on it fill at its close."""
+        return None if self.days is None else lambda x: x["t"] % DAY_MINUTES == self.first
 
 
 def scrip_of(strike: Column, kind: str) -> Column:
@@ -88,7 +102,9 @@ def ask_futures(rows: DataFrame, desk: Desk, name: str, f: Callable[[Column, Key
 def enter(rows: DataFrame, desk: Desk, name: str = "pick", *, om: Column | None = None, start: Column | None = None, end: Column | None = None) -> DataFrame:
     """rows with `name`: the first choice of the row's om from start to end; null without one, or without a start."""
     key = session(om=F.col("om") if om is None else om, start=F.col("start") if start is None else start, end=F.col("end") if end is None else end)
-    fits = lambda p: F.coalesce((p["t"] >= F.col("start")) & (p["t"] <= F.col("end")), F.lit(False))
+    # In a week the search stays on its day, but the next day's first minute is still tried.
+    until = F.col("end") if desk.days is None else F.least(F.col("end"), (F.floor(F.col("start") / DAY_MINUTES) + 1) * DAY_MINUTES + desk.first)
+    fits = lambda p: F.coalesce((p["t"] >= F.col("start")) & (p["t"] <= until), F.lit(False))
     return answered(rows, key, lambda q: q.join(desk.menus, [*DAY, "om"]).select("_key", first(F.filter("picks", fits)).alias(name)), name)
 
 
@@ -108,28 +124,35 @@ def enter_pair(rows: DataFrame, desk: Desk, name: str, om: Column, om2: Column,
     return answered(rows, session(om=om, om2=om2, start=start, end=end), answer, name)
 
 
-def enter_at_target(rows: DataFrame, desk: Desk, name: str, kind: str, start: Column, end: Column, target: Column) -> DataFrame:
-    """rows with `name`: the first choice from start to end by a target premium, as a menu's pick.
+def enter_at_target(rows: DataFrame, desk: Desk, kind: str, end: Column, **asked: tuple[Column, Column]) -> DataFrame:
+    """rows with a column for each of asked, name=(start, target): the first choice from start to end by a target premium, as a
+    menu's pick.
 
-    kind: `strangle` (above the target, balanced) or `above` or `closest` (each side's nearest premium). Nearly always
-    the first minutes decide, so these are tried first and the rest of the session only for what they leave open.
+    kind: `strangle` (above the target, balanced) or `above` or `closest` (each side's nearest premium). All questions are
+    one set of distinct keys. Nearly always the first minutes decide, so these are tried first and the rest of the session
+    only for what they leave open. The rows and answers are stored, as both are read more than once.
     """
 
     def chosen(cand: DataFrame) -> DataFrame:
         targets = cand.select(*DAY, "t", "target").distinct()
         found = strikes.strangle(desk.options, targets, desk.gap) if kind == "strangle" else strikes.nearest_premium(desk.options, targets, kind)
         pick = F.struct("t", "future", scrip_of(F.col("ce_strike"), "CE").alias("ce"), scrip_of(F.col("pe_strike"), "PE").alias("pe"), F.col("ce").alias("ce_price"), F.col("pe").alias("pe_price"))
-        return cand.join(found, [*DAY, "t", "target"]).groupBy("_key").agg(F.min(pick).alias(name))
-
-    def answer(q: DataFrame) -> DataFrame:
-        q = q.where("start IS NOT NULL AND target IS NOT NULL").join(desk.futures, DAY)
-        minutes = q.withColumn("fut", F.filter("fut", lambda b: (b["t"] >= F.col("start")) & (b["t"] <= F.col("end"))))
-        part = lambda df, bars: df.select("_key", *DAY, "target", F.explode_outer(bars).alias("b")).select("_key", *DAY, "target", F.col("b.t").alias("t"), F.col("b.close").alias("future"))
-        soon = chosen(part(minutes, F.slice("fut", 1, 3)))
-        late = chosen(part(minutes.join(soon.select("_key"), "_key", "left_anti"), F.slice(F.col("fut"), F.lit(4), F.greatest(F.size("fut"), F.lit(0)))))
-        return soon.unionByName(late)
-
-    return answered(rows, session(start=start, end=end, target=target), answer, name)
+        return cand.join(found, [*DAY, "t", "target"]).groupBy("_key").agg(F.min(pick).alias("_pick"))
+
+    keyed = rows
+    for name, (start, target) in asked.items():
+        keyed = keyed.withColumn(f"_{name}", F.when(start.isNotNull() & target.isNotNull(), F.struct("idx", "trade_date", start.cast("int").alias("start"), end.cast("int").alias("end"), target.alias("target"))))
+    keyed = cut(keyed, "target-rows")
+    keys = reduce(DataFrame.unionByName, (keyed.select(F.col(f"_{name}").alias("_key")) for name in asked)).where("_key IS NOT NULL").distinct()
+    q = keys.select("_key", "_key.*").join(desk.futures, DAY)
+    minutes = cut(q.select("_key", *DAY, "target", F.filter("fut", lambda b: (b["t"] >= F.col("start")) & (b["t"] <= F.col("end"))).alias("fut")), "target-keys")
+    part = lambda df, bars: df.select("_key", *DAY, "target", F.explode_outer(bars).alias("b")).select("_key", *DAY, "target", F.col("b.t").alias("t"), F.col("b.close").alias("future"))
+    soon = cut(chosen(part(minutes, F.slice("fut", 1, 3))), "target-soon")
+    open_ = cut(minutes.join(soon.select("_key"), "_key", "left_anti"), "target-open")
+    found = soon if open_.isEmpty() else soon.unionByName(chosen(part(open_, F.slice(F.col("fut"), F.lit(4), F.greatest(F.size("fut"), F.lit(0))))))
+    for name in asked:
+        keyed = keyed.join(found.select(F.col("_key").alias(f"_{name}"), F.col("_pick").alias(name)), f"_{name}", "left").drop(f"_{name}")
+    return keyed
 
 
 def rounds(rows: DataFrame, step: Callable[[DataFrame, int], DataFrame], most: int, out: list[str], name: str) -> DataFrame:

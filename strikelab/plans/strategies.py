@@ -47,7 +47,7 @@ def earlier(a: Column, b: Column) -> Column:
 
 def leg_stops(rows: DataFrame, desk: Desk, f=None, names=("ce", "pe"), start: Column | None = None, **key: Column) -> DataFrame:
     """rows with ce_r and pe_r: a stop on each leg of the pick from its minute on, or f of the leg's bars and the key."""
-    usual = lambda b, k: stop(b, k.start, k.end, side=k.side, sl=k.sl, intra=k.intra, closes=k.closes, rate=desk.rate)
+    usual = lambda b, k: stop(b, k.start, k.end, side=k.side, sl=k.sl, intra=k.intra, closes=k.closes, rate=desk.rate, opens=desk.opens)
     key = {"side": F.col("side"), "sl": F.col("sl"), "intra": optional(rows, "intra_sl", F.lit(0.0)), "closes": closing(), "end": F.col("end"), "start": F.col("pick.t") if start is None else start} | key
     for k in names:
         rows = ask_leg(rows, desk, f"{k}_r", F.col(f"pick.{k}"), f or usual, **key)
@@ -77,8 +77,8 @@ def to_cost_level(b: Column, k) -> Column:
     return F.when(k.ttc, F.when(first(window(b, k.start, k.end))["close"] > k.cost, k.old).otherwise(k.cost))
 
 
-def follow(b: Column, k) -> Column:
-    return stop(b, k.start, k.end, side=k.side, sl=k.sl, intra=k.intra, sl_price=to_cost_level(b, k), closes=k.closes)
+def follow(b: Column, k, opens=None) -> Column:
+    return stop(b, k.start, k.end, side=k.side, sl=k.sl, intra=k.intra, sl_price=to_cost_level(b, k), closes=k.closes, opens=opens)
 
 
 def settled(rows: DataFrame, rate: float) -> DataFrame:
@@ -89,8 +89,9 @@ def settled(rows: DataFrame, rate: float) -> DataFrame:
     return rows.withColumns({"b_pl": both, "tt_pl": tt, "ut_pl_at_sl": at_sl, "ut_pnl": gain, "total_pnl": money(both + tt + at_sl + gain), "exit_t": F.when(on, F.col("ut_r.t")).otherwise(F.col("both_t"))})
 
 
-def b120_legs(rows: DataFrame, desk: Desk, f=follow, **more: Column) -> DataFrame:
+def b120_legs(rows: DataFrame, desk: Desk, f=None, **more: Column) -> DataFrame:
     """The whole of one separate-stop trade for rows with a pick."""
+    f = f or (lambda b, k: follow(b, k, desk.opens))
     rows = with_first_hit(leg_stops(rows, desk))
     return settled(ask_leg(rows, desk, "ut_r", F.col("ut"), f, **follow_key(rows), **more), desk.rate)
 
@@ -142,7 +143,7 @@ def b120_tt(entries: DataFrame, desk: Desk) -> DataFrame:
     rows = b120_legs(picked(entries, desk), desk)
     rows = enter(rows, desk, "tt", om=F.col("tt_om"), start=F.col("at"))
     scrip = F.when(F.col("first") == "ce", F.col("tt.ce")).when(F.col("first") == "pe", F.col("tt.pe"))
-    rows = ask_leg(rows, desk, "tt_r", scrip, lambda b, k: stop(b, k.start, k.end, side=k.side, sl=k.sl, closes=k.closes, rate=desk.rate), start=F.col("tt.t"), end=F.col("end"), side=F.col("tt_side"), sl=F.col("tt_sl"), closes=F.col("tt_method") == "CC")
+    rows = ask_leg(rows, desk, "tt_r", scrip, lambda b, k: stop(b, k.start, k.end, side=k.side, sl=k.sl, closes=k.closes, rate=desk.rate, opens=desk.opens), start=F.col("tt.t"), end=F.col("end"), side=F.col("tt_side"), sl=F.col("tt_sl"), closes=F.col("tt_method") == "CC")
     return rows.select(*entries.columns, "entry_t", *ut_out(), scrip.alias("tt"), F.col("tt_r.t").alias("tt_t"), pnl("tt_r").alias("tt_pnl"), money(F.col("total_pnl") + pnl("tt_r")).alias("total_pnl"))
 
 
@@ -161,7 +162,7 @@ def b120_ut_rounds(entries: DataFrame, desk: Desk, most: int = 5) -> DataFrame:
             done = done.withColumn("live", F.col("ut_r.target_hit") & (F.col("exit_t") < F.col("end") - 5))
         else:
             kept = rows.select(*entries.columns, "leg", "o", "goal", "far", F.col("exit_t").alias("go"))
-            done = enter_at_target(kept, desk, "pick", "strangle", F.col("go"), F.col("end"), F.col("o")).where("pick IS NOT NULL")
+            done = enter_at_target(kept, desk, "strangle", F.col("end"), pick=(F.col("go"), F.col("o"))).where("pick IS NOT NULL")
             ce = F.col("leg") == "ce"
             done = done.withColumns({"scrip": F.when(ce, F.col("pick.ce")).otherwise(F.col("pick.pe")), "t": F.col("pick.t"), "far": F.when(ce, F.col("pick.ce_price")).otherwise(F.col("pick.pe_price")) + F.col("far") - F.col("goal")})
             done = ask_leg(done, desk, "r", F.col("scrip"), lambda b, k: stop(b, k.start, k.end, side=k.side, sl_price=k.far, target=k.goal, closes=k.closes), start=F.col("t"), end=F.col("end"), side=F.col("side"), far=F.col("far"), goal=F.col("goal"), closes=closing())
@@ -235,7 +236,7 @@ def combined(rows: DataFrame, desk: Desk, name: str = "r", pick: str = "pick", *
     """rows with `name`: the outcome of a combined stop on the pick's straddle, and both legs' closes at its minute, ce_at and pe_at."""
 
     def f(a: Column, b: Column, k) -> Column:
-        return let(stop(straddle_bars(a, b), k.start, k.end, side=k.side, sl=k.sl, intra=k.intra, combined=True, rate=desk.rate), lambda r: F.struct(r["o"].alias("o"), r["h"].alias("h"), r["l"].alias("l"), r["c"].alias("c"), r["sl_hit"].alias("sl_hit"), r["intra_hit"].alias("intra_hit"), r["t"].alias("t"), r["pnl"].alias("pnl"), close_at(a, r["t"]).alias("ce_at"), close_at(b, r["t"]).alias("pe_at")))
+        return let(stop(straddle_bars(a, b), k.start, k.end, side=k.side, sl=k.sl, intra=k.intra, combined=True, rate=desk.rate, opens=desk.opens), lambda r: F.struct(r["o"].alias("o"), r["h"].alias("h"), r["l"].alias("l"), r["c"].alias("c"), r["sl_hit"].alias("sl_hit"), r["intra_hit"].alias("intra_hit"), r["t"].alias("t"), r["pnl"].alias("pnl"), close_at(a, r["t"]).alias("ce_at"), close_at(b, r["t"]).alias("pe_at")))
 
     key = {"side": F.col("side"), "sl": F.col("sl"), "intra": F.col("intra_sl"), "end": F.col("end"), "start": F.col(f"{pick}.t")} | key
     return ask_pair(rows, desk, name, F.col(f"{pick}.ce"), F.col(f"{pick}.pe"), f, **key)
@@ -269,7 +270,7 @@ def sre_separate(entries: DataFrame, desk: Desk, most: int = 7) -> DataFrame:
     """As sre, but a stop on either leg closes both at that minute, the other at its close. entries also has side, sl."""
 
     def f(a: Column, b: Column, k) -> Column:
-        of = lambda x, y: stop(common(window(x, k.start, k.end), y), k.start, k.end, side=k.side, sl=k.sl, rate=desk.rate)
+        of = lambda x, y: stop(common(window(x, k.start, k.end), y), k.start, k.end, side=k.side, sl=k.sl, rate=desk.rate, opens=desk.opens)
         both = let(F.struct(of(a, b).alias("ce"), of(b, a).alias("pe")), lambda r: F.struct(r["ce"].alias("ce"), r["pe"].alias("pe"), close_at(b, r["ce"]["t"]).alias("pe_at"), close_at(a, r["pe"]["t"]).alias("ce_at")))
         return both
 
@@ -291,7 +292,7 @@ def csre(entries: DataFrame, desk: Desk, most: int = 7) -> DataFrame:
     logs = straddle_rounds(entries, desk, most, by_combined_stop(desk), "csre").where(F.col("round") <= F.col("re_entries"))
     exits = logs.where((F.col("round") == F.col("re_entries")) & (F.col("pnl") != 0)).select(*keys, F.col("exit_t").alias("_x"))
     rows = logs.join(exits, keys, "left").withColumn("final_t", F.coalesce("_x", "end")).drop("_x")
-    again = ask_pair(rows, desk, "a", F.col("ce"), F.col("pe"), lambda a, b, k: stop(straddle_bars(a, b), k.start, k.end, side=k.side, combined=True, rate=desk.rate), start=F.col("entry_t"), end=F.col("final_t"), side=F.col("side"))
+    again = ask_pair(rows, desk, "a", F.col("ce"), F.col("pe"), lambda a, b, k: stop(straddle_bars(a, b), k.start, k.end, side=k.side, combined=True, rate=desk.rate, opens=desk.opens), start=F.col("entry_t"), end=F.col("final_t"), side=F.col("side"))
     return again.select("round", *keys, "entry_t", "ce", "pe", "o", "final_t", F.when(F.col("round") < F.col("re_entries"), pnl("a")).otherwise(F.col("pnl")).alias("pnl"))
 
 
@@ -327,7 +328,7 @@ def csre_extremes(entries: DataFrame, desk: Desk, most: int = 5) -> DataFrame:
     all_rounds = rounds(begin, judged, most, [*keys, "go", "held", "live", "failed"], "csre-extremes")
     over = all_rounds.where(~F.col("live") & (F.size("held") > 0)).withColumnRenamed("go", "exit_t")
     trades = over.select(*keys, "exit_t", (~F.col("failed") & (F.col("exit_t") != F.col("end"))).alias("sl_hit"), F.get("held", F.lit(0))["t"].alias("entry_t"), F.posexplode("held").alias("round", "x"))
-    priced = ask_pair(trades, desk, "r", F.col("x.ce"), F.col("x.pe"), lambda a, b, k: stop(straddle_bars(a, b), k.start, k.end, side=F.lit("SELL"), combined=True, rate=desk.rate), start=F.col("entry_t"), end=F.col("exit_t"))
+    priced = ask_pair(trades, desk, "r", F.col("x.ce"), F.col("x.pe"), lambda a, b, k: stop(straddle_bars(a, b), k.start, k.end, side=F.lit("SELL"), combined=True, rate=desk.rate, opens=desk.opens), start=F.col("entry_t"), end=F.col("exit_t"))
     return priced.select("round", *keys, F.col("x.t").alias("entry_t"), F.col("x.ce").alias("ce"), F.col("x.pe").alias("pe"), (F.col("x.ce_price") + F.col("x.pe_price")).alias("o"), "sl_hit", "exit_t", pnl("r").alias("pnl"))
 
 
@@ -346,7 +347,7 @@ def with_ut(rows: DataFrame, desk: Desk, pick: str = "pick", r: str = "r") -> Da
     rows = rows.withColumn("ut", F.when(due, F.when(F.col("ut_side") == "SELL", less).otherwise(more)))
     rows = enter(rows, desk, "up", om=F.col("ut_om"), start=F.when(F.col("ut").isNotNull(), F.col(f"{r}.t")))
     rows = rows.withColumn("ut_scrip", F.when(F.col("ut") == "ce", F.col("up.ce")).when(F.col("ut") == "pe", F.col("up.pe")))
-    return ask_leg(rows, desk, "ut_r", F.col("ut_scrip"), lambda b, k: stop(b, k.start, k.end, side=k.side, sl=k.sl, closes=k.closes, rate=desk.rate), start=F.col("up.t"), end=F.col("end"), side=F.col("ut_side"), sl=F.col("ut_sl"), closes=F.col("ut_method") == "CC")
+    return ask_leg(rows, desk, "ut_r", F.col("ut_scrip"), lambda b, k: stop(b, k.start, k.end, side=k.side, sl=k.sl, closes=k.closes, rate=desk.rate, opens=desk.opens), start=F.col("up.t"), end=F.col("end"), side=F.col("ut_side"), sl=F.col("ut_sl"), closes=F.col("ut_method") == "CC")
 
 
 def sut_out() -> list[Column | str]:
@@ -368,7 +369,7 @@ def sut_tt(entries: DataFrame, desk: Desk) -> DataFrame:
     rows = enter_pair(rows, desk, "m", F.col("ut_om"), F.col("tt_om"), F.when(F.col("ut").isNotNull(), F.col("r.t")), F.col("end"))
     for k, x in (("ut", "a"), ("tt", "b")):
         rows = rows.withColumn(f"{k}_scrip", F.when(F.col(k) == "ce", F.col(f"m.{x}.ce")).when(F.col(k) == "pe", F.col(f"m.{x}.pe")))
-        rows = ask_leg(rows, desk, f"{k}_r", F.col(f"{k}_scrip"), lambda b, q: stop(b, q.start, q.end, side=q.side, sl=q.sl, closes=q.closes, rate=desk.rate), start=F.col("m.t"), end=F.col("end"), side=F.col(f"{k}_side"), sl=F.col(f"{k}_sl"), closes=F.col(f"{k}_method") == "CC")
+        rows = ask_leg(rows, desk, f"{k}_r", F.col(f"{k}_scrip"), lambda b, q: stop(b, q.start, q.end, side=q.side, sl=q.sl, closes=q.closes, rate=desk.rate, opens=desk.opens), start=F.col("m.t"), end=F.col("end"), side=F.col(f"{k}_side"), sl=F.col(f"{k}_sl"), closes=F.col(f"{k}_method") == "CC")
     out = [x for k in ("ut", "tt") for x in (f"{k}_scrip", F.col(f"{k}_r.t").alias(f"{k}_t"), pnl(f"{k}_r").alias(f"{k}_pnl"))]
     return rows.select(*entries.columns, "entry_t", F.col("r.t").alias("std_t"), pnl("r").alias("std_pnl"), F.col("m.t").alias("both_t"), *out, money(pnl("r") + pnl("ut_r") + pnl("tt_r")).alias("total_pnl"))
 
@@ -413,7 +414,7 @@ def starget(entries: DataFrame, desk: Desk) -> DataFrame:
     """Strikes whose premium is nearest to half of future * nv * target_percent / 10000, with a combined stop. entries has side, sl, intra_sl, target_percent, nv."""
     rows = ask_futures(entries, desk, "future", lambda f, k: first(f)["close"])
     rows = rows.withColumn("target", money(F.col("future") * F.col("nv") * F.col("target_percent") / 10000 / 2))
-    rows = enter_at_target(rows, desk, "pick", "closest", F.col("start"), F.col("end"), F.col("target")).where("pick IS NOT NULL")
+    rows = enter_at_target(rows, desk, "closest", F.col("end"), pick=(F.col("start"), F.col("target"))).where("pick IS NOT NULL")
     rows = combined(rows, desk)
     return rows.select(*entries.columns, F.col("pick.t").alias("entry_t"), "target", F.col("pick.ce").alias("ce"), F.col("pick.pe").alias("pe"), F.col("r.o").alias("o"), F.col("r.t").alias("exit_t"), pnl("r").alias("total_pnl"))
 
@@ -421,7 +422,7 @@ def starget(entries: DataFrame, desk: Desk) -> DataFrame:
 # --- wait for decay -----------------------------------------------------------------------------------------------------
 
 
-def wait_and_stop(b: Column, k, rate: float, *, percent: Column | None = None, price: Column | None = None, start: Column | None = None, goal: Column | None = None, wait_side: Column | None = None) -> Column:
+def wait_and_stop(b: Column, k, desk: Desk, *, percent: Column | None = None, price: Column | None = None, start: Column | None = None, goal: Column | None = None, wait_side: Column | None = None) -> Column:
     """A struct (d, r): a decay, then a stop from its minute on, entered at the decay's price (HL) or the close (CC).
 
     goal: a target so many percent further on.
@@ -429,14 +430,14 @@ def wait_and_stop(b: Column, k, rate: float, *, percent: Column | None = None, p
 
     def stopped(d: Column) -> Column:
         target = None if goal is None else d["price"] * (1 - F.when(k.side == "SELL", 1.0).otherwise(-1.0) * goal / 100)
-        r = stop(b, d["t"], k.end, side=k.side, sl=k.sl, closes=k.closes, rate=rate, entry=F.when(~k.closes, d["price"]), target=target)
+        r = stop(b, d["t"], k.end, side=k.side, sl=k.sl, closes=k.closes, rate=desk.rate, opens=desk.opens, entry=F.when(~k.closes, d["price"]), target=target)
         return F.struct(d.alias("d"), r.alias("r"))
 
     return let(decay(b, k.start if start is None else start, k.end, side=k.side if wait_side is None else wait_side, percent=percent, price=price, closes=k.closes), stopped)
 
 
 def decay_legs(rows: DataFrame, desk: Desk, f=None, **key: Column) -> DataFrame:
-    f = f or (lambda b, k: wait_and_stop(b, k, desk.rate, percent=k.decay))
+    f = f or (lambda b, k: wait_and_stop(b, k, desk, percent=k.decay))
     return leg_stops(rows, desk, f, decay=F.col("decay"), **key)
 
 
@@ -468,7 +469,7 @@ def dt_first_ut(entries: DataFrame, desk: Desk) -> DataFrame:
     """The leg that decays first with a stop fsl; after it, more than five minutes before the end, the other leg with a stop ssl."""
     rows = first_signal(decay_legs(picked(entries, desk), desk, sl=F.col("fsl")))
     due = F.when(F.col("fs.t") < F.col("end") - 5, F.col("fs.t"))
-    rows = ask_leg(rows, desk, "ut_r", F.col("other"), lambda b, k: stop(b, k.start, k.end, side=k.side, sl=k.sl, closes=k.closes, rate=desk.rate), start=due, end=F.col("end"), side=F.col("side"), sl=F.col("ssl"), closes=closing())
+    rows = ask_leg(rows, desk, "ut_r", F.col("other"), lambda b, k: stop(b, k.start, k.end, side=k.side, sl=k.sl, closes=k.closes, rate=desk.rate, opens=desk.opens), start=due, end=F.col("end"), side=F.col("side"), sl=F.col("ssl"), closes=closing())
     return rows.select(*entries.columns, "entry_t", "first", "signal_t", F.col("fs.t").alias("fs_t"), pnl("fs").alias("fs_pnl"), "other", F.col("ut_r.t").alias("ut_t"), pnl("ut_r").alias("ut_pnl"), money(pnl("fs") + pnl("ut_r")).alias("total_pnl"))
 
 
@@ -495,7 +496,7 @@ def dt_trail(entries: DataFrame, desk: Desk) -> DataFrame:
     def f(b: Column, k) -> Column:
         def stopped(d: Column) -> Column:
             o = F.when(~k.closes, d["price"])
-            plain = stop(b, d["t"], k.end, side=k.side, sl=k.sl, closes=k.closes, rate=desk.rate, entry=o)
+            plain = stop(b, d["t"], k.end, side=k.side, sl=k.sl, closes=k.closes, rate=desk.rate, opens=desk.opens, entry=o)
             stepped = trail(b, d["t"], k.end, mode="STEP", side=k.side, sl=k.sl, step=k.step, sl_step=k.sl_step, closes=k.closes, rate=desk.rate, entry=o)
             of = lambda r, moved: F.struct(r["t"].alias("t"), r["pnl"].alias("pnl"), moved.alias("moved"))
             return F.struct(d.alias("d"), F.when((k.step == 0) & (k.sl_step == 0), let(plain, lambda r: of(r, F.lit(False)))).otherwise(let(stepped, lambda r: of(r, r["moved"]))).alias("r"))
@@ -516,11 +517,11 @@ def dtn(entries: DataFrame, desk: Desk) -> DataFrame:
             goal = x["d"]["price"] * (1 - F.when(k.side == "SELL", 1.0).otherwise(-1.0) * k.goal / 100)
 
             def stopped(d: Column) -> Column:
-                return F.struct(x["d"].alias("d"), x["r"].alias("r"), d.alias("d2"), stop(b, d["t"], k.end, side=k.side, sl=k.sl, closes=k.closes, rate=desk.rate, entry=F.when(~k.closes, x["d"]["price"]), target=goal).alias("r2"))
+                return F.struct(x["d"].alias("d"), x["r"].alias("r"), d.alias("d2"), stop(b, d["t"], k.end, side=k.side, sl=k.sl, closes=k.closes, rate=desk.rate, opens=desk.opens, entry=F.when(~k.closes, x["d"]["price"]), target=goal).alias("r2"))
 
             return let(decay(b, F.when(x["r"]["target_hit"], x["r"]["t"]), k.end, side=other, price=x["d"]["price"], closes=k.closes), stopped)
 
-        return let(wait_and_stop(b, k, desk.rate, percent=k.decay, goal=k.goal), again)
+        return let(wait_and_stop(b, k, desk, percent=k.decay, goal=k.goal), again)
 
     rows = decay_legs(picked(entries, desk), desk, f, goal=F.col("target"))
     more = [x for k in ("ce", "pe") for x in (F.col(f"{k}_r.r.target_hit").alias(f"{k}_target"), F.col(f"{k}_r.d2.t").alias(f"{k}_re_t"), pnl(f"{k}_r.r2").alias(f"{k}_re_pnl"))]
@@ -556,11 +557,11 @@ def nre(entries: DataFrame, desk: Desk, most: int = 7) -> DataFrame:
     def f(b: Column, k) -> Column:
         log = lambda n, t, r: F.struct(n.cast("int").alias("round"), t.cast("int").alias("entry_t"), r["o"].alias("o"), r["t"].cast("int").alias("exit_t"), r["pnl"].alias("pnl"))
         state = lambda done, out: F.struct(done.alias("done"), out.cast("int").alias("out"))
-        begin = let(stop(b, k.start, k.end, side=k.side, sl=k.sl, closes=k.closes, rate=desk.rate), lambda r: state(F.array(log(F.lit(0), k.start, r)), r["t"]))
+        begin = let(stop(b, k.start, k.end, side=k.side, sl=k.sl, closes=k.closes, rate=desk.rate, opens=desk.opens), lambda r: state(F.array(log(F.lit(0), k.start, r)), r["t"]))
 
         def fold(s: Column, n: Column) -> Column:
             def entered(d: Column) -> Column:
-                r = stop(b, d["t"], k.end, side=k.side, sl=k.re_sl, closes=k.closes, rate=desk.rate, entry=F.when(~k.closes, k.cost))
+                r = stop(b, d["t"], k.end, side=k.side, sl=k.re_sl, closes=k.closes, rate=desk.rate, opens=desk.opens, entry=F.when(~k.closes, k.cost))
                 return let(r, lambda r: state(F.when(d["hit"], F.concat(s["done"], F.array(log(n, d["t"], r)))).otherwise(s["done"]), r["t"]))
 
             return let(decay(b, s["out"], k.end, side=k.side, price=k.cost, closes=k.closes), entered)
@@ -588,7 +589,7 @@ def plain_first(desk: Desk):
     """The first round: a stop sl on each leg."""
 
     def run(rows: DataFrame) -> DataFrame:
-        rows = ask_leg(rows, desk, "r", F.col("scrip"), lambda b, k: stop(b, k.start, k.end, side=k.side, sl=k.sl, closes=k.closes, rate=desk.rate), **leg_key(start=F.col("t"), sl=F.col("sl")))
+        rows = ask_leg(rows, desk, "r", F.col("scrip"), lambda b, k: stop(b, k.start, k.end, side=k.side, sl=k.sl, closes=k.closes, rate=desk.rate, opens=desk.opens), **leg_key(start=F.col("t"), sl=F.col("sl")))
         return rows.withColumns({"entry_t": F.col("t"), "o": F.col("r.o"), "exit_t": F.col("r.t"), "pnl": pnl("r"), "live": F.col("r.t").isNotNull()})
 
     return run
@@ -605,10 +606,10 @@ def nre_cc(entries: DataFrame, desk: Desk, most: int = 7, till: bool = False, tr
         rows = rows.withColumn("was_t", F.col("exit_t"))
         rows = ask_leg(rows, desk, "at", F.col("scrip"), lambda b, k: F.struct(close_at(b, k.start).alias("close"), decay(b, k.start, k.end, side=k.side, price=k.cost, closes=k.closes).alias("d")), **leg_key(start=F.col("was_t"), cost=F.col("cost")))
         stays = F.col("cost") <= F.col("at.close")
-        rows = enter_at_target(rows.withColumn("stays", stays), desk, "new", "strangle", F.when(~stays, F.col("was_t")), F.col("end"), F.col("cost"))
+        rows = enter_at_target(rows.withColumn("stays", stays), desk, "strangle", F.col("end"), new=(F.when(~stays, F.col("was_t")), F.col("cost")))
         rows = rows.withColumns({"scrip": F.when(F.col("stays"), F.col("scrip")).otherwise(leg_of("new")), "cost": F.when(F.col("stays"), F.col("cost")).otherwise(leg_of("new", "_price")), "t": F.when(F.col("stays"), F.col("at.d.t")).otherwise(F.col("new.t"))})
         rows = rows.where("t IS NOT NULL AND scrip IS NOT NULL")
-        plain = lambda b, k: stop(b, k.start, k.end, side=k.side, sl=k.sl, closes=k.closes, rate=desk.rate, entry=F.when(~k.closes, k.cost))
+        plain = lambda b, k: stop(b, k.start, k.end, side=k.side, sl=k.sl, closes=k.closes, rate=desk.rate, opens=desk.opens, entry=F.when(~k.closes, k.cost))
         key = leg_key(start=F.col("t"), sl=F.col("re_sl"), cost=F.col("cost"))
         if trailed:
             by = lambda b, k: trail(b, k.start, k.end, mode="RATIO", side=k.side, sl=k.sl, gap=k.gap, closes=k.closes, to_cost=k.to_cost, rate=desk.rate, entry=F.when(~k.closes, k.cost))
@@ -635,7 +636,7 @@ def nre_decay(entries: DataFrame, desk: Desk, most: int = 7) -> DataFrame:
         return done(rows.withColumns({"entry_t": F.col("t"), "far": F.col("r.stop")}))
 
     def again(rows: DataFrame) -> DataFrame:
-        rows = enter_at_target(rows.withColumn("was_t", F.col("exit_t")), desk, "new", "above", F.col("was_t"), F.col("end"), F.col("far")).where("new IS NOT NULL")
+        rows = enter_at_target(rows.withColumn("was_t", F.col("exit_t")), desk, "above", F.col("end"), new=(F.col("was_t"), F.col("far"))).where("new IS NOT NULL")
         rows = rows.withColumn("scrip", leg_of("new"))
         f = lambda b, k: let(decay(b, k.start, k.end, side=k.side, price=k.cost, closes=k.closes), lambda d: F.struct(d.alias("d"), by(b, k, d["t"], F.when(~k.closes, k.cost)).alias("r")))
         rows = ask_leg(rows, desk, "x", F.col("scrip"), f, **leg_key(start=F.col("new.t"), sl=F.col("sl"), gap=F.col("ratio"), cost=F.col("cost0"))).where("x.d.hit")
@@ -649,7 +650,7 @@ def red(entries: DataFrame, desk: Desk, most: int = 7) -> DataFrame:
 
     def again(rows: DataFrame) -> DataFrame:
         rows = enter(rows.withColumn("was_t", F.col("exit_t")), desk, "new", start=F.col("was_t")).where("new IS NOT NULL").withColumn("scrip", leg_of("new"))
-        rows = ask_leg(rows, desk, "x", F.col("scrip"), lambda b, k: wait_and_stop(b, k, desk.rate, percent=k.decay), **leg_key(start=F.col("new.t"), sl=F.col("sl"), decay=F.col("decay"))).where("x.d.hit")
+        rows = ask_leg(rows, desk, "x", F.col("scrip"), lambda b, k: wait_and_stop(b, k, desk, percent=k.decay), **leg_key(start=F.col("new.t"), sl=F.col("sl"), decay=F.col("decay"))).where("x.d.hit")
         return rows.withColumns({"entry_t": F.col("x.d.t"), "o": F.col("x.r.o"), "exit_t": F.col("x.r.t"), "pnl": pnl("x.r"), "live": F.col("x.r.t").isNotNull()})
 
     return leg_rounds(entries, desk, plain_first(desk), again, most, "red")
@@ -659,7 +660,7 @@ def dt_rounds(entries: DataFrame, desk: Desk, most: int = 7) -> DataFrame:
     """dt of each leg with a target (re_decay percent); when it is met, a new strike by om is entered after its decay, up to `most` times."""
 
     def one(rows: DataFrame, start: Column) -> DataFrame:
-        rows = ask_leg(rows, desk, "x", F.col("scrip"), lambda b, k: wait_and_stop(b, k, desk.rate, percent=k.decay, goal=k.goal), **leg_key(start=start, sl=F.col("sl"), decay=F.col("decay"), goal=F.col("re_decay"))).where("x.d.hit")
+        rows = ask_leg(rows, desk, "x", F.col("scrip"), lambda b, k: wait_and_stop(b, k, desk, percent=k.decay, goal=k.goal), **leg_key(start=start, sl=F.col("sl"), decay=F.col("decay"), goal=F.col("re_decay"))).where("x.d.hit")
         return rows.withColumns({"entry_t": F.col("x.d.t"), "o": F.col("x.r.o"), "exit_t": F.col("x.r.t"), "pnl": pnl("x.r"), "live": F.coalesce(F.col("x.r.target_hit"), F.lit(False))})
 
     def again(rows: DataFrame) -> DataFrame:
@@ -680,7 +681,7 @@ def sbs(entries: DataFrame, desk: Desk) -> DataFrame:
         side = F.lit("SELL" if kind == "sell" else "BUY")
 
         def f(b: Column, k) -> Column:
-            plain = stop(b, k.start, k.end, side=k.side, sl=k.sl, closes=k.closes, rate=desk.rate)
+            plain = stop(b, k.start, k.end, side=k.side, sl=k.sl, closes=k.closes, rate=desk.rate, opens=desk.opens)
             stepped = trail(b, k.start, k.end, mode="STEP", side=k.side, sl=k.sl, step=k.step, sl_step=k.sl_step, closes=k.closes, rate=desk.rate)
 
             def out(x: Column) -> Column:
@@ -714,7 +715,7 @@ def option_breakout(entries: DataFrame, desk: Desk) -> DataFrame:
     def f(b: Column, k) -> Column:
         head = window(b, k.start, k.start + k.minutes)
         edge = F.when(k.side == "SELL", F.array_min(F.transform(head, lambda x: x["low"]))).otherwise(F.array_max(F.transform(head, lambda x: x["high"])))
-        return wait_and_stop(b, k, desk.rate, price=edge, start=k.start + k.minutes)
+        return wait_and_stop(b, k, desk, price=edge, start=k.start + k.minutes)
 
     rows = leg_stops(picked(entries, desk), desk, f, minutes=F.col("minutes"))
     return rows.select(*entries.columns, "entry_t", *decay_out("ce"), *decay_out("pe"), money(pnl("ce_r.r") + pnl("pe_r.r")).alias("total_pnl"))
@@ -737,7 +738,7 @@ def future_breakout(entries: DataFrame, desk: Desk) -> DataFrame:
     down = F.col("way") == "ce"
     rows = rows.withColumn("sold", F.when(down, F.col("pick.ce")).otherwise(F.col("pick.pe"))).withColumn("bought", F.when(down, F.col("pick.pe")).otherwise(F.col("pick.ce")))
     for name, side in (("sold", "SELL"), ("bought", "BUY")):
-        rows = ask_leg(rows, desk, f"{name}_r", F.col(name), lambda b, k: stop(b, k.start, k.end, side=k.side, sl=k.sl, closes=k.closes, rate=desk.rate), **leg_key(side=F.lit(side), start=F.col("pick.t"), sl=F.col("sl")))
+        rows = ask_leg(rows, desk, f"{name}_r", F.col(name), lambda b, k: stop(b, k.start, k.end, side=k.side, sl=k.sl, closes=k.closes, rate=desk.rate, opens=desk.opens), **leg_key(side=F.lit(side), start=F.col("pick.t"), sl=F.col("sl")))
     out = [x for k in ("sold", "bought") for x in (k, F.col(f"{k}_r.t").alias(f"{k}_t"), pnl(f"{k}_r").alias(f"{k}_pnl"))]
     return rows.select(*entries.columns, F.when(down, "down").otherwise("up").alias("way"), "break_t", "entry_t", *out, money(pnl("sold_r") + pnl("bought_r")).alias("total_pnl"))
 

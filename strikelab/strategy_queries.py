@@ -5,12 +5,16 @@ Each runs over all sessions of the tape with a short list of parameter sets.
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strikelab import strategy_sql as sql
 from strikelab.catalog import FIRST, LAST, Market, query
 from strikelab.functions import triggers
 from strikelab.operators import mtm, rollup
+from strikelab.plans import shift, weekly
 from strikelab.plans import strategies as st
 from strikelab.plans.steps import session_bars
 
@@ -408,9 +412,9 @@ def _at_target(out: str, src: str, target: str, start: str) -> str:
 
 
 def _cc_again(out, src):
-    stays = "coalesce(cost <= now_, false)"
+    stays = "coalesce(cost <= px_, false)"
     leg = lambda a: f"CASE WHEN leg = 'ce' THEN n_ce{a} ELSE n_pe{a} END"
-    return f"""{out}_n AS (SELECT s.*, o.close AS now_ FROM {src} s JOIN opt o ON o.idx = s.idx AND o.trade_date = s.trade_date AND o.scrip = s.scrip AND o.t = s.go),
+    return f"""{out}_n AS (SELECT s.*, o.close AS px_ FROM {src} s JOIN opt o ON o.idx = s.idx AND o.trade_date = s.trade_date AND o.scrip = s.scrip AND o.t = s.go),
 {sql.decay(f"{out}_d", f"{out}_n", "d", "scrip", "go", price="cost")},
 {_at_target(f"{out}_t", f"{out}_d", "cost", f"CASE WHEN NOT {stays} THEN go END")},
 {out}_u AS (SELECT * REPLACE (CASE WHEN {stays} THEN scrip ELSE {leg("")} END AS scrip, CASE WHEN {stays} THEN cost ELSE {leg("p")} END AS cost), CASE WHEN {stays} THEN d_dt ELSE n_t END AS in_t FROM {out}_t),
@@ -531,3 +535,128 @@ m5 AS (SELECT rid, min(bt) AS entry_t, any_value(body) AS body, any_value(wing)
 @query(f", {sql.menu(*WINGS)},\n{sql.entries(*S_FLY)},\n{_FLY}\nSELECT {sql.keys(S_FLY[1])}, entry_t, sell_ce, sell_pe, buy_ce, buy_pe, body, wing, exit_t, round_even((body - wing) - px - (body + wing) * 0.01, 2) + 0 AS total_pnl FROM m2 JOIN m5 USING (rid) WHERE body * 0.9 > wing")
 def st_ironfly(spark, sf_dir):
     return _run(st.ironfly, spark, sf_dir, *S_FLY, WINGS)
+
+
+# --- premium shift ------------------------------------------------------------------------------------------------------
+
+SHIFT = [(t, 900, "SELL", k, d, mv) for t in (565, 650) for k, d, mv in (("HL", 5.0, 60.0), ("CC", 10.0, 65.0))]
+SHIFT_SCHEMA = "start int, end int, side string, method string, divider double, movement double"
+S_SHIFT = sets(SHIFT, SHIFT_SCHEMA, "ATM+1")
+SHIFT_OM = ("ATM+1", "0")
+
+
+def _shifted(spark, sf_dir, given=None, **how):
+    return _run(shift.shift, spark, sf_dir, *(given or S_SHIFT), SHIFT_OM, **how)
+
+
+def _labelled(parts: dict) -> DataFrame:
+    return reduce(DataFrame.unionByName, (df.withColumn("rule", F.lit(name)) for name, df in parts.items()))
+
+
+@query()
+def st_shift(spark, sf_dir):
+    return _shifted(spark, sf_dir, ending="none")
+
+
+@query()
+def st_shift_stop(spark, sf_dir):
+    """The ending rules, one beside the other."""
+    m = Market(spark, sf_dir)
+    desk = m.desk(*SHIFT_OM)
+    return _labelled({rule: shift.shift(m.entries(*S_SHIFT), desk, ending=rule) for rule in ("premium", "straddle", "nstraddle")})
+
+
+@query()
+def st_shift_exit(spark, sf_dir):
+    """The exit rules, one beside the other."""
+    m = Market(spark, sf_dir)
+    desk = m.desk(*SHIFT_OM)
+    pairs = {"price": ("premium", "price"), "both": ("straddle", "both"), "separate": ("premium", "separate"), "ut": ("straddle", "ut")}
+    return _labelled({name: shift.shift(m.entries(*S_SHIFT), desk, ending=e, closing_by=x) for name, (e, x) in pairs.items()})
+
+
+@query()
+def st_shift_trail(spark, sf_dir):
+    return _shifted(spark, sf_dir, sets([(*r, 10.0) for r in SHIFT], f"{SHIFT_SCHEMA}, trail double", "ATM+1"), trailed=True)
+
+
+@query()
+def st_shift_action(spark, sf_dir):
+    return _shifted(spark, sf_dir, sets([(*r, n) for r in SHIFT for n in (1, 2)], f"{SHIFT_SCHEMA}, action int", "ATM+1"), limited=True)
+
+
+@query()
+def st_shift_re(spark, sf_dir):
+    return _run(shift.shift_again, spark, sf_dir, *S_SHIFT, SHIFT_OM)
+
+
+# --- weeks --------------------------------------------------------------------------------------------------------------
+
+WEEK_END = 4 * 1440 + 900
+S_WEEK_B120 = sets([(t, WEEK_END, s, k, sl, ut) for t in (565, 650) for s, k, sl, ut in (("SELL", "HL", 20.0, "20"), ("SELL", "CC", 15.0, "TTC"), ("BUY", "HL", 15.0, "20"))], B120_SCHEMA)
+_RANGE_SCHEMA = "start int, end int, side string, sl double, intra_sl double, fixed_or_dynamic string, normal_or_cut string, synthetic_future boolean, dte1re int, dte2re int, dte3re int, dte4re int, dte5re int"
+RANGE = [(565, WEEK_END, "SELL", sl, i, f, c, y, 1, 1, 1, 1, 1) for sl, i, f, c, y in ((12.0, 0.0, "FIXED", "NORMAL", False), (20.0, 30.0, "DYNAMIC", "NORMAL", True), (15.0, 0.0, "DYNAMIC", "CUT", False))]
+S_RANGE = sets(RANGE, _RANGE_SCHEMA)
+
+
+def _weekly(spark, sf_dir, rows, schema, *oms):
+    m = Market(spark, sf_dir).weekly()
+    return m.entries(rows, schema), m.weekly_desk(*(oms or OM))
+
+
+@query()
+def mod_weekly(spark, sf_dir):
+    """The separate-stop strategy over weeks."""
+    return st.b120(*_weekly(spark, sf_dir, *S_WEEK_B120))
+
+
+def _ranges(spark, sf_dir, **how):
+    entries, desk = _weekly(spark, sf_dir, *S_RANGE)
+    return weekly.srew_range(entries, desk, **how), entries.columns
+
+
+@query()
+def st_srew_range(spark, sf_dir):
+    return _ranges(spark, sf_dir)[0].drop("days")
+
+
+@query()
+def st_srew_range_trail(spark, sf_dir):
+    return _ranges(spark, sf_dir, trailed=True)[0].drop("days")
+
+
+@query()
+def range_sl_trail(spark, sf_dir):
+    """The first trade alone, whose band shrinks with the premium."""
+    return _ranges(spark, sf_dir, trailed=True, most=0)[0].drop("days", "round")
+
+
+@query()
+def daywise_last5(spark, sf_dir):
+    rows, keys = _ranges(spark, sf_dir)
+    return weekly.last_five(weekly.daywise(rows, keys), keys)
+
+
+S_TO_STD = ([(*r, "0", "ATM+2") for r in RANGE], f"{_RANGE_SCHEMA}, om string, starting_om string")
+
+
+@query()
+def st_str_to_std(spark, sf_dir):
+    """The strangles and, as further rows, the straddles that follow."""
+    entries, desk = _weekly(spark, sf_dir, *S_TO_STD, "0", "ATM+2")
+    strangles, rows = weekly.strangle_to_straddle(entries, desk)
+    first_rows = strangles.select(F.lit(-1).alias("round"), *entries.columns, "entry_t", "ce", "pe", F.col("touch_t").alias("exit_t"), F.col("first_pnl").alias("pnl"))
+    return first_rows.unionByName(rows.select("round", *entries.columns, "entry_t", "ce", "pe", "exit_t", "pnl"))
+
+
+_DAYS = """dw AS (SELECT f.idx, f.trade_date, o.scrip, o.t, o.close, dense_rank() OVER (PARTITION BY f.idx, f.wk ORDER BY f.trade_date)::INT - 1 AS d, min(f.trade_date) OVER (PARTITION BY f.idx, f.wk) AS first_day
+ FROM (SELECT DISTINCT q.idx, q.trade_date, (n - 1) // 5 AS wk FROM ft q JOIN cal USING (trade_date)) f JOIN opt o ON o.idx = f.idx AND o.trade_date = f.trade_date WHERE o.t BETWEEN {a} AND {b}),
+de AS (SELECT idx, first_day, scrip, d, arg_min(close, t) AS o, arg_max(close, t) AS c FROM dw GROUP BY ALL)"""
+
+
+@query(f""", {_DAYS.format(a=FIRST, b=LAST)}, dv AS (SELECT *, lag(c) OVER w AS p, row_number() OVER (PARTITION BY idx, first_day, scrip ORDER BY d DESC) AS r, first_value(o) OVER w AS o1 FROM de WINDOW w AS (PARTITION BY idx, first_day, scrip ORDER BY d))
+SELECT idx, first_day AS trade_date, scrip, d, round(coalesce(p, o) - c - CASE WHEN r = 1 THEN o1 * 0.01 ELSE 0 END, 4) + 0 AS pnl FROM dv""")
+def daywise_mtm(spark, sf_dir):
+    """Each scrip sold for the whole week."""
+    m = Market(spark, sf_dir).weekly()
+    return weekly.daywise_leg(m.weekly_desk().legs, ["idx", "trade_date", "scrip"], side="SELL", rate=0.01)
