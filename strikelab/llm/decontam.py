@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw, slices
+from .common import raw, slices, stored
 
 #: ASCII capitals become small; every ASCII byte that is no letter or digit becomes a space; bytes from 0x80 are parts of words.
 _NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -30,12 +30,14 @@ def windows_of(text: bytes | None, width: int) -> list[bytes]:
     return [b" " + b" ".join(w[i : i + k]) + b" " for i in range(len(w) - k + 1)] if k else []
 
 
-def automaton(items: list[tuple[str, bytes]], width: int) -> ahocorasick.Automaton | None:
+def automaton(items: list[tuple[str | None, bytes]], width: int) -> ahocorasick.Automaton | None:
     """Each window leads to (its bytes in Latin-1 letters, its words, the items that hold it). None if no item has words."""
     holders: dict[bytes, set[str]] = {}
     for item, text in items:
         for w in windows_of(text, width):
-            holders.setdefault(w, set()).add(item)
+            ids = holders.setdefault(w, set())
+            if item is not None:
+                ids.add(item)
     if not holders:
         return None
     out = ahocorasick.Automaton()
@@ -84,16 +86,33 @@ def spans(text: str | None, hit: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[str, bytes]]]:
-    """The benchmark's items, streamed from Spark a partition at a time, in blocks of bounded size."""
-    out, held = [[]], 0
-    for r in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("binary")).where("item_id IS NOT NULL AND text IS NOT NULL").toLocalIterator():
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str | None, bytes]]]:
+    """The benchmark's items from Spark, a partition at a time, in blocks of bounded size; one block at least."""
+    block, held = [], 0
+    for r in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("binary")).where("text IS NOT NULL").toLocalIterator():
         if held and held + len(r[1]) > block_bytes:
-            out.append([])
-            held = 0
-        out[-1].append((r[0], bytes(r[1])))
+            yield block
+            block, held = [], 0
+        block.append((r[0], bytes(r[1])))
         held += len(r[1])
-    return out
+    yield block
+
+
+_OUT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start: long, end: long>>"
+
+
+def _digested(ids: pa.Array, texts: list[bytes | None], rows: list[tuple[int, np.ndarray, list[str]]]) -> pa.RecordBatch:
+    return pa.record_batch(
+        {
+            "doc_id": ids,
+            "n_words": pa.array([n for n, _, _ in rows], pa.int64()),
+            "n_hit": pa.array([int(h.sum()) for _, h, _ in rows], pa.int64()),
+            "n_items": pa.array([len(i) for _, _, i in rows], pa.int64()),
+            "items_sha256": pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for _, _, i in rows], pa.string()),
+            "contaminated": pa.array([bool(h.any()) for _, h, _ in rows], pa.bool_()),
+            "spans": pa.array([[{"start": s, "end": e} for s, e in spans((t or b"").decode(), h)] if h.any() else [] for t, (_, h, _) in zip(texts, rows, strict=True)], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+        }
+    )
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -102,49 +121,64 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_
     Words: runs of letters, digits and non-ASCII characters, A-Z lower-cased. A document word is hit inside any
     occurrence of a window: `width` consecutive words of an item, or all words of a shorter item. items_sha256: hex of the
     items' ids, sorted as strings and comma-joined. spans: (start, end) in characters of the original text. Null text: no
-    words. Items without id, text or words match nothing. Rows with a null or repeated doc_id are judged one by one. The
-    automaton's size is bounded by block_bytes; a larger benchmark takes one scan a block, and a text's blocks are merged
-    in its task.
+    words. Items without text or words match nothing; those without an id hit words but are no items. Rows with a null or
+    repeated doc_id are judged one by one. An automaton's size is bounded by block_bytes, and the driver holds two blocks
+    at a time: a larger benchmark takes one pass over the texts a block, each a stored table with the hits so far.
     """
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     blocks = _blocks(benchmark, block_bytes)
+    block, after = next(blocks), next(blocks, None)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finders = [automaton(x, width) for x in blocks] if len(blocks) == 1 else None
-        for b in slices(batches, most=4 << 20 if finders else 64 << 20):
+    def whole(batches: Iterator[pa.RecordBatch], items=block) -> Iterator[pa.RecordBatch]:
+        find = automaton(items, width)
+        for b in slices(batches):
             texts = raw(b["text"])
-            rows = [scan(t, finders[0]) for t in texts] if finders else None
-            for x in [] if finders else blocks:
-                find = automaton(x, width)
-                more = [scan(t, find) for t in texts]
-                rows = more if rows is None else [(n, h | g, sorted({*i, *j})) for (n, h, i), (_, g, j) in zip(rows, more, strict=True)]
-            yield pa.record_batch(
-                {
-                    "doc_id": b["doc_id"],
-                    "n_words": pa.array([n for n, _, _ in rows], pa.int64()),
-                    "n_hit": pa.array([int(h.sum()) for _, h, _ in rows], pa.int64()),
-                    "n_items": pa.array([len(i) for _, _, i in rows], pa.int64()),
-                    "items_sha256": pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for _, _, i in rows]),
-                    "contaminated": pa.array([bool(h.any()) for _, h, _ in rows]),
-                    "spans": pa.array([[{"start": s, "end": e} for s, e in spans((t or b"").decode(), h)] if h.any() else [] for t, (_, h, _) in zip(texts, rows, strict=True)], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                }
-            )
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start: long, end: long>>"
-    )
+            yield _digested(b["doc_id"], texts, [scan(t, find) for t in texts])
+
+    if after is None:
+        return base.mapInArrow(whole, _OUT)
+
+    def passed(items):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            find = automaton(items, width)
+            for b in slices(batches):
+                rows = [scan(t, find) for t in raw(b["text"])]
+                hits = [np.packbits(h) | np.frombuffer(old, np.uint8) if old else np.packbits(h) for (_, h, _), old in zip(rows, raw(b["hits"]), strict=True)]
+                held = [sorted({*i, *(old or [])}) for (_, _, i), old in zip(rows, b["items"].to_pylist(), strict=True)]
+                yield pa.record_batch([b["doc_id"], b["text"], pa.array([h.tobytes() for h in hits], pa.binary()), pa.array(held, pa.list_(pa.string()))], ["doc_id", "text", "hits", "items"])
+
+        return run
+
+    def ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            texts = raw(b["text"])
+            counts = [len(words_of(t)) for t in texts]
+            rows = [(n, np.unpackbits(np.frombuffer(h, np.uint8), count=n).astype(bool), i) for n, h, i in zip(counts, raw(b["hits"]), b["items"].to_pylist(), strict=True)]
+            yield _digested(b["doc_id"], texts, rows)
+
+    rows = base.select("*", F.lit(None).cast("binary").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
+    while block is not None:
+        rows = stored(rows.mapInArrow(passed(block), "doc_id long, text string, hits binary, items array<string>"), "contamination")
+        block, after = after, next(blocks, None) if after is not None else None
+    return rows.mapInArrow(ended, _OUT)
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs, all columns as they are, whose text holds no benchmark window. Null texts stay."""
-    blocks = _blocks(benchmark, block_bytes)
+    """The rows of docs, all columns as they are, whose text holds no benchmark window. Null and empty texts stay; ties, null ids
+    and repeated rows are as any row. A large benchmark takes a pass a block, each over what the one before it kept."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finders = [automaton(x, width) for x in blocks] if len(blocks) == 1 else None
-        for b in slices(batches, most=4 << 20 if finders else 64 << 20):
-            texts = raw(b.column(b.schema.get_field_index("text")))
-            keep = np.ones(len(texts), bool)
-            for find in finders or (automaton(x, width) for x in blocks):
-                keep &= [next(find.iter((b" " + b" ".join(words_of(t)) + b" ").decode("latin-1")), None) is None if find and t else True for t in texts]
-            yield b.filter(pa.array(keep))
+    def kept(items):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            find = automaton(items, width)
+            for b in slices(batches):
+                keep = [next(find.iter((b" " + b" ".join(words_of(t)) + b" ").decode("latin-1")), None) is None if find and t else True for t in raw(b.column(b.schema.get_field_index("text")))]
+                yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+        return run
+
+    blocks = _blocks(benchmark, block_bytes)
+    block, after = next(blocks), next(blocks, None)
+    while after is not None:
+        docs = stored(docs.mapInArrow(kept(block), docs.schema), "decontaminated")
+        block, after = after, next(blocks, None)
+    return docs.mapInArrow(kept(block), docs.schema)

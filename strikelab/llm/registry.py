@@ -36,7 +36,9 @@ def op3_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("spans")
+    """n_spans: stretches of the original text that are hit; their offsets are the operator's spans."""
+    found = decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.withColumn("n_spans", F.size("spans").cast("long")).drop("spans")
 
 
 def op5_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,9 +80,10 @@ b AS (SELECT item_id, list_filter(string_split_regex({_LOWER}, '[\x00-\x2F\x3A-\
 iw AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS gram FROM (SELECT item_id, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
 dg AS (SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') AS gram FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM a, (SELECT DISTINCT k FROM iw) WHERE len(w) >= k)),
 h AS (SELECT doc_id, i, k, item_id FROM dg JOIN iw USING (k, gram)),
-hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM h) GROUP BY doc_id),
+pos AS (SELECT DISTINCT doc_id, unnest(range(i, i + k)) AS p FROM h),
+hit AS (SELECT doc_id, count(*) AS n, count(*) FILTER (before IS NULL OR p <> before + 1) AS s FROM (SELECT *, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM pos) GROUP BY doc_id),
 it AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY doc_id)
-SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(it.n, 0)::BIGINT AS n_items, sha256(coalesce(it.ids, '')) AS items_sha256, hit.n IS NOT NULL AS contaminated
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(it.n, 0)::BIGINT AS n_items, sha256(coalesce(it.ids, '')) AS items_sha256, hit.n IS NOT NULL AS contaminated, coalesce(hit.s, 0)::BIGINT AS n_spans
 FROM a LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
