@@ -4,7 +4,9 @@ A surrogate is the image of the entity under a keyed permutation of all strings
 vowel for a vowel, a capital for a capital, each within its script). A permutation gives different entities different
 surrogates and the same entity the same one everywhere, without a shared table, and here it moves every value that has a
 letter or a digit. A check over the whole corpus still compares all pairs of entity and surrogate and takes the next key
-if two entities meet. Gender is not determined: a title stays, and with it the last letters of the words of Latin, Greek and Cyrillic names.
+if two entities meet. A name's words are entities of their own, so that a full name, its surname alone and the same words
+without a title elsewhere in the text agree in every document. Titles, which tell the gender, stay, and with them the last
+letters of the words of Latin, Greek and Cyrillic names.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ import hashlib
 import ipaddress
 import re
 import unicodedata
+import warnings
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
@@ -76,6 +79,9 @@ ALPHABETS = [
 _ROW = {c: (row, row.index(c)) for row in ALPHABETS for c in row}
 # Country codes of one and two digits; all others have three.
 _COUNTRY = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}")
+# Domains that tell nothing of a person, and second levels that belong to the country.
+PROVIDERS = {"aol.com", "example.com", "example.net", "example.org", "gmail.com", "gmx.de", "gmx.net", "hotmail.com", "icloud.com", "mail.ru", "outlook.com", "proton.me", "web.de", "yahoo.com", "yandex.ru"}
+SECOND = {"ac", "co", "com", "edu", "gov", "net", "org"}
 _HEX = "0123456789abcdef"
 _LATIN = "abcdefghijklmnopqrstuvwxyz"
 
@@ -181,7 +187,7 @@ def surrogate_of(kind: str, value: str, key: bytes) -> str:
     if kind == "email":
         name, _, host = value.lower().rpartition("@")
         labels = host.split(".")
-        held = ".".join(labels[-2:]) if len(labels) > 1 else ""
+        held = host if host in PROVIDERS else ".".join(labels[-2 if len(labels) > 2 and labels[-2] in SECOND else -1 :])
         free = host[: len(host) - len(held)]
         new = _format(f"{name}@{free}", [_row(c) for c in f"{name}@{free}"], key, kind) + held
         return _recase(new, value)
@@ -253,18 +259,43 @@ def _windows(text: str) -> Iterator[tuple[int, int]]:
         yield start, end
 
 
+_NAME_WORD = re.compile(r"[^ -]+")
+
+
 def entities(text: str | None) -> Iterator[tuple[str, int, int]]:
-    """(kind, start, end) of each entity, in order and apart from each other."""
+    """(kind, start, end) of each entity, in order and apart from each other.
+
+    Names are found after titles; each of their words is an entity, and so is every other place in the text where the same
+    word stands alone.
+    """
+    found: list[tuple[int, int, str]] = []
+    words: set[str] = set()
     for i, j in _windows(text) if text else ():
         for m in _FIND.finditer(text, i, j):
             kind = m.lastgroup
-            yield ("secret" if kind == "assigned" else kind), m.start(kind), m.end(kind)
+            if kind == "name":
+                for w in _NAME_WORD.finditer(text, m.start(kind), m.end(kind)):
+                    found.append((w.start(), w.end(), kind))
+                    words.add(w[0])
+            else:
+                found.append((m.start(kind), m.end(kind), "secret" if kind == "assigned" else kind))
+    if words:
+        apart = rf"(?<![\w@.+%'{_SIGNS}-])(?:{'|'.join(map(re.escape, sorted(words, key=lambda w: (-len(w), w))))})(?![\w@{_SIGNS}])"
+        taken = sorted(found)
+        starts = [x[0] for x in taken]
+        for m in re.finditer(apart, text):
+            k = bisect_left(starts, m.end()) - 1  # the last entity that starts before the word's end
+            if k < 0 or taken[k][1] <= m.start():
+                found.append((m.start(), m.end(), "name"))
+    for i, j, kind in sorted(found):
+        yield kind, i, j
 
 
 def pseudonymised(docs: DataFrame, key: bytes, name: str = "entities") -> DataFrame:
     """docs, all columns, with surrogates in text, and `name`: an array of (kind, start, end) in the new text.
 
-    Null and empty texts stay as they are and hold no entity; nothing else of a row is changed.
+    Null and empty texts stay as they are and hold no entity; nothing else of a row is changed, but that a column of docs
+    called `name` gives way. Ties, null ids and repeated rows are as any row.
     """
     base = docs.drop(name)
     kind_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -312,10 +343,15 @@ def collisions(docs: DataFrame, key: bytes) -> DataFrame:
     return met.unionByName(parted).where("n_entities > 1 OR n_surrogates > 1")
 
 
-def surrogates(docs: DataFrame, secret: str, tries: int = 4) -> DataFrame:
-    """pseudonymised(docs) under the first of `tries` keys drawn from secret that keeps all entities of docs apart."""
-    for i in range(tries):
-        key = hashlib.blake2b(f"{secret}\0{i}".encode(), digest_size=32).digest()
+def surrogates(docs: DataFrame, secret: str, tries: int = 4, name: str = "entities") -> DataFrame:
+    """pseudonymised(docs) under the first of `tries` keys drawn from secret that keeps all entities of docs apart.
+
+    Surrogates are one-to-one by construction, so the first key does; if none did, the first is taken, with a warning that
+    counts what meets. Odd rows: see pseudonymised; an empty table gives an empty one.
+    """
+    keys = [hashlib.blake2b(f"{secret}\0{i}".encode(), digest_size=32).digest() for i in range(tries)]
+    for key in keys:
         if stored(collisions(docs, key), "surrogate-collisions").isEmpty():
-            return pseudonymised(docs, key)
-    raise ValueError("no key keeps the entities apart")
+            return pseudonymised(docs, key, name)
+    warnings.warn(f"{collisions(docs, keys[0]).count()} surrogates or entities are not one to one under any of {tries} keys", stacklevel=2)
+    return pseudonymised(docs, keys[0], name)
