@@ -165,4 +165,7 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     parts = jaccard_components(docs, width, percent)
     kept = parts.where("doc_id = component_id AND n_shingles > 0").select("doc_id").distinct()
     bare = parts.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id").distinct()
-    return docs.join(kept.union(bare).distinct().withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    name = "_kept"
+    while name in docs.columns:
+        name += "_"
+    return docs.join(kept.union(bare).distinct().withColumnRenamed("doc_id", name), F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")

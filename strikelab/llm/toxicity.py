@@ -88,11 +88,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model | Non
     """A model from labelled rows that are not held out, `rows` of them at most; None without both classes.
 
     Terms are counted over these rows in Spark, by class; the TERMS with the largest gain of information are kept. Only
-    those terms of these rows come to the driver. Null labels and texts are left out.
+    those terms of these rows come to the driver. Null labels and texts are left out; of several documents with one id the
+    least text is taken, of several labels the highest.
     """
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)").where(~held_out())
     marks = marks.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    rows_of = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text IS NOT NULL").join(F.broadcast(marks), "doc_id")
+    rows_of = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text IS NOT NULL").join(F.broadcast(marks), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, total = Memo(buckets_of, 50_000), np.zeros((2, BUCKETS), np.int32)
@@ -162,5 +163,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs, all columns as they are, that score under the threshold."""
-    return score(docs, fit(docs, labels), "_toxic").where(F.col("_toxic") < threshold).drop("_toxic")
+    """The rows of docs, all columns as they are, that score under the threshold.
+
+    Null and empty texts score as no terms do, ties and repeated rows as any row; without labels of both classes all stay.
+    """
+    name = "_toxic"
+    while name in docs.columns:
+        name += "_"
+    return score(docs, fit(docs, labels), name).where(F.col(name) < threshold).drop(name)
