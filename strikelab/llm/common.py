@@ -2,28 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
+from strikelab.plans.lineage import scratch
+
 #: ASCII white space, as Java regular expressions and Python's bytes.split() see it.
 WHITE = r"[\x20\x09-\x0D]"
 
 
-def scratch(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a folder of our own only where that is unset (local runs)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """df written once to the shared folder and read back, so that later jobs neither recompute it nor depend on an executor's disk."""
     spark = df.sparkSession
