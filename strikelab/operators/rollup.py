@@ -121,7 +121,9 @@ def crossings(mtm: DataFrame, keys: list[str], levels: list[float], limit: Colum
     return found.select(*keys, "_x.*")
 
 
-def shares(fund: float, margin_percent: float, price: Column, entries: int | None) -> Column:
+def shares(fund: float, margin_percent: float, price: Column, entries: int | Column | None) -> Column:
     """Shares to trade: whole ones for each of `entries` of a ladder, each with its whole part of the fund; without a ladder the fund's, in fractions."""
     margin = price * margin_percent / 100
-    return F.floor(F.lit(fund // entries) / margin).cast("double") if entries else fund / margin
+    if entries is None:
+        return fund / margin
+    return F.floor(F.floor(F.lit(float(fund)) / entries) / margin).cast("double")

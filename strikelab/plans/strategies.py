@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from strikelab.functions.scalars import money
 from strikelab.functions.triggers import both_legs, close_at, common, decay, first, let, stop, straddle_bars, trail, trail_limited, window
-from strikelab.plans.steps import DAY, Desk, ask_futures, ask_leg, ask_pair, enter, enter_at_target, enter_pair, rounds, scrip_of
+from strikelab.operators import mtm, rollup
+from strikelab.plans.steps import DAY, Desk, answered, ask_futures, ask_leg, ask_pair, enter, enter_at_target, enter_pair, rounds, scrip_of, session
 
 
 def closing() -> Column:
@@ -773,3 +774,118 @@ def ironfly(entries: DataFrame, desk: Desk, wings: float = 0.9) -> DataFrame:
 
     rows = rows.withColumn("r", net(F.col("a"), F.col("b"))).where(F.col("r.body") * wings > F.col("r.wing"))
     return rows.select(*entries.columns, "r.entry_t", F.col("m.a.ce").alias("sell_ce"), F.col("m.a.pe").alias("sell_pe"), F.col("m.b.ce").alias("buy_ce"), F.col("m.b.pe").alias("buy_pe"), "r.body", "r.wing", "r.exit_t", F.col("r.pnl").alias("total_pnl"))
+
+
+def hedged(entries: DataFrame, desk: Desk, most: int = 7) -> DataFrame:
+    """Sell a straddle to the end; buy each cheap hedge (menu om `hedge_om`, pairs of legs valid in the straddle's minute) once it has
+    risen by hedge_decay percent, with a stop hedge_sl, and again at that price after each stop, up to `most` times.
+
+    One row for the straddle (leg std, round 0) and one for each hedge entered. entries also has method, hedge_om, hedge_sl, hedge_decay.
+    """
+    keys = entries.columns
+    rows = enter_pair(entries, desk, "m", F.lit("0"), F.col("hedge_om"), F.col("start"), F.col("end")).where("m IS NOT NULL")
+    rows = ask_pair(rows, desk, "std", F.col("m.a.ce"), F.col("m.a.pe"), lambda a, b, k: stop(straddle_bars(a, b), k.start, k.end, side=F.lit("SELL"), combined=True, rate=desk.rate, opens=desk.opens), start=F.col("m.t"), end=F.col("end"))
+
+    def f(b: Column, k) -> Column:
+        state = lambda done, out: F.struct(done.alias("done"), out.cast("int").alias("out"))
+        log = lambda n, d, r: F.struct(n.cast("int").alias("round"), d["t"].cast("int").alias("entry_t"), r["o"].alias("o"), r["t"].cast("int").alias("exit_t"), r["pnl"].alias("pnl"))
+        none = F.array().cast("array<struct<round:int,entry_t:int,o:double,exit_t:int,pnl:double>>")
+
+        def fold(s: Column, n: Column) -> Column:
+            entered = lambda d: let(stop(b, d["t"], k.end, side=F.lit("BUY"), sl=k.sl, closes=k.closes, rate=desk.rate, opens=desk.opens, entry=F.when(~k.closes, k.goal)), lambda r: state(F.when(d["hit"], F.concat(s["done"], F.array(log(n, d, r)))).otherwise(s["done"]), r["t"]))
+            return let(decay(b, s["out"], k.end, side=F.lit("BUY"), price=k.goal, closes=k.closes), entered)
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(most)), state(none, k.start), fold)["done"]
+
+    out = [rows.select(*keys, F.lit("std").alias("leg"), F.concat_ws(",", "m.a.ce", "m.a.pe").alias("scrip"), F.lit(0).alias("round"), F.col("m.t").alias("entry_t"), F.col("std.o").alias("o"), F.lit(None).cast("int").alias("exit_t"), pnl("std").alias("pnl"))]
+    for k in ("ce", "pe"):
+        goal = F.col(f"m.b.{k}_price") * (100 + F.col("hedge_decay")) / 100
+        one = ask_leg(rows, desk, "x", F.col(f"m.b.{k}"), f, start=F.col("m.t"), end=F.col("end"), sl=F.col("hedge_sl"), closes=closing(), goal=goal)
+        out.append(one.select(*keys, F.lit(k).alias("leg"), F.col(f"m.b.{k}").alias("scrip"), F.explode("x").alias("x")).select(*keys, "leg", "scrip", "x.*"))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+# --- modifiers ----------------------------------------------------------------------------------------------------------
+
+
+def gated(entries: DataFrame, desk: Desk) -> DataFrame:
+    """entries whose start is the first minute, from start to five minutes before the end, at which the straddle's premium is at or
+    under its LOW, HIGH or AVG (std_indicator) of the buffer_minute before, times 1 + indicator_buffer; others go.
+
+    A look at a minute may find the next one's straddle, so in the average a premium counts for its own minute, and for the
+    one before if that has none. The asked start is kept as from_t.
+    """
+
+    def answer(q: DataFrame) -> DataFrame:
+        low = F.greatest(F.lit(desk.first), F.col("start") - F.col("minutes"))
+        premium = F.transform("picks", lambda p, i: F.struct(p["t"].alias("t"), (p["ce_price"] + p["pe_price"]).alias("v"), F.get("picks", i - 1)["t"].alias("was")))
+        near = F.filter(premium, lambda x: (x["t"] >= low) & (x["t"] <= F.col("start")))
+        count = lambda x: (x["t"] < F.col("start")).cast("int") + ((x["t"] - 1 >= low) & F.coalesce(x["was"] != x["t"] - 1, F.lit(True))).cast("int")
+        total = lambda of: F.aggregate(near, F.lit(0.0), lambda a, x: a + of(x))
+        values = F.transform(near, lambda x: x["v"])
+        extreme = F.when(F.col("kind") == "LOW", F.array_min(values)).when(F.col("kind") == "HIGH", F.array_max(values)).otherwise(F.try_divide(total(lambda x: x["v"] * count(x)), total(lambda x: count(x).cast("double"))))
+        q = q.join(desk.menus.where("om = '0'").select(*DAY, "picks"), DAY).select("_key", "start", "end", "picks", (extreme * (1 + F.col("buffer"))).alias("level"))
+        hit = first(F.filter("picks", lambda p: (p["t"] >= F.col("start")) & (p["t"] <= F.col("end") - 4) & F.coalesce(p["ce_price"] + p["pe_price"] <= F.col("level"), F.lit(False))))
+        return q.select("_key", hit["t"].alias("_at"))
+
+    key = session(start=F.col("start"), end=F.col("end"), kind=F.upper("std_indicator"), buffer=F.col("indicator_buffer"), minutes=F.col("buffer_minute"))
+    rows = answered(entries, key, answer, "_at").where("_at IS NOT NULL")
+    return rows.withColumn("from_t", F.col("start")).withColumn("start", F.col("_at")).drop("_at")
+
+
+def b120_series(rows: DataFrame, desk: Desk, times_ut: float = 1.0) -> DataFrame:
+    """rows (with a pick) and exit_t, std and ut: the minute series of the two legs and of the followed one, each an array of series.
+
+    The leg that is followed counts for itself up to the minute before its following begins, and is held from there.
+    """
+
+    def both(f, opens=desk.opens):
+        def run(b: Column, k) -> Column:
+            return let(f(b, k), lambda r: F.struct(*(r[c].alias(c) for c in ("o", "t", "pnl", "sl_price")), mtm.series(b, k.start, k.end, r, k.side, k.rate).alias("points")))
+
+        return run
+
+    plain = lambda b, k: stop(b, k.start, k.end, side=k.side, sl=k.sl, intra=k.intra, closes=k.closes, rate=desk.rate, opens=desk.opens)
+    rows = with_first_hit(leg_stops(rows, desk, both(plain), rate=F.lit(desk.rate)))
+    rows = ask_leg(rows, desk, "ut_r", F.col("ut"), both(lambda b, k: follow(b, k, desk.opens)), **follow_key(rows), rate=F.lit(0.0))
+    on = F.col("ut_r.o").isNotNull()
+    began = F.get("ut_r.points", F.lit(0))["t"]
+    cut_ = lambda k, first_leg: F.when(on & (F.col("first") == first_leg), F.filter(F.col(f"{k}_r.points"), lambda p: p["t"] <= began - 1)).otherwise(F.col(f"{k}_r.points"))
+    scaled = F.transform("ut_r.points", lambda p: F.struct(p["t"].alias("t"), (p["mtm"] * times_ut).alias("mtm")))
+    none = F.array().cast("array<struct<t:int,mtm:double>>")
+    return rows.withColumns({"std": F.array(cut_("ce", "pe"), cut_("pe", "ce")), "ut_points": F.when(on, scaled).otherwise(none), "exit_t": F.when(on, F.col("ut_r.t")).otherwise(F.col("both_t"))})
+
+
+def portfolio_stop(entries: DataFrame, desk: Desk, levels: list[float], fund: float, margin_percent: float, step: int = 1, lag: int = 1) -> DataFrame:
+    """b120 entered on a ladder from start to last_trade_time every trade_interval minutes, its minute profit added up, and what each
+    level of the fund pays: keys, level, t, paid and its parts paid_std and paid_ut.
+
+    A ladder's entry that several sets share is traded once; the grid's rows are summed by set.
+    """
+    keys = entries.columns
+    ladder = entries.withColumn("go", F.explode(F.sequence("start", "last_trade_time", F.col("trade_interval").cast("int"))))
+    asked = [c for c in keys if c not in ("start", "last_trade_time", "trade_interval")]
+    trades = ladder.select(*asked, "go").distinct()
+    series = b120_series(picked(trades, desk, start=F.col("go")), desk)
+    grid = lambda points: mtm.filled(points, desk.first, desk.last, step)
+    whole = series.select(*asked, "go", F.explode(F.array(*(F.struct(F.lit(p).alias("part"), grid(x).alias("grid")) for p, x in (("std", F.col("std")[0]), ("std", F.col("std")[1]), ("ut", F.col("ut_points")))))).alias("x")).select(*asked, "go", "x.*")
+    joined = ladder.join(whole, [*asked, "go"])
+    parts = mtm.portfolio(joined, [*keys, "part"]).groupBy(*keys, "t").agg(F.sum("mtm").alias("mtm"), *(F.sum(F.when(F.col("part") == p, F.col("mtm")).otherwise(0.0)).alias(p) for p in ("std", "ut")))
+    price = desk.futures.select(*DAY, F.element_at("fut", 1)["close"].alias("_price"))
+    n = F.floor((F.col("last_trade_time") - F.col("start")) / F.col("trade_interval")) + 1
+    money_rows = parts.join(price, DAY).withColumn("_n", rollup.shares(fund, margin_percent, F.col("_price"), n))
+    money_rows = money_rows.select(*keys, "t", *(F.round(F.col(c) * F.col("_n"), 2).alias(c) for c in ("mtm", "std", "ut")))
+    return rollup.crossings(money_rows, keys, levels, F.lit(float(fund)), lag, ["std", "ut"])
+
+
+def b120_double_ut(entries: DataFrame, desk: Desk, most: int = 5) -> DataFrame:
+    """b120 again from its exit, with the followed leg's profit doubled; a row a round with its profit at the end."""
+    keys = entries.columns
+
+    def step(rows: DataFrame, n: int) -> DataFrame:
+        done = b120_series(picked(rows.select(*keys, "go"), desk, start=F.col("go")), desk, 2.0)
+        end = lambda points: F.coalesce(F.try_element_at(points, F.lit(-1))["mtm"], F.lit(0.0))
+        total = money(end(F.col("std")[0]) + end(F.col("std")[1]) + end(F.col("ut_points")))
+        return done.select(*keys, "entry_t", F.col("pick.ce").alias("ce"), F.col("pick.pe").alias("pe"), "exit_t", total.alias("total_pnl"), F.col("exit_t").alias("go"), (F.col("exit_t") < F.col("end") - 5).alias("live"))
+
+    return rounds(entries.withColumn("go", F.col("start")), step, most, [*keys, "entry_t", "ce", "pe", "exit_t", "total_pnl"], "b120-double")

@@ -5,6 +5,7 @@ Each runs over all sessions of the tape with a short list of parameter sets.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -13,10 +14,11 @@ from pyspark.sql import functions as F
 from strikelab import strategy_sql as sql
 from strikelab.catalog import FIRST, LAST, Market, query
 from strikelab.functions import triggers
-from strikelab.operators import mtm, rollup
+from strikelab.operators import strikes
 from strikelab.plans import shift, weekly
 from strikelab.plans import strategies as st
-from strikelab.plans.steps import session_bars
+from strikelab.plans.lineage import cut
+from strikelab.plans.steps import menu
 
 OM = ("0",)
 TIMES = (565, 610, 650)
@@ -660,3 +662,92 @@ def daywise_mtm(spark, sf_dir):
     """Each scrip sold for the whole week."""
     m = Market(spark, sf_dir).weekly()
     return weekly.daywise_leg(m.weekly_desk().legs, ["idx", "trade_date", "scrip"], side="SELL", rate=0.01)
+
+
+# --- hedge, queue, modifiers --------------------------------------------------------------------------------------------
+
+S_HEDGE = ([(t, 900, k, "hedge", 20.0, 10.0) for t in (565, 650) for k in ("HL", "CC")], "start int, end int, method string, hedge_om string, hedge_sl double, hedge_decay double")
+
+
+@query()
+def st_hedge_bre(spark, sf_dir):
+    """Hedges cost at least 30 % of the straddle's mean leg."""
+    m = Market(spark, sf_dir)
+    desk = m.desk()
+    targets = m.atm.select("idx", "trade_date", "t", "future", ((F.col("ce") + F.col("pe")) / 2 * 0.3).alias("target"))
+    cheap = menu(strikes.nearest_premium(m.session, targets).drop("target"), "hedge")
+    desk = replace(desk, menus=desk.menus.unionByName(cut(cheap, "menus")))
+    return st.hedged(m.entries(*S_HEDGE), desk)
+
+
+QUEUE = [("IDX0", g, n, 570 + 30 * g + 10 * n, "0", 6.0 + g, u) for g in range(4) for n, u in ((1, "10"), (2, "TTC"), (3, "0"))] + [("IDX1", g, n, 600 + 40 * g + 10 * n, "ATM+1", 8.0, "12") for g in range(3) for n in (1, 2)]
+
+
+def _queued(spark, sf_dir, trim):
+    m = Market(spark, sf_dir)
+    desk = m.desk("0", "ATM+1")
+    queue = spark.createDataFrame(QUEUE, "idx string, group_no int, seq_no int, start int, om string, sl double, ut_sl string")
+    return st.b120_queue(m.entries([(900, "SELL", "HL", n) for n in (2, 4)], "end int, side string, method string, lots int"), queue, desk, trim)
+
+
+@query()
+def st_b120_queue(spark, sf_dir):
+    """Trimmed after each group, and after each row."""
+    return _labelled({trim: _queued(spark, sf_dir, trim) for trim in ("group", "row")})
+
+
+S_SI = sets([(*r, i, b, 60) for r in B120 for i, b in (("low", 0.02), ("high", -0.05), ("avg", 0.0))], f"{B120_SCHEMA}, std_indicator string, indicator_buffer double, buffer_minute int")
+_GATE = f"""g1 AS (SELECT en.rid, m.t, m.ce_price + m.pe_price AS v, lag(m.t) OVER (PARTITION BY en.rid ORDER BY m.t) AS was FROM en JOIN menu m ON m.idx = en.idx AND m.trade_date = en.trade_date AND m.om = '0'),
+g2 AS (SELECT en.rid, start, std_indicator, indicator_buffer, t, v, greatest({FIRST}, start - buffer_minute) AS lo, (t < start)::INT + (t - 1 >= greatest({FIRST}, start - buffer_minute) AND coalesce(was <> t - 1, true))::INT AS w FROM en JOIN g1 USING (rid)),
+g3 AS (SELECT rid, CASE upper(any_value(std_indicator)) WHEN 'LOW' THEN min(v) WHEN 'HIGH' THEN max(v) ELSE sum(v * w) / nullif(sum(w), 0) END * (1 + any_value(indicator_buffer)) AS level FROM g2 WHERE t BETWEEN lo AND start GROUP BY rid),
+g4 AS (SELECT en.rid, min(t) AS at_ FROM en JOIN g3 USING (rid) JOIN g1 USING (rid) WHERE t >= start AND t <= "end" - 4 AND v <= level GROUP BY en.rid),
+gate AS (SELECT en.* REPLACE (at_ AS start), start AS from_t FROM en JOIN g4 USING (rid))"""
+
+
+@query(f", {sql.menu()},\n{sql.entries(*S_SI)},\n{_GATE},\n{sql.pick('p', 'gate')},\n{sql.b120('x', 'p')}\nSELECT {sql.keys(S_SI[1])}, from_t, p_t AS entry_t, {sql.LEGS}, {sql.UT}, total_pnl FROM x")
+def mod_si(spark, sf_dir):
+    """The separate-stop strategy, entered only when the premium is low enough."""
+    m = Market(spark, sf_dir)
+    desk = m.desk()
+    return st.b120(st.gated(m.entries(*S_SI), desk), desk)
+
+
+LEVELS = [-0.1, -0.2, -0.3, -0.4, -0.5, -0.6, -0.7, -0.8, -0.9, -1, -1.25, -1.5, -1.75, -2, -2.5, -3, -3.5, -4, -100, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1, 1.25, 1.5, 1.75, 2, 2.5, 3, 3.5, 4]
+S_PSL = sets([(565, 900, s, k, sl, u, last, n) for s, k, sl, u in (("SELL", "HL", 8.0, "10"), ("SELL", "CC", 5.0, "TTC")) for last, n in ((625, 30), (685, 60))], f"{B120_SCHEMA}, last_trade_time int, trade_interval int")
+
+
+@query()
+def mod_psl(spark, sf_dir):
+    """The separate-stop strategy on a ladder of entries, with the 37 levels of a portfolio stop."""
+    m = Market(spark, sf_dir)
+    desk = m.desk()
+    return st.portfolio_stop(m.entries(*S_PSL), desk, LEVELS, 1e9, 12.0, 10)
+
+
+@query()
+def st_b120_dut_re(spark, sf_dir):
+    return _run(st.b120_double_ut, spark, sf_dir, *S_B120)
+
+
+def _straddles(m: Market) -> DataFrame:
+    leg = lambda k: m.legs.where(F.col("scrip").endswith(k)).select("idx", "trade_date", F.regexp_extract("scrip", "^(.*)..$", 1).cast("double").alias("strike"), F.col("bars").alias(k))
+    return leg("CE").join(leg("PE"), ["idx", "trade_date", "strike"]).select("idx", "trade_date", "strike", triggers.straddle_bars(F.col("CE"), F.col("PE")).alias("bars"))
+
+
+@query()
+def trail_combined(spark, sf_dir):
+    """All strikes' straddles, in the four modes, sold and bought."""
+    rows = cut(_straddles(Market(spark, sf_dir)), "straddles").crossJoin(F.broadcast(spark.createDataFrame([("SELL",), ("BUY",)], "side string")))
+    modes = {"RATIO": {"gap": 0.5}, "POINT": {}, "PCT": {}, "STEP": {"step": 3.0, "sl_step": 2.0}}
+    one = lambda mode, how: triggers.trail_combined(F.col("bars"), F.lit(565), F.lit(900), mode=mode, side=F.col("side"), sl=6.0, intra=9.0, rate=0.01, **how)
+    return _labelled({mode: rows.select("idx", "trade_date", "strike", "side", one(mode, how).alias("r")).select("idx", "trade_date", "strike", "side", "r.*").where("o IS NOT NULL") for mode, how in modes.items()})
+
+
+@query()
+def trail_limited(spark, sf_dir):
+    """Every scrip, with 1 to 7 tightenings at most."""
+    legs = Market(spark, sf_dir).legs.crossJoin(F.broadcast(spark.createDataFrame([("SELL",), ("BUY",)], "side string")))
+    o = triggers.first(triggers.window(F.col("bars"), F.lit(565), F.lit(900)))["close"]
+    rows = legs.select("idx", "trade_date", "scrip", "side", "bars", o.alias("o")).where("o IS NOT NULL")
+    gains = triggers.trail_limited(F.col("bars"), F.lit(565), F.lit(900), side=F.col("side"), o=F.col("o"), sl=8.0, sl_step=2.0, step=3.0)
+    return rows.select("idx", "trade_date", "scrip", "side", gains.alias("g")).select("idx", "trade_date", "scrip", "side", *(F.round(F.get("g", F.lit(i)), 6).alias(f"gain_{i + 1}") for i in range(7)))
