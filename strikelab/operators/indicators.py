@@ -14,11 +14,20 @@ def sma(bars: DataFrame, period: int, name: str, keys: tuple[str, ...] = ("idx",
     return bars.withColumn(name, F.when(F.count("close").over(w) == period, F.avg("close").over(w)))
 
 
-def moving_cross(bars: DataFrame, short: int, long: int, keys: tuple[str, ...] = ("idx", "trade_date")) -> DataFrame:
-    """short_ma, long_ma, signal (1 while the short mean is above) and positions (its change); rows before the long mean go."""
-    both = sma(sma(bars, short, "short_ma", keys), long, "long_ma", keys).where("long_ma IS NOT NULL")
+def ema(bars: DataFrame, period: int, name: str, keys: tuple[str, ...] = ("idx", "trade_date")) -> DataFrame:
+    """The exponential mean of the closes, from the first bar on."""
+    return _each(bars, keys, f"{name} double", lambda p: p.assign(**{name: p["close"].ewm(span=period, adjust=False).mean()}))
+
+
+def moving_cross(bars: DataFrame, short: int, long: int, keys: tuple[str, ...] = ("idx", "trade_date"), short_type: str = "NORMAL", long_type: str = "NORMAL") -> DataFrame:
+    """short_ma, long_ma (types NORMAL or EXPONENTIAL), signal (1 while the short mean is above), positions (its change), and what to
+    buy and sell at a change (CE or PE, else empty); rows before both means exist go."""
+    of = {"NORMAL": sma, "EXPONENTIAL": ema}
+    both = of[long_type](of[short_type](bars, short, "short_ma", keys), long, "long_ma", keys).where("short_ma IS NOT NULL AND long_ma IS NOT NULL")
     both = both.withColumn("signal", (F.col("short_ma") > F.col("long_ma")).cast("int"))
-    return both.withColumn("positions", F.col("signal") - F.lag("signal").over(Window.partitionBy(*keys).orderBy("t")))
+    both = both.withColumn("positions", F.col("signal") - F.lag("signal").over(Window.partitionBy(*keys).orderBy("t")))
+    call = lambda up, down: F.when(F.col("positions") == 1, up).when(F.col("positions") == -1, down).when(F.col("positions") == 0, "")
+    return both.withColumn("buy", call("CE", "PE")).withColumn("sell", call("PE", "CE"))
 
 
 def _each(bars: DataFrame, keys: tuple[str, ...], out: str, run) -> DataFrame:

@@ -6,6 +6,8 @@ Market queries read the bars that sources.tape derives from `events`; report que
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from strikelab.functions import scalars as fn
 from strikelab.functions import triggers
 from strikelab.operators import indicators, mtm, rollup, strikes
 from strikelab.plans import grid
-from strikelab.plans.lineage import cut
+from strikelab.plans.lineage import scratch
 from strikelab.sources import files, tape
 from strikelab.strategy_sql import ATM as _ATM
 
@@ -681,37 +683,164 @@ def natural_order(spark, sf_dir):
     return labels.select("label", F.row_number().over(Window.orderBy(fn.order_key(F.col("label")))).alias("place"))  # a dimension's values
 
 
-# --- indicators --------------------------------------------------------------------------------------------------------
+@query(f"""{_CUBE}, cells AS (SELECT flag, line, sum(Points) AS p FROM long GROUP BY ALL)
+SELECT flag, line, (grouping(flag) * 2 + grouping(line))::INT AS level, round(avg(p), 6) AS points FROM cells GROUP BY CUBE (flag, line)""", market=False)
+def heatmap_means(spark, sf_dir):
+    """heatmap_totals as the other sheets have them: means of the cells."""
+    return rollup.heatmap_totals(_long(spark, sf_dir), "flag", "line", means=True).withColumn("points", F.round("points", 6))
+
+
+# --- files: written, read back ------------------------------------------------------------------------------------------
+
+
+def _new_folder(spark: SparkSession, name: str) -> str:
+    return f"{scratch(spark)}/strikelab/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"{_LOG} SELECT P_index AS idx, date_trunc('month', Date)::DATE AS trade_date, P_flag, count(*) AS n, sum(A_PNL) AS a, count(*) FILTER (P_status <> 'O') AS with_status FROM log WHERE P_line % 4 <> 0 GROUP BY ALL", market=False)
+def write_log(spark, sf_dir):
+    """Rows without an entry time are not written, blank texts are null."""
+    log = _log(spark, sf_dir).withColumnsRenamed({"P_index": "idx", "Date": "trade_date"}).withColumn("trade_date", F.trunc("trade_date", "month"))
+    log = log.withColumn("EntryTime", F.when(F.col("P_line") % 4 == 0, "").otherwise("09:20:00")).withColumn("P_status", F.when(F.col("P_status") == "O", "").otherwise(F.col("P_status")))
+    at = _new_folder(spark, "log")
+    files.write_log(log.repartition("idx", "trade_date"), at)
+    return spark.read.parquet(at).groupBy("idx", "trade_date", "P_flag").agg(F.count("*").alias("n"), F.sum("A_PNL").alias("a"), F.count("P_status").alias("with_status"))
+
+
+@query(f'{_CUBE} SELECT index AS "Index", Year, "PL Basis", flag, count(*) AS n, sum(Points) AS points FROM long GROUP BY ALL', market=False)
+def write_cube(spark, sf_dir):
+    at, keys = _new_folder(spark, "cube"), ("Index", "Year", "PL Basis")
+    files.write_cube(_long(spark, sf_dir).withColumnRenamed("index", "Index"), at, keys, rows=1000)
+    return spark.read.parquet(at).groupBy(*keys, "flag").agg(F.count("*").alias("n"), F.sum("Points").alias("points"))
+
+
+@query(f"{_LOG} SELECT P_index AS \"Index\", year(Date) AS Year, dayname(Date) AS Day, P_flag, count(DISTINCT (P_status, P_line, DTE)) AS n, sum(A_PNL) AS a FROM log GROUP BY ALL", market=False)
+def write_cube_csv(spark, sf_dir):
+    """The cube by weekday, as text."""
+    log = _log(spark, sf_dir).withColumn("Day", grid.weekday(F.col("Date")))
+    cube = rollup.cube_sum(log, period=("Year", "Day", "DTE")).withColumnRenamed("P_index", "Index")
+    at = _new_folder(spark, "cube-csv")
+    files.write_cube_csv(cube, at)
+    back = spark.read.option("header", True).schema(cube.schema).csv(at)
+    return back.groupBy("Index", "Year", "Day", "P_flag").agg(F.count("*").alias("n"), F.sum("A_PNL").alias("a"))
+
+
+@query(f"{_LOG} SELECT P_index, P_flag, P_status, P_line, count(*) AS n, sum(A_PNL) AS a, 1::BIGINT AS buckets FROM log GROUP BY P_index, P_flag, P_status, P_line", market=False)
+def write_by_param(spark, sf_dir):
+    """Every set lies in one bucket."""
+    at = _new_folder(spark, "by-param")
+    files.write_by_param(_log(spark, sf_dir), at, 8)
+    return spark.read.parquet(at).groupBy("P_index", "P_flag", "P_status", "P_line").agg(F.count("*").alias("n"), F.sum("A_PNL").alias("a"), F.countDistinct("bucket").alias("buckets"))
+
+
+@query("""SELECT 'sl' AS name, (p_size % 7)::VARCHAR AS value, count(*) AS n FROM part WHERE p_size % 7 <> 0 GROUP BY ALL
+UNION ALL SELECT 'method', CASE WHEN p_size % 2 = 0 THEN 'HL' ELSE 'CC' END, count(*) FROM part WHERE p_size % 3 <> 0 GROUP BY ALL""", market=False)
+def read_params(spark, sf_dir):
+    """Each column of a text file is a list of its own; blanks go."""
+    part, at = tape.table(spark, sf_dir, "part"), _new_folder(spark, "params")
+    part.select(F.when(F.col("p_size") % 7 != 0, F.concat(F.lit(" "), (F.col("p_size") % 7).cast("string"))).otherwise(" ").alias("sl"), F.expr("CASE WHEN p_size % 3 = 0 THEN NULL WHEN p_size % 2 = 0 THEN 'HL' ELSE 'CC' END").alias("method")).write.option("header", True).csv(at)
+    lists = files.read_params(spark, at)
+    return lists["sl"].select(F.lit("sl").alias("name"), F.col("sl").alias("value")).unionByName(lists["method"].select(F.lit("method").alias("name"), F.col("method").alias("value"))).groupBy("name", "value").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT n_name AS idx, g::INT AS group_no, entry, om, sl, ut_sl FROM (
+SELECT n_name, 0 AS g, (540 + n_nationkey)::VARCHAR AS entry, '0' AS om, n_regionkey::VARCHAR AS sl, 'TTC' AS ut_sl FROM nation
+UNION ALL SELECT n_name, 1, (600 + n_nationkey)::VARCHAR, 'ATM+1', '5', n_regionkey::VARCHAR FROM nation WHERE n_nationkey % 3 <> 0)""", market=False)
+def read_queue(spark, sf_dir):
+    """Blocks of four columns, a group each; blank blocks go."""
+    n, r = F.col("n_nationkey"), F.col("n_regionkey").cast("string")
+    blank = lambda c: F.when(n % 3 != 0, c)
+    wide = tape.table(spark, sf_dir, "nation").select("n_name", (540 + n).cast("string").alias("e1"), F.lit("0").alias("o1"), r.alias("s1"), F.lit("TTC").alias("u1"), blank((600 + n).cast("string")).alias("e2"), blank(F.lit("ATM+1")).alias("o2"), blank(F.lit("5")).alias("s2"), blank(r).alias("u2"))
+    return files.read_queue(wide)
+
+
+@query("SELECT DISTINCT 'bad-' || l_linenumber || '.parquet' AS file FROM lineitem WHERE l_linenumber <= 2", market=False)
+def audit_files(spark, sf_dir):
+    """Files that are no Parquet among a log's files are found."""
+    at = _new_folder(spark, "audit")
+    log = _log(spark, sf_dir)
+    log.write.parquet(at)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for r in log.where("P_line <= 2").select("P_line").distinct().collect():  # one row a line number
+        path = hadoop(f"{at}/bad-{r[0]}.parquet")
+        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+        out.write(bytearray(b"not a parquet file"))
+        out.close()
+    return files.unreadable(spark, at).select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"))
+
+
+# --- indicators ---------------------------------------------------------------------------------------------------------
+
+_CALLS = "CASE positions WHEN 1 THEN 'CE' WHEN -1 THEN 'PE' WHEN 0 THEN '' END AS buy, CASE positions WHEN 1 THEN 'PE' WHEN -1 THEN 'CE' WHEN 0 THEN '' END AS sell"
 
 
-@query("""SELECT idx, trade_date, t, close, short_ma, long_ma, signal, signal - lag(signal) OVER (PARTITION BY idx, trade_date ORDER BY t) AS positions FROM (SELECT *, (short_ma > long_ma)::INT AS signal FROM (SELECT idx, trade_date, t, close, round(avg(close) OVER (w ROWS 4 PRECEDING), 6) AS short_ma, CASE WHEN count(*) OVER (w ROWS 19 PRECEDING) = 20 THEN round(avg(close) OVER (w ROWS 19 PRECEDING), 6) END AS long_ma FROM fut WINDOW w AS (PARTITION BY idx, trade_date ORDER BY t)) WHERE long_ma IS NOT NULL)""")
+@query(f"""SELECT *, {_CALLS} FROM (SELECT idx, trade_date, t, close, short_ma, long_ma, signal, signal - lag(signal) OVER (PARTITION BY idx, trade_date ORDER BY t) AS positions FROM (SELECT *, (short_ma > long_ma)::INT AS signal FROM (SELECT idx, trade_date, t, close, round(avg(close) OVER (w ROWS 4 PRECEDING), 6) AS short_ma, CASE WHEN count(*) OVER (w ROWS 19 PRECEDING) = 20 THEN round(avg(close) OVER (w ROWS 19 PRECEDING), 6) END AS long_ma FROM fut WINDOW w AS (PARTITION BY idx, trade_date ORDER BY t)) WHERE long_ma IS NOT NULL))""")
 def ma_cross(spark, sf_dir):
     bars = Market(spark, sf_dir).futures.select("idx", "trade_date", "t", "close")
     return indicators.moving_cross(bars, 5, 20).withColumns({c: F.round(c, 6) for c in ("short_ma", "long_ma")})
 
 
-def _bars(spark, sf_dir) -> DataFrame:
-    return Market(spark, sf_dir).futures.select("idx", "trade_date", "t", "high", "low", "close")
+_FUT_I = "b AS (SELECT idx, trade_date, t, high, low, close, row_number() OVER w AS i, lag(close) OVER w AS before FROM fut WINDOW w AS (PARTITION BY idx, trade_date ORDER BY t))"
+_NEXT = "JOIN b ON b.idx = s.idx AND b.trade_date = s.trade_date AND b.i = s.i + 1"
+
+
+@query(_recursive(f""", {_FUT_I}, e(idx, trade_date, t, i, close, a, z) AS (SELECT idx, trade_date, t, i, close, close, close FROM b WHERE i = 1 UNION ALL SELECT b.idx, b.trade_date, b.t, b.i, b.close, 2.0::DOUBLE / 6 * b.close + (1 - 2.0::DOUBLE / 6) * s.a, 2.0::DOUBLE / 21 * b.close + (1 - 2.0::DOUBLE / 21) * s.z FROM e s {_NEXT})
+SELECT *, {_CALLS} FROM (SELECT *, signal - lag(signal) OVER (PARTITION BY idx, trade_date ORDER BY t) AS positions FROM (SELECT idx, trade_date, t, close, round(a, 6) AS short_ma, round(z, 6) AS long_ma, (round(a, 9) > round(z, 9))::INT AS signal FROM e))"""), market=False)
+def ma_cross_ema(spark, sf_dir):
+    """Exponential means."""
+    bars = Market(spark, sf_dir).futures.select("idx", "trade_date", "t", "close")
+    return indicators.moving_cross(bars, 5, 20, short_type="EXPONENTIAL", long_type="EXPONENTIAL").withColumns({c: F.round(c, 6) for c in ("short_ma", "long_ma")})
+
+
+_TR = f"{_FUT_I}, tr AS (SELECT *, greatest(high - low, coalesce(abs(high - before), 0), coalesce(abs(low - before), 0)) AS tr FROM b)"
 
 
-@query()
+def _wilder_sql(name: str, src: str, x: str, seed: int, first: int, period: int) -> str:
+    """name: idx, trade_date, i, v from i = seed on: the mean of x from row `first` to the seed, then (before * (n - 1) + x) / n."""
+    return f"""{name}(idx, trade_date, i, v) AS (SELECT idx, trade_date, {seed}, avg({x}) FROM {src} WHERE i BETWEEN {first} AND {seed} GROUP BY idx, trade_date HAVING count(*) = {period}
+UNION ALL SELECT c.idx, c.trade_date, c.i::INT, (s.v * {period - 1} + c.{x}) / {period} FROM {name} s JOIN {src} c ON c.idx = s.idx AND c.trade_date = s.trade_date AND c.i = s.i + 1)"""
+
+
+@query(_recursive(f", {_TR}, {_wilder_sql('w', 'tr', 'tr', 10, 1, 10)} SELECT tr.idx, tr.trade_date, tr.t, high, low, close, round(tr, 6) AS tr, round(v, 6) AS atr FROM tr LEFT JOIN w ON w.idx = tr.idx AND w.trade_date = tr.trade_date AND w.i = tr.i"), market=False)
 def atr(spark, sf_dir):
-    return indicators.atr(_bars(spark, sf_dir))
+    return indicators.atr(_bars(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("tr", "atr")})
+
 
+_BANDS = "m AS (SELECT tr.*, v, (high + low) / 2 + 3.0 * v AS ub, (high + low) / 2 - 3.0 * v AS lb FROM tr JOIN w ON w.idx = tr.idx AND w.trade_date = tr.trade_date AND w.i = tr.i)"
 
-@query()
+
+@query(_recursive(f""", {_TR}, {_wilder_sql("w", "tr", "tr", 10, 1, 10)}, {_BANDS},
+st(idx, trade_date, i, up, u, l) AS (SELECT idx, trade_date, i, 1, ub, lb FROM m WHERE i = 10
+UNION ALL SELECT idx, trade_date, i, side, CASE WHEN side = -1 AND was = -1 THEN least(ub, pu) ELSE ub END, CASE WHEN side = 1 AND was = 1 THEN greatest(lb, pl) ELSE lb END
+ FROM (SELECT m.idx, m.trade_date, m.i, m.ub, m.lb, s.up AS was, s.u AS pu, s.l AS pl, CASE WHEN m.close > s.u THEN 1 WHEN m.close < s.l THEN -1 ELSE s.up END AS side FROM st s JOIN m ON m.idx = s.idx AND m.trade_date = s.trade_date AND m.i = s.i + 1))
+SELECT tr.idx, tr.trade_date, tr.t, high, low, close, coalesce(up, 0)::INT AS up, round(CASE WHEN up = 1 THEN l WHEN up = -1 THEN u END, 6) AS level FROM tr LEFT JOIN st ON st.idx = tr.idx AND st.trade_date = tr.trade_date AND st.i = tr.i"""), market=False)
 def supertrend(spark, sf_dir):
-    return indicators.supertrend(_bars(spark, sf_dir))
+    return indicators.supertrend(_bars(spark, sf_dir)).withColumn("level", F.round("level", 6))
 
 
-@query()
+@query(_recursive(f""", {_FUT_I}, d AS (SELECT *, greatest(coalesce(close - before, 0), 0) AS u, greatest(coalesce(before - close, 0), 0) AS dn FROM b), {_wilder_sql("wu", "d", "u", 15, 2, 14)}, {_wilder_sql("wd", "d", "dn", 15, 2, 14)},
+r AS (SELECT d.*, CASE WHEN wd.v = 0 THEN 100 ELSE 100 - 100 / (1 + wu.v / nullif(wd.v, 0)) END AS rsi FROM d LEFT JOIN wu ON wu.idx = d.idx AND wu.trade_date = d.trade_date AND wu.i = d.i LEFT JOIN wd ON wd.idx = d.idx AND wd.trade_date = d.trade_date AND wd.i = d.i)
+SELECT idx, trade_date, t, high, low, close, round(rsi, 6) AS rsi, CASE WHEN rsi < 30 THEN 1 WHEN rsi > 70 THEN -1 ELSE 0 END::INT AS signal FROM r"""), market=False)
 def rsi(spark, sf_dir):
-    return indicators.rsi(_bars(spark, sf_dir))
+    return indicators.rsi(_bars(spark, sf_dir)).withColumn("rsi", F.round("rsi", 6))
+
 
+def _ema_sql(name: str, src: str, x: str, start: int, n: int) -> str:
+    a = f"(2.0::DOUBLE / {n + 1})"
+    return f"""{name}(idx, trade_date, i, v) AS (SELECT idx, trade_date, i, {x} FROM {src} WHERE i = {start} UNION ALL SELECT c.idx, c.trade_date, c.i, {a} * c.{x} + (1 - {a}) * s.v FROM {name} s JOIN {src} c ON c.idx = s.idx AND c.trade_date = s.trade_date AND c.i = s.i + 1)"""
 
-@query()
+
+@query(_recursive(f""", {_FUT_I}, {_ema_sql("f", "b", "close", 1, 12)}, {_ema_sql("sl", "b", "close", 1, 26)},
+ml AS (SELECT b.idx, b.trade_date, b.i, f.v - sl.v AS m FROM b JOIN f ON f.idx = b.idx AND f.trade_date = b.trade_date AND f.i = b.i JOIN sl ON sl.idx = b.idx AND sl.trade_date = b.trade_date AND sl.i = b.i WHERE b.i > 33), {_ema_sql("sg", "ml", "m", 34, 9)},
+z AS (SELECT b.*, m, CASE WHEN sg.i >= 42 THEN sg.v END AS g FROM b LEFT JOIN ml ON ml.idx = b.idx AND ml.trade_date = b.trade_date AND ml.i = b.i LEFT JOIN sg ON sg.idx = b.idx AND sg.trade_date = b.trade_date AND sg.i = b.i),
+y AS (SELECT *, coalesce(sign(m - g), 0)::INT AS above FROM z)
+SELECT idx, trade_date, t, high, low, close, round(m, 6) AS macd, round(g, 6) AS signal_line, CASE WHEN above <> coalesce(lag(above) OVER (PARTITION BY idx, trade_date ORDER BY t), 0) THEN above ELSE 0 END::INT AS crossing FROM y"""), market=False)
 def macd(spark, sf_dir):
-    return indicators.macd(_bars(spark, sf_dir))
+    return indicators.macd(_bars(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("macd", "signal_line")})
+
+
+def _bars(spark, sf_dir) -> DataFrame:
+    return Market(spark, sf_dir).futures.select("idx", "trade_date", "t", "high", "low", "close")
 
 
 from strikelab import strategy_queries  # noqa: E402  registers the strategies

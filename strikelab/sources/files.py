@@ -46,6 +46,11 @@ def write_cube(cube: DataFrame, path: str, keys: tuple[str, ...] = ("Index", "Ye
     cube.repartition(*(F.col(f"`{k}`") for k in keys)).write.mode("overwrite").option("maxRecordsPerFile", rows).partitionBy(*keys).parquet(path)
 
 
+def write_cube_csv(cube: DataFrame, path: str, keys: tuple[str, ...] = ("Index", "Year", "Day")) -> None:
+    """The cube by weekday as text: one folder for each key."""
+    cube.repartition(*(F.col(f"`{k}`") for k in keys)).write.mode("overwrite").option("header", True).partitionBy(*keys).csv(path)
+
+
 def write_by_param(log: DataFrame, path: str, buckets: int = 64) -> None:
     """The log sorted by parameter set within hashed buckets: a set is read from one bucket, and there are no tiny files."""
     keys, _ = split_columns(log)
@@ -54,7 +59,7 @@ def write_by_param(log: DataFrame, path: str, buckets: int = 64) -> None:
 
 
 def unreadable(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet files under path that can't be read."""
+    """Parquet files under path that can't be read: their footers are opened, no column is."""
     there = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(path).select("path")
-    good = spark.read.option("ignoreCorruptFiles", True).option("recursiveFileLookup", True).parquet(path).select(F.col("_metadata.file_path").alias("path")).distinct()
+    good = spark.read.schema("_none int").option("ignoreCorruptFiles", True).option("recursiveFileLookup", True).parquet(path).select(F.col("_metadata.file_path").alias("path")).distinct()
     return there.join(good, "path", "left_anti")
