@@ -577,14 +577,18 @@ def st_shift_exit(spark, sf_dir):
     return _labelled({name: shift.shift(m.entries(*S_SHIFT), desk, ending=e, closing_by=x) for name, (e, x) in pairs.items()})
 
 
+S_SHIFT_TRAIL = sets([(*r, 10.0) for r in SHIFT], f"{SHIFT_SCHEMA}, trail double", "ATM+1")
+S_SHIFT_ACTION = sets([(*r, n) for r in SHIFT for n in (1, 2)], f"{SHIFT_SCHEMA}, action int", "ATM+1")
+
+
 @query()
 def st_shift_trail(spark, sf_dir):
-    return _shifted(spark, sf_dir, sets([(*r, 10.0) for r in SHIFT], f"{SHIFT_SCHEMA}, trail double", "ATM+1"), trailed=True)
+    return _shifted(spark, sf_dir, S_SHIFT_TRAIL, trailed=True)
 
 
 @query()
 def st_shift_action(spark, sf_dir):
-    return _shifted(spark, sf_dir, sets([(*r, n) for r in SHIFT for n in (1, 2)], f"{SHIFT_SCHEMA}, action int", "ATM+1"), limited=True)
+    return _shifted(spark, sf_dir, S_SHIFT_ACTION, limited=True)
 
 
 @query()
