@@ -23,13 +23,18 @@ def _strike(scrip: Column) -> Column:
 
 
 def shift(entries: DataFrame, desk: Desk, *, ending: str = "premium", closing_by: str = "close", trailed: bool = False, limited: bool = False, most: int = 20) -> DataFrame:
-    """Per session and set: rolls, shifted_pnl (of the legs closed on the way), ce, pe (held at the end; null if closed), exit_t,
+    """held, and what is left closed by one rule; see there."""
+    return closed(held(entries, desk, ending=ending, separate=closing_by == "separate", trailed=trailed, limited=limited, most=most), entries.columns, desk, closing_by)
+
+
+def held(entries: DataFrame, desk: Desk, *, ending: str = "premium", separate: bool = False, trailed: bool = False, limited: bool = False, most: int = 20) -> DataFrame:
+    """The rolls of each session and set, and what is held when they end: a stored table for `closed`, whose rows have, per session and set: rolls, shifted_pnl (of the legs closed on the way), ce, pe (held at the end; null if closed), exit_t,
     ce_pnl, pe_pnl, total_pnl. entries also has side, method, divider (percent of the premium added to the closed leg's
     price as the target of the new one) and movement.
 
     ending: `none`; `premium`, if the strikes have crossed by more than the premium; `straddle`, where a roll that would
     reach or pass the other strike makes a straddle there; `nstraddle`, where one that passes it makes a new straddle by
-    the market. A straddle then has a stop at movement percent on each leg. closing_by: `close`, each leg at its own
+    the market. A straddle then has a stop at movement percent on each leg. The rules of `closed`, closing_by: `close`, each leg at its own
     minute's close; `price`, stops at their level; `both`, the first stop closes both; `ut`, only the leg that was not
     stopped first counts, from that stop on; `separate` (with ending premium): a roll that would end it is not made, and
     each leg closes at its own stop. trailed: the divider is half the premium, and a combined close `trail` percent under the
@@ -100,7 +105,7 @@ def shift(entries: DataFrame, desk: Desk, *, ending: str = "premium", closing_by
             crossed = _strike(pe) - _strike(ce)
             held = {k: new[k], f"{k}_price": new[f"{k}_price"], f"{k}_t": new["t"], "premium": premium, "shifted": shifted, "rolls": c("rolls") + 1}
             going = state(**held, live=F.lit(True))
-            if closing_by == "separate":
+            if separate:
                 stay = state(check=F.lit(True), ce_x=c("x.ce"), pe_x=c("x.pe"))
                 return F.when(new.isNull() | (crossed > premium), stay).otherwise(going)
             ended = state(**gone, shifted=shifted)
@@ -141,11 +146,11 @@ def shift(entries: DataFrame, desk: Desk, *, ending: str = "premium", closing_by
     logs = rounds(entries, step, most, [*keys, *STATE], f"shift-{ending}")
     last = logs.where(~F.col("live") | (F.col("round") == most))
     last = last.withColumn("exit_t", F.when(F.col("live"), F.col("end")).otherwise(F.col("exit_t")))
-    return _closed(cut(last, "shift-last"), keys, desk, closing_by)
+    return cut(last, "shift-last")
 
 
-def _closed(rows: DataFrame, keys: list[str], desk: Desk, closing_by: str) -> DataFrame:
-    """The end's P&L of what is still held."""
+def closed(rows: DataFrame, keys: list[str], desk: Desk, closing_by: str) -> DataFrame:
+    """The P&L of what `held` leaves, by one of its rules. closing_by `separate` needs rows held so."""
     c, rate = F.col, desk.rate
     own = lambda k: F.when(c("check"), F.when(F.lit(closing_by == "separate"), F.coalesce(c(f"{k}_x"), c("end")))).otherwise(c("exit_t"))
     move = c("premium") * c("movement") / 100
@@ -177,7 +182,7 @@ def _closed(rows: DataFrame, keys: list[str], desk: Desk, closing_by: str) -> Da
             value = plain
         out[f"{k}_pnl"] = F.when(c(k).isNull(), 0.0).otherwise(F.coalesce(value, F.lit(0.0)))
     shifted = F.lit(0.0) if closing_by == "ut" else money(c("shifted"))
-    exit_t = F.when(c("check"), c("first_t") if closing_by in ("both", "cut") else F.greatest(*(F.coalesce(c(f"{k}_x" if closing_by == "separate" else f"{k}_r.t"), c("end")) for k in ("ce", "pe")))).otherwise(c("exit_t"))
+    exit_t = F.when(c("check"), c("first_t") if closing_by == "both" else F.greatest(*(F.coalesce(c(f"{k}_x" if closing_by == "separate" else f"{k}_r.t"), c("end")) for k in ("ce", "pe")))).otherwise(c("exit_t"))
     rows = rows.withColumns(out).withColumn("exit_t", exit_t).withColumn("shifted_pnl", shifted)
     return rows.select(*keys, "rolls", "shifted_pnl", "ce", "pe", "exit_t", "ce_pnl", "pe_pnl", money(c("shifted_pnl") + c("ce_pnl") + c("pe_pnl")).alias("total_pnl"))
 

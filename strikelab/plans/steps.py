@@ -145,10 +145,10 @@ def enter_at_target(rows: DataFrame, desk: Desk, kind: str, end: Column, **asked
     keyed = cut(keyed, "target-rows")
     keys = reduce(DataFrame.unionByName, (keyed.select(F.col(f"_{name}").alias("_key")) for name in asked)).where("_key IS NOT NULL").distinct()
     q = keys.select("_key", "_key.*").join(desk.futures, DAY)
-    minutes = cut(q.select("_key", *DAY, "target", F.filter("fut", lambda b: (b["t"] >= F.col("start")) & (b["t"] <= F.col("end"))).alias("fut")), "target-keys")
+    minutes = q.select("_key", *DAY, "target", F.filter("fut", lambda b: (b["t"] >= F.col("start")) & (b["t"] <= F.col("end"))).alias("fut"))
     part = lambda df, bars: df.select("_key", *DAY, "target", F.explode_outer(bars).alias("b")).select("_key", *DAY, "target", F.col("b.t").alias("t"), F.col("b.close").alias("future"))
     soon = cut(chosen(part(minutes, F.slice("fut", 1, 3))), "target-soon")
-    open_ = cut(minutes.join(soon.select("_key"), "_key", "left_anti"), "target-open")
+    open_ = minutes.join(soon.select("_key"), "_key", "left_anti")
     found = soon if open_.isEmpty() else soon.unionByName(chosen(part(open_, F.slice(F.col("fut"), F.lit(4), F.greatest(F.size("fut"), F.lit(0))))))
     for name in asked:
         keyed = keyed.join(found.select(F.col("_key").alias(f"_{name}"), F.col("_pick").alias(name)), f"_{name}", "left").drop(f"_{name}")

@@ -573,8 +573,10 @@ def st_shift_exit(spark, sf_dir):
     """The exit rules, one beside the other."""
     m = Market(spark, sf_dir)
     desk = m.desk(*SHIFT_OM)
-    pairs = {"price": ("premium", "price"), "both": ("straddle", "both"), "separate": ("premium", "separate"), "ut": ("straddle", "ut")}
-    return _labelled({name: shift.shift(m.entries(*S_SHIFT), desk, ending=e, closing_by=x) for name, (e, x) in pairs.items()})
+    entries = m.entries(*S_SHIFT)
+    left = {"premium": shift.held(entries, desk), "straddle": shift.held(entries, desk, ending="straddle"), "separate": shift.held(entries, desk, separate=True)}
+    rules = {"price": "premium", "both": "straddle", "ut": "straddle", "separate": "separate"}
+    return _labelled({rule: shift.closed(left[x], entries.columns, desk, rule) for rule, x in rules.items()})
 
 
 S_SHIFT_TRAIL = sets([(*r, 10.0) for r in SHIFT], f"{SHIFT_SCHEMA}, trail double", "ATM+1")
