@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, host_quality, hostrank, jaccard, licenses, surrogates, tokens, toxicity, warc_audit
+from . import bpe, collocations, decontam, host_quality, hostrank, jaccard, langid, licenses, negatives, surrogates, tokens, toxicity, warc_audit
 
 #: Ends each document in op2's files.
 END_ID = 2
@@ -67,8 +67,24 @@ def op10_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hostrank.url_verdicts(_table(spark, sf_dir, "pages"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components in 256ths, whole; a seventh of the labels is off by one."""
+    rows = _table(spark, sf_dir, "embeddings").where("label IS NOT NULL AND embedding IS NOT NULL AND NOT exists(embedding, x -> x IS NULL OR isnan(x) OR abs(x) = double('infinity'))")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vector = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")).cast("double"))
+    return negatives.hard_negatives(rows.select(F.col("vec_id").alias("id"), label.alias("label"), vector.alias("vector")), F.col("id") % 50 == 0)
+
+
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages_of(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_license_scan, op2_token_binary, op3_host_quality, op4_decontamination, op5_warc_audit, op6_pii_surrogates, op7_jaccard_join, op8_bpe_trie, op9_toxicity, op10_url_trust]
+    own = [op1_license_scan, op2_token_binary, op3_host_quality, op4_decontamination, op5_warc_audit, op6_pii_surrogates, op7_jaccard_join, op8_bpe_trie, op9_toxicity, op10_url_trust, op11_collocations, op12_hard_negatives, op13_language]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
@@ -107,4 +123,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_warc_audit": warc_audit.ORACLE,
         "op7_jaccard_join": _OP7,
         "op10_url_trust": hostrank.oracle(),
+        "op11_collocations": collocations.ORACLE,
+        "op12_hard_negatives": negatives.ORACLE,
     }
