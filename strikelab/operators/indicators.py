@@ -56,53 +56,74 @@ def atr(bars: DataFrame, period: int = 10, keys: tuple[str, ...] = ("idx", "trad
     return _each(bars, keys, "tr double, atr double", lambda p: p.assign(tr=(tr := _true_range(p)), atr=_wilder(tr, period, 0)))
 
 
+def _calls(signal: pd.Series, buy: dict[float, str], sell: dict[float, str]) -> dict[str, pd.Series]:
+    """positions (the change of signal, null where either is) and what to buy and sell at a change; a change of 2 is told as a number."""
+    positions = signal.diff()
+    told = lambda names: positions.map(lambda x: None if pd.isna(x) else names.get(x, str(x)))
+    return {"positions": positions, "buy": told({0.0: "", -1.0: "", 1.0: ""} | buy), "sell": told({0.0: "", -1.0: "", 1.0: ""} | sell)}
+
+
+_CALLS = "positions double, buy string, sell string"
+
+
 def supertrend(bars: DataFrame, period: int = 10, multiplier: float = 3.0, keys: tuple[str, ...] = ("idx", "trade_date")) -> DataFrame:
-    """up (1 or -1) and level: the band of the side at hand, which only tightens while that side holds; starts up."""
+    """up (1 or -1, from bar `period` on, null before), level (the band of the side at hand, from the bar after), positions, buy, sell.
+
+    It starts up. A close beyond the last bar's band takes that side; on a bar without such a break the side's band only
+    tightens.
+    """
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         a = _wilder(_true_range(p), period, 0)
         mid = ((p["high"] + p["low"]) / 2).to_numpy()
         close = p["close"].to_numpy()
         upper, lower = mid + multiplier * a, mid - multiplier * a
-        side, level = np.zeros(len(p), np.int32), np.full(len(p), np.nan)
-        for i in range(period - 1, len(p)):
-            if i == period - 1:
+        side, level = np.full(len(p), np.nan), np.full(len(p), np.nan)
+        side[period - 1 : period] = 1
+        for i in range(period, len(p)):
+            if close[i] > upper[i - 1]:
                 side[i] = 1
+            elif close[i] < lower[i - 1]:
+                side[i] = -1
             else:
-                side[i] = 1 if close[i] > upper[i - 1] else -1 if close[i] < lower[i - 1] else side[i - 1]
-                if side[i] == 1 and side[i - 1] == 1:
+                side[i] = side[i - 1]
+                if side[i] == 1:
                     lower[i] = max(lower[i], lower[i - 1])
-                if side[i] == -1 and side[i - 1] == -1:
+                else:
                     upper[i] = min(upper[i], upper[i - 1])
             level[i] = lower[i] if side[i] == 1 else upper[i]
-        return p.assign(up=side, level=level)
+        calls = _calls(pd.Series((side + 1) / 2), {1.0: "CE", -1.0: "PE"}, {1.0: "PE", -1.0: "CE"})
+        return p.assign(up=pd.Series(side).astype("Int32"), level=level, **calls)
 
-    return _each(bars, keys, "up int, level double", run)
+    return _each(bars, keys, f"up int, level double, {_CALLS}", run)
 
 
 def rsi(bars: DataFrame, period: int = 14, upper: float = 70.0, lower: float = 30.0, keys: tuple[str, ...] = ("idx", "trade_date")) -> DataFrame:
-    """rsi and signal: 1 under lower, -1 over upper, else 0."""
+    """rsi (null before bar period + 1 and where nothing has moved), signal (1 under lower, -1 over upper, else 0), positions, buy, sell."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         d = p["close"].diff().fillna(0).to_numpy()
         up, down = _wilder(np.maximum(d, 0), period, 1), _wilder(np.maximum(-d, 0), period, 1)
         with np.errstate(divide="ignore", invalid="ignore"):
-            value = np.where(down == 0, np.where(np.isnan(up), np.nan, 100.0), 100 - 100 / (1 + up / down))
-        return p.assign(rsi=value, signal=np.where(value < lower, 1, np.where(value > upper, -1, 0)).astype(np.int32))
+            value = 100 - 100 / (1 + up / down)
+        signal = np.where(value < lower, 1, np.where(value > upper, -1, 0)).astype(np.int32)
+        return p.assign(rsi=value, signal=signal, **_calls(pd.Series(signal, dtype=float), {1.0: "CE"}, {-1.0: "PE"}))
 
-    return _each(bars, keys, "rsi double, signal int", run)
+    return _each(bars, keys, f"rsi double, signal int, {_CALLS}", run)
 
 
 def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, keys: tuple[str, ...] = ("idx", "trade_date")) -> DataFrame:
-    """macd, blank for the first slow + signal - 2 bars, its signal line, signal - 1 bars later, and crossing (1, -1 or 0)."""
+    """macd, null for the first slow + signal - 2 bars, its signal line, signal - 1 bars later, their difference hist, and crossing (1,
+    -1 or 0: which way macd has passed its line since the bar before, on which both must be valid), buy, sell."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         ema = lambda x, n: x.ewm(span=n, adjust=False, min_periods=n).mean()
         line = ema(p["close"], fast) - ema(p["close"], slow)
         line[: slow + signal - 2] = np.nan
         slow_line = ema(line, signal)
-        above = np.sign((line - slow_line).fillna(0))
-        cross = np.where(above != above.shift().fillna(0), above, 0).astype(np.int32)
-        return p.assign(macd=line, signal_line=slow_line, crossing=cross)
+        hist = line - slow_line
+        before = hist.shift()
+        cross = np.where((hist > 0) & (before <= 0), 1, np.where((hist < 0) & (before >= 0), -1, 0)).astype(np.int32)
+        return p.assign(macd=line, signal_line=slow_line, hist=hist, crossing=cross, buy=np.where(cross == 1, "CE", ""), sell=np.where(cross == -1, "PE", ""))
 
-    return _each(bars, keys, "macd double, signal_line double, crossing int", run)
+    return _each(bars, keys, "macd double, signal_line double, hist double, crossing int, buy string, sell string", run)

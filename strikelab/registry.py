@@ -811,16 +811,19 @@ _BANDS = "m AS (SELECT tr.*, v, (high + low) / 2 + 3.0 * v AS ub, (high + low) /
 
 @query(_recursive(f""", {_TR}, {_wilder_sql("w", "tr", "tr", 10, 1, 10)}, {_BANDS},
 st(idx, trade_date, i, up, u, l) AS (SELECT idx, trade_date, i, 1, ub, lb FROM m WHERE i = 10
-UNION ALL SELECT idx, trade_date, i, side, CASE WHEN side = -1 AND was = -1 THEN least(ub, pu) ELSE ub END, CASE WHEN side = 1 AND was = 1 THEN greatest(lb, pl) ELSE lb END
- FROM (SELECT m.idx, m.trade_date, m.i, m.ub, m.lb, s.up AS was, s.u AS pu, s.l AS pl, CASE WHEN m.close > s.u THEN 1 WHEN m.close < s.l THEN -1 ELSE s.up END AS side FROM st s JOIN m ON m.idx = s.idx AND m.trade_date = s.trade_date AND m.i = s.i + 1))
-SELECT tr.idx, tr.trade_date, tr.t, high, low, close, coalesce(up, 0)::INT AS up, round(CASE WHEN up = 1 THEN l WHEN up = -1 THEN u END, 6) AS level FROM tr LEFT JOIN st ON st.idx = tr.idx AND st.trade_date = tr.trade_date AND st.i = tr.i"""), market=False)
+UNION ALL SELECT idx, trade_date, i, coalesce(side, was), CASE WHEN side IS NULL AND was = -1 THEN least(ub, pu) ELSE ub END, CASE WHEN side IS NULL AND was = 1 THEN greatest(lb, pl) ELSE lb END
+ FROM (SELECT m.idx, m.trade_date, m.i, m.ub, m.lb, s.up AS was, s.u AS pu, s.l AS pl, CASE WHEN m.close > s.u THEN 1 WHEN m.close < s.l THEN -1 END AS side FROM st s JOIN m ON m.idx = s.idx AND m.trade_date = s.trade_date AND m.i = s.i + 1)),
+y AS (SELECT tr.idx, tr.trade_date, tr.t, high, low, close, up::INT AS up, round(CASE WHEN tr.i > 10 THEN CASE WHEN up = 1 THEN l WHEN up = -1 THEN u END END, 6) AS level, (up - lag(up) OVER (PARTITION BY tr.idx, tr.trade_date ORDER BY tr.t)) / 2.0::DOUBLE AS positions FROM tr LEFT JOIN st ON st.idx = tr.idx AND st.trade_date = tr.trade_date AND st.i = tr.i)
+SELECT *, {_CALLS} FROM y"""), market=False)
 def supertrend(spark, sf_dir):
     return indicators.supertrend(_bars(spark, sf_dir)).withColumn("level", F.round("level", 6))
 
 
-@query(_recursive(f""", {_FUT_I}, d AS (SELECT *, greatest(coalesce(close - before, 0), 0) AS u, greatest(coalesce(before - close, 0), 0) AS dn FROM b), {_wilder_sql("wu", "d", "u", 15, 2, 14)}, {_wilder_sql("wd", "d", "dn", 15, 2, 14)},
-r AS (SELECT d.*, CASE WHEN wd.v = 0 THEN 100 ELSE 100 - 100 / (1 + wu.v / nullif(wd.v, 0)) END AS rsi FROM d LEFT JOIN wu ON wu.idx = d.idx AND wu.trade_date = d.trade_date AND wu.i = d.i LEFT JOIN wd ON wd.idx = d.idx AND wd.trade_date = d.trade_date AND wd.i = d.i)
-SELECT idx, trade_date, t, high, low, close, round(rsi, 6) AS rsi, CASE WHEN rsi < 30 THEN 1 WHEN rsi > 70 THEN -1 ELSE 0 END::INT AS signal FROM r"""), market=False)
+@query(_recursive(f""", {_FUT_I}, d AS (SELECT *, greatest(coalesce(close - before, 0), 0) AS u, greatest(coalesce(before - close, 0), 0) AS dn FROM b), {_wilder_sql('wu', 'd', 'u', 15, 2, 14)}, {_wilder_sql('wd', 'd', 'dn', 15, 2, 14)},
+r AS (SELECT d.*, CASE WHEN wd.v = 0 THEN CASE WHEN wu.v > 0 THEN 100 END ELSE 100 - 100 / (1 + wu.v / wd.v) END AS rsi FROM d LEFT JOIN wu ON wu.idx = d.idx AND wu.trade_date = d.trade_date AND wu.i = d.i LEFT JOIN wd ON wd.idx = d.idx AND wd.trade_date = d.trade_date AND wd.i = d.i),
+y AS (SELECT idx, trade_date, t, high, low, close, round(rsi, 6) AS rsi, CASE WHEN rsi < 30 THEN 1 WHEN rsi > 70 THEN -1 ELSE 0 END::INT AS signal FROM r),
+x AS (SELECT *, (signal - lag(signal) OVER (PARTITION BY idx, trade_date ORDER BY t))::DOUBLE AS positions FROM y)
+SELECT *, CASE positions WHEN 1 THEN 'CE' WHEN 0 THEN '' WHEN -1 THEN '' ELSE positions::VARCHAR END AS buy, CASE positions WHEN -1 THEN 'PE' WHEN 0 THEN '' WHEN 1 THEN '' ELSE positions::VARCHAR END AS sell FROM x"""), market=False)
 def rsi(spark, sf_dir):
     return indicators.rsi(_bars(spark, sf_dir)).withColumn("rsi", F.round("rsi", 6))
 
@@ -833,10 +836,11 @@ def _ema_sql(name: str, src: str, x: str, start: int, n: int) -> str:
 @query(_recursive(f""", {_FUT_I}, {_ema_sql("f", "b", "close", 1, 12)}, {_ema_sql("sl", "b", "close", 1, 26)},
 ml AS (SELECT b.idx, b.trade_date, b.i, f.v - sl.v AS m FROM b JOIN f ON f.idx = b.idx AND f.trade_date = b.trade_date AND f.i = b.i JOIN sl ON sl.idx = b.idx AND sl.trade_date = b.trade_date AND sl.i = b.i WHERE b.i > 33), {_ema_sql("sg", "ml", "m", 34, 9)},
 z AS (SELECT b.*, m, CASE WHEN sg.i >= 42 THEN sg.v END AS g FROM b LEFT JOIN ml ON ml.idx = b.idx AND ml.trade_date = b.trade_date AND ml.i = b.i LEFT JOIN sg ON sg.idx = b.idx AND sg.trade_date = b.trade_date AND sg.i = b.i),
-y AS (SELECT *, coalesce(sign(m - g), 0)::INT AS above FROM z)
-SELECT idx, trade_date, t, high, low, close, round(m, 6) AS macd, round(g, 6) AS signal_line, CASE WHEN above <> coalesce(lag(above) OVER (PARTITION BY idx, trade_date ORDER BY t), 0) THEN above ELSE 0 END::INT AS crossing FROM y"""), market=False)
+y AS (SELECT *, m - g AS h, lag(m - g) OVER (PARTITION BY idx, trade_date ORDER BY t) AS ph FROM z),
+x AS (SELECT *, CASE WHEN h > 0 AND ph <= 0 THEN 1 WHEN h < 0 AND ph >= 0 THEN -1 ELSE 0 END::INT AS crossing FROM y)
+SELECT idx, trade_date, t, high, low, close, round(m, 6) AS macd, round(g, 6) AS signal_line, round(h, 6) AS hist, crossing, CASE crossing WHEN 1 THEN 'CE' ELSE '' END AS buy, CASE crossing WHEN -1 THEN 'PE' ELSE '' END AS sell FROM x"""), market=False)
 def macd(spark, sf_dir):
-    return indicators.macd(_bars(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("macd", "signal_line")})
+    return indicators.macd(_bars(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("macd", "signal_line", "hist")})
 
 
 def _bars(spark, sf_dir) -> DataFrame:
