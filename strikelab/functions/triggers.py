@@ -8,6 +8,7 @@ needs more than once is bound to a name by `let`, so that it is computed once a
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,12 +47,27 @@ def legs(options: DataFrame) -> DataFrame:
     return one.groupBy("idx", "trade_date", "scrip").agg(F.sort_array(F.collect_list(bar)).alias("bars"))
 
 
+def all_legs(legs: list[Column], join: Callable[..., Column]) -> Column:
+    """join(a bar of each leg) for each minute that all legs have. Their bars may be of different kinds: all lie in one sorted array with
+    a field for each leg, so a minute's bars are neighbours."""
+
+    def tag(bars: Column, k: int) -> Column:
+        return F.transform(bars, lambda x: F.struct(x["t"].alias("t"), F.lit(k).alias("k"), *((x if i == k else F.lit(None)).alias(f"x{i}") for i in range(len(legs)))))
+
+    def near(s: Column) -> Column:
+        return F.transform(s, lambda x, i: F.struct(*((x if k == 0 else F.get(s, i + k)).alias(f"y{k}") for k in range(len(legs)))))
+
+    def met(p: Column) -> Column:
+        here = [(p["y0"]["k"] == 0), *(p[f"y{k}"]["k"] == k for k in range(1, len(legs))), *(p[f"y{k}"]["t"] == p["y0"]["t"] for k in range(1, len(legs)))]
+        return F.coalesce(reduce(lambda a, b: a & b, here), F.lit(False))
+
+    rows = F.filter(let(F.array_sort(F.concat(*(tag(x, k) for k, x in enumerate(legs)))), near), met)
+    return F.transform(rows, lambda p: join(*(p[f"y{k}"][f"x{k}"] for k in range(len(legs)))))
+
+
 def both_legs(a: Column, b: Column, join: Callable[[Column, Column], Column]) -> Column:
-    """join(bar of a, bar of b) for each minute that both have. The two in one sorted array: a bar's partner is its neighbour."""
-    tag = lambda bars, k: F.transform(bars, lambda x: F.struct(x["t"].alias("t"), F.lit(k).alias("k"), x.alias("x")))
-    pairs = let(F.array_sort(F.concat(tag(a, 0), tag(b, 1))), lambda s: F.transform(s, lambda x, i: F.struct(x.alias("a"), F.get(s, i + 1).alias("b"))))
-    met = F.filter(pairs, lambda p: F.coalesce((p["a"]["k"] == 0) & (p["a"]["t"] == p["b"]["t"]), F.lit(False)))
-    return F.transform(met, lambda p: join(p["a"]["x"], p["b"]["x"]))
+    """join(bar of a, bar of b) for each minute that both have."""
+    return all_legs([a, b], join)
 
 
 def straddle_bars(ce: Column, pe: Column) -> Column:

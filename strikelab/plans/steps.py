@@ -72,11 +72,27 @@ def session_bars(futures: DataFrame) -> DataFrame:
     return futures.groupBy(*DAY).agg(F.sort_array(F.collect_list(bar)).alias("fut"))
 
 
-def answered(rows: DataFrame, key: dict[str, Column], answer: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+def answered(rows: DataFrame, key: dict[str, Column], answer: Callable[[DataFrame], DataFrame], name: str, kept: bool = False) -> DataFrame:
     """rows with `name`: answer's column of that name for the row's key. answer gets the distinct keys, as _key and its fields."""
-    keyed = rows.withColumn("_key", F.struct(*(c.alias(k) for k, c in key.items())))
-    asked = keyed.select("_key").distinct().select("_key", "_key.*")
-    return keyed.join(answer(asked).select("_key", name), "_key", "left").drop("_key")
+    return answered_each(rows, {name: key}, answer, kept)
+
+
+def answered_each(rows: DataFrame, keys: dict[str, dict[str, Column]], answer: Callable[[DataFrame], DataFrame], kept: bool = False) -> DataFrame:
+    """rows with a column for each name of keys: the answer to that key. All keys have the same fields, so their questions are one set of
+    distinct ones; answer's column has the first name.
+
+    The rows are read by the questions and by the answers' way back. So they are stored first, and a strategy's plan grows by
+    one such step at a time; kept: they are a narrow view of a stored table, or short, and are just read twice.
+    """
+    keyed = rows.withColumns({f"_{n}": F.struct(*(c.alias(k) for k, c in key.items())) for n, key in keys.items()})
+    keyed = keyed if kept else cut(keyed, "asked")
+    first_name = next(iter(keys))
+    asked = keyed.select(F.col(f"_{first_name}").alias("_key")) if len(keys) == 1 else keyed.select(F.explode(F.array(*(f"_{n}" for n in keys))).alias("_key"))
+    found = answer(asked.distinct().select("_key", "_key.*")).select("_key", F.col(first_name).alias("_answer"))
+    found = found if len(keys) == 1 else cut(found, "answers")
+    for n in keys:
+        keyed = keyed.join(found.select(F.col("_key").alias(f"_{n}"), F.col("_answer").alias(n)), f"_{n}", "left").drop(f"_{n}")
+    return keyed
 
 
 def session(**key: Column) -> dict[str, Column]:
@@ -85,7 +101,13 @@ def session(**key: Column) -> dict[str, Column]:
 
 def ask_leg(rows: DataFrame, desk: Desk, name: str, scrip: Column, f: Callable[[Column, Keys], Column], **key: Column) -> DataFrame:
     """rows with `name`: f of the scrip's bars (null without any) and the key's columns."""
-    return answered(rows, session(scrip=scrip, **key), lambda q: q.join(desk.legs, [*DAY, "scrip"], "left").select("_key", f(F.col("bars"), Keys()).alias(name)), name)
+    return ask_legs(rows, desk, f, {name: {"scrip": scrip} | key})
+
+
+def ask_legs(rows: DataFrame, desk: Desk, f: Callable[[Column, Keys], Column], keys: dict[str, dict[str, Column]]) -> DataFrame:
+    """rows with a column for each name of keys, as ask_leg; a key has its scrip."""
+    name = next(iter(keys))
+    return answered_each(rows, {n: session(**key) for n, key in keys.items()}, lambda q: q.join(desk.legs, [*DAY, "scrip"], "left").select("_key", f(F.col("bars"), Keys()).alias(name)))
 
 
 def ask_pair(rows: DataFrame, desk: Desk, name: str, ce: Column, pe: Column, f: Callable[[Column, Column, Keys], Column], **key: Column) -> DataFrame:
@@ -99,13 +121,13 @@ def ask_futures(rows: DataFrame, desk: Desk, name: str, f: Callable[[Column, Key
     return answered(rows, session(**key), lambda q: q.join(desk.futures, DAY).select("_key", f(F.col("fut"), Keys()).alias(name)), name)
 
 
-def enter(rows: DataFrame, desk: Desk, name: str = "pick", *, om: Column | None = None, start: Column | None = None, end: Column | None = None) -> DataFrame:
+def enter(rows: DataFrame, desk: Desk, name: str = "pick", *, om: Column | None = None, start: Column | None = None, end: Column | None = None, kept: bool = False) -> DataFrame:
     """rows with `name`: the first choice of the row's om from start to end; null without one, or without a start."""
     key = session(om=F.col("om") if om is None else om, start=F.col("start") if start is None else start, end=F.col("end") if end is None else end)
     # In a week the search stays on its day, but the next day's first minute is still tried.
     until = F.col("end") if desk.days is None else F.least(F.col("end"), (F.floor(F.col("start") / DAY_MINUTES) + 1) * DAY_MINUTES + desk.first)
     fits = lambda p: F.coalesce((p["t"] >= F.col("start")) & (p["t"] <= until), F.lit(False))
-    return answered(rows, key, lambda q: q.join(desk.menus, [*DAY, "om"]).select("_key", first(F.filter("picks", fits)).alias(name)), name)
+    return answered(rows, key, lambda q: q.join(desk.menus, [*DAY, "om"]).select("_key", first(F.filter("picks", fits)).alias(name)), name, kept)
 
 
 def enter_pair(rows: DataFrame, desk: Desk, name: str, om: Column, om2: Column, start: Column, end: Column) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from strikelab.functions.scalars import money
 from strikelab.functions.triggers import both_legs, close_at, common, decay, first, let, stop, straddle_bars, trail, trail_limited, window
 from strikelab.operators import mtm, rollup
-from strikelab.plans.steps import DAY, Desk, answered, ask_futures, ask_leg, ask_pair, enter, enter_at_target, enter_pair, rounds, scrip_of, session
+from strikelab.plans.steps import DAY, Desk, answered, ask_futures, ask_leg, ask_legs, ask_pair, enter, enter_at_target, enter_pair, rounds, scrip_of, session
 
 
 def closing() -> Column:
@@ -30,8 +30,8 @@ def optional(entries: DataFrame, name: str, default: Column) -> Column:
 
 
 def picked(rows: DataFrame, desk: Desk, **how: Column) -> DataFrame:
-    """rows with a valid choice, as pick and entry_t."""
-    return enter(rows, desk, **how).where("pick IS NOT NULL").withColumn("entry_t", F.col("pick.t"))
+    """rows (entries, or a view of a stored table) with a valid choice, as pick and entry_t."""
+    return enter(rows, desk, **how, kept=True).where("pick IS NOT NULL").withColumn("entry_t", F.col("pick.t"))
 
 
 def pnl(c: str) -> Column:
@@ -50,9 +50,7 @@ def leg_stops(rows: DataFrame, desk: Desk, f=None, names=("ce", "pe"), start: Co
     """rows with ce_r and pe_r: a stop on each leg of the pick from its minute on, or f of the leg's bars and the key."""
     usual = lambda b, k: stop(b, k.start, k.end, side=k.side, sl=k.sl, intra=k.intra, closes=k.closes, rate=desk.rate, opens=desk.opens)
     key = {"side": F.col("side"), "sl": F.col("sl"), "intra": optional(rows, "intra_sl", F.lit(0.0)), "closes": closing(), "end": F.col("end"), "start": F.col("pick.t") if start is None else start} | key
-    for k in names:
-        rows = ask_leg(rows, desk, f"{k}_r", F.col(f"pick.{k}"), f or usual, **key)
-    return rows
+    return ask_legs(rows, desk, f or usual, {f"{k}_r": {"scrip": F.col(f"pick.{k}")} | key for k in names})
 
 
 def with_first_hit(rows: DataFrame) -> DataFrame:
@@ -317,9 +315,9 @@ def csre_extremes(entries: DataFrame, desk: Desk, most: int = 5) -> DataFrame:
         # The minutes that all straddles held have, no more than a session's: asked one straddle after another.
         rows = ask_pair(rows, desk, "seen", F.col("pick.ce"), F.col("pick.pe"), lambda a, b, k: F.transform(straddle_bars(window(a, k.start, k.end), b), lambda x: x["t"]), start=F.col("pick.t"), end=F.col("end"))
         rows = rows.withColumn("minutes", F.col("seen") if n == 0 else F.array_intersect("minutes", "seen"))
-        for k, x in (("ce", "hi"), ("pe", "lo")):
-            f = lambda b, q: stop(F.filter(b, lambda y: F.array_contains(q.minutes, y["t"])), q.start, q.end, side=q.side, sl=q.sl, closes=q.closes, entry=q.o)
-            rows = ask_leg(rows, desk, f"{k}_r", F.col(f"{x}.{k}"), f, start=F.col(f"{x}.t"), end=F.col("end"), side=F.col("side"), sl=F.col("sl"), closes=closing(), o=F.col(f"{x}.{k}_price"), minutes=F.col("minutes"))
+        f = lambda b, q: stop(F.filter(b, lambda y: F.array_contains(q.minutes, y["t"])), q.start, q.end, side=q.side, sl=q.sl, closes=q.closes, entry=q.o)
+        key = lambda k, x: {"scrip": F.col(f"{x}.{k}"), "start": F.col(f"{x}.t"), "end": F.col("end"), "side": F.col("side"), "sl": F.col("sl"), "closes": closing(), "o": F.col(f"{x}.{k}_price"), "minutes": F.col("minutes")}
+        rows = ask_legs(rows, desk, f, {"ce_r": key("ce", "hi"), "pe_r": key("pe", "lo")})
         at = F.least(F.coalesce(F.col("ce_r.t"), F.col("end")), F.coalesce(F.col("pe_r.t"), F.col("end")))
         failed = F.col("pick").isNull()
         rows = rows.withColumn("live", ~failed & (F.lit(n) < F.col("re_entries")) & (at < F.col("end") - 5))
@@ -370,7 +368,8 @@ def sut_tt(entries: DataFrame, desk: Desk) -> DataFrame:
     rows = enter_pair(rows, desk, "m", F.col("ut_om"), F.col("tt_om"), F.when(F.col("ut").isNotNull(), F.col("r.t")), F.col("end"))
     for k, x in (("ut", "a"), ("tt", "b")):
         rows = rows.withColumn(f"{k}_scrip", F.when(F.col(k) == "ce", F.col(f"m.{x}.ce")).when(F.col(k) == "pe", F.col(f"m.{x}.pe")))
-        rows = ask_leg(rows, desk, f"{k}_r", F.col(f"{k}_scrip"), lambda b, q: stop(b, q.start, q.end, side=q.side, sl=q.sl, closes=q.closes, rate=desk.rate, opens=desk.opens), start=F.col("m.t"), end=F.col("end"), side=F.col(f"{k}_side"), sl=F.col(f"{k}_sl"), closes=F.col(f"{k}_method") == "CC")
+    key = lambda k: {"scrip": F.col(f"{k}_scrip"), "start": F.col("m.t"), "end": F.col("end"), "side": F.col(f"{k}_side"), "sl": F.col(f"{k}_sl"), "closes": F.col(f"{k}_method") == "CC"}
+    rows = ask_legs(rows, desk, lambda b, q: stop(b, q.start, q.end, side=q.side, sl=q.sl, closes=q.closes, rate=desk.rate, opens=desk.opens), {f"{k}_r": key(k) for k in ("ut", "tt")})
     out = [x for k in ("ut", "tt") for x in (f"{k}_scrip", F.col(f"{k}_r.t").alias(f"{k}_t"), pnl(f"{k}_r").alias(f"{k}_pnl"))]
     return rows.select(*entries.columns, "entry_t", F.col("r.t").alias("std_t"), pnl("r").alias("std_pnl"), F.col("m.t").alias("both_t"), *out, money(pnl("r") + pnl("ut_r") + pnl("tt_r")).alias("total_pnl"))
 
@@ -738,8 +737,8 @@ def future_breakout(entries: DataFrame, desk: Desk) -> DataFrame:
     rows = picked(rows, desk, start=F.col("break_t"))
     down = F.col("way") == "ce"
     rows = rows.withColumn("sold", F.when(down, F.col("pick.ce")).otherwise(F.col("pick.pe"))).withColumn("bought", F.when(down, F.col("pick.pe")).otherwise(F.col("pick.ce")))
-    for name, side in (("sold", "SELL"), ("bought", "BUY")):
-        rows = ask_leg(rows, desk, f"{name}_r", F.col(name), lambda b, k: stop(b, k.start, k.end, side=k.side, sl=k.sl, closes=k.closes, rate=desk.rate, opens=desk.opens), **leg_key(side=F.lit(side), start=F.col("pick.t"), sl=F.col("sl")))
+    key = lambda name, side: {"scrip": F.col(name)} | leg_key(side=F.lit(side), start=F.col("pick.t"), sl=F.col("sl"))
+    rows = ask_legs(rows, desk, lambda b, k: stop(b, k.start, k.end, side=k.side, sl=k.sl, closes=k.closes, rate=desk.rate, opens=desk.opens), {"sold_r": key("sold", "SELL"), "bought_r": key("bought", "BUY")})
     out = [x for k in ("sold", "bought") for x in (k, F.col(f"{k}_r.t").alias(f"{k}_t"), pnl(f"{k}_r").alias(f"{k}_pnl"))]
     return rows.select(*entries.columns, F.when(down, "down").otherwise("up").alias("way"), "break_t", "entry_t", *out, money(pnl("sold_r") + pnl("bought_r")).alias("total_pnl"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strikelab.functions.scalars import money
-from strikelab.functions.triggers import both_legs, first, last, let, range_levels, range_stop, straddle_bars, window
+from strikelab.functions.triggers import all_legs, both_legs, first, last, let, range_levels, range_stop, straddle_bars, window
 from strikelab.plans.grid import week_slice, weeks
 from strikelab.plans.steps import DAY, DAY_MINUTES, Desk, answered, enter, rounds, scrip_of, session
 
@@ -75,7 +75,7 @@ def _range_rounds(entries: DataFrame, desk: Desk, begin: DataFrame, most: int, t
     budget = F.array(*(F.col(f"dte{i}re") for i in range(1, 6)))
 
     def step(rows: DataFrame, n: int) -> DataFrame:
-        if n == 0 and chosen:
+        if n == 0 and chosen is not None:
             rows = rows.withColumn("pick", chosen)
         else:
             rows = enter(rows, desk, "pick", start=F.col("go"))
@@ -120,16 +120,16 @@ def strangle_to_straddle(entries: DataFrame, desk: Desk, most: int = 20) -> tupl
         for k in ("ce", "pe", "rce", "rpe"):
             q = q.join(leg(k), [*DAY, k])
         q = q.join(desk.futures, DAY)
-        pair = lambda a, b: both_legs(window(F.col(a), F.col("start"), F.col("end")), F.col(b), lambda x, y: F.struct(x["t"].alias("t"), x["close"].alias("a"), y["close"].alias("b")))
-        four = both_legs(pair("ce_bars", "pe_bars"), pair("rce_bars", "rpe_bars"), lambda x, y: F.struct(x["t"].alias("t"), x.alias("x"), y.alias("y")))
-        all_five = both_legs(four, F.col("fut"), lambda z, f: F.struct(z["t"].alias("t"), z["x"]["a"].alias("ce"), z["x"]["b"].alias("pe"), z["y"]["a"].alias("rce"), z["y"]["b"].alias("rpe"), f["close"].alias("f")))
+        names = ["ce", "pe", "rce", "rpe", "f"]
+        inside = window(F.col("ce_bars"), F.col("start"), F.col("end"))
+        pair = both_legs(inside, F.col("pe_bars"), lambda x, y: F.struct(x["t"].alias("t"), x["close"].alias("a"), y["close"].alias("b")))
+        all_five = all_legs([inside, *(F.col(f"{k}_bars") for k in names[1:4]), F.col("fut")], lambda *x: F.struct(x[0]["t"].alias("t"), *(y["close"].alias(n) for n, y in zip(names, x, strict=True))))
 
         def touched(m: Column) -> Column:
             up, down = first(F.filter(m, lambda z: z["f"] >= F.col("kc"))), first(F.filter(m, lambda z: z["f"] <= F.col("kp")))
             return F.struct(up.alias("up"), down.alias("down"))
 
-        ends = pair("ce_bars", "pe_bars")
-        return q.select("_key", F.struct(let(all_five, touched).alias("m"), let(ends, last).alias("z")).alias("f"))
+        return q.select("_key", F.struct(let(all_five, touched).alias("m"), let(pair, last).alias("z")).alias("f"))
 
     rows = answered(rows, key, answer, "f")
     up, down = F.col("f.m.up"), F.col("f.m.down")
