@@ -162,10 +162,10 @@ def _counted(batches: Iterator[pa.RecordBatch], add, entries: int, burst: int) -
 
 
 def _add_short(trie: HatTrie, lang: bytes, words: Words, x: np.ndarray) -> None:
-    """Words and pairs, each distinct one of the batch once; a word alone has the suffix 0."""
+    """Words and pairs, each distinct one of the batch once; a word alone has the suffix 0. Prefix 0 counts all words."""
     both = (x[:-1] > 0) & (x[1:] > 0)
     found, n = np.unique(np.concatenate([x[x > 0] << _SHIFT, x[:-1][both] << _SHIFT | x[1:][both]]), return_counts=True)
-    trie.add(found >> _SHIFT, found & _LOW, n)
+    trie.add(np.append(0, found >> _SHIFT), np.append(0, found & _LOW), np.append((x > 0).sum(), n))
 
 
 def _add_long(bitmap: np.ndarray):
@@ -224,9 +224,9 @@ def phrase_counts(docs: DataFrame, least: int = 30, entries: int = ENTRIES, burs
     count. Null text: no words. Null lang: `und`. Repeated rows count each; no rows or words: no phrases.
     """
     base = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    short = stored(_merged(base, _add_short, entries, burst), "phrases-short")
-    total = short.where("w2 IS NULL").groupBy("lang").agg(F.sum("n").cast("long").alias("n"))
-    short = short.where(F.col("n") >= least)
+    short = stored(_merged(base, _add_short, entries, burst).where((F.col("n") >= least) | F.col("w1").isNull()), "phrases-short")
+    total = short.where("w1 IS NULL AND n > 0").select("lang", "n")
+    short = short.where((F.col("n") >= least) & F.col("w1").isNotNull())
     long = stored(_merged(base, _add_long(_bitmap(short.where("w2 IS NOT NULL"))), entries, burst).where(F.col("n") >= least), "phrases-long")
     words = F.array_compact(F.array("w1", "w2", "w3", "w4"))
     return total, short.unionByName(long).select("lang", words.alias("words"), F.col("n").alias("f"))
