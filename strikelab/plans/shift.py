@@ -15,7 +15,10 @@ from strikelab.plans.lineage import cut
 from strikelab.plans.steps import Desk, ask_leg, ask_pair, enter, enter_at_target, rounds, scrip_of
 from strikelab.plans.strategies import closing, earlier, picked
 
-STATE = ["ce", "ce_price", "ce_t", "pe", "pe_price", "pe_t", "premium", "shifted", "exit_t", "check", "move", "rolls", "ce_x", "pe_x", "live"]
+STATE = ["ce", "ce_price", "ce_t", "pe", "pe_price", "pe_t", "premium", "shifted", "exit_t", "check", "move", "rolls", "ce_x", "pe_x", "gone", "live"]
+
+#: The legs closed on the way: scrip, start, until.
+GONE = "array<struct<scrip:string,start:int,until:int>>"
 
 
 def _strike(scrip: Column) -> Column:
@@ -28,7 +31,7 @@ def shift(entries: DataFrame, desk: Desk, *, ending: str = "premium", closing_by
 
 
 def held(entries: DataFrame, desk: Desk, *, ending: str = "premium", separate: bool = False, trailed: bool = False, limited: bool = False, most: int = 20) -> DataFrame:
-    """The rolls of each session and set, and what is held when they end: a stored table for `closed`, whose rows have, per session and set: rolls, shifted_pnl (of the legs closed on the way), ce, pe (held at the end; null if closed), exit_t,
+    """The rolls of each session and set, and what is held when they end: a stored table for `closed`, whose rows have, per session and set: rolls, gone (the legs closed on the way), shifted_pnl (of these), ce, pe (held at the end; null if closed), exit_t,
     ce_pnl, pe_pnl, total_pnl. entries also has side, method, divider (percent of the premium added to the closed leg's
     price as the target of the new one) and movement.
 
@@ -49,7 +52,7 @@ def held(entries: DataFrame, desk: Desk, *, ending: str = "premium", separate: b
         return rows.select(
             *keys, F.col("pick.ce").alias("ce"), F.col("pick.ce_price").alias("ce_price"), F.col("pick.t").alias("ce_t"), F.col("pick.pe").alias("pe"), F.col("pick.pe_price").alias("pe_price"), F.col("pick.t").alias("pe_t"),
             (F.col("pick.ce_price") + F.col("pick.pe_price")).alias("premium"), F.lit(0.0).alias("shifted"), null_t.alias("exit_t"), F.coalesce(null_s, F.lit(False)).alias("check"), F.lit(None).cast("double").alias("move"),
-            F.lit(0).alias("rolls"), null_t.alias("ce_x"), null_t.alias("pe_x"), F.lit(True).alias("live"),
+            F.lit(0).alias("rolls"), null_t.alias("ce_x"), null_t.alias("pe_x"), F.array().cast(GONE).alias("gone"), F.lit(True).alias("live"),
         )
 
     def asked(a: Column, b: Column, k) -> Column:
@@ -89,6 +92,10 @@ def held(entries: DataFrame, desk: Desk, *, ending: str = "premium", separate: b
         no = F.lit(False)
         full = (c("rolls") == c("action")) if limited else no
 
+        def closed_(*legs: str) -> Column:
+            new = F.array(*(F.struct(c(k).alias("scrip"), c(f"{k}_t").alias("start"), c("at").alias("until")) for k in legs))
+            return F.concat("gone", new.cast(GONE))
+
         def state(**over) -> Column:
             base = {s: c(s) for s in STATE} | {"live": no} | over
             types = dict(rows.dtypes)
@@ -97,13 +104,14 @@ def held(entries: DataFrame, desk: Desk, *, ending: str = "premium", separate: b
         def rolled(k: str) -> Column:
             """One leg, k, is rolled at `at`."""
             o = "pe" if k == "ce" else "ce"
-            new, gone = c(f"new_{k}"), {k: none_s, f"{k}_price": none_p, "exit_t": c("at")}
+            off = closed_(k)
+            new, gone = c(f"new_{k}"), {k: none_s, f"{k}_price": none_p, "exit_t": c("at"), "gone": off}
             shifted = c("shifted") + gain(k)
             premium = c("premium") - c(f"x.{k}_at") + new[f"{k}_price"]
             ce = new["ce"] if k == "ce" else c("ce")
             pe = new["pe"] if k == "pe" else c("pe")
             crossed = _strike(pe) - _strike(ce)
-            held = {k: new[k], f"{k}_price": new[f"{k}_price"], f"{k}_t": new["t"], "premium": premium, "shifted": shifted, "rolls": c("rolls") + 1}
+            held = {k: new[k], f"{k}_price": new[f"{k}_price"], f"{k}_t": new["t"], "premium": premium, "shifted": shifted, "rolls": c("rolls") + 1, "gone": off}
             going = state(**held, live=F.lit(True))
             if separate:
                 stay = state(check=F.lit(True), ce_x=c("x.ce"), pe_x=c("x.pe"))
@@ -114,23 +122,23 @@ def held(entries: DataFrame, desk: Desk, *, ending: str = "premium", separate: b
                 out = out.when(crossed > premium, state(**gone, shifted=shifted, premium=premium, rolls=c("rolls") + 1))
             elif ending == "straddle":
                 bar = c(f"same_{k}_bar")
-                met = {k: c(f"same_{k}"), f"{k}_price": bar["close"], f"{k}_t": bar["t"], "premium": c("premium") - c(f"x.{k}_at") + bar["close"], "shifted": shifted, "rolls": c("rolls") + 1}
+                met = {k: c(f"same_{k}"), f"{k}_price": bar["close"], f"{k}_t": bar["t"], "premium": c("premium") - c(f"x.{k}_at") + bar["close"], "shifted": shifted, "rolls": c("rolls") + 1, "gone": off}
                 out = out.when((crossed >= 0) & bar.isNull(), ended).when(crossed >= 0, state(**met, check=F.lit(True)))
             elif ending == "nstraddle":
-                out = out.when(crossed == 0, state(**held, check=F.lit(True))).when(crossed > 0, new_straddle(shifted + gain(o), none=state(ce=none_s, pe=none_s, shifted=shifted + gain(o))))
+                out = out.when(crossed == 0, state(**held, check=F.lit(True))).when(crossed > 0, new_straddle(shifted + gain(o), none=state(ce=none_s, pe=none_s, shifted=shifted + gain(o), gone=closed_("ce", "pe"))))
             return out.otherwise(going)
 
         def new_straddle(shifted: Column, none: Column) -> Column:
             a = c("atm")
-            met = {"ce": a["ce"], "pe": a["pe"], "ce_price": a["ce_price"], "pe_price": a["pe_price"], "ce_t": a["t"], "pe_t": a["t"], "shifted": shifted, "rolls": c("rolls") + 1, "premium": c("premium") - c("x.ce_at") + a["ce_price"] - c("x.pe_at") + a["pe_price"]}
+            met = {"ce": a["ce"], "pe": a["pe"], "ce_price": a["ce_price"], "pe_price": a["pe_price"], "ce_t": a["t"], "pe_t": a["t"], "shifted": shifted, "rolls": c("rolls") + 1, "gone": closed_("ce", "pe"), "premium": c("premium") - c("x.ce_at") + a["ce_price"] - c("x.pe_at") + a["pe_price"]}
             return F.when(a.isNull(), none).otherwise(state(**met, check=F.lit(True)))
 
         def both() -> Column:
             a, b = c("new_ce"), c("new_pe")
             shifted = c("shifted") + gain("ce") + gain("pe")
             premium = c("premium") - c("x.ce_at") + a["ce_price"] - c("x.pe_at") + b["pe_price"]
-            held = {"ce": a["ce"], "ce_price": a["ce_price"], "ce_t": a["t"], "pe": b["pe"], "pe_price": b["pe_price"], "pe_t": b["t"], "premium": premium, "shifted": shifted, "rolls": c("rolls") + 1}
-            ended = state(ce=none_s, pe=none_s, shifted=shifted)
+            held = {"ce": a["ce"], "ce_price": a["ce_price"], "ce_t": a["t"], "pe": b["pe"], "pe_price": b["pe_price"], "pe_t": b["t"], "premium": premium, "shifted": shifted, "rolls": c("rolls") + 1, "gone": closed_("ce", "pe")}
+            ended = state(ce=none_s, pe=none_s, shifted=shifted, gone=closed_("ce", "pe"))
             crossed = _strike(b["pe"]) - _strike(a["ce"])
             out = F.when(full | a.isNull() | b.isNull(), ended)
             if ending == "premium":

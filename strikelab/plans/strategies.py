@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from strikelab.functions.scalars import money
 from strikelab.functions.triggers import both_legs, close_at, common, decay, first, let, stop, straddle_bars, trail, trail_limited, window
-from strikelab.operators import mtm, rollup
+from strikelab.operators import mtm
 from strikelab.plans.steps import DAY, Desk, answered, ask_futures, ask_leg, ask_legs, ask_pair, enter, enter_at_target, enter_pair, rounds, scrip_of, session
 
 
@@ -241,19 +241,19 @@ def combined(rows: DataFrame, desk: Desk, name: str = "r", pick: str = "pick", *
     return ask_pair(rows, desk, name, F.col(f"{pick}.ce"), F.col(f"{pick}.pe"), f, **key)
 
 
-def straddle_rounds(entries: DataFrame, desk: Desk, most: int, judged, name: str, begin: DataFrame | None = None) -> DataFrame:
+def straddle_rounds(entries: DataFrame, desk: Desk, most: int, judged, name: str, begin: DataFrame | None = None, more: list[str] | None = None) -> DataFrame:
     """A straddle again from each stop, if that is more than five minutes before the end, up to `most` times; a row a round.
 
-    judged: rows with a pick to rows with o, exit_t and pnl. begin: rows with go, the first start; entries' own without.
+    judged: rows with a pick to rows with o, exit_t and pnl, and more. begin: rows with go, the first start; entries' own without.
     """
-    keys = [*entries.columns]
+    keys, more = [*entries.columns], more or []
 
     def step(rows: DataFrame, n: int) -> DataFrame:
         done = judged(picked(rows.select(*keys, "go"), desk, start=F.col("go")))
         done = done.withColumns({"ce": F.col("pick.ce"), "pe": F.col("pick.pe"), "go": F.col("exit_t"), "live": F.col("exit_t") < F.col("end") - 5})
-        return done.select(*keys, "entry_t", "ce", "pe", "o", "exit_t", "pnl", "go", "live")
+        return done.select(*keys, "entry_t", "ce", "pe", "o", "exit_t", "pnl", *more, "go", "live")
 
-    return rounds(entries.withColumn("go", F.col("start")) if begin is None else begin, step, most, [*keys, "entry_t", "ce", "pe", "o", "exit_t", "pnl"], name)
+    return rounds(entries.withColumn("go", F.col("start")) if begin is None else begin, step, most, [*keys, "entry_t", "ce", "pe", "o", "exit_t", "pnl", *more], name)
 
 
 def by_combined_stop(desk: Desk, **key: Column):
@@ -265,8 +265,9 @@ def sre(entries: DataFrame, desk: Desk, most: int = 7) -> DataFrame:
     return straddle_rounds(entries, desk, most, by_combined_stop(desk), "sre")
 
 
-def sre_separate(entries: DataFrame, desk: Desk, most: int = 7) -> DataFrame:
-    """As sre, but a stop on either leg closes both at that minute, the other at its close. entries also has side, sl."""
+def sre_separate(entries: DataFrame, desk: Desk, most: int = 7, more: list[str] | None = None) -> DataFrame:
+    """As sre, but a stop on either leg closes both at that minute, the other at its close. entries also has side, sl. more, of
+    first (the leg that is stopped), ce_stop, pe_stop (both legs' own outcomes)."""
 
     def f(a: Column, b: Column, k) -> Column:
         of = lambda x, y: stop(common(window(x, k.start, k.end), y), k.start, k.end, side=k.side, sl=k.sl, rate=desk.rate, opens=desk.opens)
@@ -275,13 +276,13 @@ def sre_separate(entries: DataFrame, desk: Desk, most: int = 7) -> DataFrame:
 
     def judged(rows: DataFrame) -> DataFrame:
         rows = ask_pair(rows, desk, "r", F.col("pick.ce"), F.col("pick.pe"), f, start=F.col("pick.t"), end=F.col("end"), side=F.col("side"), sl=F.col("sl"))
-        rows = rows.withColumn("first", earlier(F.col("r.ce.t"), F.col("r.pe.t")))
+        rows = rows.withColumns({"first": earlier(F.col("r.ce.t"), F.col("r.pe.t")), "ce_stop": F.col("r.ce"), "pe_stop": F.col("r.pe")})
         cost = lambda k: F.col(f"pick.{k}_price")
         other = lambda k: cost(k) - F.col(f"r.{k}_at") - cost(k) * desk.rate
         gain = F.when(F.col("first") == "ce", F.col("r.ce.pnl") + other("pe")).when(F.col("first") == "pe", F.col("r.pe.pnl") + other("ce")).otherwise(F.col("r.ce.pnl") + F.col("r.pe.pnl"))
         return rows.withColumns({"o": cost("ce") + cost("pe"), "exit_t": F.when(F.col("first") == "ce", F.col("r.ce.t")).when(F.col("first") == "pe", F.col("r.pe.t")).otherwise(F.col("r.ce.t")), "pnl": money(gain)})
 
-    return straddle_rounds(entries, desk, most, judged, "sre-separate")
+    return straddle_rounds(entries, desk, most, judged, "sre-separate", more=more)
 
 
 def csre(entries: DataFrame, desk: Desk, most: int = 7) -> DataFrame:
@@ -855,28 +856,6 @@ def b120_series(rows: DataFrame, desk: Desk, times_ut: float = 1.0) -> DataFrame
     return rows.withColumns({"std": F.array(cut_("ce", "pe"), cut_("pe", "ce")), "ut_points": F.when(on, scaled).otherwise(none), "exit_t": F.when(on, F.col("ut_r.t")).otherwise(F.col("both_t"))})
 
 
-def portfolio_stop(entries: DataFrame, desk: Desk, levels: list[float], fund: float, margin_percent: float, step: int = 1, lag: int = 1) -> DataFrame:
-    """b120 entered on a ladder from start to last_trade_time every trade_interval minutes, its minute profit added up, and what each
-    level of the fund pays: keys, level, t, paid and its parts paid_std and paid_ut.
-
-    A ladder's entry that several sets share is traded once; the grid's rows are summed by set.
-    """
-    keys = entries.columns
-    ladder = entries.withColumn("go", F.explode(F.sequence("start", "last_trade_time", F.col("trade_interval").cast("int"))))
-    asked = [c for c in keys if c not in ("start", "last_trade_time", "trade_interval")]
-    trades = ladder.select(*asked, "go").distinct()
-    series = b120_series(picked(trades, desk, start=F.col("go")), desk)
-    grid = lambda points: mtm.filled(points, desk.first, desk.last, step)
-    whole = series.select(*asked, "go", F.explode(F.array(*(F.struct(F.lit(p).alias("part"), grid(x).alias("grid")) for p, x in (("std", F.col("std")[0]), ("std", F.col("std")[1]), ("ut", F.col("ut_points")))))).alias("x")).select(*asked, "go", "x.*")
-    joined = ladder.join(whole, [*asked, "go"])
-    parts = mtm.portfolio(joined, [*keys, "part"]).groupBy(*keys, "t").agg(F.sum("mtm").alias("mtm"), *(F.sum(F.when(F.col("part") == p, F.col("mtm")).otherwise(0.0)).alias(p) for p in ("std", "ut")))
-    price = desk.futures.select(*DAY, F.element_at("fut", 1)["close"].alias("_price"))
-    n = F.floor((F.col("last_trade_time") - F.col("start")) / F.col("trade_interval")) + 1
-    money_rows = parts.join(price, DAY).withColumn("_n", rollup.shares(fund, margin_percent, F.col("_price"), n))
-    money_rows = money_rows.select(*keys, "t", *(F.round(F.col(c) * F.col("_n"), 2).alias(c) for c in ("mtm", "std", "ut")))
-    return rollup.crossings(money_rows, keys, levels, F.lit(float(fund)), lag, ["std", "ut"])
-
-
 def b120_double_ut(entries: DataFrame, desk: Desk, most: int = 5) -> DataFrame:
     """b120 again from its exit, with the followed leg's profit doubled; a row a round with its profit at the end."""
     keys = entries.columns

@@ -15,7 +15,7 @@ from strikelab import strategy_sql as sql
 from strikelab.catalog import FIRST, LAST, Market, query
 from strikelab.functions import triggers
 from strikelab.operators import strikes
-from strikelab.plans import shift, weekly
+from strikelab.plans import shift, trades, weekly
 from strikelab.plans import strategies as st
 from strikelab.plans.lineage import cut
 from strikelab.plans.steps import menu
@@ -727,7 +727,7 @@ def mod_psl(spark, sf_dir):
     """The separate-stop strategy on a ladder of entries, with the 37 levels of a portfolio stop."""
     m = Market(spark, sf_dir)
     desk = m.desk()
-    return st.portfolio_stop(m.entries(*S_PSL), desk, LEVELS, 1e9, 12.0, 10)
+    return trades.portfolio_stop(m.entries(*S_PSL), desk, trades.b120(), LEVELS, step=10, parts=("std", "ut"))
 
 
 @query()
