@@ -23,8 +23,8 @@ from .common import stored
 BLOCK, BATCH, PIVOTS, CELL = 2048, 256, 128, 8192
 #: Each level's radius is the one above times this.
 SHRINK = 0.75
-#: Products up to this are exact in doubles.
-_EXACT = float(1 << 53)
+#: Products must stay under this, where doubles are exact and a hundredfold fits in 64 bits.
+_MOST = float(1 << 52)
 
 
 @dataclass
@@ -121,17 +121,17 @@ def best_first(tree: CoverTree, queries: np.ndarray, take, low: np.ndarray | Non
                 met |= (up >= low[:, w, None]) & (s - reach <= high[:, w, None])
             ok &= met
         ends = leaf[fresh]
-        if ends.any():
-            q, k = np.nonzero(ok & ends)
-            found[q, tree.centre[fresh[k]]] = s[q, k]
+        if ends.any():  # every point has one leaf; other queries may have met it before
+            at = tree.centre[fresh[ends]]
+            found[:, at] = np.where(ok[:, ends], s[:, ends], found[:, at])
             most = np.maximum(most, take(found) - 2 * slack)
-        q, k = np.nonzero(ok & ~ends)
-        upper[q, fresh[k]] = up[q, k]
-        upper[upper < most[:, None]] = -np.inf
-        alive = np.flatnonzero(np.isfinite(upper).any(0))
+        inner = np.flatnonzero(~ends)
+        upper[:, fresh[inner]] = np.where(ok[:, inner], up[:, inner], upper[:, fresh[inner]])
+        alive = np.flatnonzero(((upper >= most[:, None]) & np.isfinite(upper)).any(0))
         if not len(alive):
             return found
-        chosen = np.isfinite(part := upper[:, alive])
+        part = np.where(upper[:, alive] >= most[:, None], upper[:, alive], -np.inf)
+        chosen = np.isfinite(part)
         if step < len(alive):
             chosen &= part >= -np.partition(-part, step - 1, axis=1)[:, step - 1, None]
         opened, chosen = alive[chosen.any(0)], chosen[:, chosen.any(0)]
@@ -141,13 +141,6 @@ def best_first(tree: CoverTree, queries: np.ndarray, take, low: np.ndarray | Non
         step *= 2
 
 
-def exact(query: np.ndarray, vectors: np.ndarray) -> list[int]:
-    """Inner products of whole numbers, exact at any size."""
-    if 2 * float(np.sqrt((query * query).sum()) * np.sqrt((vectors * vectors).sum(1).max(initial=0))) < _EXACT:
-        return [int(x) for x in vectors @ query]
-    return [sum(int(a) * int(b) for a, b in zip(query.tolist(), v, strict=True)) for v in vectors.tolist()]
-
-
 def _holds(tree: CoverTree, labels: np.ndarray, same: bool) -> np.ndarray:
     """(queries, points): whether a point has a row of the query's label, or of another."""
     n = len(tree.points)
@@ -156,61 +149,87 @@ def _holds(tree: CoverTree, labels: np.ndarray, same: bool) -> np.ndarray:
     return np.stack([of[k] for k in labels.tolist()])
 
 
-def _kth(found: np.ndarray, inside: np.ndarray, most: int) -> np.ndarray:
-    """The product that most + 1 points inside reach, of which the query's own may be one; -inf without so many."""
+def _kth(found: np.ndarray, most: int) -> np.ndarray:
+    """The product that most + 1 points reach, of which the query's own may be one; -inf without so many."""
     if found.shape[1] <= most:
         return np.full(len(found), -np.inf)
-    return -np.partition(-np.where(inside, found, -np.inf), most, axis=1)[:, most]
+    return np.partition(found, found.shape[1] - most - 1, axis=1)[:, found.shape[1] - most - 1]
 
 
-def _ranked(tree: CoverTree, query: np.ndarray, places: np.ndarray, own: int, label: int, same: bool, most: int) -> list[tuple[int, int]]:
-    """(score, id) of the places' rows of the label, or of others, highest score first, then smallest id. Of one point's rows the
-    first `most` are enough, as they have one score."""
-    rows = []
-    for p, s in zip(places.tolist(), exact(query, tree.points[places]), strict=True):
-        ids, labels = tree.ids[tree.starts[p] : tree.starts[p + 1]], tree.labels[tree.starts[p] : tree.starts[p + 1]]
-        rows += [(-s, i) for i in ids[((labels == label) == same) & (ids != own)][:most].tolist()]
-    return [(-s, i) for s, i in sorted(rows)]
+def _rows_of(tree: CoverTree, queries: np.ndarray, good: np.ndarray, own: np.ndarray, labels: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, score, id) of the good points' rows of the query's label, or of others, by query, highest score, smallest id. Scores are
+    products of whole numbers."""
+    q, p = np.nonzero(good)
+    scores = np.einsum("ij,ij->i", queries[q].astype(np.int64), tree.points[p].astype(np.int64))
+    size = np.diff(tree.starts)[p]
+    at = np.repeat(tree.starts[p] - np.cumsum(size) + size, size) + np.arange(size.sum())
+    q, scores = np.repeat(q, size), np.repeat(scores, size)
+    kept = ((tree.labels[at] == labels[q]) == same) & (tree.ids[at] != own[q])
+    q, scores, ids = q[kept], scores[kept], tree.ids[at[kept]]
+    order = np.lexsort([ids, -scores, q])
+    return q[order], scores[order], ids[order]
 
 
-def positives_in(tree: CoverTree, queries: np.ndarray, own: np.ndarray, labels: np.ndarray, most: int) -> list[list[tuple[int, int]]]:
-    """Each query's first `most` (score, id) of its label in this tree."""
-    holds = _holds(tree, labels, True)
-    found = best_first(tree, queries, lambda f: _kth(f, holds, most))
-    edge = _kth(found, holds, most)
-    good = holds & np.isfinite(found) & (found >= (edge - 1e-6 * (1 + np.abs(edge)))[:, None])
-    return [_ranked(tree, q, np.flatnonzero(g), i, k, True, most)[:most] for q, g, i, k in zip(queries, good, own.tolist(), labels.tolist(), strict=True)]
+def _firsts(groups: np.ndarray, most: int) -> np.ndarray:
+    """Which are among the first `most` of their group; groups are neighbours."""
+    new = np.append(True, np.diff(groups) != 0)[: len(groups)]
+    start = np.maximum.accumulate(np.where(new, np.arange(len(groups)), 0)) if len(groups) else groups
+    return np.arange(len(groups)) - start < most
+
+
+def _checked(tree: CoverTree, queries: np.ndarray) -> None:
+    if float(np.sqrt((queries * queries).sum(1).max(initial=0)) * np.sqrt((tree.points * tree.points).sum(1).max(initial=0))) >= _MOST:
+        raise ValueError("products of these vectors can pass 2^52")
 
 
-def negatives_in(tree: CoverTree, queries: np.ndarray, own: np.ndarray, labels: np.ndarray, scores: list[list[int]], low: int, high: int, most: int) -> list[list[list[tuple[int, int]]]]:
-    """For each query and each of its positives' scores the first `most` (score, id) of other labels with
-    low * p <= 100 * s <= high * p."""
+def positives_in(tree: CoverTree, queries: np.ndarray, own: np.ndarray, labels: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, score, id) of each query's first `most` rows of its label in this tree."""
+    _checked(tree, queries)
+    holds = _holds(tree, labels, True)
+    kth = lambda f: _kth(np.where(holds, f, -np.inf), most)
+    found = best_first(tree, queries, kth)
+    edge = kth(found)
+    good = holds & np.isfinite(found) & (found >= (edge - 0.5)[:, None])
+    q, s, i = _rows_of(tree, queries, good, own, labels, True)
+    first = _firsts(q, most)
+    return q[first], s[first], i[first]
+
+
+def negatives_in(tree: CoverTree, queries: np.ndarray, own: np.ndarray, labels: np.ndarray, scores: list[list[int]], low: int, high: int, most: int) -> tuple[np.ndarray, ...]:
+    """(query, place of the positive, score, id): for each query and each of its positives' scores p the first `most` rows of other
+    labels with low * p <= 100 * s <= high * p."""
+    _checked(tree, queries)
     wide = max(map(len, scores), default=0)
+    goal = np.zeros((len(queries), wide), np.int64)
     lo, hi = np.full((len(queries), wide), np.inf), np.full((len(queries), wide), -np.inf)
     for i, s in enumerate(scores):
-        lo[i, : len(s)], hi[i, : len(s)] = np.array(s, float) * low / 100, np.array(s, float) * high / 100
-    edge_of = lambda x: np.where(np.isfinite(x), 1e-6 * (1 + np.abs(x)), 0)
-    lo_e, hi_e = edge_of(lo), edge_of(hi)
+        goal[i, : len(s)] = s
+        lo[i, : len(s)], hi[i, : len(s)] = np.array(s, float) * low / 100 - 0.5, np.array(s, float) * high / 100 + 0.5
     holds = _holds(tree, labels, False)
-
-    def kth(found: np.ndarray, w: int) -> np.ndarray:
-        # Inside by a margin: what counts towards the bound lies in the window in whole numbers too.
-        return _kth(found, holds & (found >= (lo + lo_e)[:, w, None]) & (found <= (hi - hi_e)[:, w, None]), most)
-
-    def take(found: np.ndarray) -> np.ndarray:
-        open_ = np.stack([np.where(np.isfinite(hi[:, w]), kth(found, w), np.inf) for w in range(wide)])
-        return open_.min(0)
-
-    found = best_first(tree, queries, take, lo - lo_e, hi + hi_e)
-    good = np.zeros_like(holds)
-    for w in range(wide):
-        edge = kth(found, w)
-        good |= holds & (found >= (lo - lo_e)[:, w, None]) & (found <= (hi + hi_e)[:, w, None]) & (found >= (edge - edge_of(edge))[:, None])
-    out = []
-    for q, g, i, k, mine in zip(queries, good, own.tolist(), labels.tolist(), scores, strict=True):
-        ranked = _ranked(tree, q, np.flatnonzero(g), i, k, False, most)
-        out.append([[x for x in ranked if low * p <= 100 * x[0] <= high * p][:most] for p in mine])
-    return out
+    lines = np.arange(len(queries))
+
+    def edges(found: np.ndarray) -> np.ndarray:
+        """(windows, queries): the product that most + 1 points well inside the window reach; -inf without so many."""
+        order = np.sort(np.where(holds, found, -np.inf), axis=1)
+        out = np.full((wide, len(queries)), -np.inf)
+        for w in range(wide):
+            at = (order <= (hi[:, w] - 1)[:, None]).sum(1) - most - 1
+            value = np.where(at >= 0, order[lines, np.maximum(at, 0)], -np.inf)
+            out[w] = np.where(value >= lo[:, w] + 1, value, -np.inf)
+        return out
+
+    used = np.isfinite(hi.T)
+    found = best_first(tree, queries, lambda f: np.where(used, edges(f), np.inf).min(0, initial=np.inf), lo, hi)
+    parts = []
+    for w, edge in enumerate(edges(found)):
+        good = holds & (found >= np.maximum(lo[:, w], edge - 0.5)[:, None]) & (found <= hi[:, w, None])
+        q, s, i = _rows_of(tree, queries, good, own, labels, False)
+        p = goal[q, w]
+        inside = (low * p <= 100 * s) & (100 * s <= high * p)
+        q, s, i = q[inside], s[inside], i[inside]
+        first = _firsts(q, most)
+        parts.append((q[first], np.full(first.sum(), w), s[first], i[first]))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 4
 
 
 def _matrix(lists: pa.Array) -> np.ndarray:
@@ -230,7 +249,7 @@ def hard_negatives(rows: DataFrame, is_anchor: Column, positives: int = 5, negat
     first, ties by smaller id. Positives: an anchor's first `positives` rows of its label; for each the first `negatives`
     rows of other labels whose score s has low * p <= 100 * s <= high * p. Rows of the anchor's own id are no partners;
     repeated anchors of one id are one (the least vector and label), other repeated rows count each. Only vectors of equal
-    length meet; empty ones score 0. Scores beyond 64 bits are an error. Other columns are ignored.
+    length meet; empty ones score 0. Products of vectors that can pass 2^52 are an error. Other columns are ignored.
 
     At most PIVOTS vectors of a bounded sample, picked by hash, are pivots. Cells of more than `block` rows are split by
     hash of id and row, so no key's group grows with the data; anchors meet each block in batches.
@@ -270,7 +289,7 @@ def hard_negatives(rows: DataFrame, is_anchor: Column, positives: int = 5, negat
 
     trees = stored(_batched(placed.select("block", "dim", "id", "label", "vector"), ["block", "dim"], built, "block string, dim int, tree binary"), "negatives-trees", **{"parquet.block.size": str(8 << 20)})
     # Anchors: one a distinct id, numbered into batches.
-    asked = placed.where("anchor").groupBy("dim", "id").agg(F.min(F.struct("vector", "label")).alias("a")).select("dim", F.col("id").alias("anchor_id"), "a.vector", "a.label")
+    asked = placed.where("anchor").groupBy("id").agg(F.min(F.struct("vector", "label", "dim")).alias("a")).select(F.col("id").alias("anchor_id"), "a.*")
     pages = asked.groupBy("dim").agg(F.ceil(F.count("*") / batch).cast("int").alias("pages"))
     asked = stored(asked.join(pages, "dim").withColumn("page", F.pmod(F.xxhash64("anchor_id"), F.col("pages").cast("long")).cast("int")), "negatives-anchors")
     pairs = trees.select("block", "dim").join(pages, "dim").select("block", "dim", F.explode(F.sequence(F.lit(0), F.col("pages") - 1)).alias("page"))
@@ -291,9 +310,8 @@ def hard_negatives(rows: DataFrame, is_anchor: Column, positives: int = 5, negat
         return joined.mapInArrow(run, schema)
 
     def find_positives(tree, ids, labels, x, q) -> pa.RecordBatch:
-        got = positives_in(tree, x, ids, labels, positives)
-        flat = [(a, i, s) for a, found in zip(ids.tolist(), got, strict=True) for s, i in found]
-        return pa.record_batch([pa.array([r[k] for r in flat], pa.int64()) for k in range(3)], ["anchor_id", "positive_id", "score"])
+        at, scores, found_ids = positives_in(tree, x, ids, labels, positives)
+        return pa.record_batch([pa.array(ids[at]), pa.array(found_ids), pa.array(scores)], ["anchor_id", "positive_id", "score"])
 
     found = meet(asked, [], find_positives, "anchor_id long, positive_id long, score long")
     # Every block gives an anchor `positives` rows at most; sorting these few is a bounded group an anchor.
@@ -301,13 +319,13 @@ def hard_negatives(rows: DataFrame, is_anchor: Column, positives: int = 5, negat
     wanted = stored(asked.join(ranked, "anchor_id").withColumn("p", F.transform("p", lambda v: F.struct((-v["s"]).alias("s"), v["id"].alias("id")))), "negatives-positives")
 
     def find_negatives(tree, ids, labels, x, q) -> pa.RecordBatch:
-        mine = [[(v["s"], v["id"]) for v in p] for p in q.field("p").to_pylist()]
-        got = negatives_in(tree, x, ids, labels, [[s for s, _ in m] for m in mine], low, high, negatives)
-        flat = [(a, i, p, n, s) for a, m, g in zip(ids.tolist(), mine, got, strict=True) for (p, i), rows_ in zip(m, g, strict=True) for s, n in rows_]
-        return pa.record_batch([pa.array([r[k] for r in flat], pa.int64()) for k in range(5)], ["anchor_id", "positive_id", "positive_score", "negative_id", "score"])
+        mine = q.field("p").to_pylist()
+        at, place, scores, found_ids = negatives_in(tree, x, ids, labels, [[v["s"] for v in p] for p in mine], low, high, negatives)
+        of = [mine[a][p] for a, p in zip(at.tolist(), place.tolist(), strict=True)]
+        return pa.record_batch([pa.array(ids[at]), pa.array(place), pa.array([v["id"] for v in of], pa.int64()), pa.array([v["s"] for v in of], pa.int64()), pa.array(found_ids), pa.array(scores)], ["anchor_id", "place", "positive_id", "positive_score", "negative_id", "score"])
 
-    hard = meet(wanted, ["p"], find_negatives, "anchor_id long, positive_id long, positive_score long, negative_id long, score long")
-    top = hard.groupBy("anchor_id", "positive_id", "positive_score").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("negative_id").alias("id")))), 1, negatives).alias("n"))
+    hard = meet(wanted, ["p"], find_negatives, "anchor_id long, place long, positive_id long, positive_score long, negative_id long, score long")
+    top = hard.groupBy("anchor_id", "place", "positive_id", "positive_score").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("negative_id").alias("id")))), 1, negatives).alias("n"))
     return top.select("anchor_id", "positive_id", "positive_score", F.posexplode("n").alias("at", "v")).select("anchor_id", "positive_id", (F.col("at") + 1).alias("rank"), F.col("v.id").alias("negative_id"), "positive_score", (-F.col("v.s")).alias("negative_score"))
 
 
