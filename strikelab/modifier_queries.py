@@ -49,7 +49,7 @@ def _psl(spark, sf_dir, trader, rows, schema, oms=q.OM, **how):
     return trades.portfolio_stop(m.entries(rows, schema), desk, trader, q.LEVELS, step=STEP, **how)
 
 
-_TL = "SELECT rid, '{kind}' AS kind, {scrip} AS scrip, {other} AS other, {a} AS a, \"end\" AS z, {x} AS x, {o} AS o, {pnl} AS pnl, side, 0.01 AS rate FROM {src} WHERE {o} IS NOT NULL"
+_TL = "SELECT rid, '{kind}' AS kind, {scrip} AS scrip, {other} AS other, {a} AS a, \"end\" AS z, {x} AS x, {o} AS o, {pnl} AS pnl, side, 0.01 AS rate FROM {src}"
 
 
 def _tl(src: str, scrip: str, a: str, x: str, o: str, pnl: str, kind: str = "leg", other: str = "NULL::VARCHAR") -> str:

@@ -37,8 +37,10 @@ def leg(part: str, scrip: Column, start: Column, until: Column, *, kind: str = "
 
 
 def legs_of(rows: DataFrame, keys: list[str], *legs: Column) -> DataFrame:
-    """keys and leg, for each leg of each row; those without a scrip or a start go."""
-    return rows.select(*keys, F.explode(F.array(*legs)).alias("leg")).where("leg.scrip IS NOT NULL AND leg.start IS NOT NULL")
+    """keys and leg, for each leg of each row. Those without a scrip or a start go, but one of them stays where all are so: a trade that
+    was chosen and held nothing is a row of zeros."""
+    real = F.filter(F.array(*legs), lambda x: x["scrip"].isNotNull() & x["start"].isNotNull())
+    return rows.select(*keys, real.alias("_legs"), legs[0].alias("_one")).select(*keys, F.explode(F.when(F.size("_legs") > 0, F.col("_legs")).otherwise(F.array("_one"))).alias("leg"))
 
 
 def with_points(legs: DataFrame, desk: Desk) -> DataFrame:
@@ -137,10 +139,10 @@ def b120(most: int = 0, times_ut: float = 1.0) -> Trader:
             both = [leg("std", F.col(f"pick.{k}"), F.col("pick.t"), F.col("end"), t=F.col(f"{k}_r.t"), o=F.col(f"{k}_r.o"), pnl=F.col(f"{k}_r.pnl"), rate=desk.rate, last=F.when(on & (F.col("first") == o), F.col("ut_r.began") - 1)) for k, o in (("ce", "pe"), ("pe", "ce"))]
             ut = leg("ut", F.when(on, F.col("ut")), F.col("at"), F.col("end"), t=F.col("ut_r.t"), o=F.col("ut_r.o"), pnl=F.col("ut_r.pnl"), times=times_ut)
             more = F.lit(n) < (F.col("re_entries") if "re_entries" in keys else F.lit(most))
-            return rows.select(*keys, F.array(*both, ut).alias("legs"), F.col("exit_t").alias("_go"), ((F.col("exit_t") < F.col("end") - 5) & more).alias("live"))
+            return rows.select(*keys, F.filter(F.array(*both, ut), lambda x: x["scrip"].isNotNull()).alias("legs"), F.col("exit_t").alias("_go"), ((F.col("exit_t") < F.col("end") - 5) & more).alias("live"))
 
         log = st.rounds(entries.withColumn("_go", F.col("start")), step, most, [*keys, "legs"], "b120-legs")
-        return log.select(*keys, F.explode("legs").alias("leg")).where("leg.scrip IS NOT NULL AND leg.o IS NOT NULL")
+        return log.select(*keys, F.explode("legs").alias("leg"))
 
     return run
 
@@ -150,7 +152,7 @@ def nre(most: int = 7) -> Trader:
 
     def run(entries: DataFrame, desk: Desk) -> DataFrame:
         log = _within(st.nre(entries, desk, most), entries.columns)
-        return legs_of(log.where("o IS NOT NULL"), entries.columns, leg("std", F.col("scrip"), F.col("entry_t"), F.col("end"), t=F.col("exit_t"), o=F.col("o"), pnl=F.col("pnl"), rate=desk.rate))
+        return legs_of(log, entries.columns, leg("std", F.col("scrip"), F.col("entry_t"), F.col("end"), t=F.col("exit_t"), o=F.col("o"), pnl=F.col("pnl"), rate=desk.rate))
 
     return run
 
@@ -158,7 +160,7 @@ def nre(most: int = 7) -> Trader:
 def dt(entries: DataFrame, desk: Desk) -> DataFrame:
     """Each leg once it has decayed, with a stop."""
     rows = st.decay_legs(st.picked(entries, desk), desk)
-    one = lambda k: leg("std", F.when(F.col(f"{k}_r.r.o").isNotNull(), F.col(f"pick.{k}")), F.col(f"{k}_r.d.t"), F.col("end"), t=F.col(f"{k}_r.r.t"), o=F.col(f"{k}_r.r.o"), pnl=F.col(f"{k}_r.r.pnl"), rate=desk.rate)
+    one = lambda k: leg("std", F.col(f"pick.{k}"), F.col(f"{k}_r.d.t"), F.col("end"), t=F.col(f"{k}_r.r.t"), o=F.col(f"{k}_r.r.o"), pnl=F.col(f"{k}_r.r.pnl"), rate=desk.rate)
     return legs_of(rows, entries.columns, one("ce"), one("pe"))
 
 
@@ -167,7 +169,7 @@ def sre(most: int = 7) -> Trader:
 
     def run(entries: DataFrame, desk: Desk) -> DataFrame:
         log = _within(st.sre(entries, desk, most), entries.columns)
-        return legs_of(log.where("o IS NOT NULL"), entries.columns, leg("std", F.col("ce"), F.col("entry_t"), F.col("end"), kind="straddle", other=F.col("pe"), t=F.col("exit_t"), o=F.col("o"), pnl=F.col("pnl"), rate=desk.rate))
+        return legs_of(log, entries.columns, leg("std", F.col("ce"), F.col("entry_t"), F.col("end"), kind="straddle", other=F.col("pe"), t=F.col("exit_t"), o=F.col("o"), pnl=F.col("pnl"), rate=desk.rate))
 
     return run
 
