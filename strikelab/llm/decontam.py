@@ -1,9 +1,15 @@
-"""Benchmark decontamination: one Aho-Corasick automaton over normalised benchmark windows, run once over each text."""
+"""Benchmark decontamination: one Aho-Corasick automaton over normalised benchmark windows, run once over each text.
+
+The automaton's nodes are bounded: a benchmark of more windows is scanned in blocks, each with its own automaton, which each
+worker process builds once. Only what a block hits is stored and put together, never the texts again.
+"""
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import ahocorasick
 import numpy as np
@@ -15,8 +21,10 @@ from .common import raw, slices, stored
 
 #: ASCII capitals become small; every ASCII byte that is no letter or digit becomes a space; bytes from 0x80 are parts of words.
 _NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-#: Bytes of benchmark text in one automaton; a larger benchmark is scanned in several blocks of items.
-BLOCK_BYTES = 16 << 20
+#: Nodes of one automaton at most (some 40 bytes each): no more than the bytes of its windows, of which a word starts one each.
+NODES = 8_000_000
+#: The automaton that this worker process has built last.
+_BUILT: dict[str, ahocorasick.Automaton | None] = {}
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -86,18 +94,58 @@ def spans(text: str | None, hit: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str | None, bytes]]]:
-    """The benchmark's items from Spark, a partition at a time, in blocks of bounded size; one block at least."""
+def pieces_of(text: bytes | None, width: int, nodes: int) -> Iterator[tuple[bytes, int]]:
+    """The text's words in pieces that share width - 1 words, so that each window lies in one, with the bytes of their windows: `nodes`
+    or a little more at most."""
+    w = words_of(text)
+    size = np.concatenate([[0], np.cumsum([len(x) + 1 for x in w])])
+    count = max(len(w) - width + 1, 1) if w else 0
+    start = 0
+    while start < count:
+        # A piece's windows start at start .. end - 1.
+        end, held = start, 0
+        while end < count and (end == start or held < nodes):
+            held += int(size[min(end + width, len(w))] - size[end]) + 1
+            end += 1
+        yield b" ".join(w[start : end + width - 1]), held
+        start = end
+
+
+Block = list[tuple[str | None, bytes]]
+
+
+def _blocks(benchmark: DataFrame, width: int, nodes: int) -> Iterator[Block]:
+    """The benchmark's items, cut into pieces in Spark, in blocks of `nodes` bytes of windows or a piece more; one block at least."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            rows = [(i, p, n) for i, t in zip(b["item"].to_pylist(), raw(b["text"]), strict=True) for p, n in pieces_of(t, width, max(nodes // 8, 1))]
+            yield pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int64())], ["item", "piece", "nodes"])
+
     block, held = [], 0
-    for r in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("binary")).where("text IS NOT NULL").toLocalIterator():
-        if held and held + len(r[1]) > block_bytes:
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    for r in items.mapInArrow(cut, "item string, piece binary, nodes long").toLocalIterator():
+        if held and held + r["nodes"] > nodes:
             yield block
             block, held = [], 0
-        block.append((r[0], bytes(r[1])))
-        held += len(r[1])
+        block.append((r["item"], bytes(r["piece"])))
+        held += r["nodes"]
     yield block
 
 
+def _finder(docs: DataFrame, block: Block, width: int) -> Callable[[], ahocorasick.Automaton | None]:
+    """Gives the block's automaton in a task; its items are a broadcast of bounded size, and a worker process builds it once."""
+    items, key = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
+
+    def find() -> ahocorasick.Automaton | None:
+        if key not in _BUILT:
+            _BUILT.clear()
+            _BUILT[key] = automaton(items.value, width)
+        return _BUILT[key]
+
+    return find
+
+
 _OUT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start: long, end: long>>"
 
 
@@ -115,70 +163,99 @@ def _digested(ids: pa.Array, texts: list[bytes | None], rows: list[tuple[int, np
     )
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """docs, stored once with a number for each row."""
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    return stored(docs.withColumn(row, F.monotonically_increasing_id()), name), row
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, nodes: int = NODES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans for each row of docs (doc_id, text).
 
     Words: runs of letters, digits and non-ASCII characters, A-Z lower-cased. A document word is hit inside any
     occurrence of a window: `width` consecutive words of an item, or all words of a shorter item. items_sha256: hex of the
     items' ids, sorted as strings and comma-joined. spans: (start, end) in characters of the original text. Null text: no
     words. Items without text or words match nothing; those without an id hit words but are no items. Rows with a null or
-    repeated doc_id are judged one by one. An automaton's size is bounded by block_bytes, and the driver holds two blocks
-    at a time: a larger benchmark takes one pass over the texts a block, each a stored table with the hits so far.
+    repeated doc_id are judged one by one. An automaton has `nodes` nodes at most, by a bound on the bytes of its windows (an
+    item's windows are dealt to several if need be): a larger benchmark takes one pass over the texts for each, which
+    stores the hit words of the documents that it hits.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    blocks = _blocks(benchmark, block_bytes)
+    blocks = _blocks(benchmark, width, nodes)
     block, after = next(blocks), next(blocks, None)
+    if after is None:
+        find = _finder(docs, block, width)
 
-    def whole(batches: Iterator[pa.RecordBatch], items=block) -> Iterator[pa.RecordBatch]:
-        find = automaton(items, width)
-        for b in slices(batches):
-            texts = raw(b["text"])
-            yield _digested(b["doc_id"], texts, [scan(t, find) for t in texts])
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches):
+                texts = raw(b["text"])
+                yield _digested(b["doc_id"], texts, [scan(t, find()) for t in texts])
 
-    if after is None:
         return base.mapInArrow(whole, _OUT)
+    base, row = _numbered(base, "contamination-texts")
+
+    def passed(block: Block) -> DataFrame:
+        find = _finder(docs, block, width)
 
-    def passed(items):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            find = automaton(items, width)
             for b in slices(batches):
-                rows = [scan(t, find) for t in raw(b["text"])]
-                hits = [np.packbits(h) | np.frombuffer(old, np.uint8) if old else np.packbits(h) for (_, h, _), old in zip(rows, raw(b["hits"]), strict=True)]
-                held = [sorted({*i, *(old or [])}) for (_, _, i), old in zip(rows, b["items"].to_pylist(), strict=True)]
-                yield pa.record_batch([b["doc_id"], b["text"], pa.array([h.tobytes() for h in hits], pa.binary()), pa.array(held, pa.list_(pa.string()))], ["doc_id", "text", "hits", "items"])
+                found = [(i, np.packbits(h).tobytes(), items) for i, t in zip(b[row].to_pylist(), raw(b["text"]), strict=True) for _, h, items in [scan(t, find())] if h.any()]
+                yield pa.record_batch([pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.int64(), pa.binary(), pa.list_(pa.string())))], [row, "hits", "items"])
+
+        return stored(base.select(row, "text").mapInArrow(run, f"{row} long, hits binary, items array<string>"), "contamination-hits")
 
-        return run
+    hits = []
+    while block is not None:
+        hits.append(passed(block))
+        block, after = after, next(blocks, None) if after is not None else None
+    # A row's hits are one for each block at most.
+    found = reduce(DataFrame.unionByName, hits).groupBy(row).agg(F.collect_list("hits").alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
 
     def ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             texts = raw(b["text"])
-            counts = [len(words_of(t)) for t in texts]
-            rows = [(n, np.unpackbits(np.frombuffer(h, np.uint8), count=n).astype(bool), i) for n, h, i in zip(counts, raw(b["hits"]), b["items"].to_pylist(), strict=True)]
+            rows = []
+            for t, h, i in zip(texts, b["hits"].to_pylist(), b["items"].to_pylist(), strict=True):
+                n = len(words_of(t))
+                bits = reduce(np.bitwise_or, (np.frombuffer(x, np.uint8) for x in h)) if h else np.zeros((n + 7) // 8, np.uint8)
+                rows.append((n, np.unpackbits(bits, count=n).astype(bool), sorted(i or [])))
             yield _digested(b["doc_id"], texts, rows)
 
-    rows = base.select("*", F.lit(None).cast("binary").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
-    while block is not None:
-        rows = stored(rows.mapInArrow(passed(block), "doc_id long, text string, hits binary, items array<string>"), "contamination")
-        block, after = after, next(blocks, None) if after is not None else None
-    return rows.mapInArrow(ended, _OUT)
+    return base.join(found, row, "left").select("doc_id", "text", "hits", "items").mapInArrow(ended, _OUT)
 
 
-def without_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def without_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = 10, nodes: int = NODES) -> DataFrame:
     """The rows of docs, all columns as they are, whose text holds no benchmark window. Null and empty texts stay; ties, null ids
-    and repeated rows are as any row. A large benchmark takes a pass a block, each over what the one before it kept."""
+    and repeated rows are as any row. A large benchmark takes a pass for each automaton, which stores the rows to go."""
+
+    def clean(texts: list[bytes | None], find: ahocorasick.Automaton | None) -> list[bool]:
+        return [next(find.iter((b" " + b" ".join(words_of(t)) + b" ").decode("latin-1")), None) is None if find and t else True for t in texts]
+
+    blocks = _blocks(benchmark, width, nodes)
+    block, after = next(blocks), next(blocks, None)
+    if after is None:
+        find = _finder(docs, block, width)
+
+        def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches):
+                yield b.filter(pa.array(clean(raw(b.column(b.schema.get_field_index("text"))), find()), pa.bool_()))
+
+        return docs.mapInArrow(kept, docs.schema)
+    base, row = _numbered(docs, "decontamination-texts")
+
+    def passed(block: Block) -> DataFrame:
+        find = _finder(docs, block, width)
 
-    def kept(items):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            find = automaton(items, width)
             for b in slices(batches):
-                keep = [next(find.iter((b" " + b" ".join(words_of(t)) + b" ").decode("latin-1")), None) is None if find and t else True for t in raw(b.column(b.schema.get_field_index("text")))]
-                yield b.filter(pa.array(keep, pa.bool_()))
+                yield pa.record_batch([b[row].filter(pa.array([not x for x in clean(raw(b["text"]), find())], pa.bool_()))], [row])
 
-        return run
+        return stored(base.select(row, "text").mapInArrow(run, f"{row} long"), "decontamination-hits")
 
-    blocks = _blocks(benchmark, block_bytes)
-    block, after = next(blocks), next(blocks, None)
-    while after is not None:
-        docs = stored(docs.mapInArrow(kept(block), docs.schema), "decontaminated")
-        block, after = after, next(blocks, None)
-    return docs.mapInArrow(kept(block), docs.schema)
+    gone = []
+    while block is not None:
+        gone.append(passed(block))
+        block, after = after, next(blocks, None) if after is not None else None
+    return base.join(reduce(DataFrame.unionByName, gone).distinct(), row, "left_anti").select(*docs.columns)

@@ -57,13 +57,13 @@ def test_bpe(spark, docs):
 def test_decontamination(spark, docs):
     items = spark.createDataFrame([(1, "ab, AB"), (2, None), (None, "xx yy zz"), (3, "no words of it here at all in any text above"), (4, "10€")], "item_id long, text string")
     for size in (1 << 20, 4):
-        got = decontam.contamination(docs, items, block_bytes=size).collect()
+        got = decontam.contamination(docs, items, nodes=size).collect()
         for r in got:
             hits = {4: (5, "1"), 3: (1, "4")}.get(r["doc_id"], (0, ""))
             assert (r["n_hit"], r["items_sha256"]) == (hits[0], hashlib.sha256(hits[1].encode()).hexdigest())
             for s in r["spans"]:
                 assert TEXTS[r["doc_id"]][s["start"] : s["end"]] in ("ab ab ab ab ab", "10€")
-        kept = decontam.without_benchmark(docs, items, block_bytes=size)
+        kept = decontam.without_benchmark(docs, items, nodes=size)
         assert kept.columns == docs.columns and kept.count() == len(got) - sum(r["contaminated"] for r in got)
 
 

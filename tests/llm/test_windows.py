@@ -36,7 +36,23 @@ def test_like_a_plain_search(spark):
     frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     want = sorted((str(d), *plain(t, items)) for d, t in docs)
     for size in (1 << 20, 60):
-        rows = decontam.contamination(frame, bench, block_bytes=size).collect()
+        rows = decontam.contamination(frame, bench, nodes=size).collect()
         assert sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) for r in rows) == want
-        kept = decontam.without_benchmark(frame, bench, block_bytes=size).collect()
+        kept = decontam.without_benchmark(frame, bench, nodes=size).collect()
         assert sorted((str(d), t or "") for d, t in docs if plain(t, items)[1] == 0) == sorted((str(r["doc_id"]), r["text"] or "") for r in kept)
+
+
+def test_pieces_hold_each_window_once():
+    for n in range(25):
+        text = " ".join(f"w{i}" for i in range(n)).encode()
+        for nodes in (1, 40, 100, 1000):
+            pieces = [p for p, _ in decontam.pieces_of(text, 10, nodes)]
+            assert [w for p in pieces for w in decontam.windows_of(p, 10)] == decontam.windows_of(text, 10)
+            assert all(size == sum(map(len, decontam.windows_of(p, 10))) for p, size in decontam.pieces_of(text, 10, nodes))
+
+
+def test_nodes_are_bounded():
+    rnd = random.Random(1)
+    text = " ".join(f"{rnd.randrange(20000):x}" for _ in range(30_000)).encode()
+    for piece, size in decontam.pieces_of(text, 10, 200_000):
+        assert size <= 200_000 + 100 and decontam.automaton([("a", piece)], 10).get_stats()["nodes_count"] <= size + 1
