@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strikelab.functions import triggers
+from strikelab.functions.scalars import instrument
 from strikelab.operators import strikes
 from strikelab.plans import weekly
 from strikelab.plans.lineage import cut
@@ -76,11 +77,15 @@ class Market:
         menus = [menu(strikes.by_om(self.futures, self.options, om, GAP), om) for om in oms or ("0",)]
         return Desk(legs=cut(triggers.legs(self.options), "legs"), menus=cut(reduce(DataFrame.unionByName, menus), "menus"), futures=cut(session_bars(self.futures), "session-futures"), options=self.options, gap=GAP, first=FIRST, last=LAST, days=cut(weekly.week_dtes(self.weeks), "week-dtes"))
 
-    def desk(self, *oms: str) -> Desk:
-        """What strategies look up, stored; menus of these strike specs."""
+    def desk(self, *oms: str, instruments: bool = False) -> Desk:
+        """What strategies look up, stored; menus of these strike specs (multiples of the premium unit are searched for instead).
+        instruments: with each index's own slippage, ticks and premium step, else 1 % and neither."""
         self.stored()
-        menus = [menu(strikes.by_om(self.session_futures, self.session, om, GAP), om) for om in oms or ("0",)]
-        return Desk(legs=cut(self.legs, "legs"), menus=cut(reduce(DataFrame.unionByName, menus), "menus"), futures=cut(session_bars(self.session_futures), "session-futures"), options=self.session, gap=GAP, first=FIRST, last=LAST)
+        strangles = {om: x for om in oms if (x := strikes.strangle_spec(om))}
+        listed = {x: None for x in oms if x not in strangles} | ({"0": None} if strangles or not oms else {})
+        menus = [menu(strikes.by_om(self.session_futures, self.session, om, GAP), om) for om in listed]
+        rules = {"rate": instrument("rate"), "tick": instrument("tick"), "step": instrument("step")} if instruments else {}
+        return Desk(legs=cut(self.legs, "legs"), menus=cut(reduce(DataFrame.unionByName, menus), "menus"), futures=cut(session_bars(self.session_futures), "session-futures"), options=self.session, gap=GAP, first=FIRST, last=LAST, strangles=strangles, **rules)
 
     def entries(self, rows: list[tuple], schema: str) -> DataFrame:
         """Each session with each parameter set of a short list."""

@@ -62,6 +62,23 @@ def to_tick(x: Column, tick: Column, side: Column, order: Column) -> Column:
     return F.round(F.when(up, F.ceil(n)).otherwise(F.floor(n)) * tick, 2)
 
 
+def ticked(x: Column, tick: Column | None, up: Column) -> Column:
+    """x to a whole number of ticks, up or down, and two places; as it is without a tick (None or null)."""
+    if tick is None:
+        return x
+    n = F.round(x / tick, 6)
+    return F.when(tick.isNull(), x).otherwise(F.round(F.when(up, F.ceil(n)).otherwise(F.floor(n)) * tick, 2))
+
+
+def instrument(field: str, idx: str = "idx") -> Column:
+    """An index's slippage rate, tick (of MCX indices, which always round; else null) or step (of these too), from the fixed values."""
+    values = {i: {"rate": rate, "tick": tick if market == "MCX" else None, "step": step if market == "MCX" else None}[field] for i, market, rate, step, tick in INSTRUMENTS}
+    out = F.lit(0.01 if field == "rate" else None).cast("double")
+    for i, v in values.items():
+        out = F.when(F.col(idx) == i, F.lit(v).cast("double")).otherwise(out)
+    return out
+
+
 def percent_of(price: Column, percent: Column) -> Column:
     return price * percent / 100
 

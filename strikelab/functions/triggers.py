@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scalars import money
+from .scalars import money, ticked
 
 BARS = "array<struct<t:int,high:double,low:double,close:double>>"
 
@@ -103,7 +103,7 @@ def signs(side: Column) -> Column:
 
 def stop(
     bars: Column, start: Column, end: Column, *, side: Column, sl: Column | float = 0.0, intra: Column | float = 0.0, sl_price: Column | None = None, target: Column | None = None, closes: Column | bool = False,
-    combined: bool = False, rate: Column | float = 0.0, entry: Column | None = None, opens: Callable[[Column], Column] | None = None,
+    combined: bool = False, rate: Column | float = 0.0, entry: Column | None = None, opens: Callable[[Column], Column] | None = None, tick: Column | None = None,
 ) -> Column:
     """A struct (o, h, l, c, sl_price, sl_hit, intra_hit, target_hit, t, exit, pnl): the outcome of a stop.
 
@@ -112,14 +112,15 @@ def stop(
     at the last close with t null. Intra stops and targets fill at their level. A stop is met by the extreme and fills at
     its level, or by the close and fills there (closes); combined legs always test stop and target on the close. A level
     of 0 is off. Without a bar after the entry, the struct's pnl is 0 and the rest null. rate: slippage as a share of o.
-    opens: says of a bar whether it opens a session, where stops fill at the close.
+    opens: says of a bar whether it opens a session, where stops fill at the close. tick: levels are whole ticks (null: as they
+    are), stops away from the trade, targets further along.
     """
     closes = F.lit(True) if combined else lit(closes, "boolean")
     sl, intra, target = lit(sl), lit(intra), lit(target)
 
     def judged(w: Column, o: Column, g: Column) -> Column:
         level = lambda pct: F.when(pct > 0, (100 + g * pct) / 100 * o)
-        levels = F.struct((level(sl) if sl_price is None else F.coalesce(sl_price, level(sl))).alias("sl"), level(intra).alias("intra"), target.alias("target"))
+        levels = F.struct(ticked(level(sl) if sl_price is None else F.coalesce(sl_price, level(sl)), tick, g > 0).alias("sl"), ticked(level(intra), tick, g > 0).alias("intra"), ticked(target, tick, g < 0).alias("target"))
         return let(levels, lambda v: let(rest(w), lambda r: ended(r, o, g, v)))
 
     def ended(r: Column, o: Column, g: Column, v: Column) -> Column:
@@ -146,18 +147,18 @@ def stop(
     return let(window(bars, start, end), lambda w: let(F.coalesce(entry, first(w)["close"]) if entry is not None else first(w)["close"], lambda o: let(signs(side), lambda g: judged(w, o, g))))
 
 
-def decay(bars: Column, start: Column, end: Column, *, side: Column, percent: Column | None = None, price: Column | None = None, closes: Column | bool = False) -> Column:
+def decay(bars: Column, start: Column, end: Column, *, side: Column, percent: Column | None = None, price: Column | None = None, closes: Column | bool = False, tick: Column | None = None) -> Column:
     """A struct (o, price, hit, t): the first bar after the entry whose premium has fallen (SELL) or risen (BUY) to the level.
 
     The level is price, or `percent` away from the first close o. percent 0 or price -1: at once, at start; a slice of one
-    bar never hits.
+    bar never hits. tick: as in stop, a decay as a target.
     """
     closes, percent, price = lit(closes, "boolean"), lit(percent), lit(price)
 
     def judged(w: Column, g: Column) -> Column:
         o = first(w)["close"]
         now = F.coalesce(price == -1, F.lit(False)) | F.coalesce(percent == 0, F.lit(False))
-        return let(F.struct(o.alias("o"), now.alias("now"), F.when(now, o).otherwise(F.coalesce(price, (100 - g * percent) / 100 * o)).alias("price")), lambda v: found(w, g, v))
+        return let(F.struct(o.alias("o"), now.alias("now"), F.when(now, o).otherwise(ticked(F.coalesce(price, (100 - g * percent) / 100 * o), tick, g < 0)).alias("price")), lambda v: found(w, g, v))
 
     def found(w: Column, g: Column, v: Column) -> Column:
         along = lambda b: F.when(closes, b["close"]).when(g > 0, b["low"]).otherwise(b["high"])
@@ -170,7 +171,7 @@ def decay(bars: Column, start: Column, end: Column, *, side: Column, percent: Co
 
 def trail(
     bars: Column, start: Column, end: Column, *, mode: str, side: Column, sl: Column | float = 0.0, sl_price: Column | None = None, gap: Column | float = 1.0, step: Column | float = 0.0, sl_step: Column | float = 0.0,
-    closes: Column | bool = False, to_cost: Column | bool = False, rate: Column | float = 0.0, entry: Column | None = None,
+    closes: Column | bool = False, to_cost: Column | bool = False, rate: Column | float = 0.0, entry: Column | None = None, tick: Column | None = None,
 ) -> Column:
     """A struct (o, stop, moved, hit, t, exit, pnl, status) of a trailed stop; mode RATIO, POINT, PCT or STEP.
 
@@ -178,7 +179,8 @@ def trail(
     risk away from the best price. PCT: it stays `sl` percent away. STEP: each time the trigger, `step` percent away, is
     reached (once a bar at most), the stop moves by `sl_step` percent and the trigger by `step` percent. to_cost: the stop
     never passes the entry price. In RATIO and STEP the trade ends if the stop reaches the best price or the trigger.
-    STEP with step <= 0, sl_step <= 0 or sl_step > step: pnl 0, status `invalid_trail`.
+    STEP with step <= 0, sl_step <= 0 or sl_step > step: pnl 0, status `invalid_trail`. tick: as in stop, for each new stop
+    and trigger.
     """
     closes, to_cost, sl, gap, step, sl_step = lit(closes, "boolean"), lit(to_cost, "boolean"), lit(sl), lit(gap), lit(step), lit(sl_step)
     none_t, none_p = F.lit(None).cast("int"), F.lit(None).cast("double")
@@ -188,13 +190,14 @@ def trail(
         against = lambda b: F.when(closes, b["close"]).when(g > 0, b["high"]).otherwise(b["low"])
         along = lambda b: F.when(closes, b["close"]).when(g > 0, b["low"]).otherwise(b["high"])
         cap = lambda x: F.when(to_cost, g * F.greatest(g * x, g * o)).otherwise(x)
+        far = lambda x: ticked(x, tick, g > 0)
 
         def moved(s: Column, b: Column) -> Column:
             if mode == "STEP":
-                stop2, best2, next_ = cap(s["stop"] * (1 - g * sl_step / 100)), s["best"], s["best"] * (1 - g * step / 100)
+                stop2, best2, next_ = far(cap(s["stop"] * (1 - g * sl_step / 100))), s["best"], ticked(s["best"] * (1 - g * step / 100), tick, g < 0)
             else:
                 best2 = next_ = along(b)
-                stop2 = cap({"RATIO": first_stop - g * F.abs(o - best2) * gap, "POINT": best2 + (first_stop - o), "PCT": best2 * (1 + g * sl / 100)}[mode])
+                stop2 = far(cap({"RATIO": first_stop - g * F.abs(o - best2) * gap, "POINT": best2 + (first_stop - o), "PCT": best2 * (1 + g * sl / 100)}[mode]))
             going = state(stop2, next_, F.lit(True), none_t, none_p)
             if mode in ("POINT", "PCT"):
                 return going
@@ -205,7 +208,7 @@ def trail(
             further = g * along(b) <= g * s["best"] if mode == "STEP" else g * along(b) < g * s["best"]
             return F.when(s["t"].isNotNull(), s).when(hit, state(s["stop"], s["best"], s["moved"], b["t"], F.when(closes, b["close"]).otherwise(s["stop"]))).when(further, moved(s, b)).otherwise(s)
 
-        start_best = (100 - g * step) / 100 * o if mode == "STEP" else o
+        start_best = ticked((100 - g * step) / 100 * o, tick, g < 0) if mode == "STEP" else o
         return let(rest(w), lambda r: let(F.aggregate(r, state(first_stop, start_best, F.lit(False), none_t, none_p), fold), lambda s: outcome(r, o, g, s)))
 
     def outcome(r: Column, o: Column, g: Column, s: Column) -> Column:
@@ -217,7 +220,7 @@ def trail(
 
     def started(w: Column, o: Column, g: Column) -> Column:
         level = (100 + g * sl) / 100 * o
-        return let(level if sl_price is None else F.coalesce(sl_price, level), lambda f: folded(w, o, g, f))
+        return let(ticked(level if sl_price is None else F.coalesce(sl_price, level), tick, g > 0), lambda f: folded(w, o, g, f))
 
     return let(window(bars, start, end), lambda w: let(first(w)["close"] if entry is None else F.coalesce(entry, first(w)["close"]), lambda o: let(signs(side), lambda g: started(w, o, g))))
 

@@ -137,10 +137,22 @@ def price_at(options: DataFrame, asked: DataFrame) -> DataFrame:
     return rows.groupBy(*asked.columns).agg(F.max(F.when(F.col("t") == F.col("at"), F.col("close"))).alias("exact"), F.max_by(F.when(upto, F.col("close")), F.when(upto, F.col("t"))).alias("price"))
 
 
+def strangle_spec(om: str) -> tuple[float, bool] | None:
+    """(multiple of the premium unit, whether inverted ones become straddles) of specs like 1.5, 50% or 2-I; None for others."""
+    spec = om.upper().replace(" ", "")
+    inverted, spec = spec.endswith("-I"), spec.removesuffix("-I")
+    try:
+        value = float(spec.removesuffix("%")) / (100 if spec.endswith("%") else 1)
+    except ValueError:
+        return None
+    return (value, inverted) if value > 0 else None
+
+
 def by_om(futures: DataFrame, options: DataFrame, om: str, gap: float, step: float | None = None) -> DataFrame:
     """Every minute's choice by a strike spec: 0 or ATM, ATM+1, ATM-2, ATM+1.5%, ATMS (and with an offset), 1SD, -0.5SD, 1.5 (a strangle
     of so many premium units), P>50, P<50, P=50, 50% (the README's share of a premium unit); -I at its end: an inverted
-    strangle becomes the straddle. ce_strike, pe_strike, ce, pe with t and future; strike where both are one.
+    strangle becomes the straddle. A strangle's unit is here that of its own minute; for a search that keeps its first minute's
+    unit see plans.steps.enter. ce_strike, pe_strike, ce, pe with t and future; strike where both are one.
     """
     spec = om.upper().replace(" ", "")
     inverted, spec = spec.endswith("-I"), spec.removesuffix("-I")

@@ -56,8 +56,8 @@ def held(entries: DataFrame, desk: Desk, *, ending: str = "premium", separate: b
         )
 
     def asked(a: Column, b: Column, k) -> Column:
-        of = lambda x, y: stop(common(window(x, k.start, k.end), y), k.start, k.end, side=k.side, sl_price=k.move, closes=k.closes)["t"]
-        goal = stop(straddle_bars(a, b), k.start, k.end, side=k.side, target=k.goal, combined=True)["t"] if trailed else F.lit(None).cast("int")
+        of = lambda x, y: stop(common(window(x, k.start, k.end), y), k.start, k.end, side=k.side, tick=desk.tick, sl_price=k.move, closes=k.closes)["t"]
+        goal = stop(straddle_bars(a, b), k.start, k.end, side=k.side, tick=desk.tick, target=k.goal, combined=True)["t"] if trailed else F.lit(None).cast("int")
 
         def prices(x: Column) -> Column:
             at = F.least(x["ce"], x["pe"])
@@ -164,7 +164,7 @@ def closed(rows: DataFrame, keys: list[str], desk: Desk, closing_by: str) -> Dat
     move = c("premium") * c("movement") / 100
 
     def f(b: Column, k) -> Column:
-        r = stop(b, k.start, k.end, side=k.side, sl_price=k.move, closes=k.closes, rate=rate, entry=k.o)
+        r = stop(b, k.start, k.end, side=k.side, tick=desk.tick, sl_price=k.move, closes=k.closes, rate=rate, entry=k.o)
         return let(r, lambda r: F.struct(r["t"].alias("t"), r["pnl"].alias("pnl"), close_before(b, F.coalesce(k.at, r["t"], k.end)).alias("close"), F.filter(b, lambda y: F.coalesce(y["t"] >= k.start, F.lit(False))).alias("after")))
 
     for k in ("ce", "pe"):

@@ -7,12 +7,13 @@ answer back to the rows that asked: parameter sets that agree on a question shar
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strikelab.functions.scalars import one_om
 from strikelab.functions.triggers import both_legs, first
 from strikelab.operators import strikes
 from strikelab.plans.lineage import cut
@@ -43,7 +44,10 @@ class Desk:
     futures: DataFrame
     options: DataFrame
     gap: float
-    rate: float = 0.01
+    rate: Column | float = 0.01
+    tick: Column | None = None
+    step: Column | None = None
+    strangles: dict[str, tuple[float, bool]] = field(default_factory=dict)
     first: int = 0
     last: int = 1439
     days: DataFrame | None = None
@@ -123,6 +127,8 @@ def ask_futures(rows: DataFrame, desk: Desk, name: str, f: Callable[[Column, Key
 
 def enter(rows: DataFrame, desk: Desk, name: str = "pick", *, om: Column | None = None, start: Column | None = None, end: Column | None = None, kept: bool = False) -> DataFrame:
     """rows with `name`: the first choice of the row's om from start to end; null without one, or without a start."""
+    if desk.strangles:
+        return _enter_any(rows, desk, name, F.col("om") if om is None else om, F.col("start") if start is None else start, F.col("end") if end is None else end)
     key = session(om=F.col("om") if om is None else om, start=F.col("start") if start is None else start, end=F.col("end") if end is None else end)
     # In a week the search stays on its day, but the next day's first minute is still tried.
     until = F.col("end") if desk.days is None else F.least(F.col("end"), (F.floor(F.col("start") / DAY_MINUTES) + 1) * DAY_MINUTES + desk.first)
@@ -130,6 +136,21 @@ def enter(rows: DataFrame, desk: Desk, name: str = "pick", *, om: Column | None
     return answered(rows, key, lambda q: q.join(desk.menus, [*DAY, "om"]).select("_key", first(F.filter("picks", fits)).alias(name)), name, kept)
 
 
+def _enter_any(rows: DataFrame, desk: Desk, name: str, om: Column, start: Column, end: Column) -> DataFrame:
+    """enter where some oms are strangles by the premium unit: the unit is that of the first future from start on, and is kept for the
+    whole search; an inverted strangle becomes the first straddle from its minute on."""
+    plain = replace(desk, strangles={})
+    of = lambda i: F.coalesce(*(F.when(om == k, F.lit(v[i])) for k, v in desk.strangles.items()))
+    rows = enter(rows, plain, "_menu", om=om, start=start, end=end)
+    rows = ask_futures(rows.withColumns({"_unit": of(0), "_flips": of(1)}), desk, "_first", lambda f, k: first(F.filter(f, lambda b: b["t"] >= k.start))["close"], start=F.when(F.col("_unit").isNotNull(), start))
+    rows = enter_at_target(rows, desk, "strangle", end, _wide=(F.when(F.col("_unit").isNotNull(), start), one_om(F.col("_first"), F.lit(None).cast("double") if desk.step is None else desk.step) * F.col("_unit")))
+    strike = lambda k: F.regexp_extract(F.col(f"_wide.{k}"), r"^(.*)..$", 1).cast("double")
+    rows = rows.withColumn("_flip", F.coalesce(F.col("_flips") & (strike("ce") < strike("pe")), F.lit(False)))
+    rows = enter(rows, plain, "_straddle", om=F.lit("0"), start=F.when(F.col("_flip"), F.col("_wide.t")), end=end)
+    picked = F.coalesce(F.col("_menu"), F.when(F.col("_flip"), F.col("_straddle")).otherwise(F.col("_wide")))
+    return rows.withColumn(name, picked).drop("_menu", "_unit", "_flips", "_first", "_wide", "_flip", "_straddle")
+
+
 def enter_pair(rows: DataFrame, desk: Desk, name: str, om: Column, om2: Column, start: Column, end: Column) -> DataFrame:
     """rows with `name`: (t, a, b, before) at the first minute at which both choices are valid; before: the last minute
     before it, from start on, at which the first choice alone was."""

@@ -48,7 +48,7 @@ def earlier(a: Column, b: Column) -> Column:
 
 def leg_stops(rows: DataFrame, desk: Desk, f=None, names=("ce", "pe"), start: Column | None = None, **key: Column) -> DataFrame:
     """rows with ce_r and pe_r: a stop on each leg of the pick from its minute on, or f of the leg's bars and the key."""
-    usual = lambda b, k: stop(b, k.start, k.end, side=k.side, sl=k.sl, intra=k.intra, closes=k.closes, rate=desk.rate, opens=desk.opens)
+    usual = lambda b, k: stop(b, k.start, k.end, side=k.side, tick=desk.tick, sl=k.sl, intra=k.intra, closes=k.closes, rate=desk.rate, opens=desk.opens)
     key = {"side": F.col("side"), "sl": F.col("sl"), "intra": optional(rows, "intra_sl", F.lit(0.0)), "closes": closing(), "end": F.col("end"), "start": F.col("pick.t") if start is None else start} | key
     return ask_legs(rows, desk, f or usual, {f"{k}_r": {"scrip": F.col(f"pick.{k}")} | key for k in names})
 
@@ -76,8 +76,8 @@ def to_cost_level(b: Column, k) -> Column:
     return F.when(k.ttc, F.when(first(window(b, k.start, k.end))["close"] > k.cost, k.old).otherwise(k.cost))
 
 
-def follow(b: Column, k, opens=None) -> Column:
-    return stop(b, k.start, k.end, side=k.side, sl=k.sl, intra=k.intra, sl_price=to_cost_level(b, k), closes=k.closes, opens=opens)
+def follow(b: Column, k, desk: Desk) -> Column:
+    return stop(b, k.start, k.end, side=k.side, tick=desk.tick, sl=k.sl, intra=k.intra, sl_price=to_cost_level(b, k), closes=k.closes, opens=desk.opens)
 
 
 def settled(rows: DataFrame, rate: float) -> DataFrame:
@@ -90,7 +90,7 @@ def settled(rows: DataFrame, rate: float) -> DataFrame:
 
 def b120_legs(rows: DataFrame, desk: Desk, f=None, **more: Column) -> DataFrame:
     """The whole of one separate-stop trade for rows with a pick."""
-    f = f or (lambda b, k: follow(b, k, desk.opens))
+    f = f or (lambda b, k: follow(b, k, desk))
     rows = with_first_hit(leg_stops(rows, desk))
     return settled(ask_leg(rows, desk, "ut_r", F.col("ut"), f, **follow_key(rows), **more), desk.rate)
 
@@ -142,7 +142,7 @@ def b120_tt(entries: DataFrame, desk: Desk) -> DataFrame:
     rows = b120_legs(picked(entries, desk), desk)
     rows = enter(rows, desk, "tt", om=F.col("tt_om"), start=F.col("at"))
     scrip = F.when(F.col("first") == "ce", F.col("tt.ce")).when(F.col("first") == "pe", F.col("tt.pe"))
-    rows = ask_leg(rows, desk, "tt_r", scrip, lambda b, k: stop(b, k.start, k.end, side=k.side, sl=k.sl, closes=k.closes, rate=desk.rate, opens=desk.opens), start=F.col("tt.t"), end=F.col("end"), side=F.col("tt_side"), sl=F.col("tt_sl"), closes=F.col("tt_method") == "CC")
+    rows = ask_leg(rows, desk, "tt_r", scrip, lambda b, k: stop(b, k.start, k.end, side=k.side, tick=desk.tick, sl=k.sl, closes=k.closes, rate=desk.rate, opens=desk.opens), start=F.col("tt.t"), end=F.col("end"), side=F.col("tt_side"), sl=F.col("tt_sl"), closes=F.col("tt_method") == "CC")
     return rows.select(*entries.columns, "entry_t", *ut_out(), scrip.alias("tt"), F.col("tt_r.t").alias("tt_t"), pnl("tt_r").alias("tt_pnl"), money(F.col("total_pnl") + pnl("tt_r")).alias("total_pnl"))
 
 
@@ -152,7 +152,7 @@ def b120_ut_rounds(entries: DataFrame, desk: Desk, most: int = 5) -> DataFrame:
 
     def followed(b: Column, k) -> Column:
         now = first(window(b, k.start, k.end))["close"]
-        return stop(b, k.start, k.end, side=k.side, sl=k.sl, target=now * (100 - k.goal) / 100, closes=k.closes)
+        return stop(b, k.start, k.end, side=k.side, tick=desk.tick, sl=k.sl, target=now * (100 - k.goal) / 100, closes=k.closes)
 
     def step(rows: DataFrame, n: int) -> DataFrame:
         if n == 0:
@@ -164,7 +164,7 @@ def b120_ut_rounds(entries: DataFrame, desk: Desk, most: int = 5) -> DataFrame:
             done = enter_at_target(kept, desk, "strangle", F.col("end"), pick=(F.col("go"), F.col("o"))).where("pick IS NOT NULL")
             ce = F.col("leg") == "ce"
             done = done.withColumns({"scrip": F.when(ce, F.col("pick.ce")).otherwise(F.col("pick.pe")), "t": F.col("pick.t"), "far": F.when(ce, F.col("pick.ce_price")).otherwise(F.col("pick.pe_price")) + F.col("far") - F.col("goal")})
-            done = ask_leg(done, desk, "r", F.col("scrip"), lambda b, k: stop(b, k.start, k.end, side=k.side, sl_price=k.far, target=k.goal, closes=k.closes), start=F.col("t"), end=F.col("end"), side=F.col("side"), far=F.col("far"), goal=F.col("goal"), closes=closing())
+            done = ask_leg(done, desk, "r", F.col("scrip"), lambda b, k: stop(b, k.start, k.end, side=k.side, tick=desk.tick, sl_price=k.far, target=k.goal, closes=k.closes), start=F.col("t"), end=F.col("end"), side=F.col("side"), far=F.col("far"), goal=F.col("goal"), closes=closing())
             done = done.withColumns({"pnl": pnl("r"), "exit_t": F.col("r.t"), "live": F.col("r.target_hit") & (F.col("r.t") < F.col("end") - 5)})
         return done.select(*entries.columns, "leg", "o", "goal", "far", "scrip", "t", "exit_t", "pnl", "live")
 
@@ -182,7 +182,7 @@ def b120_trail_limited(entries: DataFrame, desk: Desk, most: int = 7) -> DataFra
 
 def b120_trail_ratio(entries: DataFrame, desk: Desk) -> DataFrame:
     """b120 whose followed leg has a RATIO trail (ut_trail of the profit), to its cost at most with trail_upto_cost."""
-    f = lambda b, k: trail(b, k.start, k.end, mode="RATIO", side=k.side, sl=k.sl, sl_price=to_cost_level(b, k), gap=k.gap, closes=k.closes, to_cost=k.to_cost)
+    f = lambda b, k: trail(b, k.start, k.end, mode="RATIO", side=k.side, tick=desk.tick, sl=k.sl, sl_price=to_cost_level(b, k), gap=k.gap, closes=k.closes, to_cost=k.to_cost)
     rows = with_first_hit(leg_stops(picked(entries, desk), desk))
     rows = ask_leg(rows, desk, "ut_r", F.col("ut"), lambda b, k: let(f(b, k), lambda r: F.when(r["t"].isNotNull() | r["exit"].isNotNull(), r)), **follow_key(rows), gap=F.col("ut_trail"), to_cost=F.col("trail_upto_cost"))
     return settled(rows, desk.rate).select(*entries.columns, "entry_t", *b120_out(), *ut_out(), F.coalesce(F.col("ut_r.moved"), F.lit(False)).alias("ut_moved"), "total_pnl")
@@ -190,7 +190,7 @@ def b120_trail_ratio(entries: DataFrame, desk: Desk) -> DataFrame:
 
 def b120_no_ut(entries: DataFrame, desk: Desk) -> DataFrame:
     """Both legs with a RATIO trail (trail of the profit), no leg followed."""
-    f = lambda b, k: trail(b, k.start, k.end, mode="RATIO", side=k.side, sl=k.sl, gap=k.gap, closes=k.closes, to_cost=k.to_cost, rate=desk.rate)
+    f = lambda b, k: trail(b, k.start, k.end, mode="RATIO", side=k.side, tick=desk.tick, sl=k.sl, gap=k.gap, closes=k.closes, to_cost=k.to_cost, rate=desk.rate)
     rows = leg_stops(picked(entries, desk), desk, f, gap=F.col("trail"), to_cost=F.col("trail_upto_cost"))
     out = [x for k in ("ce", "pe") for x in (F.col(f"pick.{k}").alias(k), F.col(f"{k}_r.t").alias(f"{k}_t"), F.col(f"{k}_r.moved").alias(f"{k}_moved"), F.col(f"{k}_r.pnl").alias(f"{k}_pnl"))]
     return rows.select(*entries.columns, "entry_t", *out, money(pnl("ce_r") + pnl("pe_r")).alias("total_pnl"))
@@ -235,7 +235,7 @@ def combined(rows: DataFrame, desk: Desk, name: str = "r", pick: str = "pick", *
     """rows with `name`: the outcome of a combined stop on the pick's straddle, and both legs' closes at its minute, ce_at and pe_at."""
 
     def f(a: Column, b: Column, k) -> Column:
-        return let(stop(straddle_bars(a, b), k.start, k.end, side=k.side, sl=k.sl, intra=k.intra, combined=True, rate=desk.rate, opens=desk.opens), lambda r: F.struct(r["o"].alias("o"), r["h"].alias("h"), r["l"].alias("l"), r["c"].alias("c"), r["sl_hit"].alias("sl_hit"), r["intra_hit"].alias("intra_hit"), r["t"].alias("t"), r["pnl"].alias("pnl"), close_at(a, r["t"]).alias("ce_at"), close_at(b, r["t"]).alias("pe_at")))
+        return let(stop(straddle_bars(a, b), k.start, k.end, side=k.side, tick=desk.tick, sl=k.sl, intra=k.intra, combined=True, rate=desk.rate, opens=desk.opens), lambda r: F.struct(r["o"].alias("o"), r["h"].alias("h"), r["l"].alias("l"), r["c"].alias("c"), r["sl_hit"].alias("sl_hit"), r["intra_hit"].alias("intra_hit"), r["t"].alias("t"), r["pnl"].alias("pnl"), close_at(a, r["t"]).alias("ce_at"), close_at(b, r["t"]).alias("pe_at")))
 
     key = {"side": F.col("side"), "sl": F.col("sl"), "intra": F.col("intra_sl"), "end": F.col("end"), "start": F.col(f"{pick}.t")} | key
     return ask_pair(rows, desk, name, F.col(f"{pick}.ce"), F.col(f"{pick}.pe"), f, **key)
@@ -270,7 +270,7 @@ def sre_separate(entries: DataFrame, desk: Desk, most: int = 7, more: list[str]
     first (the leg that is stopped), ce_stop, pe_stop (both legs' own outcomes)."""
 
     def f(a: Column, b: Column, k) -> Column:
-        of = lambda x, y: stop(common(window(x, k.start, k.end), y), k.start, k.end, side=k.side, sl=k.sl, rate=desk.rate, opens=desk.opens)
+        of = lambda x, y: stop(common(window(x, k.start, k.end), y), k.start, k.end, side=k.side, tick=desk.tick, sl=k.sl, rate=desk.rate, opens=desk.opens)
         both = let(F.struct(of(a, b).alias("ce"), of(b, a).alias("pe")), lambda r: F.struct(r["ce"].alias("ce"), r["pe"].alias("pe"), close_at(b, r["ce"]["t"]).alias("pe_at"), close_at(a, r["pe"]["t"]).alias("ce_at")))
         return both
 
@@ -292,7 +292,7 @@ def csre(entries: DataFrame, desk: Desk, most: int = 7) -> DataFrame:
     logs = straddle_rounds(entries, desk, most, by_combined_stop(desk), "csre").where(F.col("round") <= F.col("re_entries"))
     exits = logs.where((F.col("round") == F.col("re_entries")) & (F.col("pnl") != 0)).select(*keys, F.col("exit_t").alias("_x"))
     rows = logs.join(exits, keys, "left").withColumn("final_t", F.coalesce("_x", "end")).drop("_x")
-    again = ask_pair(rows, desk, "a", F.col("ce"), F.col("pe"), lambda a, b, k: stop(straddle_bars(a, b), k.start, k.end, side=k.side, combined=True, rate=desk.rate, opens=desk.opens), start=F.col("entry_t"), end=F.col("final_t"), side=F.col("side"))
+    again = ask_pair(rows, desk, "a", F.col("ce"), F.col("pe"), lambda a, b, k: stop(straddle_bars(a, b), k.start, k.end, side=k.side, tick=desk.tick, combined=True, rate=desk.rate, opens=desk.opens), start=F.col("entry_t"), end=F.col("final_t"), side=F.col("side"))
     return again.select("round", *keys, "entry_t", "ce", "pe", "o", "final_t", F.when(F.col("round") < F.col("re_entries"), pnl("a")).otherwise(F.col("pnl")).alias("pnl"))
 
 
@@ -316,7 +316,7 @@ def csre_extremes(entries: DataFrame, desk: Desk, most: int = 5) -> DataFrame:
         # The minutes that all straddles held have, no more than a session's: asked one straddle after another.
         rows = ask_pair(rows, desk, "seen", F.col("pick.ce"), F.col("pick.pe"), lambda a, b, k: F.transform(straddle_bars(window(a, k.start, k.end), b), lambda x: x["t"]), start=F.col("pick.t"), end=F.col("end"))
         rows = rows.withColumn("minutes", F.col("seen") if n == 0 else F.array_intersect("minutes", "seen"))
-        f = lambda b, q: stop(F.filter(b, lambda y: F.array_contains(q.minutes, y["t"])), q.start, q.end, side=q.side, sl=q.sl, closes=q.closes, entry=q.o)
+        f = lambda b, q: stop(F.filter(b, lambda y: F.array_contains(q.minutes, y["t"])), q.start, q.end, side=q.side, tick=desk.tick, sl=q.sl, closes=q.closes, entry=q.o)
         key = lambda k, x: {"scrip": F.col(f"{x}.{k}"), "start": F.col(f"{x}.t"), "end": F.col("end"), "side": F.col("side"), "sl": F.col("sl"), "closes": closing(), "o": F.col(f"{x}.{k}_price"), "minutes": F.col("minutes")}
         rows = ask_legs(rows, desk, f, {"ce_r": key("ce", "hi"), "pe_r": key("pe", "lo")})
         at = F.least(F.coalesce(F.col("ce_r.t"), F.col("end")), F.coalesce(F.col("pe_r.t"), F.col("end")))
@@ -328,7 +328,7 @@ def csre_extremes(entries: DataFrame, desk: Desk, most: int = 5) -> DataFrame:
     all_rounds = rounds(begin, judged, most, [*keys, "go", "held", "live", "failed"], "csre-extremes")
     over = all_rounds.where(~F.col("live") & (F.size("held") > 0)).withColumnRenamed("go", "exit_t")
     trades = over.select(*keys, "exit_t", (~F.col("failed") & (F.col("exit_t") != F.col("end"))).alias("sl_hit"), F.get("held", F.lit(0))["t"].alias("entry_t"), F.posexplode("held").alias("round", "x"))
-    priced = ask_pair(trades, desk, "r", F.col("x.ce"), F.col("x.pe"), lambda a, b, k: stop(straddle_bars(a, b), k.start, k.end, side=F.lit("SELL"), combined=True, rate=desk.rate, opens=desk.opens), start=F.col("entry_t"), end=F.col("exit_t"))
+    priced = ask_pair(trades, desk, "r", F.col("x.ce"), F.col("x.pe"), lambda a, b, k: stop(straddle_bars(a, b), k.start, k.end, side=F.lit("SELL"), tick=desk.tick, combined=True, rate=desk.rate, opens=desk.opens), start=F.col("entry_t"), end=F.col("exit_t"))
     return priced.select("round", *keys, F.col("x.t").alias("entry_t"), F.col("x.ce").alias("ce"), F.col("x.pe").alias("pe"), (F.col("x.ce_price") + F.col("x.pe_price")).alias("o"), "sl_hit", "exit_t", pnl("r").alias("pnl"))
 
 
@@ -347,7 +347,7 @@ def with_ut(rows: DataFrame, desk: Desk, pick: str = "pick", r: str = "r") -> Da
     rows = rows.withColumn("ut", F.when(due, F.when(F.col("ut_side") == "SELL", less).otherwise(more)))
     rows = enter(rows, desk, "up", om=F.col("ut_om"), start=F.when(F.col("ut").isNotNull(), F.col(f"{r}.t")))
     rows = rows.withColumn("ut_scrip", F.when(F.col("ut") == "ce", F.col("up.ce")).when(F.col("ut") == "pe", F.col("up.pe")))
-    return ask_leg(rows, desk, "ut_r", F.col("ut_scrip"), lambda b, k: stop(b, k.start, k.end, side=k.side, sl=k.sl, closes=k.closes, rate=desk.rate, opens=desk.opens), start=F.col("up.t"), end=F.col("end"), side=F.col("ut_side"), sl=F.col("ut_sl"), closes=F.col("ut_method") == "CC")
+    return ask_leg(rows, desk, "ut_r", F.col("ut_scrip"), lambda b, k: stop(b, k.start, k.end, side=k.side, tick=desk.tick, sl=k.sl, closes=k.closes, rate=desk.rate, opens=desk.opens), start=F.col("up.t"), end=F.col("end"), side=F.col("ut_side"), sl=F.col("ut_sl"), closes=F.col("ut_method") == "CC")
 
 
 def sut_out() -> list[Column | str]:
@@ -370,7 +370,7 @@ def sut_tt(entries: DataFrame, desk: Desk) -> DataFrame:
     for k, x in (("ut", "a"), ("tt", "b")):
         rows = rows.withColumn(f"{k}_scrip", F.when(F.col(k) == "ce", F.col(f"m.{x}.ce")).when(F.col(k) == "pe", F.col(f"m.{x}.pe")))
     key = lambda k: {"scrip": F.col(f"{k}_scrip"), "start": F.col("m.t"), "end": F.col("end"), "side": F.col(f"{k}_side"), "sl": F.col(f"{k}_sl"), "closes": F.col(f"{k}_method") == "CC"}
-    rows = ask_legs(rows, desk, lambda b, q: stop(b, q.start, q.end, side=q.side, sl=q.sl, closes=q.closes, rate=desk.rate, opens=desk.opens), {f"{k}_r": key(k) for k in ("ut", "tt")})
+    rows = ask_legs(rows, desk, lambda b, q: stop(b, q.start, q.end, side=q.side, tick=desk.tick, sl=q.sl, closes=q.closes, rate=desk.rate, opens=desk.opens), {f"{k}_r": key(k) for k in ("ut", "tt")})
     out = [x for k in ("ut", "tt") for x in (f"{k}_scrip", F.col(f"{k}_r.t").alias(f"{k}_t"), pnl(f"{k}_r").alias(f"{k}_pnl"))]
     return rows.select(*entries.columns, "entry_t", F.col("r.t").alias("std_t"), pnl("r").alias("std_pnl"), F.col("m.t").alias("both_t"), *out, money(pnl("r") + pnl("ut_r") + pnl("tt_r")).alias("total_pnl"))
 
@@ -431,10 +431,10 @@ def wait_and_stop(b: Column, k, desk: Desk, *, percent: Column | None = None, pr
 
     def stopped(d: Column) -> Column:
         target = None if goal is None else d["price"] * (1 - F.when(k.side == "SELL", 1.0).otherwise(-1.0) * goal / 100)
-        r = stop(b, d["t"], k.end, side=k.side, sl=k.sl, closes=k.closes, rate=desk.rate, opens=desk.opens, entry=F.when(~k.closes, d["price"]), target=target)
+        r = stop(b, d["t"], k.end, side=k.side, tick=desk.tick, sl=k.sl, closes=k.closes, rate=desk.rate, opens=desk.opens, entry=F.when(~k.closes, d["price"]), target=target)
         return F.struct(d.alias("d"), r.alias("r"))
 
-    return let(decay(b, k.start if start is None else start, k.end, side=k.side if wait_side is None else wait_side, percent=percent, price=price, closes=k.closes), stopped)
+    return let(decay(b, k.start if start is None else start, k.end, side=k.side if wait_side is None else wait_side, tick=desk.tick, percent=percent, price=price, closes=k.closes), stopped)
 
 
 def decay_legs(rows: DataFrame, desk: Desk, f=None, **key: Column) -> DataFrame:
@@ -470,7 +470,7 @@ def dt_first_ut(entries: DataFrame, desk: Desk) -> DataFrame:
     """The leg that decays first with a stop fsl; after it, more than five minutes before the end, the other leg with a stop ssl."""
     rows = first_signal(decay_legs(picked(entries, desk), desk, sl=F.col("fsl")))
     due = F.when(F.col("fs.t") < F.col("end") - 5, F.col("fs.t"))
-    rows = ask_leg(rows, desk, "ut_r", F.col("other"), lambda b, k: stop(b, k.start, k.end, side=k.side, sl=k.sl, closes=k.closes, rate=desk.rate, opens=desk.opens), start=due, end=F.col("end"), side=F.col("side"), sl=F.col("ssl"), closes=closing())
+    rows = ask_leg(rows, desk, "ut_r", F.col("other"), lambda b, k: stop(b, k.start, k.end, side=k.side, tick=desk.tick, sl=k.sl, closes=k.closes, rate=desk.rate, opens=desk.opens), start=due, end=F.col("end"), side=F.col("side"), sl=F.col("ssl"), closes=closing())
     return rows.select(*entries.columns, "entry_t", "first", "signal_t", F.col("fs.t").alias("fs_t"), pnl("fs").alias("fs_pnl"), "other", F.col("ut_r.t").alias("ut_t"), pnl("ut_r").alias("ut_pnl"), money(pnl("fs") + pnl("ut_r")).alias("total_pnl"))
 
 
@@ -497,12 +497,12 @@ def dt_trail(entries: DataFrame, desk: Desk) -> DataFrame:
     def f(b: Column, k) -> Column:
         def stopped(d: Column) -> Column:
             o = F.when(~k.closes, d["price"])
-            plain = stop(b, d["t"], k.end, side=k.side, sl=k.sl, closes=k.closes, rate=desk.rate, opens=desk.opens, entry=o)
-            stepped = trail(b, d["t"], k.end, mode="STEP", side=k.side, sl=k.sl, step=k.step, sl_step=k.sl_step, closes=k.closes, rate=desk.rate, entry=o)
+            plain = stop(b, d["t"], k.end, side=k.side, tick=desk.tick, sl=k.sl, closes=k.closes, rate=desk.rate, opens=desk.opens, entry=o)
+            stepped = trail(b, d["t"], k.end, mode="STEP", side=k.side, tick=desk.tick, sl=k.sl, step=k.step, sl_step=k.sl_step, closes=k.closes, rate=desk.rate, entry=o)
             of = lambda r, moved: F.struct(r["t"].alias("t"), r["pnl"].alias("pnl"), moved.alias("moved"))
             return F.struct(d.alias("d"), F.when((k.step == 0) & (k.sl_step == 0), let(plain, lambda r: of(r, F.lit(False)))).otherwise(let(stepped, lambda r: of(r, r["moved"]))).alias("r"))
 
-        return let(decay(b, k.start, k.end, side=k.side, percent=k.decay, closes=k.closes), stopped)
+        return let(decay(b, k.start, k.end, side=k.side, tick=desk.tick, percent=k.decay, closes=k.closes), stopped)
 
     rows = decay_legs(picked(entries, desk), desk, f, step=F.col("trail_profit"), sl_step=F.col("trail_sl"))
     return rows.select(*entries.columns, "entry_t", *decay_out("ce"), *decay_out("pe"), money(pnl("ce_r.r") + pnl("pe_r.r")).alias("total_pnl"))
@@ -518,9 +518,9 @@ def dtn(entries: DataFrame, desk: Desk) -> DataFrame:
             goal = x["d"]["price"] * (1 - F.when(k.side == "SELL", 1.0).otherwise(-1.0) * k.goal / 100)
 
             def stopped(d: Column) -> Column:
-                return F.struct(x["d"].alias("d"), x["r"].alias("r"), d.alias("d2"), stop(b, d["t"], k.end, side=k.side, sl=k.sl, closes=k.closes, rate=desk.rate, opens=desk.opens, entry=F.when(~k.closes, x["d"]["price"]), target=goal).alias("r2"))
+                return F.struct(x["d"].alias("d"), x["r"].alias("r"), d.alias("d2"), stop(b, d["t"], k.end, side=k.side, tick=desk.tick, sl=k.sl, closes=k.closes, rate=desk.rate, opens=desk.opens, entry=F.when(~k.closes, x["d"]["price"]), target=goal).alias("r2"))
 
-            return let(decay(b, F.when(x["r"]["target_hit"], x["r"]["t"]), k.end, side=other, price=x["d"]["price"], closes=k.closes), stopped)
+            return let(decay(b, F.when(x["r"]["target_hit"], x["r"]["t"]), k.end, side=other, tick=desk.tick, price=x["d"]["price"], closes=k.closes), stopped)
 
         return let(wait_and_stop(b, k, desk, percent=k.decay, goal=k.goal), again)
 
@@ -558,14 +558,14 @@ def nre(entries: DataFrame, desk: Desk, most: int = 7) -> DataFrame:
     def f(b: Column, k) -> Column:
         log = lambda n, t, r: F.struct(n.cast("int").alias("round"), t.cast("int").alias("entry_t"), r["o"].alias("o"), r["t"].cast("int").alias("exit_t"), r["pnl"].alias("pnl"))
         state = lambda done, out: F.struct(done.alias("done"), out.cast("int").alias("out"))
-        begin = let(stop(b, k.start, k.end, side=k.side, sl=k.sl, closes=k.closes, rate=desk.rate, opens=desk.opens), lambda r: state(F.array(log(F.lit(0), k.start, r)), r["t"]))
+        begin = let(stop(b, k.start, k.end, side=k.side, tick=desk.tick, sl=k.sl, closes=k.closes, rate=desk.rate, opens=desk.opens), lambda r: state(F.array(log(F.lit(0), k.start, r)), r["t"]))
 
         def fold(s: Column, n: Column) -> Column:
             def entered(d: Column) -> Column:
-                r = stop(b, d["t"], k.end, side=k.side, sl=k.re_sl, closes=k.closes, rate=desk.rate, opens=desk.opens, entry=F.when(~k.closes, k.cost))
+                r = stop(b, d["t"], k.end, side=k.side, tick=desk.tick, sl=k.re_sl, closes=k.closes, rate=desk.rate, opens=desk.opens, entry=F.when(~k.closes, k.cost))
                 return let(r, lambda r: state(F.when(d["hit"], F.concat(s["done"], F.array(log(n, d["t"], r)))).otherwise(s["done"]), r["t"]))
 
-            return let(decay(b, s["out"], k.end, side=k.side, price=k.cost, closes=k.closes), entered)
+            return let(decay(b, s["out"], k.end, side=k.side, tick=desk.tick, price=k.cost, closes=k.closes), entered)
 
         return F.aggregate(F.sequence(F.lit(1), F.lit(most)), begin, fold)["done"]
 
@@ -590,7 +590,7 @@ def plain_first(desk: Desk):
     """The first round: a stop sl on each leg."""
 
     def run(rows: DataFrame) -> DataFrame:
-        rows = ask_leg(rows, desk, "r", F.col("scrip"), lambda b, k: stop(b, k.start, k.end, side=k.side, sl=k.sl, closes=k.closes, rate=desk.rate, opens=desk.opens), **leg_key(start=F.col("t"), sl=F.col("sl")))
+        rows = ask_leg(rows, desk, "r", F.col("scrip"), lambda b, k: stop(b, k.start, k.end, side=k.side, tick=desk.tick, sl=k.sl, closes=k.closes, rate=desk.rate, opens=desk.opens), **leg_key(start=F.col("t"), sl=F.col("sl")))
         return rows.withColumns({"entry_t": F.col("t"), "o": F.col("r.o"), "exit_t": F.col("r.t"), "pnl": pnl("r"), "live": F.col("r.t").isNotNull()})
 
     return run
@@ -605,15 +605,15 @@ def nre_cc(entries: DataFrame, desk: Desk, most: int = 7, till: bool = False, tr
 
     def again(rows: DataFrame) -> DataFrame:
         rows = rows.withColumn("was_t", F.col("exit_t"))
-        rows = ask_leg(rows, desk, "at", F.col("scrip"), lambda b, k: F.struct(close_at(b, k.start).alias("close"), decay(b, k.start, k.end, side=k.side, price=k.cost, closes=k.closes).alias("d")), **leg_key(start=F.col("was_t"), cost=F.col("cost")))
+        rows = ask_leg(rows, desk, "at", F.col("scrip"), lambda b, k: F.struct(close_at(b, k.start).alias("close"), decay(b, k.start, k.end, side=k.side, tick=desk.tick, price=k.cost, closes=k.closes).alias("d")), **leg_key(start=F.col("was_t"), cost=F.col("cost")))
         stays = F.col("cost") <= F.col("at.close")
         rows = enter_at_target(rows.withColumn("stays", stays), desk, "strangle", F.col("end"), new=(F.when(~stays, F.col("was_t")), F.col("cost")))
         rows = rows.withColumns({"scrip": F.when(F.col("stays"), F.col("scrip")).otherwise(leg_of("new")), "cost": F.when(F.col("stays"), F.col("cost")).otherwise(leg_of("new", "_price")), "t": F.when(F.col("stays"), F.col("at.d.t")).otherwise(F.col("new.t"))})
         rows = rows.where("t IS NOT NULL AND scrip IS NOT NULL")
-        plain = lambda b, k: stop(b, k.start, k.end, side=k.side, sl=k.sl, closes=k.closes, rate=desk.rate, opens=desk.opens, entry=F.when(~k.closes, k.cost))
+        plain = lambda b, k: stop(b, k.start, k.end, side=k.side, tick=desk.tick, sl=k.sl, closes=k.closes, rate=desk.rate, opens=desk.opens, entry=F.when(~k.closes, k.cost))
         key = leg_key(start=F.col("t"), sl=F.col("re_sl"), cost=F.col("cost"))
         if trailed:
-            by = lambda b, k: trail(b, k.start, k.end, mode="RATIO", side=k.side, sl=k.sl, gap=k.gap, closes=k.closes, to_cost=k.to_cost, rate=desk.rate, entry=F.when(~k.closes, k.cost))
+            by = lambda b, k: trail(b, k.start, k.end, mode="RATIO", side=k.side, tick=desk.tick, sl=k.sl, gap=k.gap, closes=k.closes, to_cost=k.to_cost, rate=desk.rate, entry=F.when(~k.closes, k.cost))
             f = lambda b, k: let(F.struct(plain(b, k).alias("p"), by(b, k).alias("q")), lambda x: F.struct(x["p"]["o"].alias("o"), (x["p"] if trailed == "plain" else x["q"])["t"].alias("t"), x["q"]["pnl"].alias("pnl")))
             rows = ask_leg(rows, desk, "r", F.col("scrip"), f, **key, gap=F.col("trail"), to_cost=F.col("trail_upto_cost"))
         else:
@@ -629,7 +629,7 @@ def nre_cc(entries: DataFrame, desk: Desk, most: int = 7, till: bool = False, tr
 def nre_decay(entries: DataFrame, desk: Desk, most: int = 7) -> DataFrame:
     """Each leg with a RATIO trail (ratio); after its stop the strike with the nearest premium above the stop, once that has decayed to
     the first entry price. entries also has side, method, sl, ratio."""
-    by = lambda b, k, start, o=None: trail(b, start, k.end, mode="RATIO", side=k.side, sl=k.sl, gap=k.gap, closes=k.closes, rate=desk.rate, entry=o)
+    by = lambda b, k, start, o=None: trail(b, start, k.end, mode="RATIO", side=k.side, tick=desk.tick, sl=k.sl, gap=k.gap, closes=k.closes, rate=desk.rate, entry=o)
     done = lambda rows: rows.withColumns({"o": F.col("r.o"), "exit_t": F.col("r.t"), "pnl": pnl("r"), "live": F.col("r.t").isNotNull()})
 
     def first_round(rows: DataFrame) -> DataFrame:
@@ -639,7 +639,7 @@ def nre_decay(entries: DataFrame, desk: Desk, most: int = 7) -> DataFrame:
     def again(rows: DataFrame) -> DataFrame:
         rows = enter_at_target(rows.withColumn("was_t", F.col("exit_t")), desk, "above", F.col("end"), new=(F.col("was_t"), F.col("far"))).where("new IS NOT NULL")
         rows = rows.withColumn("scrip", leg_of("new"))
-        f = lambda b, k: let(decay(b, k.start, k.end, side=k.side, price=k.cost, closes=k.closes), lambda d: F.struct(d.alias("d"), by(b, k, d["t"], F.when(~k.closes, k.cost)).alias("r")))
+        f = lambda b, k: let(decay(b, k.start, k.end, side=k.side, tick=desk.tick, price=k.cost, closes=k.closes), lambda d: F.struct(d.alias("d"), by(b, k, d["t"], F.when(~k.closes, k.cost)).alias("r")))
         rows = ask_leg(rows, desk, "x", F.col("scrip"), f, **leg_key(start=F.col("new.t"), sl=F.col("sl"), gap=F.col("ratio"), cost=F.col("cost0"))).where("x.d.hit")
         return done(rows.withColumns({"entry_t": F.col("x.d.t"), "r": F.col("x.r")}))
 
@@ -682,8 +682,8 @@ def sbs(entries: DataFrame, desk: Desk) -> DataFrame:
         side = F.lit("SELL" if kind == "sell" else "BUY")
 
         def f(b: Column, k) -> Column:
-            plain = stop(b, k.start, k.end, side=k.side, sl=k.sl, closes=k.closes, rate=desk.rate, opens=desk.opens)
-            stepped = trail(b, k.start, k.end, mode="STEP", side=k.side, sl=k.sl, step=k.step, sl_step=k.sl_step, closes=k.closes, rate=desk.rate)
+            plain = stop(b, k.start, k.end, side=k.side, tick=desk.tick, sl=k.sl, closes=k.closes, rate=desk.rate, opens=desk.opens)
+            stepped = trail(b, k.start, k.end, mode="STEP", side=k.side, tick=desk.tick, sl=k.sl, step=k.step, sl_step=k.sl_step, closes=k.closes, rate=desk.rate)
 
             def out(x: Column) -> Column:
                 on = k.sl_step != 0
@@ -739,7 +739,7 @@ def future_breakout(entries: DataFrame, desk: Desk) -> DataFrame:
     down = F.col("way") == "ce"
     rows = rows.withColumn("sold", F.when(down, F.col("pick.ce")).otherwise(F.col("pick.pe"))).withColumn("bought", F.when(down, F.col("pick.pe")).otherwise(F.col("pick.ce")))
     key = lambda name, side: {"scrip": F.col(name)} | leg_key(side=F.lit(side), start=F.col("pick.t"), sl=F.col("sl"))
-    rows = ask_legs(rows, desk, lambda b, k: stop(b, k.start, k.end, side=k.side, sl=k.sl, closes=k.closes, rate=desk.rate, opens=desk.opens), {"sold_r": key("sold", "SELL"), "bought_r": key("bought", "BUY")})
+    rows = ask_legs(rows, desk, lambda b, k: stop(b, k.start, k.end, side=k.side, tick=desk.tick, sl=k.sl, closes=k.closes, rate=desk.rate, opens=desk.opens), {"sold_r": key("sold", "SELL"), "bought_r": key("bought", "BUY")})
     out = [x for k in ("sold", "bought") for x in (k, F.col(f"{k}_r.t").alias(f"{k}_t"), pnl(f"{k}_r").alias(f"{k}_pnl"))]
     return rows.select(*entries.columns, F.when(down, "down").otherwise("up").alias("way"), "break_t", "entry_t", *out, money(pnl("sold_r") + pnl("bought_r")).alias("total_pnl"))
 
@@ -784,7 +784,7 @@ def hedged(entries: DataFrame, desk: Desk, most: int = 7) -> DataFrame:
     """
     keys = entries.columns
     rows = enter_pair(entries, desk, "m", F.lit("0"), F.col("hedge_om"), F.col("start"), F.col("end")).where("m IS NOT NULL")
-    rows = ask_pair(rows, desk, "std", F.col("m.a.ce"), F.col("m.a.pe"), lambda a, b, k: stop(straddle_bars(a, b), k.start, k.end, side=F.lit("SELL"), combined=True, rate=desk.rate, opens=desk.opens), start=F.col("m.t"), end=F.col("end"))
+    rows = ask_pair(rows, desk, "std", F.col("m.a.ce"), F.col("m.a.pe"), lambda a, b, k: stop(straddle_bars(a, b), k.start, k.end, side=F.lit("SELL"), tick=desk.tick, combined=True, rate=desk.rate, opens=desk.opens), start=F.col("m.t"), end=F.col("end"))
 
     def f(b: Column, k) -> Column:
         state = lambda done, out: F.struct(done.alias("done"), out.cast("int").alias("out"))
@@ -792,8 +792,8 @@ def hedged(entries: DataFrame, desk: Desk, most: int = 7) -> DataFrame:
         none = F.array().cast("array<struct<round:int,entry_t:int,o:double,exit_t:int,pnl:double>>")
 
         def fold(s: Column, n: Column) -> Column:
-            entered = lambda d: let(stop(b, d["t"], k.end, side=F.lit("BUY"), sl=k.sl, closes=k.closes, rate=desk.rate, opens=desk.opens, entry=F.when(~k.closes, k.goal)), lambda r: state(F.when(d["hit"], F.concat(s["done"], F.array(log(n, d, r)))).otherwise(s["done"]), r["t"]))
-            return let(decay(b, s["out"], k.end, side=F.lit("BUY"), price=k.goal, closes=k.closes), entered)
+            entered = lambda d: let(stop(b, d["t"], k.end, side=F.lit("BUY"), tick=desk.tick, sl=k.sl, closes=k.closes, rate=desk.rate, opens=desk.opens, entry=F.when(~k.closes, k.goal)), lambda r: state(F.when(d["hit"], F.concat(s["done"], F.array(log(n, d, r)))).otherwise(s["done"]), r["t"]))
+            return let(decay(b, s["out"], k.end, side=F.lit("BUY"), tick=desk.tick, price=k.goal, closes=k.closes), entered)
 
         return F.aggregate(F.sequence(F.lit(0), F.lit(most)), state(none, k.start), fold)["done"]
 
@@ -845,9 +845,9 @@ def b120_series(rows: DataFrame, desk: Desk, times_ut: float = 1.0) -> DataFrame
 
         return run
 
-    plain = lambda b, k: stop(b, k.start, k.end, side=k.side, sl=k.sl, intra=k.intra, closes=k.closes, rate=desk.rate, opens=desk.opens)
+    plain = lambda b, k: stop(b, k.start, k.end, side=k.side, tick=desk.tick, sl=k.sl, intra=k.intra, closes=k.closes, rate=desk.rate, opens=desk.opens)
     rows = with_first_hit(leg_stops(rows, desk, both(plain), rate=F.lit(desk.rate)))
-    rows = ask_leg(rows, desk, "ut_r", F.col("ut"), both(lambda b, k: follow(b, k, desk.opens)), **follow_key(rows), rate=F.lit(0.0))
+    rows = ask_leg(rows, desk, "ut_r", F.col("ut"), both(lambda b, k: follow(b, k, desk)), **follow_key(rows), rate=F.lit(0.0))
     on = F.col("ut_r.o").isNotNull()
     began = F.get("ut_r.points", F.lit(0))["t"]
     cut_ = lambda k, first_leg: F.when(on & (F.col("first") == first_leg), F.filter(F.col(f"{k}_r.points"), lambda p: p["t"] <= began - 1)).otherwise(F.col(f"{k}_r.points"))

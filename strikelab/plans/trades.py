@@ -131,7 +131,7 @@ def b120(most: int = 0, times_ut: float = 1.0) -> Trader:
         keys = entries.columns
 
         def followed(b: Column, k) -> Column:
-            return let(st.follow(b, k, desk.opens), lambda r: F.struct(*(r[c].alias(c) for c in ("o", "t", "pnl", "sl_price")), first(rest(window(b, k.start, k.end)))["t"].alias("began")))
+            return let(st.follow(b, k, desk), lambda r: F.struct(*(r[c].alias(c) for c in ("o", "t", "pnl", "sl_price")), first(rest(window(b, k.start, k.end)))["t"].alias("began")))
 
         def step(rows: DataFrame, n: int) -> DataFrame:
             rows = st.b120_legs(st.picked(rows.select(*keys, "_go"), desk, start=F.col("_go")), desk, followed)

@@ -8,6 +8,26 @@ from __future__ import annotations
 
 from strikelab.catalog import FIRST, GAP, LAST
 
+#: Slippage of an index and its tick, where SQL follows the instruments' rules (see `instruments`).
+PLAIN, OWN = ("0.01", None), ("(CASE idx WHEN 'IDX1' THEN 0.005 ELSE 0.01 END)", "(CASE idx WHEN 'IDX1' THEN 1.0 END)")
+_rules = PLAIN
+
+
+def instruments(build):
+    """build(), whose SQL follows each index's own slippage and ticks."""
+    global _rules
+    _rules = OWN
+    try:
+        return build()
+    finally:
+        _rules = PLAIN
+
+
+def ticked(x: str, up: str) -> str:
+    tick = _rules[1]
+    return x if tick is None else f"(CASE WHEN {tick} IS NULL THEN {x} ELSE round((CASE WHEN {up} THEN ceil(round(({x}) / {tick}, 6)) ELSE floor(round(({x}) / {tick}, 6)) END) * {tick}, 2) END)"
+
+
 ATM = f"""ses AS (SELECT * FROM wide WHERE t BETWEEN {FIRST} AND {LAST}), fu AS (SELECT idx, trade_date, t, close AS future, round_even(close / {GAP}, 0) * {GAP} AS k FROM fut WHERE t BETWEEN {FIRST} AND {LAST}),
 cen AS (SELECT fu.idx, fu.trade_date, fu.t, future, round_even((ce - pe + strike) / {GAP}, 0) * {GAP} AS k FROM fu JOIN ses ON fu.idx = ses.idx AND fu.trade_date = ses.trade_date AND fu.t = ses.t AND strike = k WHERE ce IS NOT NULL AND pe IS NOT NULL),
 tri AS (SELECT c.idx, c.trade_date, c.t, future, strike, ce, pe, row_number() OVER (PARTITION BY c.idx, c.trade_date, c.t ORDER BY abs(ce - pe), o.o) AS r FROM cen c, (VALUES (0, 0), (1, {GAP}), (2, -{GAP})) o(o, d), ses s WHERE s.idx = c.idx AND s.trade_date = c.trade_date AND s.t = c.t AND s.strike = c.k + o.d AND s.ce IS NOT NULL AND s.pe IS NOT NULL),
@@ -64,10 +84,10 @@ def _judged(out: str, src: str, p: str, *, side: str, sl: str, cc: str, slp: str
     closes = "true" if combined else cc
     extra = f", arg_min(bce, bt) FILTER (hi OR hs OR ht) AS {p}_ce_at, arg_min(bpe, bt) FILTER (hi OR hs OR ht) AS {p}_pe_at" if combined else ""
     return f"""{out}_2 AS (SELECT *, CASE WHEN {side} = 'SELL' THEN 1.0 ELSE -1.0 END::DOUBLE AS g, coalesce(({entry})::DOUBLE, c1) AS o_ FROM {out}_1),
-{out}_3 AS (SELECT *, coalesce(({slp})::DOUBLE, CASE WHEN ({sl}) > 0 THEN (100 + g * ({sl})) / 100 * o_ END) AS lv, CASE WHEN ({intra}) > 0 THEN (100 + g * ({intra})) / 100 * o_ END AS iv, ({target})::DOUBLE AS tv FROM {out}_2),
+{out}_3 AS (SELECT *, {ticked(f"coalesce(({slp})::DOUBLE, CASE WHEN ({sl}) > 0 THEN (100 + g * ({sl})) / 100 * o_ END)", "g > 0")} AS lv, {ticked(f"CASE WHEN ({intra}) > 0 THEN (100 + g * ({intra})) / 100 * o_ END", "g > 0")} AS iv, {ticked(f"({target})::DOUBLE", "g < 0")} AS tv FROM {out}_2),
 {out}_4 AS (SELECT *, coalesce(g * CASE WHEN g > 0 THEN bh ELSE bl END >= g * iv, false) AS hi, coalesce(g * CASE WHEN {closes} THEN bc WHEN g > 0 THEN bh ELSE bl END >= g * lv, false) AS hs, coalesce(g * ({along}) <= g * tv, false) AS ht FROM {out}_3 WHERE bi > 1),
 {out}_5 AS (SELECT rid, any_value(o_) AS {p}_o, any_value(lv) AS {p}_slp, any_value(g) AS g, min(bt) FILTER (hi OR hs OR ht) AS {p}_t, coalesce(arg_min(CASE WHEN hi THEN iv WHEN hs THEN CASE WHEN {closes} THEN bc ELSE lv END ELSE {"bc" if combined else "tv"} END, bt) FILTER (hi OR hs OR ht), arg_max(bc, bt)) AS ex, coalesce(arg_min(ht AND NOT hi AND NOT hs, bt) FILTER (hi OR hs OR ht), false) AS {p}_tg{extra} FROM {out}_4 GROUP BY rid),
-{out} AS MATERIALIZED (SELECT s.*, r.* EXCLUDE (rid, g, ex), coalesce(round_even(g * ({p}_o - ex) - {p}_o * {rate}, 2) + 0, 0) AS {p}_pnl FROM {src} s LEFT JOIN {out}_5 r USING (rid))"""
+{out} AS MATERIALIZED (SELECT s.*, r.* EXCLUDE (rid, g, ex), coalesce(round_even(g * ({p}_o - ex) - {p}_o * {_rules[0] if rate == "0.01" else rate}, 2) + 0, 0) AS {p}_pnl FROM {src} s LEFT JOIN {out}_5 r USING (rid))"""
 
 
 def stop(out: str, src: str, p: str, scrip: str, start: str, *, end: str = '"end"', side: str = "side", sl: str = "sl", cc: str = "method = 'CC'", slp: str = "NULL", intra: str = "0", target: str = "NULL", entry: str = "NULL", rate: str = "0.01") -> str:
@@ -84,7 +104,7 @@ def decay(out: str, src: str, p: str, scrip: str, start: str, *, end: str = '"en
     """{p}_d (its price) and {p}_dt (when)."""
     return bars(out, src, scrip, start, end) + f""",
 {out}_2 AS (SELECT *, coalesce(({pct}) = 0, false) AS now_, CASE WHEN {side} = 'SELL' THEN 1.0 ELSE -1.0 END::DOUBLE AS g FROM {out}_1),
-{out}_3 AS (SELECT *, CASE WHEN now_ THEN c1 ELSE coalesce(({price})::DOUBLE, (100 - g * ({pct})) / 100 * c1) END AS lv FROM {out}_2),
+{out}_3 AS (SELECT *, CASE WHEN now_ THEN c1 ELSE {ticked(f"coalesce(({price})::DOUBLE, (100 - g * ({pct})) / 100 * c1)", "g < 0")} END AS lv FROM {out}_2),
 {out}_4 AS (SELECT rid, any_value(lv) AS {p}_d, CASE WHEN count(*) < 2 THEN NULL WHEN bool_and(now_) THEN any_value(_a) ELSE min(bt) FILTER (bi > 1 AND g * CASE WHEN {cc} THEN bc WHEN g > 0 THEN bl ELSE bh END <= g * lv) END AS {p}_dt FROM {out}_3 GROUP BY rid),
 {out} AS MATERIALIZED (SELECT s.*, r.* EXCLUDE (rid) FROM {src} s LEFT JOIN {out}_4 r USING (rid))"""
 
@@ -103,7 +123,7 @@ def b120(out: str, src: str, intra: str = "0", ut_intra: str = "0", target: str
 {out}_c AS (SELECT *, {one("'ce'", "'pe'")} AS first, {one("ce_t", "pe_t")} AS at_, {one("p_pe", "p_ce")} AS ut_k, {one("p_pep", "p_cep")} AS ut_cost, {one("pe_slp", "ce_slp")} AS ut_old, {one("ce_pnl", "pe_pnl")} AS hit_pnl FROM {out}_b),
 {stop(f"{out}_d", f"{out}_c", "ut", "ut_k", "at_", sl="coalesce(TRY_CAST(ut_sl AS DOUBLE), 0)", slp=ttc, intra=ut_intra, target=target, rate="0")},
 {out}_e AS (SELECT *, ut_o IS NOT NULL AS on_ FROM {out}_d),
-{out}_f AS (SELECT *, CASE WHEN on_ THEN 0 ELSE ce_pnl + pe_pnl END AS b_pl, CASE WHEN on_ THEN hit_pnl ELSE 0 END AS tt_pl, CASE WHEN on_ THEN ut_cost - ut_o - ut_cost * 0.01 ELSE 0 END AS at_sl, CASE WHEN on_ THEN ut_pnl ELSE 0 END AS gain FROM {out}_e),
+{out}_f AS (SELECT *, CASE WHEN on_ THEN 0 ELSE ce_pnl + pe_pnl END AS b_pl, CASE WHEN on_ THEN hit_pnl ELSE 0 END AS tt_pl, CASE WHEN on_ THEN ut_cost - ut_o - ut_cost * {_rules[0]} ELSE 0 END AS at_sl, CASE WHEN on_ THEN ut_pnl ELSE 0 END AS gain FROM {out}_e),
 {out} AS MATERIALIZED (SELECT *, round_even(b_pl + tt_pl + at_sl + gain, 2) + 0 AS total_pnl, CASE WHEN on_ THEN ut_t WHEN ce_t = pe_t THEN ce_t END AS exit_t FROM {out}_f)"""
 
 

@@ -1,5 +1,6 @@
 """Plain bar-by-bar versions of the triggers and choices, written from the rules, for comparison."""
 
+import math
 from collections import defaultdict
 
 GAP = 50.0
@@ -125,14 +126,18 @@ def decay(bars, start, end, side="SELL", pct=None, price=None, cc=False):
     return None, level
 
 
-def trail(bars, start, end, mode, side="SELL", sl=0.0, slp=None, gap=1.0, step=0.0, sl_step=0.0, cc=False, to_cost=False, entry=None, rate=0.0):
+def ticks(x, tick, up):
+    return x if tick is None else round((math.ceil if up else math.floor)(round(x / tick, 6)) * tick, 2)
+
+
+def trail(bars, start, end, mode, side="SELL", sl=0.0, slp=None, gap=1.0, step=0.0, sl_step=0.0, cc=False, to_cost=False, entry=None, rate=0.0, tick=None):
     w, g = cut(bars, start, end), 1 if side == "SELL" else -1
     r = {"o": w[0][3] if w else None, "t": None, "pnl": 0.0, "level": None, "moved": False}
     if len(w) < 2 or (mode == "STEP" and (step <= 0 or sl_step <= 0 or sl_step > step)):
         return r
     o = w[0][3] if entry is None else entry
-    first = level = slp if slp is not None else (100 + g * sl) / 100 * o
-    best, px = ((100 - g * step) / 100 * o if mode == "STEP" else o), None
+    first = level = ticks(slp if slp is not None else (100 + g * sl) / 100 * o, tick, g > 0)
+    best, px = (ticks((100 - g * step) / 100 * o, tick, g < 0) if mode == "STEP" else o), None
     for t, h, low, c in w[1:]:
         bad, good = (c, c) if cc else (h, low) if g > 0 else (low, h)
         if g * bad >= g * level:
@@ -147,11 +152,12 @@ def trail(bars, start, end, mode, side="SELL", sl=0.0, slp=None, gap=1.0, step=0
                 level = {"RATIO": first - g * abs(o - best) * gap, "POINT": best + first - o, "PCT": best * (1 + g * sl / 100)}[mode]
             if to_cost:
                 level = max(level, o) if g > 0 else min(level, o)
+            level = ticks(level, tick, g > 0)
             if mode in ("RATIO", "STEP") and g * level <= g * best:
                 px, r["t"] = (c if cc else best), t
                 break
             if mode == "STEP":
-                best *= 1 - g * step / 100
+                best = ticks(best * (1 - g * step / 100), tick, g < 0)
     r.update(o=o, level=level, pnl=cents(g * (o - (w[-1][3] if px is None else px)) - o * rate))
     return r
 
