@@ -16,6 +16,11 @@ def cube_sum(log: DataFrame, day: str = "Date", period: tuple[str, ...] = ("Year
     return dated.groupBy(*keys, *period).agg(*(F.sum(f"`{m}`").alias(m) for m in measures))
 
 
+def week_labelled(log: DataFrame, first: str, last: str) -> DataFrame:
+    """A log of weeks with DTE, as `5_1`: the days before expiry that a week runs from and to."""
+    return log.withColumn("DTE", F.concat_ws("_", F.col(first).cast("string"), F.col(last).cast("string"))).drop(first, last)
+
+
 def cube_unpivot(cube: DataFrame) -> DataFrame:
     """A row for each measure: PL Basis and Points; parameters lose their P_."""
     _, measures = split_columns(cube)
@@ -59,12 +64,17 @@ def heatmap_totals(df: DataFrame, row: str, column: str, points: str = "Points",
     return cells.cube(row, column).agg(F.grouping_id().cast("int").alias("level"), F.avg("points").alias("points"))
 
 
-def period_pnl(df: DataFrame, cell: list[str], points: str = "Points") -> DataFrame:
-    """Points of each cell by year and month."""
-    return df.groupBy(*cell, "Year", "Month").agg(F.sum(points).alias("points"))
+def period_pnl(df: DataFrame, cell: list[str], points: str = "Points", by_dte: bool = False) -> DataFrame:
+    """Points of each cell by year and month; by_dte (MCX): and by DTE."""
+    return df.groupBy(*cell, "Year", "Month", *(["DTE"] if by_dte else [])).agg(F.sum(points).alias("points"))
+
+
+def order_of(by_dte: bool = False) -> list[Column | str]:
+    """The periods' order in time; DTE counts down."""
+    return ["Year", "Month", *([F.desc("DTE")] if by_dte else [])]
 
 
-def max_drawdown(periods: DataFrame, cell: list[str], order: list[str]) -> DataFrame:
+def max_drawdown(periods: DataFrame, cell: list[str], order: list[Column | str]) -> DataFrame:
     """The deepest fall of the running sum below its peak so far, both from 0."""
     w = Window.partitionBy(*cell).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     rows = periods.withColumn("_s", F.sum("points").over(w))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from strikelab.functions.scalars import money
 from strikelab.functions.triggers import close_at, close_before, common, first, let, stop, straddle_bars, window
 from strikelab.plans.lineage import cut
-from strikelab.plans.steps import Desk, ask_leg, ask_pair, enter, enter_at_target, rounds, scrip_of
+from strikelab.plans.steps import Desk, ask_leg, ask_legs, ask_pair, enter, enter_at_target, rounds, scrip_of
 from strikelab.plans.strategies import closing, earlier, picked
 
 STATE = ["ce", "ce_price", "ce_t", "pe", "pe_price", "pe_t", "premium", "shifted", "exit_t", "check", "move", "rolls", "ce_x", "pe_x", "gone", "live"]
@@ -37,7 +37,7 @@ def held(entries: DataFrame, desk: Desk, *, ending: str = "premium", separate: b
 
     ending: `none`; `premium`, if the strikes have crossed by more than the premium; `straddle`, where a roll that would
     reach or pass the other strike makes a straddle there; `nstraddle`, where one that passes it makes a new straddle by
-    the market. A straddle then has a stop at movement percent on each leg. The rules of `closed`, closing_by: `close`, each leg at its own
+    the market; `meet`, where one that reaches or passes it closes both (check says so). A straddle then has a stop at movement percent on each leg. The rules of `closed`, closing_by: `close`, each leg at its own
     minute's close; `price`, stops at their level; `both`, the first stop closes both; `ut`, only the leg that was not
     stopped first counts, from that stop on; `separate` (with ending premium): a roll that would end it is not made, and
     each leg closes at its own stop. trailed: the divider is half the premium, and a combined close `trail` percent under the
@@ -120,6 +120,8 @@ def held(entries: DataFrame, desk: Desk, *, ending: str = "premium", separate: b
             out = F.when(full | new.isNull(), ended)
             if ending == "premium":
                 out = out.when(crossed > premium, state(**gone, shifted=shifted, premium=premium, rolls=c("rolls") + 1))
+            elif ending == "meet":
+                out = out.when(crossed >= 0, state(ce=none_s, pe=none_s, exit_t=c("at"), shifted=shifted + gain(o), gone=closed_("ce", "pe"), check=F.lit(True), rolls=c("rolls") + 1))
             elif ending == "straddle":
                 bar = c(f"same_{k}_bar")
                 met = {k: c(f"same_{k}"), f"{k}_price": bar["close"], f"{k}_t": bar["t"], "premium": c("premium") - c(f"x.{k}_at") + bar["close"], "shifted": shifted, "rolls": c("rolls") + 1, "gone": off}
@@ -143,6 +145,8 @@ def held(entries: DataFrame, desk: Desk, *, ending: str = "premium", separate: b
             out = F.when(full | a.isNull() | b.isNull(), ended)
             if ending == "premium":
                 out = out.when(crossed > premium, ended)
+            elif ending == "meet":
+                out = out.when(crossed >= 0, state(ce=none_s, pe=none_s, exit_t=c("at"), shifted=shifted, gone=closed_("ce", "pe"), check=F.lit(True), rolls=c("rolls") + 1))
             elif ending in ("straddle", "nstraddle"):
                 out = out.when(crossed == 0, state(**held, check=F.lit(True))).when(crossed > 0, new_straddle(shifted, ended))
             return out.otherwise(state(**held, live=F.lit(True)))
@@ -204,3 +208,42 @@ def shift_again(entries: DataFrame, desk: Desk, gap: int = 1) -> DataFrame:
     two = shift(second, desk, ending="straddle", closing_by="close").select(*(k for k in keys if k != "start"), F.col("_was").alias("start"), F.col("total_pnl").alias("pnl2"))
     rows = one.join(two, keys, "left").withColumn("pnl2", F.coalesce("pnl2", F.lit(0.0)))
     return rows.select(*keys, F.col("exit_t"), F.col("total_pnl").alias("pnl1"), "pnl2", money(F.col("total_pnl") + F.col("pnl2")).alias("total_pnl"))
+
+
+def shift_to_straddles(entries: DataFrame, desk: Desk, most: int = 20) -> DataFrame:
+    """A shift at movement1 until the strikes meet, then straddles at movement2: each ends where a leg's stop, so many percent of its
+    premium, is reached, both legs at that minute's closes, and a fresh one is entered there, up to `most` times.
+
+    A choice whose strikes have met already starts with straddles. Legs held at the end are closed at their last close.
+    Sets without a choice, or whose next straddle finds none, have no row. entries: start, end, om, side, method, divider,
+    movement1, movement2.
+    """
+    keys, rate = entries.columns, desk.rate
+    c = F.col
+    first_picks = cut(picked(entries, desk).select(*keys, "entry_t", _strike(c("pick.ce")).alias("_a"), _strike(c("pick.pe")).alias("_b")), "shift-choices")
+    apart = first_picks.where("_a > _b").select(*keys)
+    rows = held(apart.withColumn("movement", c("movement1")), desk, ending="meet", most=most).drop("movement")
+    counts = ~c("live")
+    names = {k: {"scrip": F.when(counts, c(k)), "start": c(f"{k}_t"), "at": F.when(c("exit_t") == c("end"), c("end") + 10).otherwise(c("exit_t"))} for k in ("ce", "pe")}
+    rows = ask_legs(rows, desk, lambda b, k: close_before(b, k.at), {f"{k}_z": key for k, key in names.items()})
+    left = sum((F.when(c(f"{k}_z").isNotNull(), money(c(f"{k}_price") - c(f"{k}_z") - c(f"{k}_price") * rate)).otherwise(0.0) for k in ("ce", "pe")), F.lit(0.0))
+    shifts = cut(rows.select(*keys, "rolls", money(c("shifted")).alias("shifted_pnl"), money(left).alias("left_pnl"), F.when(c("check"), c("exit_t")).alias("_go")), "shift-phase")
+    begin = first_picks.where("_a <= _b").select(*keys, c("start").alias("_go")).unionByName(shifts.where("_go IS NOT NULL").select(*keys, "_go"))
+
+    def asked(a: Column, b: Column, k) -> Column:
+        of = lambda x, y: stop(common(window(x, k.start, k.end), y), k.start, k.end, side=k.side, tick=desk.tick, sl_price=k.move, closes=k.closes)["t"]
+        at = lambda t: F.struct(t.alias("t"), F.coalesce(close_at(a, t), close_before(a, k.end + 10)).alias("ce"), F.coalesce(close_at(b, t), close_before(b, k.end + 10)).alias("pe"))
+        return let(F.least(of(a, b), of(b, a)), at)
+
+    def step(rows: DataFrame, n: int) -> DataFrame:
+        rows = enter(rows.select(*keys, "_go"), desk, start=c("_go"), om=F.lit("0"), kept=True)
+        move = (c("pick.ce_price") + c("pick.pe_price")) * c("movement2") / 100
+        rows = ask_pair(rows, desk, "x", c("pick.ce"), c("pick.pe"), asked, start=c("pick.t"), end=c("end"), side=c("side"), closes=closing(), move=move)
+        gain = lambda k: money(c(f"pick.{k}_price") - c(f"x.{k}") - c(f"pick.{k}_price") * rate)
+        return rows.select(*keys, c("pick").isNull().alias("failed"), (gain("ce") + gain("pe")).alias("pnl"), c("x.t").alias("_go"), c("x.t").isNotNull().alias("live"))
+
+    logs = rounds(begin, step, most, [*keys, "failed", "pnl"], "shift-straddles")
+    straddles = logs.groupBy(*keys).agg(F.max("failed").alias("failed"), F.count("pnl").cast("int").alias("straddles"), F.sum("pnl").alias("_std"))
+    out = first_picks.select(*keys, "entry_t").join(shifts.drop("_go"), keys, "left").join(straddles, keys, "left").where("NOT coalesce(failed, false)")
+    zero = lambda x: F.coalesce(c(x), F.lit(0.0))
+    return out.select(*keys, "entry_t", F.coalesce("rolls", F.lit(0)).alias("rolls"), zero("shifted_pnl").alias("shifted_pnl"), zero("left_pnl").alias("left_pnl"), F.coalesce("straddles", F.lit(0)).alias("straddles"), money(zero("_std")).alias("straddle_pnl"), money(zero("shifted_pnl") + zero("left_pnl") + zero("_std")).alias("total_pnl"))
