@@ -268,8 +268,8 @@ def test_queue(spark, books):
         assert r["n"] == n and r["total_pnl"] == pytest.approx(total, abs=0.02 * (n + 1)), r
 
 
-def shifted(b, p, ending, closing_by, most=20):
-    """One shift by the rules; (rolls, total, ce, pe) or None."""
+def shifted(b, p, ending, closing_by, most=20, with_exit=False):
+    """One shift by the rules; (rolls, ce, pe, total) or None. with_exit: and when it ended (None: both legs went at once)."""
     k = b.pick(p["start"], p["end"], p["om"])
     if k is None:
         return None
@@ -278,7 +278,7 @@ def shifted(b, p, ending, closing_by, most=20):
     leg, price = {"ce": k[1], "pe": k[2]}, {"ce": k[3], "pe": k[4]}
     premium, gained, rolls, check, exit_t, own = k[3] + k[4], 0.0, 0, False, end, None
     strike = lambda x: float(x[:-2])
-    action, move = p.get("action"), 0.0
+    action, move, nothing = p.get("action"), 0.0, False
     for n in range(most + 1):
         divider = premium / 2 if "trail" in p else premium * p["divider"] / 100
         move, start = premium * p["movement"] / 100, max(t0.values())
@@ -311,6 +311,7 @@ def shifted(b, p, ending, closing_by, most=20):
             for x in gone:
                 leg[x] = None
             exit_t = at
+            nothing = both
             break
         found = {x: (new[x][index[x]], new[x][index[x] + 2], new[x][0]) for x in gone}
         crossed = strike(found.get("pe", (leg["pe"],))[0]) - strike(found.get("ce", (leg["ce"],))[0])
@@ -338,6 +339,7 @@ def shifted(b, p, ending, closing_by, most=20):
                 z = b.pick(at, end, "0")
                 if z is None:
                     leg = {"ce": None, "pe": None}
+                    nothing = True
                     break
                 premium += z[3] + z[4] - now["ce"] - now["pe"]
                 leg, price, t0, check, rolls = {"ce": z[1], "pe": z[2]}, {"ce": z[3], "pe": z[4]}, {"ce": z[0], "pe": z[0]}, True, rolls + 1
@@ -348,12 +350,13 @@ def shifted(b, p, ending, closing_by, most=20):
         if ending in ("straddle", "nstraddle") and crossed == 0:
             check = True
             break
-    ends = {}
+    ends, over = {}, None if nothing else exit_t
     if check and closing_by != "separate":
         move, start = premium * p["movement"] / 100, max(t0.values())
         r = {x: stop(b.bars[leg[x]], start, end, side, slp=move, cc=cc, entry=price[x], rate=RATE) for x in leg}
         when = {x: r[x]["t"] if r[x]["t"] is not None else end for x in r}
         first = earlier(when["ce"], when["pe"])
+        over = min(when.values())
         for x, y in (("ce", "pe"), ("pe", "ce")):
             ends[x] = cents(price[x] - b.upto(leg[x], when[x]) - price[x] * RATE)
             if closing_by in ("both", "price"):
@@ -370,7 +373,7 @@ def shifted(b, p, ending, closing_by, most=20):
             at = exit_t if own is None else own[x] if own[x] is not None else end
             last = move if closing_by == "price" and exit_t != end else None if leg[x] is None else b.upto(leg[x], at)
             ends[x] = 0.0 if leg[x] is None or closing_by == "ut" else cents(price[x] - last - price[x] * RATE)
-    return rolls, leg["ce"], leg["pe"], None if None in ends.values() else cents((0.0 if closing_by == "ut" else gained) + ends["ce"] + ends["pe"])
+    return *((over,) if with_exit else ()), rolls, leg["ce"], leg["pe"], None if None in ends.values() else cents((0.0 if closing_by == "ut" else gained) + ends["ce"] + ends["pe"])
 
 
 SHIFT_COLUMNS = ("rolls", "ce", "pe", "total_pnl")
@@ -386,3 +389,40 @@ def test_shift_rules(spark, books, name, rules):
     df = getattr(q, name)(spark, SF).cache()
     for rule, (ending, closing_by) in rules.items():
         compare(df.where(df["rule"] == rule), books, q.S_SHIFT, lambda b, p: filter(None, [shifted(b, p, ending, closing_by)]), SHIFT_COLUMNS)  # noqa: B023
+
+
+def test_shift_once_more(spark, books):
+    def loop(b, p):
+        one = shifted(b, p, "straddle", "both", with_exit=True)
+        if one:
+            again = one[0] is not None and one[0] + 6 < p["end"] and shifted(b, p | {"start": one[0] + 1}, "straddle", "close")
+            two = again[-1] if again else 0.0
+            yield one[-1], two, cents(one[-1] + two)
+
+    compare(q.st_shift_re(spark, SF), books, q.S_SHIFT, loop, ("pnl1", "pnl2", "total_pnl"))
+
+
+def test_stops_of_the_outer_legs(spark, books):
+    def loop(b, p):
+        held, minutes, go, n, cc = [], None, p["start"], 0, p["method"] == "CC"
+        while True:
+            k = b.pick(go, p["end"])
+            if k is None:
+                out, hit = go, False
+                break
+            held.append(k)
+            here = {x[0] for x in b.straddle(k[1], k[2]) if k[0] <= x[0] <= p["end"]}
+            minutes = here if minutes is None else minutes & here
+            strike = lambda i: lambda x: float(x[i][:-2])
+            hi = max((x for x in held if strike(1)(x) == max(map(strike(1), held))), key=lambda x: x[0])
+            lo = max((x for x in held if strike(2)(x) == min(map(strike(2), held))), key=lambda x: x[0])
+            ends = [stop([x for x in b.bars[h[i]] if x[0] in minutes], h[0], p["end"], p["side"], p["sl"], cc=cc, entry=h[i + 2])["t"] for h, i in ((hi, 1), (lo, 2))]
+            out = min(p["end"] if t is None else t for t in ends)
+            if n >= p["re_entries"] or out >= p["end"] - 5:
+                hit = out != p["end"]
+                break
+            go, n = out, n + 1
+        for i, x in enumerate(held):
+            yield i, x[0], x[1], x[2], hit, out, stop(b.straddle(x[1], x[2]), held[0][0], out, "SELL", combined=True, rate=RATE)["pnl"]
+
+    compare(q.st_csre_hclp(spark, SF), books, q.S_EXTREMES, loop, ("round", "entry_t", "ce", "pe", "sl_hit", "exit_t", "pnl"))

@@ -89,36 +89,105 @@ def ranged(w, p, k, std, trailed):
     return o, out, inner, cents(g * (o - px) - o * RATE)
 
 
-@pytest.mark.parametrize("name,trailed", [("st_srew_range", False), ("st_srew_range_trail", True)])
-def test_range(spark, weeks, name, trailed):
-    got = defaultdict(list)
-    names = [c.split()[0] for c in q.S_RANGE[1].split(", ")]
-    for r in getattr(q, name)(spark, SF).collect():
-        got[(r["idx"], r["trade_date"], *(r[n] for n in names))].append((r["round"], r["entry_t"], r["exit_t"], r["intra_hit"], r["pnl"]))
-    n = 0
+def range_rounds(w, p, trailed, go=None, chosen=None):
+    """(round, pick, o, t, intra, pnl) of a week's range stops from go on; chosen: the first straddle."""
+    go, left = p["start"] if go is None else go, {i: p[f"dte{i}re"] for i in range(1, 6)}
+    for i in range(21):
+        k = (chosen if i == 0 and chosen else w.pick(go, p["end"])) if go is not None else None
+        std = w.pick(k[0], p["end"]) if k else None
+        if std is None:
+            return
+        o, t, inner, gain = ranged(w, p, k, std, trailed)
+        yield i, k, o, t, inner, gain
+        if t is None or t >= p["end"] - 5:
+            return
+        dte = 5 - t // WEEK
+        if left[dte] == 0 or p["normal_or_cut"] == "CUT":
+            go = None if dte == 1 else max(t, t // WEEK * WEEK + LAST - 15)
+        else:
+            left[dte] -= 1
+            go = t
+
+
+def by_week(df, sets, columns, weeks, loop):  # noqa: F811
+    """Rows of df and of loop(week, parameters), which yields tuples of the columns."""
+    names, got, n = [c.split()[0] for c in sets[1].split(", ")], defaultdict(list), 0
+    for r in df.collect():
+        got[(r["idx"], r["trade_date"], *(r[x] for x in names))].append(tuple(r[c] for c in columns))
+    order = lambda x: tuple("" if v is None else f"{v:012.4f}" if isinstance(v, float) else str(v) for v in x)
     for (idx, _), days in weeks.items():
         w = Week(days)
-        for p in params(q.S_RANGE):
-            want, go, left = [], p["start"], {i: p[f"dte{i}re"] for i in range(1, 6)}
-            for i in range(21):
-                k = w.pick(go, p["end"]) if go is not None else None
-                std = w.pick(k[0], p["end"]) if k else None
-                if std is None:
-                    break
-                o, t, inner, gain = ranged(w, p, k, std, trailed)
-                want.append((i, k[0], t, inner, gain))
-                if t is None or t >= p["end"] - 5:
-                    break
-                dte = 5 - t // WEEK
-                if left[dte] == 0 or p["normal_or_cut"] == "CUT":
-                    go = None if dte == 1 else max(t, t // WEEK * WEEK + LAST - 15)
-                else:
-                    left[dte] -= 1
-                    go = t
-            have = sorted(got.pop((idx, days[0][0], *(p[x] for x in names)), []))
-            assert len(have) == len(want) and all(x[:4] == y[:4] and x[4] == pytest.approx(y[4], abs=0.011) for x, y in zip(have, want, strict=True)), (idx, p, have, want)
+        for p in params(sets):
+            want, have = sorted(loop(w, p), key=order), sorted(got.pop((idx, days[0][0], *(p[x] for x in names)), []), key=order)
+            assert len(have) == len(want), (idx, p, have, want)
+            for x, y in zip(have, want, strict=True):
+                assert all(u == v or (isinstance(u, float) and v is not None and u == pytest.approx(v, abs=0.011)) for u, v in zip(x, y, strict=True)), (idx, p, x, y)
             n += len(want)
-    assert not got and n > 30
+    assert not got and n
+
+
+@pytest.mark.parametrize("name,trailed", [("st_srew_range", False), ("st_srew_range_trail", True)])
+def test_range(spark, weeks, name, trailed):
+    by_week(getattr(q, name)(spark, SF), q.S_RANGE, ("round", "entry_t", "exit_t", "intra_hit", "pnl"), weeks, lambda w, p: ((i, k[0], t, inner, gain) for i, k, _, t, inner, gain in range_rounds(w, p, trailed)))
+
+
+def test_range_first_alone(spark, weeks):
+    by_week(q.range_sl_trail(spark, SF), q.S_RANGE, ("entry_t", "exit_t", "intra_hit", "pnl"), weeks, lambda w, p: ((k[0], t, inner, gain) for i, k, _, t, inner, gain in range_rounds(w, p, True) if i == 0))
+
+
+def test_last_five_days(spark, weeks):
+    def loop(w, p):
+        by_day = defaultdict(float)
+        g = 1 if p["side"] == "SELL" else -1
+        for _, k, o, t, _, gain in range_rounds(w, p, False):
+            bars = [x for x in w.straddle(k[1], k[2]) if k[0] < x[0] <= (p["end"] if t is None else t)]
+            if o is None or not bars:
+                continue
+            before, total = o, 0.0
+            ends = [x for x, y in zip(bars, bars[1:], strict=False) if x[0] // WEEK != y[0] // WEEK]
+            for x in ends:
+                by_day[x[0] // WEEK] += g * (before - x[3])
+                before, total = x[3], total + g * (before - x[3])
+            by_day[bars[-1][0] // WEEK] += gain - total
+        if by_day:
+            days = sorted(by_day, reverse=True)
+            yield tuple(round(by_day[days[i]], 4) if i < len(days) else None for i in range(4, -1, -1))
+
+    by_week(q.daywise_last5(spark, SF), q.S_RANGE, tuple(f"Dte{i}" for i in range(5, 0, -1)), weeks, loop)
+
+
+def test_strangle_to_straddle(spark, weeks):
+    def loop(w, p):
+        k = w.pick(p["start"], p["end"], p["starting_om"])
+        if k is None:
+            return
+        up, down = float(k[1][:-2]), float(k[2][:-2])
+        scrips = (k[1], k[2], f"{int(down)}CE", f"{int(up)}PE")
+        bars = [{x[0]: x[3] for x in w.bars(s)} for s in scrips]
+        fut = {t: x[2] for t, x in w.futures().items()}
+        pair = [t for t in sorted(bars[0]) if k[0] <= t <= p["end"] and t in bars[1]]
+        five = [t for t in pair if t in bars[2] and t in bars[3] and t in fut]
+        a, b = next((t for t in five if fut[t] >= up), None), next((t for t in five if fut[t] <= down), None)
+        way = "up" if a is not None and (b is None or a < b) else "down" if b is not None and (a is None or b < a) else None
+        at = {"up": a, "down": b}.get(way)
+        opened = at is not None and at % WEEK == FIRST
+        end, gain = at if at is not None else pair[-1], 0.0
+        for i, side in ((0, "up"), (1, "down")):
+            stays = way == side and not opened
+            gain += k[3 + i] - bars[i][end] - (0.0 if stays else k[3 + i] * RATE)
+        yield -1, k[0], k[1], k[2], at, cents(gain)
+        if at is None:
+            return
+        if opened:
+            chosen = w.pick(at, p["end"])
+        else:
+            ce, pe = (0, 3) if way == "up" else (2, 1)
+            chosen = at, scrips[ce], scrips[pe], bars[ce][at], bars[pe][at]
+        if chosen:
+            for i, x, _, t, _, g in range_rounds(w, p, False, at, chosen):
+                yield i, x[0], x[1], x[2], t, g
+
+    by_week(q.st_str_to_std(spark, SF), q.S_TO_STD, ("round", "entry_t", "ce", "pe", "exit_t", "pnl"), weeks, loop)
 
 
 def test_hedges(spark, books):  # noqa: F811
