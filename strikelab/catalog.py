@@ -87,6 +87,10 @@ class Market:
         rules = {"rate": instrument("rate"), "tick": instrument("tick"), "step": instrument("step")} if instruments else {}
         return Desk(legs=cut(self.legs, "legs"), menus=cut(reduce(DataFrame.unionByName, menus), "menus"), futures=cut(session_bars(self.session_futures), "session-futures"), options=self.session, gap=GAP, first=FIRST, last=LAST, strangles=strangles, **rules)
 
+    def entries_of(self, sets: DataFrame, days: DataFrame | None = None) -> DataFrame:
+        """Each session (or each of `days`) with each set of a grid of any size; how the two meet is left to Spark."""
+        return (self.days if days is None else days).crossJoin(sets)
+
     def entries(self, rows: list[tuple], schema: str) -> DataFrame:
         """Each session with each parameter set of a short list."""
         return self.days.crossJoin(F.broadcast(self.days.sparkSession.createDataFrame(rows, schema)))
