@@ -847,7 +847,7 @@ def _bars(spark, sf_dir) -> DataFrame:
     return Market(spark, sf_dir).futures.select("idx", "trade_date", "t", "high", "low", "close")
 
 
-from strikelab import grid_queries, instrument_queries, modifier_queries, spread_queries, strategy_queries  # noqa: E402, F401  register the strategies
+from strikelab import grid_queries, instrument_queries, modifier_queries, series_queries, spread_queries, strategy_queries  # noqa: E402, F401  register the strategies
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

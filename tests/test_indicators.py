@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from strikelab.operators import indicators
 
@@ -23,6 +24,14 @@ def bars(spark):
     return spark.createDataFrame(rows, "idx string, trade_date int, t int, high double, low double, close double")
 
 
+def cut_up(bars):
+    """The same series in blocks of seven bars."""
+    return bars.withColumn("day", F.floor(F.col("t") / 7).cast("int")).drop("trade_date")
+
+
+LONG = {"keys": ("idx",), "block": ("day",)}
+
+
 def same(df, wanted, columns):
     got = {}
     for r in df.collect():
@@ -74,7 +83,8 @@ def test_supertrend(bars):
             rows.append((side, level, change, {None: None, 0: "", 1: "CE", -1: "PE"}[change], {None: None, 0: "", 1: "PE", -1: "CE"}[change]))
         return rows
 
-    same(indicators.supertrend(bars), loop, ["up", "level", "positions", "buy", "sell"])
+    for df in (indicators.supertrend(bars), indicators.supertrend(cut_up(bars), **LONG)):
+        same(df, loop, ["up", "level", "positions", "buy", "sell"])
 
 
 def test_rsi(bars):
@@ -90,7 +100,8 @@ def test_rsi(bars):
             before = signal
         return rows
 
-    same(indicators.rsi(bars), loop, ["rsi", "signal", "positions", "buy", "sell"])
+    for df in (indicators.rsi(bars), indicators.rsi(cut_up(bars), **LONG)):
+        same(df, loop, ["rsi", "signal", "positions", "buy", "sell"])
 
 
 def test_macd(bars):
@@ -114,4 +125,17 @@ def test_macd(bars):
             before = h
         return rows
 
-    same(indicators.macd(bars), loop, ["macd", "signal_line", "hist", "crossing", "buy", "sell"])
+    for df in (indicators.macd(bars), indicators.macd(cut_up(bars), **LONG)):
+        same(df, loop, ["macd", "signal_line", "hist", "crossing", "buy", "sell"])
+
+
+def test_means(bars):
+    def loop(s):
+        e, out = None, []
+        for tr, a, b in zip(ranges(s), wilder(ranges(s), 10, 0), s, strict=True):
+            e = b[3] if e is None else e + 2 / 6 * (b[3] - e)
+            out.append((tr, a, e))
+        return out
+
+    for how, df in (({}, bars), (LONG, cut_up(bars))):
+        same(indicators.ema(indicators.atr(df, **how), 5, "e", **how), loop, ["tr", "atr", "e"])
