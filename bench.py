@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession  # noqa: E402
 
 from strikelab import registry  # noqa: E402
 
-HEADLINE = ["atm_straddle", "otm_strangle", "strike_asof", "sl_single", "sl_combined", "trail_ratio", "mtm_portfolio", "psl_levels", "st_b120", "st_dt", "st_nre", "st_sut", "cube_unpivot", "heatmap_totals", "calmar"]
+HEADLINE = ["atm_straddle", "otm_strangle", "strike_asof", "sl_single", "sl_combined", "trail_ratio", "mtm_portfolio", "psl_levels", "st_b120", "st_dt", "st_nre", "st_sut", "st_s2ut", "st_shift", "mod_weekly", "mod_psl_dt", "supertrend_long", "cube_unpivot", "heatmap_totals", "calmar"]
 #: Seconds for one query, and for all.
 LIMIT, BUDGET = 180, 1200
 

@@ -19,28 +19,29 @@ def _ladder(rows: list[tuple], schema: str, rungs=((625, 30), (685, 60))) -> tup
 _LAD = "lad AS MATERIALIZED (SELECT * EXCLUDE (rid, start, i), rid AS set_rid, start AS start0, rid * 1000 + i AS rid, start + i * trade_interval AS start FROM en, unnest(range(0, 100)) v(i) WHERE start + i * trade_interval <= last_trade_time)"
 
 
-def _stop_sql(schema: str, legs: str, margin: float = 12.0, lag: int = 1) -> str:
-    """The portfolio stop of the trade legs tl (rid, kind, scrip, other, a, z, x, o, pnl, side, rate) of the ladder's rungs."""
+def _stop_sql(schema: str, legs: str, margin: float = 12.0, lag: int = 1, parts: tuple[str, ...] = ()) -> str:
+    """The portfolio stop of the trade legs tl (rid, part, kind, scrip, other, a, z, x, o, pnl, side, rate, lastm) of the ladder's rungs."""
+    shares = f"floor(floor(1000000000.0 / n) / (price * {margin} / 100))"
     names = [c.split()[0] for c in schema.split(", ")]
     k = "idx, trade_date, " + ", ".join('start0 AS "start"' if n == "start" else f'"{n}"' for n in names)
     return f"""{legs},
 ll AS MATERIALIZED (SELECT tl.*, l.idx, l.trade_date, l.set_rid, row_number() OVER () AS lid FROM tl JOIN lad l USING (rid)),
-pb AS (SELECT l.lid, l.o, l.pnl, l.rate, CASE WHEN l.side = 'SELL' THEN 1.0 ELSE -1.0 END::DOUBLE AS g, coalesce(l.x, l.z) AS x, b.t AS bt, CASE kind WHEN 'straddle' THEN b.close + c.close ELSE b.close END AS bc,
+pb AS (SELECT l.lid, l.o, l.pnl, l.rate, l.lastm, CASE WHEN l.side = 'SELL' THEN 1.0 ELSE -1.0 END::DOUBLE AS g, coalesce(l.x, l.z) AS x, b.t AS bt, CASE kind WHEN 'straddle' THEN b.close + c.close ELSE b.close END AS bc,
  row_number() OVER w AS bi, first_value(CASE kind WHEN 'straddle' THEN b.close + c.close ELSE b.close END) OVER w AS c1
  FROM ll l JOIN opt b ON b.idx = l.idx AND b.trade_date = l.trade_date AND b.scrip = l.scrip AND b.t BETWEEN l.a AND l.z AND b.t BETWEEN {FIRST} AND {LAST} LEFT JOIN opt c ON c.idx = l.idx AND c.trade_date = l.trade_date AND c.scrip = l.other AND c.t = b.t
  WHERE kind = 'leg' OR c.t IS NOT NULL WINDOW w AS (PARTITION BY l.lid ORDER BY b.t)),
 pv AS (SELECT *, g * (coalesce(o, c1) - bc) - coalesce(o, c1) * rate AS v, max(bt) OVER (PARTITION BY lid) AS zt FROM pb WHERE bi > 1 AND bt <= x),
-pp AS MATERIALIZED (SELECT lid, bt, CASE WHEN bt = zt THEN coalesce(pnl, round_even(v, 2)) ELSE v END AS v FROM pv),
+pp AS MATERIALIZED (SELECT lid, bt, CASE WHEN bt = zt THEN coalesce(pnl, round_even(v, 2)) ELSE v END AS v FROM pv WHERE lastm IS NULL OR bt <= lastm),
 gr AS (SELECT unnest(range({FIRST}, {LAST + 1}, {STEP}))::INT AS t),
-fi AS (SELECT s.set_rid, s.t, coalesce(p.v, 0) AS v FROM (SELECT lid, set_rid, gr.t FROM ll, gr) s ASOF LEFT JOIN pp p ON p.lid = s.lid AND p.bt <= s.t),
+fi AS (SELECT s.set_rid, s.t, s.part, coalesce(p.v, 0) AS v FROM (SELECT lid, set_rid, part, gr.t FROM ll, gr) s ASOF LEFT JOIN pp p ON p.lid = s.lid AND p.bt <= s.t),
 pr AS (SELECT idx, trade_date, arg_min(close, t) AS price FROM fut WHERE t BETWEEN {FIRST} AND {LAST} GROUP BY ALL),
 nn AS (SELECT set_rid, count(*) AS n FROM lad GROUP BY ALL),
-ca AS MATERIALIZED (SELECT s.set_rid, s.t, round(s.v * floor(floor(1000000000.0 / n) / (price * {margin} / 100)), 2) AS cash, row_number() OVER (PARTITION BY s.set_rid ORDER BY s.t) AS i
- FROM (SELECT set_rid, t, sum(v) AS v FROM fi GROUP BY ALL) s JOIN nn USING (set_rid) JOIN (SELECT DISTINCT set_rid, idx, trade_date FROM lad) USING (set_rid) JOIN pr USING (idx, trade_date)),
+ca AS MATERIALIZED (SELECT s.set_rid, s.t, round_even(round(s.v, 6) * {shares}, 2) + 0 AS cash{"".join(f", round_even(round(s.v_{p}, 6) * {shares}, 2) + 0 AS cash_{p}" for p in parts)}, row_number() OVER (PARTITION BY s.set_rid ORDER BY s.t) AS i
+ FROM (SELECT set_rid, t, sum(v) AS v{"".join(f", coalesce(sum(v) FILTER (part = '{p}'), 0) AS v_{p}" for p in parts)} FROM fi GROUP BY ALL) s JOIN nn USING (set_rid) JOIN (SELECT DISTINCT set_rid, idx, trade_date FROM lad) USING (set_rid) JOIN pr USING (idx, trade_date)),
 lv AS (SELECT unnest([{", ".join(f"{x}::DOUBLE" for x in q.LEVELS)}]) AS level),
 cx AS (SELECT set_rid, level, min(i) AS i, max(zi) AS zi FROM (SELECT set_rid, level, CASE WHEN CASE WHEN level > 0 THEN cash > level * 10000000 ELSE cash < level * 10000000 END THEN i END AS i, max(i) OVER (PARTITION BY set_rid) AS zi FROM ca, lv) GROUP BY ALL),
 cy AS (SELECT set_rid, level, CASE WHEN i + {lag} <= zi THEN i END AS i, CASE WHEN i + {lag} <= zi THEN i + {lag} ELSE zi END AS j FROM cx)
-SELECT {k}, level, a.t, b.cash AS paid FROM cy JOIN (SELECT DISTINCT ON (set_rid) * FROM lad) USING (set_rid) LEFT JOIN ca a ON a.set_rid = cy.set_rid AND a.i = cy.i JOIN ca b ON b.set_rid = cy.set_rid AND b.i = cy.j"""
+SELECT {k}, level, a.t, b.cash AS paid{"".join(f", b.cash_{p} AS paid_{p}" for p in parts)} FROM cy JOIN (SELECT DISTINCT ON (set_rid) * FROM lad) USING (set_rid) LEFT JOIN ca a ON a.set_rid = cy.set_rid AND a.i = cy.i JOIN ca b ON b.set_rid = cy.set_rid AND b.i = cy.j"""
 
 
 def _psl(spark, sf_dir, trader, rows, schema, oms=q.OM, **how):
@@ -49,7 +50,7 @@ def _psl(spark, sf_dir, trader, rows, schema, oms=q.OM, **how):
     return trades.portfolio_stop(m.entries(rows, schema), desk, trader, q.LEVELS, step=STEP, **how)
 
 
-_TL = "SELECT rid, '{kind}' AS kind, {scrip} AS scrip, {other} AS other, {a} AS a, \"end\" AS z, {x} AS x, {o} AS o, {pnl} AS pnl, side, 0.01 AS rate FROM {src}"
+_TL = "SELECT rid, 'std' AS part, NULL::INT AS lastm, '{kind}' AS kind, {scrip} AS scrip, {other} AS other, {a} AS a, \"end\" AS z, {x} AS x, {o} AS o, {pnl} AS pnl, side, 0.01 AS rate FROM {src}"
 
 
 def _tl(src: str, scrip: str, a: str, x: str, o: str, pnl: str, kind: str = "leg", other: str = "NULL::VARCHAR") -> str:
@@ -119,11 +120,32 @@ def mod_psl_sre_sep(spark, sf_dir):
 S_PSL_RE = _ladder([(*r, n) for r in q.S_B120[0] if r[0] == 565 for n in (0, 2)], f"{q.S_B120[1]}, re_entries int")
 
 
-@query()
+def _b120_legs(given: tuple[list[tuple], str], most: int) -> str:
+    """The legs and the followed one of each round; the followed leg counts for itself until its following's first bar."""
+    k = ", ".join(f'"{c.split()[0]}"' for c in given[1].split(", "))
+    text, parts = ["r0 AS (SELECT *, start AS go FROM lad)"], []
+    more = "AND {n} < re_entries" if "re_entries" in given[1] else ""
+    for n in range(most + 1):
+        text.append(f"{sql.pick(f's{n}_p', f'r{n}', start='go')},\n{sql.b120(f's{n}', f's{n}_p')}")
+        text.append(f"""g{n} AS (SELECT s.*, b.began FROM s{n} s LEFT JOIN (SELECT s.rid, list_sort(list(o.t))[2] AS began FROM s{n} s JOIN opt o ON o.idx = s.idx AND o.trade_date = s.trade_date AND o.scrip = ut_k AND o.t BETWEEN at_ AND "end" AND o.t BETWEEN {FIRST} AND {LAST} WHERE on_ GROUP BY s.rid) b USING (rid))""")
+        for x, first in (("ce", "pe"), ("pe", "ce")):
+            parts.append(f"SELECT rid, 'std' AS part, CASE WHEN on_ AND first = '{first}' THEN began - 1 END AS lastm, 'leg' AS kind, p_{x} AS scrip, NULL::VARCHAR AS other, p_t AS a, \"end\" AS z, {x}_t AS x, {x}_o AS o, {x}_pnl AS pnl, side, 0.01 AS rate FROM g{n}")
+        parts.append(f"SELECT rid, 'ut', NULL::INT, 'leg', ut_k, NULL::VARCHAR, at_, \"end\", ut_t, ut_o, ut_pnl, side, 0.0 FROM g{n} WHERE on_")
+        text.append(f'r{n + 1} AS (SELECT rid, idx, trade_date, {k}, exit_t AS go FROM s{n} WHERE exit_t < "end" - 5 {more.format(n=n)})')
+    return f"{_open(*given)},\n" + ",\n".join(text) + f",\ntl AS ({' UNION ALL '.join(parts)})"
+
+
+@query(_stop_sql(S_PSL_RE[1], _b120_legs(S_PSL_RE, 2), parts=("std", "ut")))
 def mod_psl_b120_re(spark, sf_dir):
     return _psl(spark, sf_dir, trades.b120(2), *S_PSL_RE, parts=("std", "ut"))
 
 
+@query(_stop_sql(q.S_PSL[1], _b120_legs(q.S_PSL, 0), parts=("std", "ut")))
+def mod_psl(spark, sf_dir):
+    """The separate-stop strategy on a ladder of entries, with the 37 levels of a portfolio stop."""
+    return _psl(spark, sf_dir, trades.b120(), *q.S_PSL, parts=("std", "ut"))
+
+
 @query()
 def mod_psl_shift(spark, sf_dir):
     """One entry with the whole fund, in fractions of shares, 14 % margin, paid at the crossing's minute."""

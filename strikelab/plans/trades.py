@@ -92,7 +92,7 @@ def portfolio_stop(entries: DataFrame, desk: Desk, trader: Trader, levels: list[
         rows, n = minutes(trader(entries, desk), keys, desk, step, parts), None
     price = desk.futures.select(*DAY, F.element_at("fut", 1)["close"].alias("_price"))
     rows = rows.join(price, DAY).withColumn("_n", rollup.shares(fund, margin_percent, F.col("_price"), n))
-    rows = rows.select(*keys, F.col("_t").alias("t"), *(F.round(F.col(c) * F.col("_n"), 2).alias(c) for c in ("mtm", *parts)))
+    rows = rows.select(*keys, F.col("_t").alias("t"), *(money(F.round(c, 6) * F.col("_n")).alias(c) for c in ("mtm", *parts)))
     return rollup.crossings(rows, keys, levels, F.lit(float(fund)), lag, list(parts))
 
 

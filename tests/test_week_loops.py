@@ -6,6 +6,7 @@ import pytest
 from loops import cents, decay, stop
 from test_strategy_loops import RATE, SF, b120, books, compare, params  # noqa: F401
 
+from strikelab import modifier_queries as mq
 from strikelab import strategy_queries as q
 from strikelab.catalog import FIRST, LAST
 
@@ -262,7 +263,7 @@ def test_portfolio_stop(spark, books):  # noqa: F811
             else:
                 yield float(level), grid[hit], cash[hit + 1]
 
-    got = q.mod_psl(spark, SF).collect()
+    got = mq.mod_psl(spark, SF).collect()
     names, want = [c.split()[0] for c in q.S_PSL[1].split(", ")], {}
     for day, b in books.items():
         for p in params(q.S_PSL):
