@@ -16,7 +16,7 @@ from strikelab.functions import scalars as fn
 from strikelab.functions import triggers
 from strikelab.operators import indicators, mtm, rollup, strikes
 from strikelab.plans import grid
-from strikelab.plans.lineage import scratch
+from strikelab.plans.lineage import cut, scratch
 from strikelab.sources import files, tape
 from strikelab.strategy_sql import ATM as _ATM
 
@@ -320,10 +320,19 @@ def straddle_bars(spark, sf_dir):
     return _both_legs(Market(spark, sf_dir)).select("idx", "trade_date", "strike", F.explode("bars").alias("b")).select("idx", "trade_date", "strike", "b.*")
 
 
-@query("SELECT idx, trade_date, t, sum(close) AS close FROM opt WHERE scrip IN ('950CE', '1000CE', '1000PE', '1050PE') GROUP BY ALL HAVING count(*) = 4")
+_WINGS = (("CE", 0.0), ("PE", 0.0), ("CE", GAP), ("PE", -GAP))
+
+
+@query("SELECT o0.idx, o0.trade_date, o0.strike, o0.t, " + ", ".join(f"o{i}.close AS c{i}" for i in range(4)) + " FROM opt o0 " + " ".join(f"JOIN opt o{i} ON o{i}.idx = o0.idx AND o{i}.trade_date = o0.trade_date AND o{i}.t = o0.t AND o{i}.opt_type = '{k}' AND o{i}.strike = o0.strike + {d}" for i, (k, d) in enumerate(_WINGS) if i) + f" WHERE o0.opt_type = 'CE' AND o0.t BETWEEN {FIRST} AND {LAST}")
 def common_minutes4(spark, sf_dir):
-    rows = Market(spark, sf_dir).options.where(F.col("scrip").isin("950CE", "1000CE", "1000PE", "1050PE"))
-    return rows.groupBy("idx", "trade_date", "t").agg(F.sum("close").alias("close"), F.count("*").alias("n")).where("n = 4").drop("n")
+    """The closes of every strike's straddle and of the wings a gap away, on the minutes that all four have."""
+    legs = cut(Market(spark, sf_dir).legs.withColumn("strike", fn.strike_of(F.col("scrip"))), "legs")
+    rows = None
+    for i, (kind, away) in enumerate(_WINGS):
+        one = legs.where(F.col("scrip").endswith(kind)).select("idx", "trade_date", (F.col("strike") - away).alias("strike"), F.col("bars").alias(f"b{i}"))
+        rows = one if rows is None else rows.join(one, ["idx", "trade_date", "strike"])
+    met = triggers.all_legs([F.col(f"b{i}") for i in range(4)], lambda *x: F.struct(x[0]["t"].alias("t"), *(y["close"].alias(f"c{i}") for i, y in enumerate(x))))
+    return rows.select("idx", "trade_date", "strike", F.explode(met).alias("x")).select("idx", "trade_date", "strike", "x.*")
 
 
 # --- triggers ----------------------------------------------------------------------------------------------------------
@@ -553,10 +562,14 @@ def psl_by_part(spark, sf_dir):
     return _levels(Market(spark, sf_dir), "ce", "pe")
 
 
-@query(f""", {_FILLED} SELECT idx, trade_date, {", ".join(f'round(sum(mtm) FILTER (t = {t}), 4) AS m{t}' for t in (600, 700, 800, 900))} FROM fl GROUP BY ALL""")
+_MINUTES = list(range(FIRST, LAST + 1, 10))
+
+
+@query(f""", {_FILLED} SELECT idx, trade_date, {", ".join(f'round(sum(mtm) FILTER (t = {t}), 4) AS m{t}' for t in _MINUTES)} FROM fl GROUP BY ALL""")
 def mtm_wide(spark, sf_dir):
-    wide = mtm.wide(_portfolio(Market(spark, sf_dir)), ["idx", "trade_date"], [600, 700, 800, 900])
-    return wide.withColumnsRenamed({str(t): f"m{t}" for t in (600, 700, 800, 900)})
+    """A column for each minute of the session."""
+    wide = mtm.wide(_portfolio(Market(spark, sf_dir)), ["idx", "trade_date"], _MINUTES)
+    return wide.withColumnsRenamed({str(t): f"m{t}" for t in _MINUTES})
 
 
 # --- reports -----------------------------------------------------------------------------------------------------------
