@@ -57,8 +57,8 @@ def _tl(src: str, scrip: str, a: str, x: str, o: str, pnl: str, kind: str = "leg
     return _TL.format(src=src, scrip=scrip, a=a, x=x, o=o, pnl=pnl, kind=kind, other=other)
 
 
-def _open(rows, schema) -> str:
-    return f", {sql.menu()},\n{sql.entries(rows, schema)},\n{_LAD}"
+def _open(rows, schema, oms: tuple[str, ...] = q.OM) -> str:
+    return f", {sql.menu(*oms)},\n{sql.entries(rows, schema)},\n{_LAD}"
 
 
 # --- portfolio stops ----------------------------------------------------------------------------------------------------
@@ -75,22 +75,45 @@ def mod_psl_dt(spark, sf_dir):
 S_PSL_NRE = _ladder([(*r, n) for r in q.S_NRE[0] if r[0] == 565 for n in (0, 3)], f"{q.S_NRE[1]}, re_entries int")
 
 
-def _nre_legs() -> str:
-    k = ", ".join(f'"{c.split()[0]}"' for c in S_PSL_NRE[1].split(", "))
+def _log_legs(given: tuple[list[tuple], str], again, most: int, oms: tuple[str, ...] = q.OM) -> str:
+    """The legs of each leg's rounds: a plain stop first, then again(out, source) after each exit."""
+    k = ", ".join(f'"{c.split()[0]}"' for c in given[1].split(", "))
     two = "r0 AS (SELECT * EXCLUDE (rid), rid AS top, rid * 2 + i AS rid, CASE i WHEN 0 THEN 'ce' ELSE 'pe' END AS leg, CASE i WHEN 0 THEN p_ce ELSE p_pe END AS scrip, CASE i WHEN 0 THEN p_cep ELSE p_pep END AS cost, p_t AS go FROM p, (VALUES (0), (1)) v(i))"
     text, parts = [sql.pick("p", "lad"), two], []
-    for n in range(4):
-        text.append((q._plain_leg if n == 0 else q._nre_again)(f"s{n}", f"r{n}"))
+    for n in range(most + 1):
+        text.append((q._plain_leg if n == 0 else again)(f"s{n}", f"r{n}"))
         parts.append(_tl(f"(SELECT * REPLACE (top AS rid) FROM s{n} WHERE {n} <= re_entries)", "scrip", "entry_t", "exit_t", "o", "pnl"))
         text.append(f"r{n + 1} AS (SELECT rid, top, idx, trade_date, {k}, leg, scrip, cost, exit_t AS go FROM s{n} WHERE exit_t IS NOT NULL)")
-    return f"{_open(*S_PSL_NRE)},\n" + ",\n".join(text) + f",\ntl AS ({' UNION ALL '.join(parts)})"
+    return f"{_open(*given, oms)},\n" + ",\n".join(text) + f",\ntl AS ({' UNION ALL '.join(parts)})"
 
 
-@query(_stop_sql(S_PSL_NRE[1], _nre_legs()))
+@query(_stop_sql(S_PSL_NRE[1], _log_legs(S_PSL_NRE, q._nre_again, 3)))
 def mod_psl_nre(spark, sf_dir):
     return _psl(spark, sf_dir, trades.nre(3), *S_PSL_NRE)
 
 
+@query(_stop_sql(S_PSL_NRE[1], _log_legs(S_PSL_NRE, q._cc_again, 3)))
+def mod_psl_nre_cc(spark, sf_dir):
+    return _psl(spark, sf_dir, trades.logged(st.nre_cc, 3), *S_PSL_NRE)
+
+
+S_PSL_RED = _ladder([(*r, n) for r in q.S_RED[0] if r[0] == 565 for n in (0, 3)], f"{q.S_RED[1]}, re_entries int")
+
+
+@query(_stop_sql(S_PSL_RED[1], _log_legs(S_PSL_RED, q._new_strike, 3)))
+def mod_psl_red(spark, sf_dir):
+    return _psl(spark, sf_dir, trades.logged(st.red, 3), *S_PSL_RED)
+
+
+S_PSL_SUT = _ladder([r for r in q.S_SUT[0] if r[0] == 565], q.S_SUT[1])
+_SUT_TL = f"tl AS ({_TL.format(src='x', kind='straddle', scrip='p_ce', other='p_pe', a='p_t', x='r_t', o='r_o', pnl='r_pnl')} UNION ALL SELECT rid, 'ut', NULL::INT, 'leg', ut_scrip, NULL::VARCHAR, q_t, \"end\", ut_t, ut_o, ut_pnl, ut_side, 0.01 FROM x WHERE ut_scrip IS NOT NULL)"
+
+
+@query(_stop_sql(S_PSL_SUT[1], f"{_open(*S_PSL_SUT, q.TWO)},\n{sql.pick('p', 'lad')},\n{q._SUT_CTES},\n{_SUT_TL}", parts=("std", "ut")))
+def mod_psl_sut(spark, sf_dir):
+    return _psl(spark, sf_dir, trades.sut, *S_PSL_SUT, q.TWO, parts=("std", "ut"))
+
+
 S_PSL_SRE = _ladder([(*r, n) for r in q.S_SRE[0] if r[0] == 565 for n in (0, 7)], f"{q.S_SRE[1]}, re_entries int")
 
 

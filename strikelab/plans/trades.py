@@ -147,16 +147,29 @@ def b120(most: int = 0, times_ut: float = 1.0) -> Trader:
     return run
 
 
-def nre(most: int = 7) -> Trader:
-    """Each leg with a stop, and again at its first price after each."""
+def logged(strategy: Callable[[DataFrame, Desk, int], DataFrame], most: int = 7) -> Trader:
+    """The legs of a strategy whose log has a row for each leg and round (scrip, entry_t, o, exit_t, pnl), the first of each entry among
+    them: st.nre, st.nre_cc, st.red."""
 
     def run(entries: DataFrame, desk: Desk) -> DataFrame:
-        log = _within(st.nre(entries, desk, most), entries.columns)
+        log = _within(strategy(entries, desk, most), entries.columns)
         return legs_of(log, entries.columns, leg("std", F.col("scrip"), F.col("entry_t"), F.col("end"), t=F.col("exit_t"), o=F.col("o"), pnl=F.col("pnl"), rate=desk.rate))
 
     return run
 
 
+def nre(most: int = 7) -> Trader:
+    """Each leg with a stop, and again at its first price after each."""
+    return logged(st.nre, most)
+
+
+def sut(entries: DataFrame, desk: Desk) -> DataFrame:
+    """A straddle with a combined stop, then one leg (part ut)."""
+    rows = st.with_ut(st.combined(st.picked(entries, desk), desk), desk)
+    straddle = leg("std", F.col("pick.ce"), F.col("pick.t"), F.col("end"), kind="straddle", other=F.col("pick.pe"), t=F.col("r.t"), o=F.col("r.o"), pnl=F.col("r.pnl"), rate=desk.rate)
+    return legs_of(rows, entries.columns, straddle, leg("ut", F.col("ut_scrip"), F.col("up.t"), F.col("end"), t=F.col("ut_r.t"), o=F.col("ut_r.o"), pnl=F.col("ut_r.pnl"), side=F.col("ut_side"), rate=desk.rate))
+
+
 def dt(entries: DataFrame, desk: Desk) -> DataFrame:
     """Each leg once it has decayed, with a stop."""
     rows = st.decay_legs(st.picked(entries, desk), desk)
