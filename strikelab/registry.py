@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strikelab.catalog import FIRST, GAP, LAST, QUERIES, SQL, Market, query
+from strikelab.catalog import FIRST, GAP, LAST, LEVELS, QUERIES, SQL, Market, query
 from strikelab.functions import scalars as fn
 from strikelab.functions import triggers
 from strikelab.operators import indicators, mtm, rollup, strikes
@@ -473,7 +473,7 @@ def range_sl(spark, sf_dir):
 # --- minute by minute --------------------------------------------------------------------------------------------------
 
 
-_LEVELS = [-0.1, -0.2, -0.3, -0.4, -0.5, -0.6, -0.7, -0.8, -0.9, -1, -1.25, -1.5, -1.75, -2, -2.5, -3, -3.5, -4, -100, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1, 1.25, 1.5, 1.75, 2, 2.5, 3, 3.5, 4]
+_LEVELS = LEVELS
 _LADDER = list(range(570, 700, 30))
 _FUND, _MARGIN = 1_000_000_000.0, 12.0
 
@@ -513,7 +513,7 @@ _SERIES = f"""{_MTM}, se0 AS (SELECT tr.*, o2.t AS bt, o2.close, row_number() OV
 se AS (SELECT idx, trade_date, scrip, start, bt AS t, CASE WHEN bt = max(bt) OVER (PARTITION BY idx, trade_date, scrip, start) THEN pnl ELSE o - close - o * 0.01 END AS mtm FROM se0 WHERE i > 1 AND bt <= coalesce(t, 900))"""
 
 
-@query(f", {_SERIES} SELECT idx, trade_date, scrip, start, t, round(mtm, 4) AS mtm FROM se")
+@query(f", {_SERIES} SELECT idx, trade_date, scrip, start, t, round(mtm, 4) + 0 AS mtm FROM se")
 def mtm_series(spark, sf_dir):
     return _exploded(_gridded(Market(spark, sf_dir)), "points")
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strikelab import strategy_sql as sql
-from strikelab.catalog import FIRST, LAST, Market, query
+from strikelab.catalog import FIRST, LAST, LEVELS, Market, query  # noqa: F401  LEVELS: for the modifiers' queries
 from strikelab.functions import triggers
 from strikelab.operators import strikes
 from strikelab.plans import shift, weekly
@@ -718,7 +718,6 @@ def mod_si(spark, sf_dir):
     return st.b120(st.gated(m.entries(*S_SI), desk), desk)
 
 
-LEVELS = [-0.1, -0.2, -0.3, -0.4, -0.5, -0.6, -0.7, -0.8, -0.9, -1, -1.25, -1.5, -1.75, -2, -2.5, -3, -3.5, -4, -100, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1, 1.25, 1.5, 1.75, 2, 2.5, 3, 3.5, 4]
 S_PSL = sets([(565, 900, s, k, sl, u, last, n) for s, k, sl, u in (("SELL", "HL", 8.0, "10"), ("SELL", "CC", 5.0, "TTC")) for last, n in ((625, 30), (685, 60))], f"{B120_SCHEMA}, last_trade_time int, trade_interval int")
 
 
