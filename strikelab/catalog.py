@@ -94,5 +94,5 @@ class Market:
         return (self.days if days is None else days).crossJoin(sets)
 
     def entries(self, rows: list[tuple], schema: str) -> DataFrame:
-        """Each session with each parameter set of a short list."""
+        """Each session with each parameter set of a short list in the driver's memory, which bounds what is broadcast; grids: entries_of."""
         return self.days.crossJoin(F.broadcast(self.days.sparkSession.createDataFrame(rows, schema)))

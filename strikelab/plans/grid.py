@@ -18,7 +18,7 @@ def unpivoted(wide: DataFrame) -> DataFrame:
 def run_dates(calendar: DataFrame, meta: DataFrame) -> DataFrame:
     """The calendar's days that a row of meta (idx, dte, from_date, to_date, run) asks for; meta is a short list."""
     asked = meta.where("run").select("idx", "dte", "from_date", "to_date")
-    return calendar.join(F.broadcast(asked), ["idx", "dte"]).where("trade_date BETWEEN from_date AND to_date").select("idx", "trade_date", "dte").distinct()
+    return calendar.join(asked, ["idx", "dte"]).where("trade_date BETWEEN from_date AND to_date").select("idx", "trade_date", "dte").distinct()
 
 
 def weeks(days: DataFrame) -> DataFrame:

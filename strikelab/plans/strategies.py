@@ -205,7 +205,7 @@ def b120_queue(entries: DataFrame, queue: DataFrame, desk: Desk, trim: str = "gr
     The count runs through a session's queue in one fold: a queue is a short list.
     """
     keys = [c for c in entries.columns]
-    rows = entries.join(F.broadcast(queue), "idx")
+    rows = entries.join(queue, "idx")
     traded = enter(rows, desk, end=F.col("start")).withColumn("entry_t", F.col("pick.t"))
     traded = b120_legs(traded, desk)
     item = F.struct("group_no", "seq_no", "start", F.col("pick").isNotNull().alias("valid"), F.col("exit_t").alias("exit_t"), F.col("total_pnl").alias("pnl"))

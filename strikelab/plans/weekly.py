@@ -20,7 +20,7 @@ def week_days(calendar: DataFrame, from_dte: int, to_dte: int) -> DataFrame:
 
 def on_weeks(bars: DataFrame, days: DataFrame, opening: int | None = None) -> DataFrame:
     """bars (idx, trade_date, t, ...) keyed by their week, t going on from day to day; opening: that minute's bars are flat."""
-    rows = bars.withColumnRenamed("trade_date", "day").join(F.broadcast(days.select("idx", "day", "trade_date", "place")), ["idx", "day"])
+    rows = bars.withColumnRenamed("trade_date", "day").join(days.select("idx", "day", "trade_date", "place"), ["idx", "day"])
     if opening is not None:
         flat = F.col("t") == opening
         rows = rows.withColumns({c: F.when(flat, F.col("close")).otherwise(F.col(c)) for c in ("high", "low")})
@@ -82,7 +82,7 @@ def _range_rounds(entries: DataFrame, desk: Desk, begin: DataFrame, most: int, t
         rows = rows.where("pick IS NOT NULL").withColumn("left", budget if n == 0 else F.col("left"))
         rows = enter(rows, desk, "std", om=F.lit("0"), start=F.col("pick.t")).where("std IS NOT NULL")
         rows = ask_range(rows, desk, "r", ce=F.col("pick.ce"), pe=F.col("pick.pe"), start=F.col("pick.t"), trailed=trailed)
-        rows = rows.join(F.broadcast(desk.days), DAY)
+        rows = rows.join(desk.days, DAY)
         d = F.floor(F.col("r.t") / DAY_MINUTES).cast("int")
         dte = F.get("dtes", d)
         rows = rows.withColumn("dte", dte).withColumn("out", F.coalesce(F.get("left", F.col("dte") - 1) == 0, F.lit(True)) | (F.upper("normal_or_cut") == "CUT"))
