@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from multiprocessing.pool import ThreadPool
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,7 +63,24 @@ def write_by_param(log: DataFrame, path: str, buckets: int = 64) -> None:
 
 
 def unreadable(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet files under path that can't be read: their footers are opened, no column is."""
-    there = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(path).select("path")
-    good = spark.read.schema("_none int").option("ignoreCorruptFiles", True).option("recursiveFileLookup", True).parquet(path).select(F.col("_metadata.file_path").alias("path")).distinct()
-    return there.join(good, "path", "left_anti")
+    """Parquet files under path that can't be read: their footers are opened, no column is.
+
+    One pass finds the files that give rows. Of what is left, files without rows and unreadable ones, each footer is opened.
+    Files of no bytes are none to Spark.
+    """
+    file = F.col("_metadata.file_path").alias("_file")
+    there = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(path).select("path", file)
+    rows = spark.read.schema("_none int").option("ignoreCorruptFiles", True).option("recursiveFileLookup", True).parquet(path).select(file).distinct()
+    rest = there.join(rows, "_file", "left_anti").select("path").collect()  # names of few files
+    with ThreadPool(8) as pool:  # each waits for a task
+        opened = pool.map(lambda r: _opens(spark, r["path"]), rest)
+    return spark.createDataFrame([(r["path"],) for r, ok in zip(rest, opened, strict=True) if not ok], "path string")
+
+
+def _opens(spark: SparkSession, path: str) -> bool:
+    """Whether a file's columns can be told from its footer."""
+    try:
+        spark.read.option("ignoreCorruptFiles", True).parquet(re.sub(r"([\\*?{}\[\]])", r"\\\1", path))  # a name, no pattern
+    except AnalysisException as e:
+        return e.getCondition() != "UNABLE_TO_INFER_SCHEMA"
+    return True
