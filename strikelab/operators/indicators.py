@@ -82,12 +82,13 @@ def ema(bars: DataFrame, period: int, name: str, keys: Names = DAY, block: Names
     return _unrolled(_mean(rows, keys, block, "_c", "_e", 1 - 2 / (period + 1), 0, 1), bars, keys, block, {name: "_e"})
 
 
-def moving_cross(bars: DataFrame, short: int, long: int, keys: Names = DAY, short_type: str = "NORMAL", long_type: str = "NORMAL") -> DataFrame:
+def moving_cross(bars: DataFrame, short: int, long: int, keys: Names = DAY, short_type: str = "NORMAL", long_type: str = "NORMAL", places: int = 9) -> DataFrame:
     """short_ma, long_ma (types NORMAL or EXPONENTIAL), signal (1 while the short mean is above), positions (its change), and what to
-    buy and sell at a change (CE or PE, else empty); rows before both means exist go."""
+    buy and sell at a change (CE or PE, else empty); rows before both means exist go. Means are compared to `places` decimals:
+    sums of other lengths leave equal means apart in their last bits."""
     of = {"NORMAL": sma, "EXPONENTIAL": ema}
     both = of[long_type](of[short_type](bars, short, "short_ma", keys), long, "long_ma", keys).where("short_ma IS NOT NULL AND long_ma IS NOT NULL")
-    both = both.withColumn("signal", (F.col("short_ma") > F.col("long_ma")).cast("int"))
+    both = both.withColumn("signal", (F.round("short_ma", places) > F.round("long_ma", places)).cast("int"))
     both = both.withColumn("positions", F.col("signal") - F.lag("signal").over(Window.partitionBy(*keys).orderBy("t")))
     call = lambda up, down: F.when(F.col("positions") == 1, up).when(F.col("positions") == -1, down).when(F.col("positions") == 0, "")
     return both.withColumn("buy", call("CE", "PE")).withColumn("sell", call("PE", "CE"))

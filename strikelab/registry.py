@@ -790,7 +790,7 @@ _CALLS = "CASE positions WHEN 1 THEN 'CE' WHEN -1 THEN 'PE' WHEN 0 THEN '' END A
 @query(f"""SELECT *, {_CALLS} FROM (SELECT idx, trade_date, t, close, short_ma, long_ma, signal, signal - lag(signal) OVER (PARTITION BY idx, trade_date ORDER BY t) AS positions FROM (SELECT *, (short_ma > long_ma)::INT AS signal FROM (SELECT idx, trade_date, t, close, round(avg(close) OVER (w ROWS 4 PRECEDING), 6) AS short_ma, CASE WHEN count(*) OVER (w ROWS 19 PRECEDING) = 20 THEN round(avg(close) OVER (w ROWS 19 PRECEDING), 6) END AS long_ma FROM fut WINDOW w AS (PARTITION BY idx, trade_date ORDER BY t)) WHERE long_ma IS NOT NULL))""")
 def ma_cross(spark, sf_dir):
     bars = Market(spark, sf_dir).futures.select("idx", "trade_date", "t", "close")
-    return indicators.moving_cross(bars, 5, 20).withColumns({c: F.round(c, 6) for c in ("short_ma", "long_ma")})
+    return indicators.moving_cross(bars, 5, 20, places=6).withColumns({c: F.round(c, 6) for c in ("short_ma", "long_ma")})
 
 
 _FUT_I = "b AS (SELECT idx, trade_date, t, high, low, close, row_number() OVER w AS i, lag(close) OVER w AS before FROM fut WINDOW w AS (PARTITION BY idx, trade_date ORDER BY t))"
