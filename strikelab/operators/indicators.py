@@ -51,13 +51,14 @@ def _kept(fold: Callable[[Column, Column], Column], begin: Column, kind: str, xs
     return F.aggregate(xs, state(begin, F.array().cast(f"array<{kind}>")), step)["done"]
 
 
-def _mean(rows: DataFrame, keys: Names, block: Names, x: str, name: str, keep: float, first: int, seed: int) -> DataFrame:
+def _mean(rows: DataFrame, keys: Names, block: Names, x: str, name: str, keep: float, first: int, seed: int, add: float | None = None) -> DataFrame:
     """rows with the array `name`: at bar first + seed - 1 the mean of `seed` values of the array x, from there on
-    keep * before + (1 - keep) * x; null before."""
+    keep * before + add * x (1 - keep by default); null before."""
+    add = 1 - keep if add is None else add
     at = first + seed - 1
     placed = rows.withColumn("_x", F.transform(x, lambda v, i: F.struct((F.col("_n") + i).alias("n"), v.cast("double").alias("v"))))
     inside = F.filter("_x", lambda e: (e["n"] >= first) & (e["n"] <= at))
-    moved = lambda s, e: s * keep + e["v"] * (1 - keep)
+    moved = lambda s, e: s * keep + e["v"] * add
     later = lambda xs: F.filter(xs, lambda e: e["n"] > at)
     total = F.aggregate(inside, F.lit(0.0), lambda a, e: a + e["v"])
     if block:
@@ -79,7 +80,7 @@ def _mean(rows: DataFrame, keys: Names, block: Names, x: str, name: str, keep: f
 def ema(bars: DataFrame, period: int, name: str, keys: Names = DAY, block: Names = ()) -> DataFrame:
     """The exponential mean of the closes, from the first bar on."""
     rows = _blocks(bars, keys, block).withColumn("_c", F.transform("_b", lambda b: b["close"]))
-    return _unrolled(_mean(rows, keys, block, "_c", "_e", 1 - 2 / (period + 1), 0, 1), bars, keys, block, {name: "_e"})
+    return _unrolled(_mean(rows, keys, block, "_c", "_e", 1 - 2 / (period + 1), 0, 1, 2 / (period + 1)), bars, keys, block, {name: "_e"})
 
 
 def moving_cross(bars: DataFrame, short: int, long: int, keys: Names = DAY, short_type: str = "NORMAL", long_type: str = "NORMAL", places: int = 9) -> DataFrame:
@@ -195,9 +196,9 @@ def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, keys:
     first = slow + signal - 2
     rows = _blocks(bars, keys, block).withColumn("_c", F.transform("_b", lambda b: b["close"]))
     for name, n in (("_fast", fast), ("_slow", slow)):
-        rows = _mean(rows, keys, block, "_c", name, 1 - 2 / (n + 1), 0, 1)
+        rows = _mean(rows, keys, block, "_c", name, 1 - 2 / (n + 1), 0, 1, 2 / (n + 1))
     rows = rows.withColumn("_line", F.transform("_fast", lambda v, i: F.when(F.col("_n") + i >= first, v - F.get("_slow", i))))
-    rows = _mean(rows, keys, block, "_line", "_even", 1 - 2 / (signal + 1), first, 1)
+    rows = _mean(rows, keys, block, "_line", "_even", 1 - 2 / (signal + 1), first, 1, 2 / (signal + 1))
     rows = rows.withColumn("_sl", F.transform("_even", lambda v, i: F.when(F.col("_n") + i >= first + signal - 1, v))).withColumn("_hist", F.transform("_line", lambda v, i: v - F.get("_sl", i)))
     rows = rows.withColumn("_was", _changed(rows, "_hist", keys, block))
     out = _unrolled(rows, bars, keys, block, {"macd": "_line", "signal_line": "_sl", "hist": "_hist", "_was": "_was"})

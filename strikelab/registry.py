@@ -802,7 +802,7 @@ SELECT *, {_CALLS} FROM (SELECT *, signal - lag(signal) OVER (PARTITION BY idx,
 def ma_cross_ema(spark, sf_dir):
     """Exponential means."""
     bars = Market(spark, sf_dir).futures.select("idx", "trade_date", "t", "close")
-    return indicators.moving_cross(bars, 5, 20, short_type="EXPONENTIAL", long_type="EXPONENTIAL").withColumns({c: F.round(c, 6) for c in ("short_ma", "long_ma")})
+    return indicators.moving_cross(bars, 5, 20, short_type="EXPONENTIAL", long_type="EXPONENTIAL", places=9).withColumns({c: F.round(c, 6) for c in ("short_ma", "long_ma")})
 
 
 _TR = f"{_FUT_I}, tr AS (SELECT *, greatest(high - low, coalesce(abs(high - before), 0), coalesce(abs(low - before), 0)) AS tr FROM b)"

@@ -30,3 +30,18 @@ def test_equal_simple_means_do_not_cross(bars):
             want[f"S{k}", t] = (up, None if before is None else up - before)
             before = up
     assert got == want
+
+
+def test_equal_exponential_means_do_not_cross(bars):
+    """Flat series never cross, and means are those of weights 2 / (n + 1) and 1 - 2 / (n + 1), to the last bit."""
+    got = {(r["idx"], r["t"]): r for r in indicators.moving_cross(bars, 5, 20, short_type="EXPONENTIAL", long_type="EXPONENTIAL").collect()}
+    assert len(got) == 3600
+    for k in range(60):
+        s = [c / 100 for c in series(k)]
+        means = [s[0], s[0]]
+        for t, c in enumerate(s):
+            means = [2 / (n + 1) * c + (1 - 2 / (n + 1)) * m if t else m for n, m in zip((5, 20), means, strict=True)]
+            r = got[f"S{k}", t]
+            assert [r["short_ma"], r["long_ma"]] == means
+            assert r["signal"] == int(round(means[0], 9) > round(means[1], 9))
+            assert k % 2 or r["signal"] == 0
