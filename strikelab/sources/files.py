@@ -56,10 +56,13 @@ def write_cube_csv(cube: DataFrame, path: str, keys: tuple[str, ...] = ("Index",
 
 
 def write_by_param(log: DataFrame, path: str, buckets: int = 64) -> None:
-    """The log sorted by parameter set within hashed buckets: a set is read from one bucket, and there are no tiny files."""
+    """The log by parameter set in hashed buckets: a set is read from one bucket, and there are no tiny files.
+
+    A bucket is as many files as its size asks for, by Spark's advisory size of partitions, each sorted by set.
+    """
     keys, _ = split_columns(log)
     hashed = log.withColumn("bucket", F.pmod(F.xxhash64(*(F.col(f"`{k}`") for k in keys)), F.lit(buckets)))
-    hashed.repartition(buckets, "bucket").sortWithinPartitions(*(F.col(f"`{k}`") for k in keys)).write.mode("overwrite").partitionBy("bucket").parquet(path)
+    hashed.hint("rebalance", "bucket").sortWithinPartitions("bucket", *(F.col(f"`{k}`") for k in keys)).write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def unreadable(spark: SparkSession, path: str) -> DataFrame:
