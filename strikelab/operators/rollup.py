@@ -30,9 +30,12 @@ def cube_unpivot(cube: DataFrame) -> DataFrame:
 
 
 def normalised_log(log: DataFrame, values: DataFrame, index: str = "P_index", future: str = "Future") -> DataFrame:
-    """Each measure as pnl * 10000 / (future * nv); values (index, nv) is a short list; a future of 0 gives null."""
+    """Each measure as pnl * 10000 / (future * nv); values (index, nv) is a short list; a future of 0 gives null.
+
+    values has one row an index and goes to the tasks: a log has few indices, each of which would be one task's rows otherwise.
+    """
     _, measures = split_columns(log)
-    rows = log.join(values.withColumnRenamed(values.columns[0], index), index, "left")
+    rows = log.join(F.broadcast(values.withColumnRenamed(values.columns[0], index)), index, "left")
     new = {m: F.rint(F.try_divide(F.col(f"`{m}`") * 10_000, F.col(future) * F.col("nv")) * 100) / 100 for m in measures}
     return rows.withColumns(new).drop("nv")
 
